@@ -6,20 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairwright.llm import oracles
 from pairwright.llm.mixing import mix_sources
+from pairwright.llm.pii import pii_digest
 from pairwright.llm.quality import quality_rules
 from pairwright.llm.scratch import table
+from pairwright.llm.secrets import secret_digest
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_pii": op3_pii,
+    "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
 }
 
