@@ -6,12 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairwright.llm import oracles
 from pairwright.llm.mixing import mix_sources
+from pairwright.llm.packing import pack
 from pairwright.llm.pii import pii_digest
 from pairwright.llm.quality import quality_rules
 from pairwright.llm.scratch import table
 from pairwright.llm.secrets import secret_digest
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -20,6 +27,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path())
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
@@ -31,6 +42,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_pii": op3_pii,
+    "op7_packing": op7_packing,
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
 }
