@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pairwright.llm import oracles
+from pairwright.llm.langid import language_query
 from pairwright.llm.mixing import mix_sources
 from pairwright.llm.packing import pack
 from pairwright.llm.pii import pii_digest
@@ -39,12 +40,17 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_pii": op3_pii,
     "op7_packing": op7_packing,
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
+    "op10_language": op10_language,
 }
 
 ORACLES = {
