@@ -112,9 +112,8 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     any_failed = None
     for rule in failed.values():
         any_failed = rule if any_failed is None else any_failed | rule
-    m = m.withColumn("base_failed", failed["few_words"] | failed["repeats"]).withColumns({f"fails_{k}": v for k, v in failed.items()}).withColumn("fails_any", any_failed)
-    m = written(m, "quality")
-    hosts = m.where(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n_docs"), *(F.count_if(f"fails_{k}").alias(f"k_{k}") for k in [*failed, "any"]))
+    m = written(m, "quality").withColumn("base_failed", failed["few_words"] | failed["repeats"])
+    hosts = m.where(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n_docs"), *(F.count_if(rule).alias(f"k_{k}") for k, rule in [*failed.items(), ("any", any_failed)]))
     alpha, beta = beta_prior(hosts, "k_any")
     shrunk = (F.col("k_any") + F.lit(alpha)) / (F.col("n_docs") + F.lit(alpha + beta))
     verdicts = hosts.select(F.col("host").alias("of_host"), F.round(shrunk, 6).alias("host_rate"), (shrunk > limits.host_rate).alias("host_rejected"))
