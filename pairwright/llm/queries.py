@@ -12,6 +12,7 @@ from pairwright.llm.pii import pii_digest
 from pairwright.llm.quality import quality_rules
 from pairwright.llm.scratch import table
 from pairwright.llm.secrets import secret_digest
+from pairwright.llm.toxicity import toxicity_query
 
 
 def tokenizer_path() -> str:
@@ -24,6 +25,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
     "op7_packing": op7_packing,
     "op8_secrets": op8_secrets,
