@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pairwright.llm import oracles
+from pairwright.llm.embedding import near_vectors
 from pairwright.llm.langid import language_query
 from pairwright.llm.mixing import mix_sources
 from pairwright.llm.packing import pack
@@ -33,6 +34,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path())
 
@@ -53,6 +58,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
+    "op5_vectors": op5_vectors,
     "op7_packing": op7_packing,
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
