@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pairwright.llm import oracles
 from pairwright.llm.embedding import near_vectors
 from pairwright.llm.langid import language_query
+from pairwright.llm.minhash import near_copies
 from pairwright.llm.mixing import mix_sources
 from pairwright.llm.packing import pack
 from pairwright.llm.pii import pii_digest
@@ -34,6 +35,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
+    "op4_near_copies": op4_near_copies,
     "op5_vectors": op5_vectors,
     "op7_packing": op7_packing,
     "op8_secrets": op8_secrets,
