@@ -14,6 +14,7 @@ from pairwright.llm.pii import pii_digest
 from pairwright.llm.quality import quality_rules
 from pairwright.llm.scratch import table
 from pairwright.llm.secrets import secret_digest
+from pairwright.llm.suffix import repeat_digest
 from pairwright.llm.toxicity import toxicity_query
 
 
@@ -43,6 +44,10 @@ def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path())
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_near_copies": op4_near_copies,
     "op5_vectors": op5_vectors,
+    "op6_repeats": op6_repeats,
     "op7_packing": op7_packing,
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
