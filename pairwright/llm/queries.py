@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from pairwright.llm import oracles
 from pairwright.llm.embedding import near_vectors
 from pairwright.llm.langid import language_query
@@ -75,6 +76,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
     "op10_language": op10_language,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
