@@ -23,7 +23,7 @@ from pairwright.llm.langid import held_out, sampled
 from pairwright.llm.scratch import written
 
 #: Labelled rows to learn from, about; a hash of the id chooses them.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 10_000
 #: Landmarks, at most.
 LANDMARKS = 64
 #: Of words more alike than this, one is a landmark.
@@ -82,10 +82,9 @@ def _features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _windows(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Words, long ones cut into windows too, and the word that each part is of."""
+    """Words, long ones cut into windows too, and the word that each part is of; letters all, signs left out."""
     parts, of = [], []
-    for n, word in enumerate(words):
-        w = _START + word.strip(_SIGNS)
+    for n, w in enumerate(words):
         if len(w) <= 2 * WINDOW:
             parts.append(w)
             of.append(n)
@@ -96,6 +95,10 @@ def _windows(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return parts, np.array(of, np.int64)
 
 
+#: The squared norm of WINDOW letters without repeats.
+_WINDOW_NORM2 = sum(DECAY ** (2 * (j + 1)) * (WINDOW - j) for _, j in _GAPS)
+
+
 def _unit(n: int, word: np.ndarray, gram: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features summed by word and subsequence, scaled so that a word's likeness to itself is 1."""
     key, at = np.unique((word.astype(np.int64) << 18) | gram, return_inverse=True)
@@ -120,30 +123,54 @@ class Kernel:
     landmarks: list[bytes]
 
     def __post_init__(self) -> None:
-        self.table = _landmark_table(self.landmarks)
-        self.most = self.table.max(1)
+        table = _landmark_table(self.landmarks)
+        self.most = table.max(1)
+        # Few subsequences are in any landmark: rows for those alone, and each one's row.
+        held = np.flatnonzero(self.most)
+        self.row = np.zeros(len(table), np.int32)
+        self.row[held] = np.arange(len(held))
+        self.table = table[held]
+        self.row_most = self.most[held]
+
+    def bound(self, word: np.ndarray, gram: np.ndarray, weight: np.ndarray, norm2: np.ndarray) -> np.ndarray:
+        """No likeness exceeds this: repeated subsequences only make a word's norm larger."""
+        return np.bincount(word, weight * self.most[gram], len(norm2)) / np.sqrt(np.maximum(norm2, 1e-12))
 
     def likeness(self, words: list[bytes]) -> np.ndarray:
         """A row per word: the normalised kernel with each landmark to the power, zero below the bound."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        parts, of = _windows(words)
-        for at in range(0, len(parts), 20_000):
-            some = parts[at : at + 20_000]
-            word, gram, weight = _features(some)
-            # No likeness exceeds this bound: repeated subsequences only make a word's norm larger.
-            norm2 = np.bincount(word, weight * weight, len(some))
-            bound = np.bincount(word, weight * self.most[gram], len(some)) / np.sqrt(np.maximum(norm2, 1e-12))
-            may = bound >= LEAST
-            if not may.any():
-                continue
-            inside = may[word]
-            number = np.cumsum(may) - 1
-            w, g, v = _unit(int(may.sum()), number[word[inside]], gram[inside], weight[inside])
-            near = np.add.reduceat(self.table[g] * v[:, None].astype(np.float32), np.flatnonzero(np.r_[True, w[1:] != w[:-1]]), axis=0)
-            near = np.where(near >= LEAST, near, 0) ** POWER
-            np.maximum.at(out, of[at : at + 20_000][may][np.unique(w)], near)
+        whole = [_START + w.strip(_SIGNS) for w in words]
+        for at in range(0, len(whole), 20_000):
+            # A window has no more in common with a landmark than its word, and no less of a norm than WINDOW letters have.
+            word, gram, weight = _features(whole[at : at + 20_000])
+            norm2 = np.minimum(np.bincount(word, weight * weight, len(whole[at : at + 20_000])), _WINDOW_NORM2)
+            may = np.flatnonzero(self.bound(word, gram, weight, norm2) >= LEAST) + at
+            if len(may):
+                self._compare([whole[i] for i in may.tolist()], may, out)
         return out
 
+    def _compare(self, words: list[bytes], of_word: np.ndarray, out: np.ndarray) -> None:
+        parts, of = _windows(words)
+        word, gram, weight = _features(parts)
+        may = self.bound(word, gram, weight, np.bincount(word, weight * weight, len(parts))) >= LEAST
+        if not may.any():
+            return
+        inside = may[word]
+        number = np.cumsum(may) - 1
+        w, g, v = _unit(int(may.sum()), number[word[inside]], gram[inside], weight[inside])
+        held = self.most[g] > 0
+        w, g, v = w[held], self.row[g[held]], v[held].astype(np.float32)
+        # The bound again, now that exact norms are known.
+        tight = np.bincount(w, v * self.row_most[g], int(may.sum())) >= LEAST
+        w, g, v = (x[tight[w]] for x in (w, g, v))
+        if not len(w):
+            return
+        first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+        near = np.add.reduceat(self.table[g] * v[:, None], first, axis=0)
+        near = np.where(near >= LEAST, near, 0) ** POWER
+        hit = near.any(1)
+        np.maximum.at(out, of_word[of[may][w[first[hit]]]], near[hit])
+
 
 class Reader:
     """Kernel sums of a text's sentences; remembers words that it has seen."""

@@ -28,7 +28,7 @@ def test_kernel_by_definition():
     got = toxicity.Kernel(marks).likeness([w.encode() for w in words])
     for i, w in enumerate(words):
         for j, m in enumerate(marks):
-            k = max(brute(p.decode(), '\x01' + m.decode()) for p in toxicity._windows([w.encode()])[0])
+            k = max(brute(p.decode(), '\x01' + m.decode()) for p in toxicity._windows([b'\x01' + w.encode()])[0])
             assert abs(got[i, j] - (k**toxicity.POWER if k >= toxicity.LEAST else 0)) < 1e-4, (w, m)
 
 
