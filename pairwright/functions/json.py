@@ -46,7 +46,8 @@ def canonical(value: object) -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
-MISSING = object()
+#: What a pointer that leads nowhere finds; one object in every process.
+MISSING = ...
 
 
 def resolve(value: object, pointer: str) -> object:

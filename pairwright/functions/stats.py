@@ -22,15 +22,18 @@ def paired_counts(baseline: Column, candidate: Column) -> list[Column]:
 def mcnemar(losses: Column, wins: Column) -> Column:
     """The exact two-sided McNemar p of discordant counts: twice the binomial tail at one half, at most 1.
 
-    The tail is summed in logarithms, scaled by its largest term; without discordance it is 1.
+    The tail is summed in logarithms; without discordance p is 1.
     """
     n, k = (losses + wins).cast("int"), F.least(losses, wins).cast("int")
-    step = lambda acc, i: F.struct((acc["term"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))).alias("term"), F.array_append(acc["terms"], acc["term"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))).alias("terms"))
-    start = F.struct(F.lit(0.0).alias("term"), F.array(F.lit(0.0)).alias("terms"))
-    terms = F.when(k > 0, F.aggregate(F.sequence(F.lit(1), k), start, step)["terms"]).otherwise(F.array(F.lit(0.0)))
-    most = F.array_max(terms)
-    tail = F.aggregate(terms, F.lit(0.0), lambda a, t: a + F.exp(t - most))
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.exp(most + F.log(tail) - n * F.log(F.lit(2.0)))))
+
+    def step(acc: Column, i: Column) -> Column:
+        term = acc["term"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))
+        return F.struct(term.alias("term"), (term + F.log1p(F.exp(acc["tail"] - term))).alias("tail"))
+
+    # The sum so far and the next term, both in logarithms; up to the smaller count terms only grow.
+    start = F.struct(F.lit(0.0).alias("term"), F.lit(0.0).alias("tail"))
+    tail = F.when(k > 0, F.aggregate(F.sequence(F.lit(1), k), start, step, lambda acc: acc["tail"])).otherwise(0.0)
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), F.exp(F.log(F.lit(2.0)) * (1 - n) + tail)))
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, float]) -> DataFrame:

@@ -75,15 +75,15 @@ def evaluator_states(facts: DataFrame) -> DataFrame:
     )
 
 
-#: A field's several facts in a row count as the worst.
-RANK = {"not_applicable": 0, "passed": 1, "failed": 2, "error": 3}
+#: A field's several facts in a row count as the worst, which is the first of these.
+RANK = ("error", "failed", "passed", "not_applicable")
 
 
 def field_states(facts: DataFrame) -> DataFrame:
     """One state per case, variant, evaluator and pointer: error over failed over passed over not applicable."""
-    ranked = F.coalesce(*(F.when(F.col("state") == s, F.lit(n)) for s, n in RANK.items()))
-    worst = facts.groupBy("case_id", "variant", "evaluator", "pointer").agg(F.max(ranked).alias("rank"))
-    return worst.withColumn("state", F.element_at(F.array(*(F.lit(s) for s in RANK)), F.col("rank") + 1)).drop("rank")
+    has = {s: F.max(F.col("state").eqNullSafe(s)).alias(s) for s in RANK}
+    worst = facts.groupBy("case_id", "variant", "evaluator", "pointer").agg(*has.values())
+    return worst.withColumn("state", F.coalesce(*(F.when(F.col(s), F.lit(s)) for s in RANK))).drop(*RANK)
 
 
 def field_hotspots(states: DataFrame) -> DataFrame:

@@ -45,15 +45,16 @@ def cases(lines: DataFrame, fields: dict[str, str] = CASE_FIELDS, max_line_bytes
     """Cases (id, input, expected, visible metadata, metadata as JSON text, source_line) and the violations."""
     names = list(fields)
     read = lines.withColumn("r", read_json(F.col("line"), [fields[n] for n in names]))
-    cols = read.select("source_line", F.octet_length("line").alias("bytes"), F.col("r.error").alias("malformed"), (F.trim("line") == "").alias("blank"), *(F.get("r.found", F.lit(i)).alias(n) for i, n in enumerate(names)))
+    place = F.struct(F.col("file") if "file" in lines.columns else F.lit(""), F.col("source_line")).alias("place")
+    cols = read.select("source_line", place, F.octet_length("line").alias("bytes"), F.col("r.error").alias("malformed"), (F.trim("line") == "").alias("blank"), *(F.get("r.found", F.lit(i)).alias(n) for i, n in enumerate(names)))
     cols = cols.withColumn("id", F.trim(json_string(F.col("id"))))
-    repeated = cols.groupBy("id").agg(F.count("*").alias("n"), F.min("source_line").alias("first_line")).where("n > 1 and id is not null")
+    repeated = cols.where("id <> ''").groupBy("id").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
     rule = lambda name, when: F.when(when, F.lit(name))
     broken = cols.select("source_line", F.explode(F.filter(F.array(
         rule("blank_line", F.col("blank")), rule("line_too_long", F.col("bytes") > max_line_bytes), rule("malformed_json", ~F.col("blank") & F.col("malformed").isNotNull()),
         rule("bad_id", F.col("malformed").isNull() & (F.coalesce("id", F.lit("")) == "")), rule("missing_input", F.col("malformed").isNull() & F.col("input").isNull()),
     ), lambda x: x.isNotNull())).alias("violation"))
-    again = cols.join(repeated, "id").where(F.col("source_line") > F.col("first_line")).select("source_line", F.lit("duplicate_id").alias("violation"))
+    again = cols.join(repeated, "id").where(F.col("place") > F.col("first")).select("source_line", F.lit("duplicate_id").alias("violation"))
     return cols.select(*names, "source_line"), broken.union(again)
 
 
