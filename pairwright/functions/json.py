@@ -142,7 +142,7 @@ def diff(left: Column, right: Column) -> Column:
     """Differences of two JSON texts: path, kind, and both values; the root's path is ``/``."""
 
     def compare(path: str, a: object, b: object, out: list) -> None:
-        if a == b and kind(a) == kind(b):
+        if canonical(a) == canonical(b):
             return
         if isinstance(a, dict) and isinstance(b, dict):
             for key in sorted({*a, *b}):

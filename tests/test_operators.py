@@ -1,5 +1,7 @@
 """Truth tables and small runs for evaluators, outcomes, evidence, the gate and reviews."""
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,7 +44,9 @@ def test_outcomes(spark):
 
 def test_keyed_arrays(spark):
     item = "array<struct<id:string,q:decimal(12,2)>>"
-    df = spark.createDataFrame([([("a", 1), ("b", 2)], [("b", 2), ("a", 1)]), ([("a", 1)], [("a", 3), ("c", 1)]), ([("a", 1), ("a", 1)], [("a", 1)]), ([("a", 1)], [("a", 1), ("a", 1)]), (None, []), ([("a", 1)], None), ([("a", 1)], [(None, 1)])], f"e {item}, a {item}".replace("12,2", "10,0"))
+    one, two, three = map(Decimal, (1, 2, 3))
+    rows = [([("a", one), ("b", two)], [("b", two), ("a", one)]), ([("a", one)], [("a", three), ("c", one)]), ([("a", one), ("a", one)], [("a", one)]), ([("a", one)], [("a", one), ("a", one)]), (None, []), ([("a", one)], None), ([("a", one)], [(None, one)])]
+    df = spark.createDataFrame(rows, f"e {item}, a {item}").coalesce(1)
     got = [r.x for r in df.select(E.keyed_array(F.col("e"), F.col("a"), "id", {"q": "0.5"}).alias("x")).collect()]
     assert [g.status for g in got] == ["passed", "failed", "error", "failed", "error", "failed", "failed"]
     assert (got[1].missing, got[1].extra, got[1].mismatched) == ([], ["c"], 1)
