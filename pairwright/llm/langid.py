@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pairwright.llm.scratch import trimmed
+
 ORDERS = (1, 2, 3, 4)
 #: Slots read for each n-gram, and slots for each n-gram that the fullest filter holds.
 PROBES, ROOM = 3, 16
@@ -27,7 +29,9 @@ LEAST, OF_MOST = 1e-5, 0.34
 #: Labelled rows to learn from, about; a hash of the id chooses them.
 TRAIN_ROWS = 20_000
 #: Code points worked on at once.
-STEP = 400_000
+STEP = 200_000
+#: Rows whose texts are Python strings at a time.
+ROWS = 500
 UNKNOWN = "und"
 
 
@@ -191,10 +195,12 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in them:
-            lang, score = shared.value.predict(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                lang, score = shared.value.predict(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return narrow.mapInArrow(batches, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return narrow.mapInArrow(lambda it: trimmed(batches(it)), f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def with_language(docs: DataFrame, model: Model, *, text_col: str = "text", as_col: str = "lang_found") -> DataFrame:
@@ -203,13 +209,17 @@ def with_language(docs: DataFrame, model: Model, *, text_col: str = "text", as_c
 
     def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            lang, score = shared.value.predict(batch.to_pylist())
-            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], names=["lang_pred", "score"])
+            lang, score = [], []
+            for at in range(0, len(batch), ROWS):
+                some = shared.value.predict(batch.slice(at, ROWS).to_pylist())
+                lang += some[0]
+                score += some[1].tolist()
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
 
     from pyspark.sql.functions import arrow_udf
     from pyspark.sql.pandas.functions import ArrowUDFType
 
-    return docs.withColumn(as_col, arrow_udf(found, "lang_pred string, score double", ArrowUDFType.SCALAR_ITER)(F.col(text_col)))
+    return docs.withColumn(as_col, arrow_udf(lambda it: trimmed(found(it)), "lang_pred string, score double", ArrowUDFType.SCALAR_ITER)(F.col(text_col)))
 
 
 def language_query(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.llm.components import components
-from pairwright.llm.scratch import written
+from pairwright.llm.scratch import trimmed, written
 
 SHINGLE = 5
 #: Bands and hashes in each: of pairs at 0.85, less than one in a million meets in no band.
@@ -29,7 +29,7 @@ SLACK = 0.22
 #: Classes in a block.
 BLOCK = 256
 #: Bytes of text worked on at once.
-STEP = 1 << 21
+STEP = 1 << 19
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -42,7 +42,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2^64."""
     up, down = np.full(n, _U(_BASE)), np.full(n, _U(pow(_BASE, -1, 1 << 64)))
@@ -118,7 +118,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def _signed(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in them:
+    for batch in (whole.slice(at, 512) for whole in them for at in range(0, whole.num_rows, 512)):
         n, one, two, signs = [], [], [], []
         for s in shingle_sets(batch.column(1).to_pylist()):
             n.append(len(s))
@@ -214,7 +214,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     text or id, a document links with nothing.  Rows with the same id are one document.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = written(narrow.mapInArrow(_signed, "doc_id long, n_shingles long, print1 long, print2 long, signs array<int>"), "prints")
+    prints = written(narrow.mapInArrow(lambda it: trimmed(_signed(it)), "doc_id long, n_shingles long, print1 long, print2 long, signs array<int>"), "prints")
     full = prints.where("n_shingles > 0 and doc_id is not null")
     classes = written(full.groupBy("print1", "print2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("signs").alias("signs")), "classes")
     band = lambda t: F.xxhash64(F.slice("signs", t * ROWS + 1, ROWS), t)
@@ -224,7 +224,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     needed = meets.select(F.col("rep").alias("need")).distinct()
     texts = narrow.join(needed, F.col("doc_id") == F.col("need")).select("doc_id", "text").dropDuplicates(["doc_id"])
-    sets = written(texts.mapInArrow(_with_sets, "rep long, hashes binary, signs binary"), "sets")
+    sets = written(texts.mapInArrow(lambda it: trimmed(_with_sets(it)), "rep long, hashes binary, signs binary"), "sets")
 
     # Stars: every class of a bucket with the bucket's smallest, once however many buckets they share.
     stars = meets.where("rep <> centre").select("centre", "rep").distinct()

@@ -10,6 +10,7 @@ What still lies in loose bins is dealt out and packed once more.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.scratch import written
+from pairwright.llm.scratch import trimmed, written
 
 #: Pieces in a chunk, on average.
 CHUNK = 4096
@@ -37,25 +38,33 @@ def encoder(path: str):
     tests hold against ``tokenizers``.  Texts beyond Latin letters take ``tokenizers`` itself.
     """
     import tiktoken
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    with open(path, encoding="utf-8") as file:
+        vocabulary = json.load(file)["model"]["vocab"]
     # The vocabulary in the file writes each byte as a printable character.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in plain)}
-    ranks = {bytes(map(byte_of.__getitem__, token)): n for token, n in slow.get_vocab(with_added_tokens=False).items() if token != "<|endoftext|>"}
+    ranks = {bytes(map(byte_of.__getitem__, token)): n for token, n in vocabulary.items() if token != "<|endoftext|>"}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(text: str) -> np.ndarray:
         if _PLAIN.search(text):
-            return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32)
         return fast.encode_to_numpy(text, disallowed_special=())
 
     return ids
 
 
+@functools.lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.encode_special_tokens = True
+    return found
+
+
 def pieces(docs: DataFrame, tokenizer: str, size: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
 
@@ -65,7 +74,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, with_ids: bool = False, i
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in them:
+        for batch in (whole.slice(at, 1000) for whole in them for at in range(0, whole.num_rows, 1000)):
             rows, starts, lengths, sums, parts = [], [], [], [], []
             for row, text in enumerate(batch.column(1)):
                 ids = np.append(encode(text.as_py() or ""), 0).astype("<u4")
@@ -88,7 +97,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, with_ids: bool = False, i
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(batches, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return narrow.mapInArrow(lambda it: trimmed(batches(it)), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def _best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:

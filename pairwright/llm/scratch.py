@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trimmed(batches: Iterator) -> Iterator:
+    """The batches of a Python task; after each, the C library gives freed memory back to the system.
+
+    Workers live on from stage to stage, and what they have freed would else count as theirs.
+    """
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    for batch in batches:
+        yield batch
+        if trim is not None:
+            trim(0)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` worked out once, however often ``body`` uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
