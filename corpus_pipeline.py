@@ -15,34 +15,39 @@ from pairwright.llm.minhash import without_copies
 from pairwright.llm.mixing import mix_sources
 from pairwright.llm.packing import pack
 from pairwright.llm.pii import mask_pii
-from pairwright.llm.scratch import table, written
+from pairwright.llm.scratch import small_batches, table, written
 
 #: A language is taken as found from this score on: with four languages, chance gives 0.25.
-LEAST_SCORE = 0.3
+LEAST_SCORE = 0.27
 
 
+@small_batches
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found; null texts, texts without letters and undecided ones go."""
     found = with_language(docs, train(docs), as_col="_found")
     return found.where((F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+@small_batches
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id."""
     return without_copies(docs).select(*docs.columns)
 
 
+@small_batches
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by the name of its kind, n_chars brought up to date."""
     return mask_pii(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+@small_batches
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture of sources takes it."""
     mixed = mix_sources(docs, keep=True)
     return mixed.where("mix_copies > 0").select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))).select(*docs.columns)
 
 
+@small_batches
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 tokens."""
     import public_tokenizers

@@ -76,3 +76,40 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
        ((certain + CASE WHEN drawn OR (chance > 0 AND abs(size - gap) < gap AND place = 1) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM x
 """
+
+_COMPONENTS = """
+, ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links), reach AS (
+  SELECT x AS node, x AS other FROM ways UNION SELECT reach.node, ways.y FROM reach JOIN ways ON ways.x = reach.other
+), part AS (SELECT node, min(other) AS component FROM reach GROUP BY 1)
+"""
+
+NEAR_COPIES = (
+    r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN [array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)] WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w
+), n AS (
+  SELECT w.doc_id, count(s) AS n FROM w LEFT JOIN sh ON sh.doc_id = w.doc_id GROUP BY 1
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)
+)"""
+    + _COMPONENTS
+    + """SELECT doc_id, n AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept FROM n LEFT JOIN part ON node = doc_id"""
+)
+
+VECTORS = (
+    """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e)) >= 0.98
+)"""
+    + _COMPONENTS
+    + """, n AS (SELECT x, count(*) AS n FROM ways GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN part ON node = vec_id LEFT JOIN n ON x = vec_id"""
+)

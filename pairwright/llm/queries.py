@@ -13,7 +13,7 @@ from pairwright.llm.mixing import mix_sources
 from pairwright.llm.packing import pack
 from pairwright.llm.pii import pii_digest
 from pairwright.llm.quality import quality_rules
-from pairwright.llm.scratch import table
+from pairwright.llm.scratch import small_batches, table
 from pairwright.llm.secrets import secret_digest
 from pairwright.llm.suffix import repeat_digest
 from pairwright.llm.toxicity import toxicity_query
@@ -66,20 +66,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_quality_rules": op1_quality_rules,
-    "op2_toxicity": op2_toxicity,
-    "op3_pii": op3_pii,
-    "op4_near_copies": op4_near_copies,
-    "op5_vectors": op5_vectors,
-    "op6_repeats": op6_repeats,
-    "op7_packing": op7_packing,
-    "op8_secrets": op8_secrets,
-    "op9_mixing": op9_mixing,
-    "op10_language": op10_language,
-    "pipeline": corpus_pipeline.run,
-}
+    query.__name__: small_batches(query)
+    for query in (
+        op1_quality_rules, op2_toxicity, op3_pii, op4_near_copies, op5_vectors, op6_repeats, op7_packing, op8_secrets, op9_mixing, op10_language,
+    )
+} | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {
     "op1_quality_rules": oracles.QUALITY,
+    "op4_near_copies": oracles.NEAR_COPIES,
+    "op5_vectors": oracles.VECTORS,
     "op9_mixing": oracles.MIXING,
 }

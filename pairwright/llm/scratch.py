@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,22 @@ def trimmed(batches: Iterator) -> Iterator:
             trim(0)
 
 
+#: Rows that Spark hands a Python task at a time, at most: texts are long, and both sides hold whole batches.
+BATCH_ROWS = 1000
+
+
+def small_batches(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query or stage, its first argument the session, that asks for batches of at most BATCH_ROWS rows."""
+
+    @functools.wraps(query)
+    def with_small_batches(spark: SparkSession, *args) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        spark.conf.set(name, str(min(BATCH_ROWS, int(spark.conf.get(name)))))
+        return query(spark, *args)
+
+    return with_small_batches
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` worked out once, however often ``body`` uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
