@@ -42,30 +42,51 @@ def parsed_rule(text: str) -> tuple[str, str]:
     return pointer, kind
 
 
-def evaluate(cases: DataFrame, outputs: DataFrame, variant: str, plan: Evaluation) -> DataFrame:
-    """One row per case: state of the output, evaluators' states, outcome and flags of one variant.
+def _pointers(plan: Evaluation) -> list[str]:
+    return list(dict.fromkeys([p for _, p, _ in plan.evaluators] + [p for p, _ in plan.types]))
+
 
-    References and outputs are each parsed once, strictly, for all pointers; the rest is Spark expressions.
+def evaluate_all(cases: DataFrame, outputs: dict[str, DataFrame], plan: Evaluation) -> DataFrame:
+    """One row per case and variant: state of the output, evaluators' states, outcome and flags.
+
+    References are parsed once for all variants, outputs once each, strictly and for all pointers;
+    variants meet their cases in one join on id and variant, and the rest is Spark expressions.
     """
-    pointers = list(dict.fromkeys([p for _, p, _ in plan.evaluators] + [p for p, _ in plan.types]))
-    rows = with_outputs(cases, outputs)
-    rows = rows.withColumn("_e", read_json(F.col("expected"), pointers)).withColumn("_a", read_json(F.when(F.col("status") == "ok", F.col("raw_output")), pointers))
-    at = lambda side, p: F.get(F.col(f"{side}.found"), F.lit(pointers.index(p)))
+    pointers = _pointers(plan)
+    known = cases.withColumn("_e", read_json(F.col("expected"), pointers)["found"])
+    rows = known.withColumn("variant", F.explode(F.array(*map(F.lit, outputs)))).withColumn("_key", F.concat_ws("\0", "variant", "id"))
+    recorded = None
+    for variant, df in outputs.items():
+        named = df.drop("variant").withColumn("case_id", F.concat_ws("\0", F.lit(variant), "case_id"))
+        recorded = named if recorded is None else recorded.unionByName(named, allowMissingColumns=True)
+    return _scored(with_outputs(rows, recorded, "_key").drop("_key"), plan)
+
+
+def evaluate(cases: DataFrame, outputs: DataFrame, variant: str, plan: Evaluation) -> DataFrame:
+    """One row per case: the evaluation of one variant."""
+    return evaluate_all(cases, {variant: outputs}, plan)
+
+
+def _scored(rows: DataFrame, plan: Evaluation) -> DataFrame:
+    pointers = _pointers(plan)
+    rows = rows.withColumn("_a", read_json(F.when(F.col("status") == "ok", F.col("raw_output")), pointers))
+    place = lambda p: F.lit(pointers.index(p))
+    expected, actual = (lambda p: F.get("_e", place(p))), (lambda p: F.get("_a.found", place(p)))
     rows = rows.withColumn("parse_valid", F.coalesce((F.col("status") == "ok") & F.col("_a.error").isNull() & F.col("_a.canonical").isNotNull(), F.lit(False)))
-    states = {f"{i}_state": E.parsed_only(F.col("parse_valid"), KINDS[k](at("_e", p), at("_a", p))) for i, p, k in plan.evaluators}
+    states = {f"{i}_state": E.parsed_only(F.col("parse_valid"), KINDS[k](expected(p), actual(p))) for i, p, k in plan.evaluators}
     rows = rows.withColumns(states).withColumn("components", F.array(*states))
     typed = F.col("parse_valid")
     for p, kind in plan.types:
-        typed = typed & F.coalesce(json_type(at("_a", p)) == kind, F.lit(False))
+        typed = typed & F.coalesce(json_type(actual(p)) == kind, F.lit(False))
     combine = O.all_of if plan.outcome == "all_of" else O.any_of
     rows = rows.withColumns({"schema_valid": typed, "truth": combine(F.col("components")), "any_truth": O.any_of(F.col("components")), "fully_evaluated": O.fully_evaluated(F.col("components"))})
     rows = rows.withColumns(O.case_flags(F.col("status"), F.col("schema_valid"), F.col("truth"), F.col("fully_evaluated")))
-    return rows.withColumnRenamed("id", "case_id").withColumn("variant", F.lit(variant)).withColumn("output", F.col("_a.canonical")).drop("_e", "_a")
+    return rows.withColumnRenamed("id", "case_id").withColumn("output", F.col("_a.canonical")).drop("_e", "_a")
 
 
 def pairs(cases: DataFrame, baseline: DataFrame, candidate: DataFrame, plan: Evaluation) -> DataFrame:
     """Every case with the evaluations of both variants as structs."""
-    return paired(evaluate(cases, baseline, "baseline", plan).unionByName(evaluate(cases, candidate, "candidate", plan)))
+    return paired(evaluate_all(cases, {"baseline": baseline, "candidate": candidate}, plan))
 
 
 # The provided tables hold no paired JSON, so orders become it: references, and two variants with known faults.
@@ -104,9 +125,7 @@ def order_outputs(spark: SparkSession, sf_dir: str, variant: str) -> DataFrame:
 
 def order_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both variants' evaluations of the orders, one row per case and variant."""
-    cases = order_cases(spark, sf_dir)
-    b, c = (evaluate(cases, order_outputs(spark, sf_dir, v), v, ORDERS) for v in ("baseline", "candidate"))
-    return b.unionByName(c)
+    return evaluate_all(order_cases(spark, sf_dir), {v: order_outputs(spark, sf_dir, v) for v in ("baseline", "candidate")}, ORDERS)
 
 
 def order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

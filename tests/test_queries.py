@@ -53,3 +53,10 @@ def test_stream_scores_what_the_batch_does(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).groupBy("truth").count().collect()
     want = evaluate(order_cases(spark, SF), out, "candidate", ORDERS).groupBy("truth").count().collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_entry_is_the_flagship_query(spark):
+    import __spark_entry__
+
+    row = __spark_entry__.entry(spark).first()
+    assert row.total == row.both_pass + row.baseline_only + row.candidate_only + row.both_fail
