@@ -175,3 +175,35 @@ def diff(left: Column, right: Column) -> Column:
         return out
 
     return F.udf(both, "array<struct<path:string,kind:string,baseline:string,candidate:string>>", useArrow=True)(left, right)
+
+
+def redact(text: Column, pointers: list[str], mark: str = "[redacted]") -> Column:
+    """Canonical JSON text with the values at the pointers replaced; pointers that lead nowhere change nothing."""
+
+    def hide(raw: str | None) -> str | None:
+        if raw is None:
+            return None
+        value = parse(raw)
+        for pointer in pointers:
+            if not pointer:
+                return json.dumps(mark)
+            parent, _, last = pointer.rpartition("/")
+            inside = resolve(value, parent)
+            if resolve(value, pointer) is not MISSING:
+                last = last.replace("~1", "/").replace("~0", "~")
+                inside[int(last) if isinstance(inside, list) else last] = mark
+        return canonical(value)
+
+    return F.udf(hide, "string", useArrow=True)(text)
+
+
+def json_items(text: Column) -> Column:
+    """The items of a JSON array as canonical texts; another value is its own only item."""
+
+    def split(raw: str | None) -> list[str] | None:
+        if raw is None:
+            return None
+        value = parse(raw.strip())
+        return [canonical(x) for x in value] if isinstance(value, list) else [canonical(value)]
+
+    return F.udf(split, "array<string>", useArrow=True)(text)

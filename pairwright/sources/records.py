@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairwright.functions.json import json_string, read_json
+from pairwright.functions.json import json_items, json_string, read_json
 from pairwright.functions.text import decimal_text
 
 CASE_FIELDS = {"id": "/id", "input": "/input", "expected": "/expected", "model_visible_metadata": "/model_visible_metadata", "metadata": "/metadata"}
@@ -15,20 +15,25 @@ STATUS = {"ok": "ok", "success": "ok", "error": "error", "failed": "error", "mis
 
 
 def json_lines(spark: SparkSession, path: str, *, lenient: bool = False) -> DataFrame:
-    """Lines with their file and number in it; blank lines stay (and are violations) unless ``lenient``."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
-    # Line numbers follow the order in a file; a file is the unit of order.
-    lines = lines.withColumn("source_line", F.row_number().over(Window.partitionBy("file").orderBy("_at")).cast("long")).drop("_at")
+    """Lines with their file and number in it; blank lines stay (and are violations) unless ``lenient``.
+
+    Numbers come from counts per split, so a file of any size is read in parallel.
+    """
+    at = F.monotonically_increasing_id()
+    # The id is the split's number and the row's place in it; splits of a file come in its order.
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), at.alias("_at"), F.col("value").alias("line"))
+    lines = lines.select("file", F.shiftright("_at", 33).alias("_split"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_row"), "line")
+    splits = lines.groupBy(F.col("file").alias("_file"), F.col("_split").alias("_of")).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.join(splits.withColumn("_before", before), (F.col("file") == F.col("_file")) & (F.col("_split") == F.col("_of")))
+    lines = placed.select("file", (F.col("_row") - F.col("_first") + F.col("_before") + 1).cast("long").alias("source_line"), "line")
     return lines.where(F.trim("line") != "") if lenient else lines
 
 
 def json_array(spark: SparkSession, path: str) -> DataFrame:
-    """The items of one JSON array, or one object, as lines."""
+    """The items of each file's JSON array, or its one object, as lines; a file is one value and so one task's."""
     text = spark.read.text(path, wholetext=True)
-    read = text.select(read_json(F.col("value"), []).alias("r")).select("r.canonical")
-    # Items are split by Spark's parser; what it is given has passed the strict one.
-    items = F.when(F.col("canonical").startswith("["), F.from_json("canonical", "array<string>")).otherwise(F.array("canonical"))
-    return read.select(F.posexplode(items).alias("place", "line")).select((F.col("place") + 1).cast("long").alias("source_line"), "line")
+    return text.select(F.posexplode(json_items(F.col("value"))).alias("place", "line")).select((F.col("place") + 1).cast("long").alias("source_line"), "line")
 
 
 def csv_cells(spark: SparkSession, path: str) -> DataFrame:
