@@ -24,16 +24,22 @@ def mcnemar(losses: Column, wins: Column) -> Column:
 
     The tail is summed in logarithms; without discordance p is 1.
     """
-    n, k = (losses + wins).cast("int"), F.least(losses, wins).cast("int")
+    counts = F.struct((losses + wins).cast("int").alias("n"), F.least(losses, wins).cast("int").alias("k"))
 
-    def step(acc: Column, i: Column) -> Column:
-        term = acc["term"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))
-        return F.struct(term.alias("term"), (term + F.log1p(F.exp(acc["tail"] - term))).alias("tail"))
+    def p_of(x: Column) -> Column:
+        n, k = x["n"], x["k"]
 
-    # The sum so far and the next term, both in logarithms; up to the smaller count terms only grow.
-    start = F.struct(F.lit(0.0).alias("term"), F.lit(0.0).alias("tail"))
-    tail = F.when(k > 0, F.aggregate(F.sequence(F.lit(1), k), start, step, lambda acc: acc["tail"])).otherwise(0.0)
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), F.exp(F.log(F.lit(2.0)) * (1 - n) + tail)))
+        def step(acc: Column, i: Column) -> Column:
+            term = acc["term"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))
+            return F.struct(term.alias("term"), (term + F.log1p(F.exp(acc["tail"] - term))).alias("tail"))
+
+        # The sum so far and the next term, both in logarithms; up to the smaller count terms only grow.
+        start = F.struct(F.lit(0.0).alias("term"), F.lit(0.0).alias("tail"))
+        tail = F.when(k > 0, F.aggregate(F.sequence(F.lit(1), k), start, step, lambda acc: acc["tail"])).otherwise(0.0)
+        return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), F.exp(F.log(F.lit(2.0)) * (1 - n) + tail)))
+
+    # Bound once: Spark would else work the counts out again at every step.
+    return F.element_at(F.transform(F.array(counts), p_of), 1)
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, float]) -> DataFrame:
