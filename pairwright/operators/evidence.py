@@ -13,6 +13,10 @@ def digest(*columns: Column) -> Column:
     return F.sha2(F.concat_ws("\0", *parts).cast("binary"), 256)
 
 
+def _kind() -> Column:
+    return F.when(F.col("rows") == 1, "singleton").when(F.col("distinct_observations") == 1, "exact_duplicate").otherwise("repeated_trial")
+
+
 def units(rows: DataFrame, stimulus: Column, observation: Column) -> DataFrame:
     """One row per unit: rows, distinct observations and kind.
 
@@ -21,8 +25,7 @@ def units(rows: DataFrame, stimulus: Column, observation: Column) -> DataFrame:
     are counted as rows of (unit, observation), so no unit's rows meet in one task.
     """
     seen = rows.select(stimulus.alias("unit"), observation.alias("observation")).groupBy("unit", "observation").agg(F.count("*").alias("n"))
-    kind = F.when(F.col("rows") == 1, "singleton").when(F.col("distinct_observations") == 1, "exact_duplicate").otherwise("repeated_trial")
-    return seen.groupBy("unit").agg(F.sum("n").alias("rows"), F.count("*").alias("distinct_observations")).withColumn("kind", kind)
+    return seen.groupBy("unit").agg(F.sum("n").alias("rows"), F.count("*").alias("distinct_observations")).withColumn("kind", _kind())
 
 
 def independent(rows: DataFrame, stimulus: Column, observation: Column, order: str) -> DataFrame:
@@ -39,15 +42,28 @@ def first_of_unit(rows: DataFrame, unit: str, order: str) -> DataFrame:
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy(unit).orderBy(order))).where("_place = 1").drop("_place")
 
 
-def unit_summary(found: DataFrame) -> DataFrame:
-    """One row: units by kind, duplicate rows and their share, the largest unit, and units that count."""
+def represented(rows: DataFrame, unit: Column, observation: Column, order: str) -> DataFrame:
+    """As ``units``, with each unit's first row by ``order`` as the struct ``row``; rows of one unit need different orders."""
+    named = rows.select(unit.alias("unit"), observation.alias("observation"), F.col(order).alias("_order"), F.struct(*rows.columns).alias("row"))
+    first = [F.min_by("row", "_order").alias("row"), F.min("_order").alias("_order")]
+    seen = named.groupBy("unit", "observation").agg(F.count("*").alias("n"), *first)
+    return seen.groupBy("unit").agg(F.sum("n").alias("rows"), F.count("*").alias("distinct_observations"), *first).drop("_order").withColumn("kind", _kind())
+
+
+def unit_counts() -> list[Column]:
+    """Aggregates over units: by kind, duplicate rows and their share, the largest unit, and units that count."""
     n = lambda kind: F.count_if(F.col("kind") == kind)
     rows = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rows")).otherwise(0))
-    return found.agg(
+    return [
         F.sum("rows").alias("total_rows"), F.count("*").alias("units"), n("singleton").alias("singletons"), n("exact_duplicate").alias("duplicate_groups"), n("repeated_trial").alias("repeated_trial_groups"),
         (rows("exact_duplicate") - n("exact_duplicate")).alias("exact_duplicate_rows"), F.max("rows").alias("largest_group"), (n("singleton") + n("exact_duplicate")).alias("effective_units"),
         F.round(F.coalesce(F.try_divide(rows("exact_duplicate") - n("exact_duplicate"), F.sum("rows")), F.lit(0.0)), 9).alias("duplicate_row_rate"),
-    )
+    ]
+
+
+def unit_summary(found: DataFrame) -> DataFrame:
+    """One row: the counts of units."""
+    return found.agg(*unit_counts())
 
 
 def label_conflicts(rows: DataFrame, stimulus: Column, reference: Column) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairwright.functions import stats
+from pairwright.operators import evidence, summary
+
 #: Rules in their order: name, kind, input.  Kinds: groups (any are insufficient, or an error), required
 #: (breached or unset is insufficient), plain (breached fails, unset is not configured), optional (also
 #: insufficient where the input is unknown), each with the side of its bound.
@@ -47,7 +50,56 @@ def relative_increase(baseline: Column, candidate: Column) -> Column:
 
 
 def regression(difference_pp: Column) -> Column:
-    return F.greatest(-difference_pp, F.lit(0.0))
+    """Points lost; unknown where the difference is."""
+    return F.when(difference_pp.isNotNull(), F.greatest(-difference_pp, F.lit(0.0)))
+
+
+def inputs(pairs: DataFrame, *, stimulus: Column, reference: Column, observation: Column, order: str = "case_id", samples: int | None = None, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+    """One row of inputs from pairs of evaluations; ``order`` tells rows apart.
+
+    A unit of evidence is a stimulus with its reference.  Only units that count are judged, each
+    by its first row: copies stand for one, repeated trials for none.  A row without components
+    has one required component, which is unscored.  Without ``samples`` nothing is resampled and
+    the bounds are unknown; else they are those of the bootstrap from the four counts of each effect.
+    """
+    found = evidence.represented(pairs, evidence.digest(stimulus, reference), observation, order)
+    counts = F.col("kind") != "repeated_trial"
+    # A unit that doesn't count has no sides, so no condition on them holds.
+    sides = found.withColumns({s: F.when(counts, F.col(f"row.{s}")) for s in ("baseline", "candidate")})
+    b, c = (lambda n: F.col(f"baseline.{n}")), (lambda n: F.col(f"candidate.{n}"))
+    n = F.count_if(counts)
+    r = lambda cond: summary.rate(F.count_if(cond), n)
+    size = lambda s: F.coalesce(F.size(s("components")), F.lit(0))
+    parts = lambda s, is_it: F.sum(F.coalesce(F.size(F.filter(s("components"), is_it)), F.lit(0)))
+    share = lambda s, of: summary.rate(of, F.sum(F.when(counts, F.greatest(size(s), F.lit(1)))))
+    worst = lambda state: F.greatest(*(share(s, parts(s, lambda x: x == state)) for s in (b, c)))
+    unscored = F.greatest(*(share(s, parts(s, lambda x: x.isNull()) + F.count_if(counts & (size(s) == 0))) for s in (b, c)))
+    both = b("fully_evaluated") & c("fully_evaluated")
+    effect = lambda v, where: F.try_divide(100.0 * (F.count_if(where & c(v) & ~b(v)) - F.count_if(where & b(v) & ~c(v))), F.count_if(where))
+
+    def bound(v: str, where: Column) -> Column:
+        if samples is None:
+            return F.lit(None).cast("double")
+        lower = F.udf(lambda *cells: (stats.bootstrap(*cells, samples, confidence, seed) or (None,))[0], "double")
+        return lower(*(F.count_if(where & x) for x in (b(v) & c(v), b(v) & ~c(v), ~b(v) & c(v), ~b(v) & ~c(v))))
+
+    wrong = F.greatest(F.coalesce(F.try_divide(100.0 * (F.count_if(c("valid_but_wrong")) - F.count_if(b("valid_but_wrong"))), n), F.lit(0.0)), F.lit(0.0))
+    one = sides.agg(
+        *evidence.unit_counts(), r(both).alias("fully_evaluated_rate"),
+        worst("error").alias("component_error_rate"), worst("not_applicable").alias("component_not_applicable_rate"), unscored.alias("component_unscored_rate"),
+        F.round(regression(effect("semantic_success", both)), 9).alias("primary_regression_pp"), F.round(regression(effect("deployment_success", counts)), 9).alias("deployment_regression_pp"), F.round(wrong, 9).alias("valid_but_wrong_increase_pp"),
+        r(c("semantic_success")).alias("candidate_primary_rate"), r(c("deployment_success")).alias("candidate_deployment_rate"), r(c("valid_but_wrong")).alias("candidate_valid_but_wrong_rate"), r(c("parse_valid")).alias("candidate_parse_rate"),
+        bound("semantic_success", both).alias("_primary_lower"), bound("deployment_success", counts).alias("_deployment_lower"), F.count_if(both & (b("semantic_success") != c("semantic_success"))).alias("discordant_pairs"),
+        r(c("schema_valid")).alias("candidate_schema_rate"), r(c("status") != "ok").alias("error_rate"), r(F.coalesce(c("error_kind") == "timeout", F.lit(False))).alias("timeout_rate"),
+        r(b("latency_ms").isNotNull() & c("latency_ms").isNotNull()).alias("latency_coverage"), r(b("cost").isNotNull() & c("cost").isNotNull()).alias("cost_coverage"),
+    )
+    one = one.withColumns({f"{e}_regression_bound_pp": F.round(regression(F.col(f"_{e}_lower")), 9) for e in ("primary", "deployment")})
+    m = summary.matched_operational(found.where(counts).select("row.*")).select(
+        F.round(relative_increase(F.col("baseline_p95_ms"), F.col("candidate_p95_ms")), 9).alias("p95_increase_percent"), F.round(relative_increase(F.col("baseline_average_cost"), F.col("candidate_average_cost")), 6).alias("cost_increase_percent")
+    )
+    conflicts = evidence.label_conflicts(pairs, stimulus, reference).agg(F.count("*").alias("label_conflicts"))
+    one_row = lambda df: df.withColumn("_one", F.lit(1))
+    return one_row(one).join(one_row(m), "_one").join(one_row(conflicts), "_one").select(*INPUTS)
 
 
 def rules(inputs: DataFrame, limits: dict[str, float]) -> DataFrame:

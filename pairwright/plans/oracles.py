@@ -116,6 +116,49 @@ _RULES = """
     WHEN CASE WHEN kind LIKE '%min' THEN observed < lim ELSE observed > lim END THEN CASE WHEN kind LIKE 'r%' THEN 'insufficient_evidence' ELSE 'failed' END ELSE 'passed' END AS status FROM r
 )"""
 
+#: The gate over planted faults: a component without a state takes the verdicts, copies count once, repeated trials not at all.
+_FAULTY = f"""
+, q AS (
+  SELECT k, 'as is' AS reference, b AND NOT bu AS b, c AND NOT cu AS c, bd AND NOT bu AS bd, cd AND NOT cu AS cd, bw AND NOT bu AS bw, cw AND NOT cu AS cw, bp AND NOT bu AS bf, cp AND NOT cu AS cf,
+         bu, cu, bp, cp, cs, cst, cek, bl, cl, bc, cc FROM (SELECT *, k % 41 = 0 AS bu, k % 8 = 0 AS cu FROM pr)
+), rw AS (
+  SELECT * FROM q UNION ALL SELECT * FROM q WHERE k % 50 = 3 UNION ALL SELECT * REPLACE (cl + 1 AS cl) FROM q WHERE k % 70 = 4 UNION ALL SELECT * REPLACE ('other' AS reference) FROM q WHERE k % 90 = 5
+), un AS (
+  SELECT k, reference, count(*) AS n, count(DISTINCT cl) AS seen FROM rw GROUP BY ALL
+), ev AS (
+  SELECT count(*) FILTER (WHERE seen > 1) AS repeated, count(*) FILTER (WHERE seen = 1) AS effective, coalesce(sum(n - 1) FILTER (WHERE seen = 1), 0) / sum(n)::DOUBLE AS copied FROM un
+), lc AS (
+  SELECT count(*) AS conflicts FROM (SELECT k FROM rw GROUP BY k HAVING count(DISTINCT reference) > 1)
+), rep AS (
+  SELECT DISTINCT rw.* FROM rw JOIN un ON rw.k = un.k AND rw.reference = un.reference WHERE seen = 1
+), t AS (
+  SELECT list_sort(list(bl))[ceil((count(*) - 1) * 0.95)::BIGINT + 1] AS bp95, list_sort(list(cl))[ceil((count(*) - 1) * 0.95)::BIGINT + 1] AS cp95 FROM rep WHERE bl IS NOT NULL AND cl IS NOT NULL
+), pay AS (
+  SELECT round(sum(bc)::DOUBLE / count(*), 9) AS ba, round(sum(cc)::DOUBLE / count(*), 9) AS ca FROM rep WHERE bc IS NOT NULL AND cc IS NOT NULL
+), g AS (
+  SELECT any_value(repeated) AS repeated_trial_groups, any_value(conflicts) AS label_conflicts, any_value(effective) AS effective_units, any_value(round(copied, 9)) AS duplicate_row_rate, {_rate("bf AND cf")} AS fully_evaluated_rate,
+    round(greatest(sum(CASE WHEN bp THEN 0 WHEN bu THEN 2 ELSE 3 END), sum(CASE WHEN cp THEN 0 WHEN cu THEN 2 ELSE 3 END)) / (3.0::DOUBLE * count(*)), 9) AS component_error_rate, 0.0::DOUBLE AS component_not_applicable_rate,
+    round(greatest(count(*) FILTER (WHERE bu), count(*) FILTER (WHERE cu)) / (3.0::DOUBLE * count(*)), 9) AS component_unscored_rate,
+    round(greatest(-100.0::DOUBLE * (count(*) FILTER (WHERE bf AND cf AND c AND NOT b) - count(*) FILTER (WHERE bf AND cf AND b AND NOT c)) / count(*) FILTER (WHERE bf AND cf), 0), 9) AS primary_regression_pp,
+    round(greatest(-100.0::DOUBLE * (count(*) FILTER (WHERE cd AND NOT bd) - count(*) FILTER (WHERE bd AND NOT cd)) / count(*), 0), 9) AS deployment_regression_pp,
+    round(greatest(100.0::DOUBLE * (count(*) FILTER (WHERE cw) - count(*) FILTER (WHERE bw)) / count(*), 0), 9) AS valid_but_wrong_increase_pp,
+    {_rate("c")} AS candidate_primary_rate, {_rate("cd")} AS candidate_deployment_rate, {_rate("cw")} AS candidate_valid_but_wrong_rate, {_rate("cp")} AS candidate_parse_rate, count(*) FILTER (WHERE bf AND cf AND b <> c) AS discordant_pairs,
+    {_rate("cs")} AS candidate_schema_rate, {_rate("cst <> 'ok'")} AS error_rate, {_rate("cek = 'timeout'")} AS timeout_rate, {_rate("bl IS NOT NULL AND cl IS NOT NULL")} AS latency_coverage,
+    any_value(round(100.0::DOUBLE * (t.cp95 - t.bp95) / t.bp95, 9)) AS p95_increase_percent, {_rate("bc IS NOT NULL AND cc IS NOT NULL")} AS cost_coverage, any_value(round(100.0::DOUBLE * (pay.ca - pay.ba) / pay.ba, 6)) AS cost_increase_percent
+  FROM rep, ev, lc, t, pay
+)"""
+
+
+def _lower(b: str, c: str, where: str) -> str:
+    """Points lost at the lower end of the normal interval, which the bootstrap's comes near."""
+    d = f"(({c})::INT - ({b})::INT)"
+    return f"(SELECT greatest(-100.0::DOUBLE * (avg({d}) - 1.959964 * stddev_pop({d}) / sqrt(count(*))), 0) FROM rep WHERE {where})"
+
+
+#: Both bounds from normal intervals: the limits, 5 points, are far from them.
+_BOUNDS = f", g2 AS (SELECT *, {_lower('b', 'c', 'bf AND cf')} AS primary_regression_bound_pp, {_lower('bd', 'cd', 'true')} AS deployment_regression_bound_pp FROM g)"
+_FAULTY_RULES = _RULES.replace("FROM g, LATERAL", "FROM g2 AS g, LATERAL").replace("_regression_bound_pp, NULL)", "_regression_bound_pp, 5)")
+
 
 def _evaluated(select: str) -> str:
     return EVALUATIONS + select
@@ -186,6 +229,8 @@ SELECT CASE WHEN open THEN 'error' WHEN off OR k % 10 = 0 THEN 'failed' ELSE 'pa
     "evidence_collisions": "SELECT count(*) AS rows, count(DISTINCT event_type || chr(0) || props) AS distinct_stimuli, count(*) - count(DISTINCT event_type || chr(0) || props) AS colliding_rows FROM events",
     "gate_inputs": _evaluated(_GATE + "SELECT * FROM g"),
     "gate_rules": _evaluated(_GATE + _RULES + "SELECT * FROM rs"),
+    "gate_inputs_faulty": _evaluated(_FAULTY + "SELECT * FROM g"),
+    "gate_rules_faulty": _evaluated(_FAULTY + _BOUNDS + _FAULTY_RULES + 'SELECT place, rule, "limit", status FROM rs'),
     "gate_decision": _evaluated(_GATE + _RULES + """SELECT CASE WHEN bool_or(status = 'error') THEN 'error' WHEN bool_or(status = 'insufficient_evidence') THEN 'insufficient_evidence' WHEN bool_or(status = 'failed') THEN 'failed' ELSE 'passed' END AS decision,
         count(*) FILTER (WHERE status = 'error') AS n_error, count(*) FILTER (WHERE status = 'insufficient_evidence') AS n_insufficient_evidence, count(*) FILTER (WHERE status = 'failed') AS n_failed, count(*) FILTER (WHERE status = 'passed') AS n_passed, count(*) FILTER (WHERE status = 'not_configured') AS n_not_configured,
         coalesce(string_agg(rule, ',' ORDER BY rule) FILTER (WHERE status = 'failed'), '') AS failed_rules, coalesce(string_agg(rule, ',' ORDER BY rule) FILTER (WHERE status = 'insufficient_evidence'), '') AS insufficient_rules,

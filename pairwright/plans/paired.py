@@ -74,16 +74,22 @@ def _scored(rows: DataFrame, plan: Evaluation) -> DataFrame:
     expected, actual = (lambda p: F.get("_e", place(p))), (lambda p: F.get("_a.found", place(p)))
     rows = rows.withColumn("parse_valid", F.coalesce((F.col("status") == "ok") & F.col("_a.error").isNull() & F.col("_a.canonical").isNotNull(), F.lit(False)))
     states = {f"{i}_state": E.parsed_only(F.col("parse_valid"), KINDS[k](expected(p), actual(p))) for i, p, k in plan.evaluators}
-    rows = rows.withColumns(states).withColumn("components", F.array(*states))
+    rows = rows.withColumns(states)
     typed = F.col("parse_valid")
     for p, kind in plan.types:
         typed = typed & F.coalesce(json_type(actual(p)) == kind, F.lit(False))
-    combine = O.all_of if plan.outcome == "all_of" else O.any_of
-    rows = rows.withColumns({"schema_valid": typed, "truth": combine(F.col("components")), "any_truth": O.any_of(F.col("components")), "fully_evaluated": O.fully_evaluated(F.col("components"))})
-    rows = rows.withColumns(O.case_flags(F.col("status"), F.col("schema_valid"), F.col("truth"), F.col("fully_evaluated")))
+    rows = judged(rows.withColumn("schema_valid", typed), plan)
     return rows.withColumnRenamed("id", "case_id").withColumn("output", F.col("_a.canonical")).drop("_e", "_a")
 
 
+def judged(rows: DataFrame, plan: Evaluation) -> DataFrame:
+    """Outcome and flags of rows from their evaluators' states."""
+    combine = O.all_of if plan.outcome == "all_of" else O.any_of
+    rows = rows.withColumn("components", F.array(*(f"{i}_state" for i, _, _ in plan.evaluators)))
+    rows = rows.withColumns({"truth": combine(F.col("components")), "any_truth": O.any_of(F.col("components")), "fully_evaluated": O.fully_evaluated(F.col("components"))})
+    return rows.withColumns(O.case_flags(F.col("status"), F.col("schema_valid"), F.col("truth"), F.col("fully_evaluated")))
+
+
 def pairs(cases: DataFrame, baseline: DataFrame, candidate: DataFrame, plan: Evaluation) -> DataFrame:
     """Every case with the evaluations of both variants as structs."""
     return paired(evaluate_all(cases, {"baseline": baseline, "candidate": candidate}, plan))

@@ -11,7 +11,7 @@ from pairwright.functions import text as T
 from pairwright.functions.json import json_type, read_json
 from pairwright.operators import evaluators as E
 from pairwright.operators import evidence, gate, pairing, profile, review, summary
-from pairwright.plans.paired import order_cases, order_evaluations, order_outputs, order_pairs, table
+from pairwright.plans.paired import ORDERS, judged, order_cases, order_evaluations, order_outputs, order_pairs, table
 from pairwright.sources import records
 
 QUERIES: dict = {}
@@ -366,43 +366,57 @@ LIMITS = {
 }
 
 
-def _gate_inputs(spark: SparkSession, d: str) -> DataFrame:
-    p = order_pairs(spark, d)
-    b, c = (lambda n: F.col(f"baseline.{n}")), (lambda n: F.col(f"candidate.{n}"))
-    n, r = F.count("*"), lambda cond: summary.rate(F.count_if(cond), F.count("*"))
-    parts = lambda s, state: F.sum(F.size(F.filter(s("components"), lambda x: x == state)))
-    worst = lambda state: F.greatest(summary.rate(parts(b, state), F.sum(F.size(b("components")))), summary.rate(parts(c, state), F.sum(F.size(c("components")))))
-    both = b("fully_evaluated") & c("fully_evaluated")
-    effect = lambda v, where: F.try_divide(100.0 * (F.count_if(where & c(v) & ~b(v)) - F.count_if(where & b(v) & ~c(v))), F.count_if(where))
-    wrong = F.greatest(100.0 * (F.count_if(c("valid_but_wrong")) - F.count_if(b("valid_but_wrong"))) / n, F.lit(0.0))
-    one = p.agg(
-        F.lit(0).cast("long").alias("repeated_trial_groups"), F.lit(0).cast("long").alias("label_conflicts"), n.alias("effective_units"), F.lit(0.0).alias("duplicate_row_rate"), r(both).alias("fully_evaluated_rate"),
-        worst("error").alias("component_error_rate"), worst("not_applicable").alias("component_not_applicable_rate"), F.lit(0.0).alias("component_unscored_rate"),
-        F.round(gate.regression(effect("semantic_success", both)), 9).alias("primary_regression_pp"), F.round(gate.regression(effect("deployment_success", F.lit(True))), 9).alias("deployment_regression_pp"), F.round(wrong, 9).alias("valid_but_wrong_increase_pp"),
-        r(c("semantic_success")).alias("candidate_primary_rate"), r(c("deployment_success")).alias("candidate_deployment_rate"), r(c("valid_but_wrong")).alias("candidate_valid_but_wrong_rate"), r(c("parse_valid")).alias("candidate_parse_rate"),
-        F.lit(None).cast("double").alias("primary_regression_bound_pp"), F.lit(None).cast("double").alias("deployment_regression_bound_pp"), F.count_if(both & (b("semantic_success") != c("semantic_success"))).alias("discordant_pairs"),
-        r(c("schema_valid")).alias("candidate_schema_rate"), r(c("status") != "ok").alias("error_rate"), r(F.coalesce(c("error_kind") == "timeout", F.lit(False))).alias("timeout_rate"),
-        r(b("latency_ms").isNotNull() & c("latency_ms").isNotNull()).alias("latency_coverage"), r(b("cost").isNotNull() & c("cost").isNotNull()).alias("cost_coverage"),
-    )
-    m = summary.matched_operational(p).select(
-        F.round(gate.relative_increase(F.col("baseline_p95_ms"), F.col("candidate_p95_ms")), 9).alias("p95_increase_percent"), F.round(gate.relative_increase(F.col("baseline_average_cost"), F.col("candidate_average_cost")), 6).alias("cost_increase_percent")
-    )
-    return one.withColumn("_one", F.lit(1)).join(m.withColumn("_one", F.lit(1)), "_one").select(*gate.INPUTS)
+#: What was observed of a case, by variant: verdicts, the output, and what it took.
+OBSERVED = ("status", "error_kind", "parse_valid", "schema_valid", "components", "truth", "output", "latency_ms", "input_tokens", "output_tokens", "retries", "cost", "currency")
+
+
+def _gate_inputs(evaluations: DataFrame, samples: int | None = None) -> DataFrame:
+    """Inputs from evaluations of cases ``k``, whose key is their stimulus."""
+    p = pairing.paired(evaluations.withColumn("reference", evidence.digest(F.col("expected"))).drop("expected", "raw_output"))
+    seen = evidence.digest(*(F.to_json(F.struct(*(F.col(f"{s}.{n}") for n in OBSERVED))) for s in ("baseline", "candidate")))
+    return gate.inputs(p, stimulus=F.col("baseline.k"), reference=F.col("baseline.reference"), observation=seen, samples=samples, seed=7)
 
 
 @query
 def gate_inputs(spark: SparkSession, d: str) -> DataFrame:
-    return _gate_inputs(spark, d)
+    return _gate_inputs(order_evaluations(spark, d))
 
 
 @query
 def gate_rules(spark: SparkSession, d: str) -> DataFrame:
-    return gate.rules(_gate_inputs(spark, d), LIMITS).select("place", "rule", "observed", "limit", "status")
+    return gate.rules(_gate_inputs(order_evaluations(spark, d)), LIMITS).select("place", "rule", "observed", "limit", "status")
 
 
 @query
 def gate_decision(spark: SparkSession, d: str) -> DataFrame:
-    return gate.decision(gate.rules(_gate_inputs(spark, d), LIMITS), release=True)
+    return gate.decision(gate.rules(_gate_inputs(order_evaluations(spark, d)), LIMITS), release=True)
+
+
+def _faulty(spark: SparkSession, d: str) -> DataFrame:
+    """Orders' evaluations with copied rows, repeated trials, conflicting labels, and components without a state."""
+    k, row = F.col("k"), F.col("_row")
+    more = F.when(k % 50 == 3, "copy").when(k % 70 == 4, "again").when(k % 90 == 5, "label")
+    e = order_evaluations(spark, d).withColumn("_row", F.explode(F.array_compact(F.array(F.lit(""), more)))).withColumn("case_id", F.concat("case_id", row))
+    e = e.withColumns({
+        "latency_ms": F.col("latency_ms") + F.when((row == "again") & (F.col("variant") == "candidate"), 1).otherwise(0),
+        "expected": F.when(row == "label", "{}").otherwise(F.col("expected")),
+        "cents_state": F.when(k % F.when(F.col("variant") == "baseline", 41).otherwise(8) != 0, F.col("cents_state")),
+    }).drop("_row")
+    return judged(e, ORDERS)
+
+
+FAULTY_LIMITS = LIMITS | {"max_upper_confidence_bound_regression_pp": 5.0, "max_upper_confidence_bound_deployment_regression_pp": 5.0}
+
+
+@query
+def gate_inputs_faulty(spark: SparkSession, d: str) -> DataFrame:
+    """All inputs but the bootstrap's bounds, which SQL can't draw."""
+    return _gate_inputs(_faulty(spark, d)).drop("primary_regression_bound_pp", "deployment_regression_bound_pp")
+
+
+@query
+def gate_rules_faulty(spark: SparkSession, d: str) -> DataFrame:
+    return gate.rules(_gate_inputs(_faulty(spark, d), samples=2000), FAULTY_LIMITS).select("place", "rule", "limit", "status")
 
 
 # Review of a run

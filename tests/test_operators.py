@@ -124,3 +124,32 @@ def test_schema_inspection():
     schema = {"type": "object", "properties": {"a": {"$ref": "#/properties/b"}, "b": {"type": ["string", "null"], "properties": {"c": {"$ref": "#/properties/a"}}}}}
     assert ("/b", "string|null", False) in profile.inspect_schema(schema) and ("/b", "nullable_union") in profile.schema_warnings(schema)
     assert profile.schema_warnings({"$ref": "http://x/y"}) == [("/", "unresolved_reference")]
+
+
+def test_gate_inputs_are_computed(spark):
+    from pairwright.functions import stats
+
+    def side(ok, parts=("passed",), ms=10):
+        return ("ok", None, True, True, list(parts), ok, ok, not ok, None not in parts and len(parts) > 0, ms, None, None)
+
+    # (case, stimulus, reference, baseline, candidate): a copy, a repeated trial, two labels of one stimulus, components without a state.
+    rows = [(f"c{i}", f"s{i}", "r", side(True), side(i % 3 != 0)) for i in range(20)]
+    rows += [("c0-copy", "s0", "r", side(True), side(False)), ("c1-again", "s1", "r", side(True), side(True, ms=11)), ("c2-label", "s2", "other", side(True), side(True))]
+    rows += [("lost", "s20", "r", side(True), side(False, ["passed", None])), ("bare", "s21", "r", side(True), side(False, []))]
+    of = "struct<status:string,error_kind:string,parse_valid:boolean,schema_valid:boolean,components:array<string>,semantic_success:boolean,deployment_success:boolean,valid_but_wrong:boolean,fully_evaluated:boolean,latency_ms:long,cost:double,currency:string>"
+    df = spark.createDataFrame(rows, f"case_id string, stimulus string, reference string, baseline {of}, candidate {of}")
+    seen = evidence.digest(F.to_json("baseline"), F.to_json("candidate"))
+    found = lambda rows, **more: gate.inputs(rows, stimulus=F.col("stimulus"), reference=F.col("reference"), observation=seen, **more)
+    r = found(df, samples=500, seed=3).first()
+    assert (r.repeated_trial_groups, r.label_conflicts, r.effective_units, r.duplicate_row_rate) == (1, 1, 22, 0.04)
+    assert r.component_unscored_rate == round(2 / 23, 9) and r.fully_evaluated_rate == round(20 / 22, 9)
+    # Of 20 units whole on both sides 7 lose; for the deployment so do the two without a state.
+    for got, n in ((r.primary_regression_bound_pp, (13, 7, 0, 0)), (r.deployment_regression_bound_pp, (13, 9, 0, 0))):
+        assert got == round(-stats.bootstrap(*n, 500, 0.95, 3)[0], 9) > 0
+    by = {x.rule: x.status for x in gate.rules(found(df, samples=500), {"max_upper_confidence_bound_regression_pp": 5.0, "max_primary_component_unscored_rate": 0.0, "max_duplicate_case_rate": 0.0}).collect()}
+    assert by["repeated_trial_model"] == by["max_primary_component_unscored_rate"] == by["max_duplicate_case_rate"] == "insufficient_evidence"
+    assert by["dataset_label_conflicts"] == "error" and by["max_upper_confidence_bound_regression_pp"] == "failed"
+    # Nothing to compare: effects and bounds are unknown, not zero; so too without a bootstrap.
+    empty = found(df.limit(0), samples=500).first()
+    assert (empty.effective_units, empty.primary_regression_pp, empty.deployment_regression_bound_pp) == (0, None, None)
+    assert found(df).first().primary_regression_bound_pp is None
