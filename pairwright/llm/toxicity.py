@@ -23,7 +23,7 @@ from pairwright.llm.langid import held_out, sampled
 from pairwright.llm.scratch import written
 
 #: Labelled rows to learn from, about; a hash of the id chooses them.
-TRAIN_ROWS = 10_000
+TRAIN_ROWS = 20_000
 #: Landmarks, at most.
 LANDMARKS = 64
 #: Of words more alike than this, one is a landmark.

@@ -62,3 +62,13 @@ def test_odd_rows(spark):
     assert [r.predicted for r in out if r.doc_id in (100, 101, 102)] == [0, 0, 0]
     assert toxicity.toxicity_query(docs, labels.limit(0)).where("score = 0").count() == len(rows)
     assert toxicity.toxicity_query(docs.limit(0), labels).count() == 0
+
+
+def test_rare_insults_are_learned(spark, monkeypatch):
+    """About 20,000 labelled rows are asked for, and among so many a rare insult is learned."""
+    asked = []
+    monkeypatch.setattr(toxicity, "sampled", lambda df, id_col, rows, salt: asked.append(rows) or df)
+    docs = spark.range(20_000).selectExpr("id as doc_id", "if(id % 3000 = 0, 'you utter scoundrel', 'plain words stand here') as text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 3000 = 0 or doc_id % 9 = 0) as toxic")
+    model = toxicity.train(docs, labels)
+    assert asked == [20_000] and any(b"scoundrel".startswith(w) for w in model.kernel.landmarks)
