@@ -56,6 +56,9 @@ _CODE[1] = 63
 #: Signs at either end of a word are no letters.
 _SIGNS = b"!$@.,;:?*&%#|-_'\"()[]{}<>+=/\\"
 
+#: Bytes that are skipped; words that hold such are also cut without them.
+_SKIPPED = bytes(np.flatnonzero(_CODE == 0).tolist())
+
 _SPELLED = re.compile(rb"(?<![^\x20\x09-\x0D])[A-Za-z0-9@$!](?:[\x20._*-]{1,2}[A-Za-z0-9@$!]){2,}(?![^\x20\x09-\x0D])")
 _ENDS = (b".", b"!", b"?")
 
@@ -82,9 +85,10 @@ def _features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _windows(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Words, long ones cut into windows too, and the word that each part is of; letters all, signs left out."""
+    """Words, long ones cut into windows too, and the word that each part is of; words with signs as they are and by letters alone."""
     parts, of = [], []
-    for n, w in enumerate(words):
+    forms = [(n, f) for n, w in enumerate(words) for f in dict.fromkeys((w, w.translate(None, _SKIPPED)))]
+    for n, w in forms:
         if len(w) <= 2 * WINDOW:
             parts.append(w)
             of.append(n)
@@ -95,8 +99,8 @@ def _windows(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return parts, np.array(of, np.int64)
 
 
-#: The squared norm of WINDOW letters without repeats.
-_WINDOW_NORM2 = sum(DECAY ** (2 * (j + 1)) * (WINDOW - j) for _, j in _GAPS)
+#: The squared norm of the fewest letters that a window has, without repeats; the last of a word is the shortest.
+_WINDOW_NORM2 = sum(DECAY ** (2 * (j + 1)) * max(WINDOW - APART + 1 - j, 0) for _, j in _GAPS)
 
 
 def _unit(n: int, word: np.ndarray, gram: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,10 +145,12 @@ class Kernel:
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         whole = [_START + w.strip(_SIGNS) for w in words]
         for at in range(0, len(whole), 20_000):
-            # A window has no more in common with a landmark than its word, and no less of a norm than WINDOW letters have.
+            # A window has no more in common with a landmark than its word, and no less of a norm than the shortest window.
             word, gram, weight = _features(whole[at : at + 20_000])
             norm2 = np.minimum(np.bincount(word, weight * weight, len(whole[at : at + 20_000])), _WINDOW_NORM2)
-            may = np.flatnonzero(self.bound(word, gram, weight, norm2) >= LEAST) + at
+            # Windows of a word with signs may hold any few letters, so it is always compared.
+            signs = np.array([len(w.translate(None, _SKIPPED)) < len(w) for w in whole[at : at + 20_000]])
+            may = np.flatnonzero(signs | (self.bound(word, gram, weight, norm2) >= LEAST)) + at
             if len(may):
                 self._compare([whole[i] for i in may.tolist()], may, out)
         return out

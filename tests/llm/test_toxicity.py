@@ -72,3 +72,14 @@ def test_rare_insults_are_learned(spark, monkeypatch):
     labels = docs.selectExpr("doc_id", "int(doc_id % 3000 = 0 or doc_id % 9 = 0) as toxic")
     model = toxicity.train(docs, labels)
     assert asked == [20_000] and any(b"scoundrel".startswith(w) for w in model.kernel.landmarks)
+
+
+def test_screen_drops_no_word_with_signs():
+    words = [b"xx--dumb--xxxxxxxx", b"w/o/r/t/h/l/e/s/s", b"zzzzz((dumb))zzzzzzz", b"qqqqqqqqdumb", b"aaa/bbb/ccc/dumb/ddd/eee"]
+    for marks in ([b"dumb"], [b"dumb", b"worthless"]):
+        kernel = toxicity.Kernel(marks)
+        screened = kernel.likeness(words)
+        out = np.zeros_like(screened)
+        kernel._compare([b"\x01" + w.strip(toxicity._SIGNS) for w in words], np.arange(len(words)), out)
+        assert np.allclose(screened, out) and (screened[0, 0] > 0)
+    assert toxicity.Kernel([b"worthless"]).likeness(words)[1, 0] > 0.99
