@@ -128,9 +128,9 @@ class Model:
         return n, held
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        n, held = self.counts(texts)
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        n, held = self.counts(texts)
         share = held / np.maximum(n, 1)[:, None] / self.cover
         best = share.argmax(1)
         score = share.max(1) / np.maximum(share.sum(1), 1e-12)
@@ -146,7 +146,11 @@ def _slots(grams: np.ndarray, size: int) -> Iterator[np.ndarray]:
 
 
 def sampled(rows: DataFrame, id_col: str, about: int, salt: int) -> DataFrame:
-    """About ``about`` of the rows, chosen by a hash of their id: the bound of what is learned from."""
+    """About ``about`` of the rows, chosen by a hash of their id: the bound of what is learned from.
+
+    Rows of one id share a fate, so what is learned from them must not grow with their repeats:
+    callers sum equal rows up before anything leaves Spark.
+    """
     n = rows.count()
     if n <= about:
         return rows
@@ -169,7 +173,7 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
 
     grams = labelled.mapInArrow(counted, "lang string, n int, gram long, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
     totals = grams.groupBy("lang", "n").agg(F.sum("count").alias("total"))
-    grams = grams.join(F.broadcast(totals), ["lang", "n"]).withColumn("rate", F.col("count") / F.col("total")).where(F.col("rate") >= LEAST)
+    grams = grams.join(totals, ["lang", "n"]).withColumn("rate", F.col("count") / F.col("total")).where(F.col("rate") >= LEAST)
     own = grams.withColumn("most", F.max("rate").over(Window.partitionBy("n", "gram"))).where(F.col("rate") >= OF_MOST * F.col("most"))
     found = own.select("lang", "gram", "rate").toArrow()
     lang, gram = found.column("lang").to_numpy(zero_copy_only=False), found.column("gram").to_numpy().view(np.uint64)

@@ -49,6 +49,54 @@ def test_odd_rows(spark):
     assert langid.with_language(docs, langid.train(docs)).where("doc_id = 53").first().lang_found.lang_pred == "de"
 
 
+def test_nothing_to_learn_from(spark):
+    """Null languages only, or none that isn't held out: every language is unknown."""
+    docs = spark.createDataFrame([(i, "the and of that", None) for i in range(9)] + [(9, None, None)], "doc_id long, text string, lang string")
+    assert {(r.lang_pred, r.score) for r in langid.language_query(docs).collect()} == {("und", 0.0)}
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 == 2]
+    docs = spark.createDataFrame([(i, "the and of that", "en") for i in held], "doc_id long, text string, lang string")
+    assert {(r.lang_pred, r.held_out) for r in langid.language_query(docs).collect()} == {("und", True)}
+    assert langid.with_language(docs, langid.train(docs.limit(0))).where("lang_found.lang_pred = 'und'").count() == len(held)
+
+
+def test_scores_by_plain_counting(spark):
+    """The query's result from sets of n-grams in place of filters: the languages that hold each n-gram, counted."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in docs.collect()]
+    rate: dict = {}
+    for order in langid.ORDERS:
+        counts: dict = {}
+        for i, text, lang in rows:
+            if text is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+                by = counts.setdefault(lang, {})
+                for n, grams, _ in langid._grams([text.replace("\0", " ")]):
+                    if n == order:
+                        for g in grams.tolist():
+                            by[g] = by.get(g, 0) + 1
+        for lang, by in counts.items():
+            total = sum(by.values())
+            for g, c in by.items():
+                if c / total >= langid.LEAST:
+                    rate[order, g, lang] = c / total
+    most: dict = {}
+    for (order, g, _), x in rate.items():
+        most[order, g] = max(most.get((order, g), 0), x)
+    own = {k: x for k, x in rate.items() if x >= langid.OF_MOST * most[k[:2]]}
+    langs = sorted({k[2] for k in own})
+    sets = {x: {g for _, g, lang in own if lang == x} for x in langs}
+    cover = {x: max(0.01, sum(v for k, v in own.items() if k[2] == x) / len(langid.ORDERS)) for x in langs}
+    got = {r.doc_id: r for r in langid.language_query(docs).collect()}
+    for i, text, _ in rows:
+        grams = [g for _, gs, _ in langid._grams([(text or "").replace("\0", " ")]) for g in gs.tolist()]
+        if not any(c.isalpha() for c in text or ""):
+            assert got[i].lang_pred == "und"
+            continue
+        share = {x: sum(g in sets[x] for g in grams) / len(grams) / cover[x] for x in langs}
+        best = max(share.values())
+        # Filters take hardly anything for held that isn't, and what they do is corrected: scores agree closely.
+        assert abs(got[i].score - best / sum(share.values())) < 0.02 and share[got[i].lang_pred] > best - 0.02, i
+
+
 def test_long_texts_are_read_whole():
     model = langid.Model.of(["en"], [np.unique(np.concatenate([g for _, g, _ in langid._grams(["the"])]))])
     text = "xyz " * 300_000 + "the " * 100
