@@ -1,10 +1,12 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a support vector machine.
 
 Two words are alike if they share three-letter subsequences, gaps allowed and paid for;
-so ``idiot``, ``id-i0t`` and ``idxiot`` stay close.  A sentence's kernel with a landmark is
-the sum over its words of a power of that likeness.  Landmarks are words that mark the
-labelled documents; the kernel among them turns likenesses into Nyström coordinates, on
-which a linear machine is trained by sentences.  A document scores as its worst sentence.
+so ``idiot``, ``id-i0t`` and ``idxiot`` stay close.  Words are taken by their letters, and
+long ones in parts; the kernel of two words is the sum over both sides' parts of a power of
+that likeness, the kernel of a sentence with a landmark the sum over its words.  Landmarks
+are words of one part that mark the labelled documents; the kernel among them, symmetric and
+not negative, turns kernel rows into Nyström coordinates, on which a linear machine is
+trained by sentences.  A document scores as its worst sentence.
 """
 
 from __future__ import annotations
@@ -30,12 +32,13 @@ LANDMARKS = 64
 ALIKE = 0.8
 #: The decay of each letter that a subsequence spans, and how many it may span.
 DECAY, SPAN = 0.6, 6
-#: Likenesses count to this power, and not at all below this bound.
+#: Likenesses count to this power; in a sentence's row those below the bound are rounded to zero.
 POWER, LEAST = 4, 0.4
-#: Longer words are also compared by overlapping windows of this many letters, so many apart.
-WINDOW, APART = 8, 3
 #: Landmarks are words, or beginnings of words, of at most so many letters.
-LONGEST = 12
+LONGEST = 8
+#: Words of at most so many letters, the start of the word counted, are a part as a whole;
+#: those longer than a landmark are also cut into overlapping windows of so many letters, so many apart.
+WHOLE, WINDOW, APART = 16, 8, 3
 #: Words whose likenesses a worker remembers.
 REMEMBERED = 300_000
 
@@ -84,15 +87,15 @@ def _features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(word), np.concatenate(gram), np.concatenate(weight)
 
 
-def _windows(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Words, long ones cut into windows too, and the word that each part is of; words with signs as they are and by letters alone."""
+def _parts(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The parts of words, by their letters alone (signs left out), and the word that each is of."""
     parts, of = [], []
-    forms = [(n, f) for n, w in enumerate(words) for f in dict.fromkeys((w, w.translate(None, _SKIPPED)))]
-    for n, w in forms:
-        if len(w) <= 2 * WINDOW:
+    for n, w in enumerate(words):
+        w = w.translate(None, _SKIPPED)
+        if len(w) <= WHOLE:
             parts.append(w)
             of.append(n)
-        if len(w) > WINDOW:
+        if len(w) > LONGEST + 1:
             cut = [w[at : at + WINDOW] for at in range(0, len(w) - WINDOW + APART, APART)]
             parts += cut
             of += [n] * len(cut)
@@ -140,25 +143,30 @@ class Kernel:
         """No likeness exceeds this: repeated subsequences only make a word's norm larger."""
         return np.bincount(word, weight * self.most[gram], len(norm2)) / np.sqrt(np.maximum(norm2, 1e-12))
 
+    def matrix(self) -> np.ndarray:
+        """The kernel among the landmarks, each of one part: products of unit vectors to a whole power."""
+        return (self.table.T.astype(float) @ self.table) ** POWER
+
     def likeness(self, words: list[bytes]) -> np.ndarray:
-        """A row per word: the normalised kernel with each landmark to the power, zero below the bound."""
+        """A row per word: the sum over its parts of the normalised kernel with each landmark to the power."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        whole = [_START + w.strip(_SIGNS) for w in words]
+        whole = [(_START + w.strip(_SIGNS)).translate(None, _SKIPPED) for w in words]
         for at in range(0, len(whole), 20_000):
-            # A window has no more in common with a landmark than its word, and no less of a norm than the shortest window.
-            word, gram, weight = _features(whole[at : at + 20_000])
-            norm2 = np.minimum(np.bincount(word, weight * weight, len(whole[at : at + 20_000])), _WINDOW_NORM2)
-            # Windows of a word with signs may hold any few letters, so it is always compared.
-            signs = np.array([len(w.translate(None, _SKIPPED)) < len(w) for w in whole[at : at + 20_000]])
-            may = np.flatnonzero(signs | (self.bound(word, gram, weight, norm2) >= LEAST)) + at
+            # No part has more in common with a landmark than its word, nor less of a norm than the word or the shortest window.
+            some = whole[at : at + 20_000]
+            word, gram, weight = _features(some)
+            norm2 = np.bincount(word, weight * weight, len(some))
+            cut = np.fromiter(map(len, some), np.int64, len(some)) > LONGEST + 1
+            norm2[cut] = np.minimum(norm2[cut], _WINDOW_NORM2)
+            may = np.flatnonzero(self.bound(word, gram, weight, norm2) >= LEAST * (1 - 1e-5)) + at
             if len(may):
                 self._compare([whole[i] for i in may.tolist()], may, out)
         return out
 
     def _compare(self, words: list[bytes], of_word: np.ndarray, out: np.ndarray) -> None:
-        parts, of = _windows(words)
+        parts, of = _parts(words)
         word, gram, weight = _features(parts)
-        may = self.bound(word, gram, weight, np.bincount(word, weight * weight, len(parts))) >= LEAST
+        may = self.bound(word, gram, weight, np.bincount(word, weight * weight, len(parts))) >= LEAST * (1 - 1e-5)
         if not may.any():
             return
         inside = may[word]
@@ -167,7 +175,7 @@ class Kernel:
         held = self.most[g] > 0
         w, g, v = w[held], self.row[g[held]], v[held].astype(np.float32)
         # The bound again, now that exact norms are known.
-        tight = np.bincount(w, v * self.row_most[g], int(may.sum())) >= LEAST
+        tight = np.bincount(w, v * self.row_most[g], int(may.sum())) >= LEAST * (1 - 1e-5)
         w, g, v = (x[tight[w]] for x in (w, g, v))
         if not len(w):
             return
@@ -175,7 +183,7 @@ class Kernel:
         near = np.add.reduceat(self.table[g] * v[:, None], first, axis=0)
         near = np.where(near >= LEAST, near, 0) ** POWER
         hit = near.any(1)
-        np.maximum.at(out, of_word[of[may][w[first[hit]]]], near[hit])
+        np.add.at(out, of_word[of[may][w[first[hit]]]], near[hit])
 
 
 class Reader:
@@ -206,9 +214,13 @@ class Reader:
         """For each text, the kernel rows of its sentences that are near any landmark at all."""
         tokens = []
         for text in texts:
-            data = (text or "").encode("utf-8", "surrogatepass")
-            tokens.append(data.split())
-            tokens[-1] += [re.sub(rb"[\x20._*-]", b"", m[0]) for m in _SPELLED.finditer(data)]
+            data, at, words = (text or "").encode("utf-8", "surrogatepass"), 0, []
+            for m in _SPELLED.finditer(data):  # a spelled word stands before its letters, in their sentence
+                words += data[at : m.start()].split()
+                words.append(re.sub(rb"[\x20._*-]", b"", m[0]))
+                at = m.start()
+            words += data[at:].split()
+            tokens.append(words)
         self.learn(set().union(*tokens))
         for words in tokens:
             found = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
@@ -242,16 +254,15 @@ class Model:
 
 def _root(kernel: Kernel) -> np.ndarray:
     """The inverse square root of the kernel among the landmarks, a ridge added."""
-    values, vectors = np.linalg.eigh(kernel.likeness(kernel.landmarks).astype(float) + 1e-3 * np.eye(len(kernel.landmarks)))
-    values = np.maximum(values, 1e-3)
+    values, vectors = np.linalg.eigh(kernel.matrix() + 1e-3 * np.eye(len(kernel.landmarks)))
     return (vectors / np.sqrt(values)) @ vectors.T
 
 
-def machine(x: np.ndarray, y: np.ndarray, cost: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
-    """A linear support vector machine with squared hinge loss by Newton steps."""
+def machine(x: np.ndarray, y: np.ndarray, n: np.ndarray, cost: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
+    """A linear support vector machine with squared hinge loss by Newton steps; row i comes n[i] times."""
     z = np.c_[x, np.ones(len(x))]
     sign = np.where(y > 0, 1.0, -1.0)
-    c = np.full(len(y), cost)
+    c = cost * n
     ridge = np.eye(z.shape[1])
     ridge[-1, -1] = 1e-6
     w = np.zeros(z.shape[1])
@@ -265,16 +276,16 @@ def machine(x: np.ndarray, y: np.ndarray, cost: float = 1.0, steps: int = 30) ->
     return w[:-1], float(w[-1])
 
 
-def logistic(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
+def logistic(margin: np.ndarray, y: np.ndarray, n: np.ndarray, steps: int = 50) -> tuple[float, float]:
     """Slope and shift that turn margins into probabilities; smoothed targets keep them finite."""
-    n1, n0 = (y > 0).sum(), (y <= 0).sum()
+    n1, n0 = n[y > 0].sum(), n[y <= 0].sum()
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     z = np.c_[margin, np.ones(len(margin))]
     w = np.array([1.0, 0.0])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (p - t) + 1e-3 * w
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2), grad)
+        grad = z.T @ (n * (p - t)) + 1e-3 * w
+        step = np.linalg.solve((z * (n * p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2), grad)
         w = w - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -289,9 +300,8 @@ def _landmarks(rows: DataFrame) -> list[bytes]:
     """
     bare = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{Nd}@$!\x20\x09-\x0D]|[@$!]+(?![\p{L}\p{Nd}])", "")
     words = F.array_distinct(F.filter(F.split(bare, r"[\x20\x09-\x0D]+"), lambda w: F.length(w) >= 4))
-    begun = lambda w: F.transform(F.sequence(F.lit(4), F.least(F.length(w), F.lit(8))), lambda k: F.left(w, k))
-    whole = F.filter(words, lambda w: F.length(w).between(9, LONGEST))
-    word = rows.select("toxic", F.explode(F.array_distinct(F.concat(F.flatten(F.transform(words, begun)), whole))).alias("word"))
+    begun = lambda w: F.transform(F.sequence(F.lit(4), F.least(F.length(w), F.lit(LONGEST))), lambda k: F.left(w, k))
+    word = rows.select("toxic", F.explode(F.array_distinct(F.flatten(F.transform(words, begun)))).alias("word"))
     n = rows.agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c")).first()
     if not n["t"] or not n["c"]:
         return []
@@ -302,7 +312,7 @@ def _landmarks(rows: DataFrame) -> list[bytes]:
     tells = F.col("t") * F.log(ratio_t) + F.when(F.col("c") > 0, F.col("c") * F.log(ratio_c)).otherwise(0.0)
     marks = by.where(ratio_t > 2).withColumn("tells", tells).where(F.col("tells") > math.log(by.count() + 1) + 1)
     marks = marks.orderBy(F.desc("tells"), F.desc(F.length("word")), "word").limit(16 * LANDMARKS).collect()
-    found = [w for r in marks if len(_features([_START + (w := r["word"].encode())])[0])]
+    found = [w for r in marks if len(w := r["word"].encode().translate(None, _SKIPPED)) <= LONGEST and len(_features([_START + w])[0])]
     if not found:
         return []
     table = _landmark_table(found)
@@ -318,10 +328,15 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Learn from about ``rows`` labelled rows at most, whole texts; None where a class is missing.
 
     Each document gives the sentence nearest to the landmarks, under its document's label.
+    Rows are chosen by id and text, and equal kernel rows are summed up before they leave
+    Spark, so neither repeated ids nor repeated rows let what comes back grow.
     """
     labelled = sampled(labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), "toxic"), "id", rows, 2)
-    # At most about `rows` ids: a side of bounded size.
-    learn = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(labelled), "id")
+    learn = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(labelled, "id")
+    # Ids may repeat in the documents: then the rows are chosen once more, by their texts too.
+    n = docs.select(F.col(id_col).alias("id")).join(labelled, "id").count()
+    if n > 2 * rows:
+        learn = learn.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < int((1 << 30) * rows / n))
     landmarks = _landmarks(learn)
     if not landmarks:
         return None
@@ -333,17 +348,17 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             rows = [max(s, key=lambda r: r.sum(), default=reader.rows[0]) for s in reader.sentences(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tolist() for r in rows], pa.list_(pa.float32()))], names=["toxic", "row"])
 
-    got = learn.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(nearest, "toxic int, row array<float>").toArrow()
+    got = learn.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(nearest, "toxic int, row array<float>").groupBy("toxic", "row").agg(F.count("*").alias("n")).toArrow()
     y = got.column("toxic").to_numpy()
     if len(set(y.tolist())) < 2:
         return None
     x = np.stack(got.column("row").to_numpy(zero_copy_only=False)).astype(float)
     order = np.lexsort([*x.T, y])  # rows come in any order; sums shall not
-    x, y = x[order], y[order]
+    x, y, times = x[order], y[order], got.column("n").to_numpy()[order].astype(float)
     root = _root(kernel)
-    weight, bias = machine(x @ root, y)
+    weight, bias = machine(x @ root, y, times)
     margin = np.maximum(x @ root @ weight + bias, bias)
-    return Model(kernel, root, weight, bias, *logistic(margin, y))
+    return Model(kernel, root, weight, bias, *logistic(margin, y, times))
 
 
 def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

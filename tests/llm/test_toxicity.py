@@ -1,3 +1,5 @@
+import random
+import re
 import zlib
 
 import numpy as np
@@ -23,13 +25,46 @@ def brute(a, b):
 
 
 def test_kernel_by_definition():
-    marks = [b"idiot", b"pathetic", b"worthless"]
-    words = ["idiot", "idxiot", "idit", "path", "worthles", "worhtless", "pathological", "stationarily", "tidiots"]
+    marks = [b"idiot", b"pathetic", b"worthles"]
+    words = ["idiot", "idxiot", "idit", "path", "worthles", "worhtless", "pathological", "stationarily", "tidiots", "i-d.i/o#t", "xxxxxxidiotxxxxxxx", "worthlessworthless"]
     got = toxicity.Kernel(marks).likeness([w.encode() for w in words])
     for i, w in enumerate(words):
         for j, m in enumerate(marks):
-            k = max(brute(p.decode(), '\x01' + m.decode()) for p in toxicity._windows([b'\x01' + w.encode()])[0])
-            assert abs(got[i, j] - (k**toxicity.POWER if k >= toxicity.LEAST else 0)) < 1e-4, (w, m)
+            k = [brute(p.decode(), "\x01" + m.decode()) for p in toxicity._parts([b"\x01" + w.encode()])[0]]
+            assert abs(got[i, j] - sum(x**toxicity.POWER for x in k if x >= toxicity.LEAST)) < 1e-4, (w, m)
+
+
+def obfuscated(r):
+    word = list(r.choice(["idiot", "pathetic", "worthless", "scoundrel", "dumb", "plain", "windows"]))
+    for _ in range(r.randrange(6)):
+        word.insert(r.randrange(len(word) + 1), r.choice("./_-xyzq#(1@é"))
+    around = lambda: "".join(r.choice("abcxyz./_-") for _ in range(r.choice([0, 0, 3, 9])))
+    return (around() + "".join(word) + around()).encode()
+
+
+def test_screen_changes_no_likeness():
+    r = random.Random(6)
+    words = [obfuscated(r) for _ in range(4000)] + [b"ndasfm.orxon_ucyf", b"xx--dumb--xxxxxxxx", b"w/o/r/t/h/l/e/s/s"]
+    for marks in ([b"dumb"], [b"dumb", b"worthles", b"idiot", b"forxonu", b"scoundre"]):
+        kernel = toxicity.Kernel(marks)
+        out = np.zeros((len(words), len(marks)), np.float32)
+        kernel._compare([b"\x01" + w.strip(toxicity._SIGNS) for w in words], np.arange(len(words)), out)
+        kept = kernel.bound
+        kernel.bound = lambda word, gram, weight, norm2: np.full(len(norm2), np.inf)
+        every = np.zeros_like(out)
+        kernel._compare([b"\x01" + w.strip(toxicity._SIGNS) for w in words], np.arange(len(words)), every)
+        kernel.bound = kept
+        assert np.allclose(kernel.likeness(words), every, atol=1e-5) and np.allclose(out, every, atol=1e-5)
+
+
+def test_matrix_is_a_kernel():
+    marks = [b"worthles", b"worthle", b"pathetic", b"pathe", b"scoundre", b"idiot", b"idio"]
+    kernel = toxicity.Kernel(marks)
+    k = kernel.matrix()
+    assert np.array_equal(k, k.T) or np.abs(k - k.T).max() < 1e-12
+    assert np.linalg.eigvalsh(k).min() > -1e-9 and np.allclose(np.diag(k), 1, atol=1e-5)
+    rows = kernel.likeness(marks)
+    assert np.allclose(np.where(k >= toxicity.LEAST**toxicity.POWER, k, 0), rows, atol=1e-4)
 
 
 def test_inserted_characters_stay_close():
@@ -39,6 +74,7 @@ def test_inserted_characters_stay_close():
     assert near(b"zzzzzzzzzzzzzzzzzzzzidiotzzzzzzzzzzzzzzzz") > 0
     reader = toxicity.Reader(kernel)
     spelled = list(reader.sentences(["you i d i o t there", "a b", None, ""]))
+    assert list(reader.sentences(["i d i o t there. fine words here."]))[0].max() > 0.99
     assert spelled[0].max() > 0.99 and [len(s) for s in spelled[1:]] == [0, 0, 0]
 
 
@@ -74,12 +110,38 @@ def test_rare_insults_are_learned(spark, monkeypatch):
     assert asked == [20_000] and any(b"scoundrel".startswith(w) for w in model.kernel.landmarks)
 
 
-def test_screen_drops_no_word_with_signs():
-    words = [b"xx--dumb--xxxxxxxx", b"w/o/r/t/h/l/e/s/s", b"zzzzz((dumb))zzzzzzz", b"qqqqqqqqdumb", b"aaa/bbb/ccc/dumb/ddd/eee"]
-    for marks in ([b"dumb"], [b"dumb", b"worthless"]):
-        kernel = toxicity.Kernel(marks)
-        screened = kernel.likeness(words)
-        out = np.zeros_like(screened)
-        kernel._compare([b"\x01" + w.strip(toxicity._SIGNS) for w in words], np.arange(len(words)), out)
-        assert np.allclose(screened, out) and (screened[0, 0] > 0)
-    assert toxicity.Kernel([b"worthless"]).likeness(words)[1, 0] > 0.99
+def test_scores_by_definition():
+    """Scores of whole texts from the kernel's definition, word by word and sentence by sentence."""
+    r = random.Random(8)
+    kernel = toxicity.Kernel([b"idiot", b"dumb", b"worthles"])
+    model = toxicity.Model(kernel, toxicity._root(kernel), np.array([0.9, 0.5, -0.2]), -0.8, 3.0, 0.4)
+    texts = [" ".join(r.choice(["the", "dumb", "idi0t", "worthles", "plain.", "go!", "i d i o t", "x-dumb-y", "é?", "worthlessworthless"]) for _ in range(r.randrange(12))) for _ in range(60)] + [None, ""]
+    got = model.scores(texts, toxicity.Reader(kernel))
+    for text, score in zip(texts, got, strict=True):
+        sentences = [[]]
+        for w in re.sub("i d i o t(?: i d i o t)*", lambda m: f"{m[0].replace(' ', '')} {m[0]}", text or "").split():
+            sentences[-1].append(w)
+            if w.endswith((".", "!", "?")):
+                sentences.append([])
+        margins = [model.bias]
+        for words in sentences:
+            row = np.zeros(3)
+            for w in words:
+                bare = b"\x01" + w.encode().strip(toxicity._SIGNS)
+                for part in toxicity._parts([bare])[0]:
+                    form = "".join(chr(toxicity._CODE[c]) for c in part)
+                    for j, m in enumerate(kernel.landmarks):
+                        if len(part) >= 3:
+                            x = brute(form, "".join(chr(toxicity._CODE[c]) for c in b"\x01" + m))
+                            row[j] += x**toxicity.POWER if x >= toxicity.LEAST else 0
+            if row.any():
+                margins.append(float(row @ model.root @ model.weight + model.bias))
+        want = 1 / (1 + np.exp(-(model.slope * max(margins) + model.shift)))
+        assert abs(score - want) < 1e-3, text
+
+
+def test_repeats_bound_what_comes_back(spark):
+    docs = spark.createDataFrame([(7, "you utter scoundrel go now" if i % 3 == 0 else "plain words stand here") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (7, 0)], "doc_id long, toxic int")
+    out = toxicity.score(docs, toxicity.train(docs, labels, rows=20))
+    assert out.count() == 300
