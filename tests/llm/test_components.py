@@ -46,8 +46,18 @@ def brute_vectors(rows, threshold):
     for i, j in links:
         n[i] += 1
         n[j] += 1
-    least = brute_components([r[0] for r in rows], [(rows[i][0], rows[j][0]) for i, j in links])
-    return {r[0]: (n[i], least[r[0]], least[r[0]] == r[0]) for i, r in enumerate(rows)}
+    # Rows are nodes; a component's name is its rows' smallest id.
+    least = brute_components(range(len(rows)), links)
+    name: dict = {}
+    for i, r in enumerate(rows):
+        if i in ok:
+            name[least[i]] = min(name.get(least[i], r[0]), r[0])
+    ids = [name[least[i]] if i in ok else r[0] for i, r in enumerate(rows)]
+    return sorted((r[0], n[i], ids[i], ids[i] == r[0]) for i, r in enumerate(rows))
+
+
+def vector_rows(df):
+    return sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in df.collect())
 
 
 def test_vectors_against_brute_force(spark):
@@ -61,13 +71,38 @@ def test_vectors_against_brute_force(spark):
     df = spark.createDataFrame([(i, v, label, "x") for i, v, label in rows], "vec_id long, embedding array<float>, label int, component_id string")
     want = brute_vectors(rows, 0.98)
     for block in (512, 5):
-        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding.near_vectors(df, block=block).collect()}
-        assert got == want
+        assert vector_rows(embedding.near_vectors(df, block=block)) == want
     assert embedding.near_vectors(df.limit(0)).count() == 0
 
 
 def test_vectors_of_the_table(spark):
     df = table(spark, "/root/testdata/sf0.01", "embeddings")
     want = brute_vectors([(r.vec_id, list(r.embedding), r.label) for r in df.collect()], 0.98)
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding.near_vectors(df).collect()}
-    assert got == want
+    assert vector_rows(embedding.near_vectors(df)) == want
+
+
+def test_ids_that_repeat_with_other_vectors(spark):
+    """Each row has its own links, whatever its id."""
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    near = lambda v: [x + 0.05 for x in v]
+    rows = [(1, a, 0), (1, b, 0), (2, near(a), 0), (3, near(b), 0), (4, a, 0), (4, a, 0), (5, [-0.0 if x == 0 else x for x in a], 0), (0, [0.0, 0.0, 1.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = vector_rows(embedding.near_vectors(df))
+    assert got == brute_vectors(rows, 0.98)
+    assert [(i, n) for i, n, _, _ in got if i == 1] == [(1, 1), (1, 4)]
+    null = spark.createDataFrame([(None, a, 0), (1, a, 0)], "vec_id long, embedding array<float>, label int")
+    assert {(r.vec_id, r.n_links) for r in embedding.near_vectors(null).collect()} == {(None, 0), (1, 0)}
+
+
+def test_words_rule_out_hardly_any_pair():
+    assert 10 <= embedding.most_apart(0.98) <= 20
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((4000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.standard_normal((4000, 32))
+    y -= (x * y).sum(1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    z = 0.98 * x + np.sqrt(1 - 0.98**2) * y
+    keys, word = embedding.signs(np.r_[x, z], *embedding.shape(4000, 0.98), 5)
+    assert (np.bitwise_count(word[:4000] ^ word[4000:]) <= embedding.most_apart(0.98)).all()
+    assert (keys[:4000] == keys[4000:]).any(1).all()
