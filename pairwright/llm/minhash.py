@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.llm.components import components
@@ -26,8 +26,8 @@ SHINGLE = 5
 BANDS, ROWS = 20, 4
 #: Pairs whose signatures agree this much less than the threshold, more than five standard errors, are ruled out.
 SLACK = 0.22
-#: Classes in a block.
-BLOCK = 256
+#: Classes in a block, and shingles of their sets, on average at most.
+BLOCK, BLOCK_SHINGLES = 256, 2_000_000
 #: Bytes of text worked on at once.
 STEP = 1 << 19
 
@@ -126,7 +126,7 @@ def _signed(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             two.append(int(mix(s ^ _U(0x5851F42D4C957F2D)).sum()))
             signs.append(signature(s) if len(s) else None)
         as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), as_long(one), as_long(two), pa.array(signs, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "print1", "print2", "signs"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), as_long(one), as_long(two), pa.array(signs, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "n_shingles", "print1", "print2", "signs"])
 
 
 def _with_sets(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,24 +211,41 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Documents link if ``percent`` of the union of their sets of five-word shingles, A-Z in
     lower case, is in both.  Fewer words count as one shingle; without words, or with a null
-    text or id, a document links with nothing.  Rows with the same id are one document.
+    text or id, a document links with nothing.  Every row is a document of its own, whatever
+    its id: rows that share an id have each their own links.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = written(narrow.mapInArrow(lambda it: trimmed(_signed(it)), "doc_id long, n_shingles long, print1 long, print2 long, signs array<int>"), "prints")
+    return _placed(docs, id_col, text_col, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _parts(n: str, shingles: str) -> Column:
+    """Blocks for so many classes and shingles."""
+    return F.ceil(F.greatest(F.col(n) / BLOCK, F.col(shingles) / BLOCK_SHINGLES, F.lit(1))).cast("int")
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """Per row: doc_id, text_hash, n_shingles, component_id, and whether it is its component's first by id and text_hash.
+
+    Classes are documents with one set, told apart by 128 bits of hash and the set's size, and
+    numbered; a class's first row by id and hash of the text stands for it.
+    """
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    prints = written(narrow.mapInArrow(lambda it: trimmed(_signed(it)), "doc_id long, text_hash long, n_shingles long, print1 long, print2 long, signs array<int>"), "prints")
     full = prints.where("n_shingles > 0 and doc_id is not null")
-    classes = written(full.groupBy("print1", "print2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("signs").alias("signs")), "classes")
+    classes = full.groupBy("print1", "print2", "n_shingles").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("signs").alias("signs"))
+    # Numbers are fixed by writing them.
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     band = lambda t: F.xxhash64(F.slice("signs", t * ROWS + 1, ROWS), t)
-    slots = classes.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bucket"))
+    slots = classes.select("rep", "n_shingles", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bucket"))
     full_buckets = slots.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1")
     meets = written(slots.join(full_buckets, "bucket"), "meets")
 
-    needed = meets.select(F.col("rep").alias("need")).distinct()
-    texts = narrow.join(needed, F.col("doc_id") == F.col("need")).select("doc_id", "text").dropDuplicates(["doc_id"])
+    needed = meets.select("rep").distinct().join(classes.select("rep", "first.*"), "rep")
+    texts = narrow.join(needed, ["doc_id", "text_hash"]).select("rep", "text").dropDuplicates(["rep"])
     sets = written(texts.mapInArrow(lambda it: trimmed(_with_sets(it)), "rep long, hashes binary, signs binary"), "sets")
 
     # Stars: every class of a bucket with the bucket's smallest, once however many buckets they share.
-    stars = meets.where("rep <> centre").select("centre", "rep").distinct()
-    parts = stars.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    stars = meets.where("rep <> centre").select("centre", "rep", "n_shingles").distinct()
+    parts = stars.groupBy("centre").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).select("centre", _parts("n", "shingles").alias("parts"))
     leaves = stars.join(parts, "centre").select("centre", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep")
     centres = parts.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("centre").alias("rep"))
     links = leaves.union(centres).join(sets, "rep").groupBy("centre", "part").applyInArrow(lambda t: _stars(t, percent), "left long, right long")
@@ -236,12 +253,13 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     # Blocks: in buckets that the links leave in several components, what is outside the main one meets the rest.
     parts_of = written(components(links, "left", "right"), "components")
-    placed = meets.join(parts_of, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    counted = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
-    split = counted.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("who").alias("who")).where("k > 1")
+    placed = meets.join(parts_of, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    counted = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
+    split = counted.groupBy("bucket").agg(F.max(F.struct("n", "component", "s")).alias("main"), F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("who").alias("who")).where("k > 1")
     # Buckets with the same members are one; a star of two has met already.
-    split = split.where("n > 2").groupBy("who", "n").agg(F.min(F.struct("bucket", F.col("main.component").alias("main"), F.col("main.n").alias("most"))).alias("b"))
-    split = split.select("b.bucket", "b.main", "n", F.ceil((F.col("n") - F.col("b.most")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("n") / BLOCK).cast("int").alias("inner"))
+    split = split.where("n > 2").groupBy("who", "n", "s").agg(F.min(F.struct("bucket", "main")).alias("b"))
+    split = split.select("b.bucket", F.col("b.main.component").alias("main"), "n", "s", (F.col("n") - F.col("b.main.n")).alias("n_out"), (F.col("s") - F.col("b.main.s")).alias("s_out"))
+    split = split.select("bucket", "main", _parts("n_out", "s_out").alias("outer"), _parts("n", "s").alias("inner"))
     inside = placed.join(split, "bucket")
     block = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
@@ -251,15 +269,24 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     links = written(links.union(more), "links")
 
     found = components(links, "left", "right")
-    of = classes.select("print1", "print2", "n_shingles", "rep").join(found, F.col("rep") == F.col("node"), "left").select("print1", "print2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     keys = ["print1", "print2", "n_shingles"]
-    out = prints.select("doc_id", *keys).join(of, keys, "left")
-    out = out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of = classes.select(*keys, "rep", "first").join(found, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
+    least = of.groupBy("component").agg(F.min("first").alias("least"))
+    of = of.join(least, "component").select(*keys, "least")
+    out = prints.select("doc_id", "text_hash", *keys).join(of, keys, "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return out.select(
+        "doc_id", "text_hash", "n_shingles", F.when(linked, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(linked, F.struct("doc_id", "text_hash") == F.col("least")).otherwise(F.lit(True)).alias("first"),
+    )
 
 
 def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """The documents, all columns, less those that are near copies of one with a smaller id."""
-    gone = near_copies(docs, id_col=id_col, text_col=text_col, percent=percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    """The documents, all columns: of each group of near copies the one with the smallest id.
+
+    Of rows with that id the one whose text has the smallest hash stays; rows that share both
+    id and text are one document and stay or go together.
+    """
+    gone = _placed(docs, id_col, text_col, percent).where("not first").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash"))
     gone = written(gone, "gone")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return docs.join(gone, (docs[id_col].cast("long") == gone["_gone"]) & (F.xxhash64(docs[text_col]) == gone["_gone_hash"]), "left_anti")

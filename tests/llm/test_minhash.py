@@ -80,6 +80,28 @@ def test_against_brute_force(spark, monkeypatch):
     assert minhash.without_copies(df, percent=85).columns == df.columns
 
 
+def test_ids_that_repeat_with_other_texts(spark):
+    """Each row has its own links, whatever its id; of a group one document stays."""
+    a, b = "one two three four five six seven eight nine ten", "red green blue black white grey pink brown lime teal"
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, a), (4, a), (5, f"{a} x"), (6, None), (6, "alone in the world of words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_copies(df, percent=80).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (4, 1, False), (5, 1, False), (6, 6, True), (6, 6, True)]
+    left = sorted((r.doc_id, r.text or "") for r in minhash.without_copies(df).collect())
+    assert left == sorted([(1, a), (1, b), (6, ""), (6, "alone in the world of words")])
+    same = spark.createDataFrame([(1, a), (1, f"{a} x"), (2, b), (2, b)], df.schema)
+    assert [r.doc_id for r in minhash.without_copies(same).orderBy("doc_id").collect()] == [1, 2, 2]
+
+
+def test_long_sets_make_small_blocks(spark, monkeypatch):
+    r = random.Random(9)
+    base = [f"w{r.randrange(500)}" for _ in range(400)]
+    rows = [(i, " ".join([*base[: 400 - i], f"x{i}"])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 900)
+    assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in minhash.near_copies(df, percent=85).collect()} == brute(rows, 85)
+
+
 def test_documents_of_the_table(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     want = brute([(r.doc_id, r.text) for r in docs.collect()], 85)
