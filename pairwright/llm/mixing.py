@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Pareto order sampling [native].
 
-Each source gets a target size in words.  Every document first gets its certain
-whole copies; what is left is drawn: documents are ranked by the odds of a random
-number over the odds of their inclusion, and the lowest ranks are taken until the
-source's words are used up.
+Each source gets a target size in words.  Every document first gets its certain whole
+copies; what is left is drawn with inclusion in proportion to size.  Documents whose size
+makes that certain come in first, and the rest of the words is spread over the others, which
+are ranked by the odds of a random number over the odds of their inclusion; the lowest ranks
+are taken until the source's words are used up, which fixes the sample's size in words.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pairwright.llm.scratch import words, written
 
 #: Parts of the rank's range that are counted at each of two levels.
 PARTS = 4096
+#: Documents that may close a source's draw.
+CLOSING = 3
 
 
 def numbered(df: DataFrame, by: str) -> DataFrame:
@@ -50,14 +53,38 @@ def targets(sources: DataFrame, total: float, limit: float) -> DataFrame:
     return sources.withColumn("target", F.least(most, F.lit(level) * F.col("weight")))
 
 
-def uniform(id_col: Column, seed: int) -> Column:
-    """A number above 0 and below 1 that follows from id and seed alone."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))).cast("binary"))
+def named(id_col: str, text_col: str) -> Column:
+    """A row's name: its id and its text's digest."""
+    return F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("")))
+
+
+def uniform(name: Column, seed: int) -> Column:
+    """A number above 0 and below 1 that follows from name and seed alone."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"))
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> list[Column]:
+    """What the mixture needs of a row: id, source, name (``tie``) and size in words."""
+    return [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), named(id_col, text_col).alias("tie"), F.size(words(F.col(text_col))).cast("long").alias("size")]
+
+
+def inclusion(base: DataFrame, sources: DataFrame) -> DataFrame:
+    """By source: documents larger than ``cut`` come in, others by ``level`` times their size; ``left`` words remain to be drawn.
+
+    Documents are counted by size first.  From the largest size down, a size is certain while
+    what is left of the words, spread over the smaller ones in proportion to size, would give
+    it more than one; only a source's distinct sizes meet in a task.
+    """
+    by_size = base.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
+    by_size = by_size.join(sources.where("rest > 0").select("of_source", "rest"), F.col("source").eqNullSafe(F.col("of_source")))
+    down = Window.partitionBy("of_source").orderBy(F.desc("size"))
+    larger = F.coalesce(F.sum(F.col("n") * F.col("size")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    squares = F.sum((F.col("n") * F.col("size")).cast("decimal(38,0)") * F.col("size")).over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    by_size = by_size.withColumn("left", F.col("rest") - larger).withColumn("level", F.col("left") / squares.cast("double"))
+    first = F.max(F.when(F.col("level") * F.col("size") < 1, F.struct("size", "level", "left"))).alias("x")
+    found = by_size.groupBy("of_source").agg(first)
+    return found.select(F.col("of_source").alias("i_source"), F.coalesce("x.size", F.lit(-1)).alias("cut"), F.coalesce("x.level", F.lit(0.0)).alias("level"), F.coalesce("x.left", F.lit(0.0)).alias("left"))
 
 
 def _crossing(parts: DataFrame, part: str) -> DataFrame:
@@ -69,7 +96,7 @@ def _crossing(parts: DataFrame, part: str) -> DataFrame:
 
 
 def _plan(base: DataFrame, weights: tuple[float, ...], share: float, limit: float, seed: int) -> DataFrame:
-    """One row per source: target, certain copies, inclusion probability, and where the drawing ends."""
+    """One row per source: target, certain copies, inclusion by size, and where the drawing ends."""
     sources = written(numbered(base.groupBy("source").agg(F.sum("size").alias("source_size")), "source"), "sources")
     n = len(weights)
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % n + 1).cast("int"))
@@ -79,11 +106,13 @@ def _plan(base: DataFrame, weights: tuple[float, ...], share: float, limit: floa
     sources = written(
         targets(sources, share * total, limit)
         .withColumn("certain", F.floor(ratio))
-        .withColumn("chance", ratio - F.col("certain"))
         .withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size"))
-        .select(F.col("source").alias("of_source"), "source_size", "target", "certain", "chance", "rest"),
+        .select(F.col("source").alias("of_source"), "source_size", "target", "certain", "rest"),
         "targets",
     )
+    by_size = inclusion(base, sources)
+    sources = sources.join(by_size, sources["of_source"].eqNullSafe(by_size["i_source"]), "left").drop("i_source", "rest").withColumnRenamed("left", "rest")
+    sources = written(sources, "inclusion")
     drawn = ranked(base, sources, seed)
     one = written(_crossing(drawn.groupBy("source", "part1").agg(F.sum("size").alias("words"), F.first("rest").alias("rest")), "part1"), "part1")
     inner = _with(drawn.drop("rest", "of_source"), one).where(F.col("part1") == F.col("last_part1")).withColumnRenamed("rest_part1", "rest")
@@ -91,17 +120,23 @@ def _plan(base: DataFrame, weights: tuple[float, ...], share: float, limit: floa
     # What both levels leave is some sixteen-millionth of a source, and is put in order.
     last = _with(inner.drop("rest", "of_source"), two).where(F.col("part2") == F.col("last_part2"))
     over = Window.partitionBy("source").orderBy("rank", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = last.groupBy("source", "rank", "tie").agg(F.sum("size").alias("size"), F.first("rest_part2").alias("rest_part2"))
     taken = last.withColumn("upto", F.sum("size").over(over)).where(F.col("upto") <= F.col("rest_part2"))
     ends = taken.groupBy("source").agg(F.max(F.struct("upto", "rank", "tie")).alias("end")).select(F.col("source").alias("e_source"), "end")
     plan = _small(sources, one, two)
     plan = plan.join(ends, plan["of_source"].eqNullSafe(ends["e_source"]), "left").drop("e_source")
     plan = written(plan.withColumn("gap", F.coalesce(F.col("rest_part2") - F.coalesce(F.col("end.upto"), F.lit(0)), F.lit(0.0))), "plan")
-    # The one document that comes closest to what is still missing closes the draw.
-    left = _with(ranked(base, plan, seed).drop("of_source"), plan.select("of_source", "last_part1", "last_part2", "end", "gap"))
-    miss = F.abs(F.col("size") - F.col("gap"))
-    closing = left.where(~drawn_in() & (miss < F.col("gap"))).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "rank", "tie")).alias("closing"))
-    closing = closing.select(F.col("source").alias("c_source"), F.col("closing.tie").alias("closing"))
-    return written(plan.join(closing, plan["of_source"].eqNullSafe(closing["c_source"]), "left").drop("c_source"), "mix")
+    # Documents that come closest to what is still missing close the draw, one after the other.
+    plan = plan.withColumn("closing", F.array().cast("array<string>"))
+    for k in range(CLOSING):
+        left = _with(ranked(base, plan, seed).drop("of_source"), plan.select("of_source", "last_part1", "last_part2", "end", "gap", "closing"))
+        miss = F.abs(F.col("size") - F.col("gap"))
+        left = left.where(~drawn_in() & ~F.array_contains("closing", F.col("tie")) & (miss < F.col("gap")))
+        one = left.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "rank", "tie", "size")).alias("one")).select(F.col("source").alias("c_source"), "one")
+        plan = plan.join(one, plan["of_source"].eqNullSafe(one["c_source"]), "left")
+        plan = plan.withColumn("closing", F.when(F.col("one").isNull(), F.col("closing")).otherwise(F.array_append("closing", F.col("one.tie"))))
+        plan = written(plan.withColumn("gap", F.col("gap") - F.coalesce("one.size", F.lit(0))).drop("c_source", "one"), f"closing{k}")
+    return plan
 
 
 def _small(sources: DataFrame, *more: DataFrame) -> DataFrame:
@@ -116,16 +151,20 @@ def _with(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(sources, rows["source"].eqNullSafe(sources["of_source"]))
 
 
-def ranked(base: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
-    """Rows of sources that draw, with ``rank`` (odds over odds, folded to 0..1) and its parts."""
-    u = uniform(F.col("doc_id"), seed)
-    odds = (u / (1 - u)) / (F.col("chance") / (1 - F.col("chance")))
-    df = _with(base, sources.select("of_source", "chance", "rest")).where(F.col("chance") > 0)
-    df = df.withColumn("rank", odds / (1 + odds)).withColumn("tie", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+def with_rank(rows: DataFrame, seed: int) -> DataFrame:
+    """Add ``rank`` (odds of the random number over odds of inclusion, folded to 0..1) and its parts; null where nothing is drawn."""
+    u, chance = uniform(F.col("tie"), seed), F.col("level") * F.col("size")
+    odds = (u / (1 - u)) / (chance / (1 - chance))
+    df = rows.withColumn("rank", F.when((F.col("size") > 0) & (F.col("size") <= F.col("cut")) & (F.col("level") > 0), odds / (1 + odds)))
     at = F.col("rank") * PARTS
     return df.withColumn("part1", F.floor(at)).withColumn("part2", F.floor((at - F.floor(at)) * PARTS))
 
 
+def ranked(base: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """Rows that take part in the draw."""
+    return with_rank(_with(base, sources.select("of_source", "cut", "level", "rest")), seed).where("rank is not null")
+
+
 def drawn_in() -> Column:
     """True where a ranked row lies before the end of its source's draw; all do where the draw never ends."""
     before = F.struct("rank", "tie") <= F.struct(F.col("end.rank"), F.col("end.tie"))
@@ -139,24 +178,21 @@ def mix_sources(
     docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, limit: float = 2.0, seed: int = 17,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: bool = False,
 ) -> DataFrame:
-    """One row per document: size, its source's size and target, ``copies`` and the words ``taken``.
+    """One row per document: size, its source's size and target, the words ``taken``, and ``copies``.
 
     Sources in code-point order, null last, weigh ``weights`` in turn.  Null or empty texts
-    have size 0.  Rows with the same id share one fate.  With ``keep`` the documents' own
-    columns come back too, under their names, and the result's columns start with ``mix_``.
+    have size 0 and are never drawn.  Rows that share both id and text share one fate.  With
+    ``keep`` the documents' own columns come back too, under their names, and the result's
+    columns start with ``mix_``.
     """
-    base = written(sizes(docs, id_col, text_col, source_col), "sizes")
+    columns = sizes(docs, id_col, text_col, source_col)
+    base = written(docs.select(*columns), "sizes")
     plan = _plan(base, weights, share, limit, seed)
-    rows = base
-    if keep:
-        rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"))
-    u = uniform(F.col("doc_id"), seed)
-    odds = (u / (1 - u)) / (F.col("chance") / (1 - F.col("chance")))
-    df = _with(rows, plan).withColumn("rank", F.when(F.col("chance") > 0, odds / (1 + odds))).withColumn("tie", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    at = F.col("rank") * PARTS
-    df = df.withColumn("part1", F.floor(at)).withColumn("part2", F.floor((at - F.floor(at)) * PARTS))
-    extra = F.when((F.col("chance") > 0) & (drawn_in() | F.coalesce(F.col("closing") == F.col("tie"), F.lit(False))), 1).otherwise(0)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *columns) if keep else base
+    df = with_rank(_with(rows, plan), seed)
+    drawn = F.col("rank").isNotNull() & (drawn_in() | F.coalesce(F.array_contains("closing", F.col("tie")), F.lit(False)))
+    extra = F.when(F.coalesce(F.col("size") > F.col("cut"), F.lit(False)) | drawn, 1).otherwise(0)
     df = df.withColumn("copies", (F.col("certain") + extra).cast("long"))
     if keep:
         return df.select("row.*", F.col("copies").alias("mix_copies"))
-    return df.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return df.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).alias("taken"), "copies")

@@ -43,7 +43,8 @@ FROM f LEFT JOIN v ON f.host = v.host
 MIXING = r"""
 WITH b AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents
+         coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '') AS tie,
+         (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM b GROUP BY source
 ), w AS (
@@ -59,22 +60,48 @@ WITH b AS (
 ), q AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM t
 ), d AS (
-  SELECT b.*, source_size, target, floor(ratio) AS certain, ratio - floor(ratio) AS chance, target - floor(ratio) * source_size AS rest
+  SELECT b.*, source_size, target, floor(ratio) AS certain, target - floor(ratio) * source_size AS rest
   FROM b JOIN q ON b.source IS NOT DISTINCT FROM q.source
+), z AS (
+  SELECT source, size, any_value(rest) AS rest, count(*) AS n FROM d WHERE size > 0 AND rest > 0 GROUP BY source, size
+), y AS (
+  SELECT source, size, rest - coalesce(sum(n * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS words,
+         (sum(n * size * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS squares FROM z
+), i AS (
+  SELECT source, coalesce(max(size) FILTER (WHERE words / squares * size < 1), -1) AS cut,
+         coalesce(max_by(words / squares, size) FILTER (WHERE words / squares * size < 1), 0.0) AS level,
+         coalesce(max_by(words, size) FILTER (WHERE words / squares * size < 1), 0.0) AS words FROM y GROUP BY source
+), r AS (
+  SELECT d.*, coalesce(size > cut, false) AS sure, words,
+         CASE WHEN size > 0 AND size <= cut AND level > 0 THEN (u / (1 - u)) / (level * size / (1 - level * size)) END AS odds
+  FROM d LEFT JOIN i ON d.source IS NOT DISTINCT FROM i.source
+), p AS (
+  SELECT *, odds / (1 + odds) AS rank FROM r
 ), o AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id::VARCHAR ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM d
+  SELECT *, CASE WHEN rank IS NOT NULL THEN sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, tie ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS upto FROM p
 ), k AS (
-  SELECT *, chance > 0 AND (min(CASE WHEN upto > rest THEN u END) OVER (PARTITION BY source) IS NULL
-                            OR u < min(CASE WHEN upto > rest THEN u END) OVER (PARTITION BY source)) AS drawn FROM o
+  SELECT *, rank IS NOT NULL AND (min(CASE WHEN upto > words THEN rank END) OVER (PARTITION BY source) IS NULL
+                                  OR rank < min(CASE WHEN upto > words THEN rank END) OVER (PARTITION BY source)) AS drawn FROM o
 ), g AS (
-  SELECT *, rest - coalesce(max(CASE WHEN drawn THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM k
-), x AS (
-  SELECT *, row_number() OVER (PARTITION BY source, chance > 0 AND NOT drawn AND abs(size - gap) < gap ORDER BY abs(size - gap), u) AS place FROM g
-)
+  SELECT *, words - coalesce(max(CASE WHEN drawn THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM k
+)"""
+
+#: A document closes the draw that comes closest to what is missing, if that is closer than none.
+_CLOSING = """, f{k} AS (
+  SELECT *, coalesce(rank IS NOT NULL AND NOT drawn AND abs(size - gap) < gap, false) AS may FROM {before}
+), x{k} AS (
+  SELECT *, may AND row_number() OVER (PARTITION BY source, may ORDER BY abs(size - gap), rank, tie) = 1 AS closes FROM f{k}
+), g{k} AS (
+  SELECT * EXCLUDE (may, closes, drawn, gap), drawn OR closes AS drawn,
+         gap - coalesce(max(CASE WHEN closes THEN size END) OVER (PARTITION BY source), 0) AS gap FROM x{k}
+)"""
+
+MIXING += "".join(_CLOSING.format(k=k, before=f"g{k - 1}" if k else "g") for k in range(3))
+MIXING += """
 SELECT doc_id, size, source_size, round(target, 6) AS target,
-       (certain + CASE WHEN drawn OR (chance > 0 AND abs(size - gap) < gap AND place = 1) THEN 1 ELSE 0 END)::BIGINT AS copies,
-       ((certain + CASE WHEN drawn OR (chance > 0 AND abs(size - gap) < gap AND place = 1) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
-FROM x
+       ((certain + CASE WHEN sure OR drawn THEN 1 ELSE 0 END) * size)::BIGINT AS taken,
+       (certain + CASE WHEN sure OR drawn THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM g2
 """
 
 _COMPONENTS = """

@@ -120,6 +120,6 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     # The side of hosts is broadcast only where its measured size is below Spark's threshold; else adaptive execution splits hot hosts.
     joined = m.join(verdicts, m["host"] == verdicts["of_host"], "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
     return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "host_rejected",
-        (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"),
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"), "host_rate", "host_rejected",
     )

@@ -1,5 +1,6 @@
 """The two native operators: by their SQL, by plain Python, and on odd rows."""
 
+import hashlib
 import random
 import re
 from pathlib import Path
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairwright.llm import mixing, oracles, quality
 from pairwright.llm.queries import ORACLES, QUERIES
-from pairwright.llm.scratch import table
+from pairwright.llm.scratch import table, written
 
 SF = "/root/testdata/sf0.001"
 
@@ -109,11 +110,56 @@ def test_mixing(spark):
     assert {r.taken for r in mixing.mix_sources(df.where("source = 'empty'")).collect()} == {0}
 
 
-def test_pareto_keeps_unequal_chances(spark):
-    """Over many seeds a source's documents come in as often as its chance says."""
-    df = table(spark, SF, "documents").select("doc_id", F.lit("w w w w").alias("text"), F.when(F.col("doc_id") % 4 == 0, "a").otherwise("b").alias("source")).cache()
-    n = {"a": 0.0, "b": 0.0}
-    for seed in range(3):
-        for r in mixing.mix_sources(df, seed=seed, weights=(3.0, 1.0)).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect():
-            n[r.source] += abs(r.t - r.g)
-    assert max(n.values()) <= 3 * 4
+def by_size(sizes, words):
+    """Inclusion by size, certain ones first, round by round."""
+    sure: set = set()
+    while True:
+        left = words - sum(sizes[i] for i in sure)
+        squares = sum(n * n for i, n in enumerate(sizes) if i not in sure)
+        more = {i for i, n in enumerate(sizes) if i not in sure and n * left / squares >= 1}
+        if not more:
+            return [1.0 if i in sure else n * left / squares for i, n in enumerate(sizes)]
+        sure |= more
+
+
+def test_inclusion_follows_each_documents_chance(spark):
+    """Over many seeds a document comes in as often as its size says; ranks are not the order of the random numbers."""
+    sizes = [1] * 20 + [5] * 20 + [20] * 20 + [60] * 6 + [2000]
+    rest = 2300.0
+    df = spark.createDataFrame([(i, " ".join(["w"] * n), "a") for i, n in enumerate(sizes)], "doc_id long, text string, source string").coalesce(1)
+    base = written(df.select(*mixing.sizes(df)), "sizes")
+    plan = mixing.inclusion(base, spark.createDataFrame([("a", rest)], "of_source string, rest double")).first()
+    want = by_size(sizes, rest)
+    got = [1.0 if n > plan.cut else plan.level * n for n in sizes]
+    assert all(abs(g - w) < 1e-9 for g, w in zip(got, want, strict=True)) and got[-1] == 1.0 and plan.left == 300
+    # The operator's own random numbers and ranks, one seed; then those of many seeds, made alike.
+    ranked = mixing.with_rank(base.withColumns({"cut": F.lit(plan.cut), "level": F.lit(plan.level)}), 17).collect()
+    number = lambda tie, seed: (int(hashlib.md5(f"{seed}:{tie}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
+    def rank(tie, n, seed):
+        u, chance = number(tie, seed), plan.level * n
+        odds = u / (1 - u) / (chance / (1 - chance))
+        return odds / (1 + odds)
+
+    assert all(abs(r["rank"] - rank(r.tie, r["size"], 17)) < 1e-12 if r["size"] <= plan.cut else r["rank"] is None for r in ranked)
+    drawing = [(r.doc_id, r.tie, r["size"]) for r in ranked if r["size"] <= plan.cut]
+    assert sorted(drawing, key=lambda r: rank(*r[1:], 17)) != sorted(drawing, key=lambda r: number(r[1], 17))
+    drawn, seeds = [0] * len(sizes), 3000
+    for seed in range(seeds):
+        upto = 0
+        for i, tie, n in sorted(drawing, key=lambda r: rank(*r[1:], seed)):
+            upto += n
+            if upto > plan.left + n / 2:
+                break
+            drawn[i] += 1
+    for lo, hi in ((0, 20), (20, 40), (40, 60), (60, 66)):
+        often, chance = sum(drawn[lo:hi]) / seeds / (hi - lo), sum(want[lo:hi]) / (hi - lo)
+        assert abs(often - chance) < 0.15 * chance + 0.01, (lo, often, chance)
+
+
+def test_repeated_rows_share_a_fate(spark):
+    rows = [(1, "w " * 10, "a")] * 300 + [(1, "v " * 10, "a")] * 3 + [(i, "w " * 7, "a") for i in range(2, 300)] + [(None, "w", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix_sources(df, limit=1.3).collect()
+    assert len(out) == len(rows) and all(r.taken <= 2 * r.size for r in out)
+    assert len({r.copies for r in out if r.doc_id == 1}) <= 2
