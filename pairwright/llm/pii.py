@@ -23,7 +23,15 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 #: Patterns that the method adds.
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+_IBAN_REST = re.compile(r"(?:\x20?[A-Z0-9])*+")
+#: How many characters an account number has, by country.
+IBAN_LENGTHS = dict(x.split(":") for x in (
+    "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FO:18 FR:27 "
+    "GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 "
+    "MD:24 ME:22 MK:19 MR:27 MT:31 MU:30 NL:18 NO:15 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 SA:24 SC:31 SE:24 SI:19 SK:24 SM:27 SV:28 TL:23 TN:24 "
+    "TR:26 UA:29 VA:22 VG:24 XK:20"
+).split())
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 #: Scores of a confirmed span before its context counts, and the words that count.
@@ -67,6 +75,20 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
             end = m.end()
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers of their country's length, single spaces allowed; what follows may be capitals after a space."""
+    for m in _IBAN.finditer(text):
+        length = int(IBAN_LENGTHS.get(m[0][:2], 0))
+        rest = _IBAN_REST.match(text, m.end(), m.end() + 2 * 34)[0]
+        at = n = 0
+        while at < len(rest) and n < length - 4:
+            n += rest[at] != " "
+            at += 1
+        end = m.end() + at
+        if n == length - 4 and not text[end : end + 1].isalnum() and mod97(text[m.start() : end]):
+            yield m.start(), end
+
+
 def _octet(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) < 4 and int(part or 0) <= 255
@@ -94,9 +116,7 @@ def candidates(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
                 yield "phone", *m.span()
-    for m in _IBAN.finditer(text):
-        if 15 <= len(m[0].replace(" ", "")) <= 34 and mod97(m[0]):
-            yield "iban", *m.span()
+    yield from (("iban", *span) for span in _ibans(text))
     for m in _SSN.finditer(text):
         if _ssn(m[0]):
             yield "ssn", *m.span()
@@ -150,17 +170,21 @@ def mask_pii(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 
 def pii_digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts, digest of the base spans and list of all spans, from ``find_pii``'s spans in the same pass."""
+    """Counts, digest of the base spans and list of all spans, from ``find_pii``'s spans in the same pass.
+
+    Base spans always count; ``scores`` gives each span's score, in the order of ``spans``, and
+    ``confident`` lists the spans that their checks and context carry to LEAST.  A null text has none.
+    """
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in them:
             rows = [spans(text) for text in batch.column(1).to_pylist()]
             count = lambda kind: pa.array([sum(s.kind == kind for s in r) for r in rows], pa.int64())  # noqa: B023,E731
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *map(count, BASE), pa.array([hashlib.sha256(listed([s for s in r if s.kind in BASE]).encode()).hexdigest() for r in rows]), pa.array([listed(r) for r in rows])],
-                names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"],
+                [batch.column(0), *map(count, BASE), pa.array([hashlib.sha256(listed([s for s in r if s.kind in BASE]).encode()).hexdigest() for r in rows]), pa.array([listed(r) for r in rows]), pa.array([",".join(f"{s.score:.3f}" for s in r) for r in rows]), pa.array([listed([s for s in r if s.score >= LEAST]) for r in rows])],
+                names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "scores", "confident"],
             )
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(batches, f"doc_id {kind}, {', '.join(f'n_{k} long' for k in BASE)}, base_sha256 string, spans string")
+    return narrow.mapInArrow(batches, f"doc_id {kind}, {', '.join(f'n_{k} long' for k in BASE)}, base_sha256 string, spans string, scores string, confident string")
