@@ -28,9 +28,9 @@ _WORDS = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]++")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}+")
 #: Patterns that the method adds.
-_JWT = re.compile(r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+(?![A-Za-z0-9_.-])")
+_JWT = re.compile(r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+(?!\.?[A-Za-z0-9_-])")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s]*+)-----END \1PRIVATE KEY-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}+={0,2}(?![A-Za-z0-9+/_=-])")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}(?![A-Za-z0-9+/_=-])")
 
 
 def decoded(text: str) -> bytes | None:
@@ -57,31 +57,58 @@ def _length(data: bytes, at: int) -> tuple[int, int] | None:
     return int.from_bytes(data[at + 1 : at + 1 + n], "big"), at + 1 + n
 
 
+#: Constructed elements may be nested so deep.
+DEEPEST = 16
+
+
+def _elements(data: bytes, at: int, end: int, depth: int = 0) -> list[int] | None:
+    """Tags of the DER elements that fill the range, constructed ones filled in turn; None if their lengths don't add up."""
+    tags = []
+    while at < end:
+        tags.append(data[at])
+        if (part := _length(data, at + 1)) is None or part[0] + part[1] > end:
+            return None
+        at = part[0] + part[1]
+        if tags[-1] & 0x20 and (depth == DEEPEST or _elements(data, part[1], at, depth + 1) is None):
+            return None
+    return tags
+
+
 def is_der(data: bytes) -> bool:
-    """A SEQUENCE that fills the data, whose elements fill it in turn, an INTEGER or SEQUENCE first."""
+    """A SEQUENCE that fills the data, whose elements fill it in turn, all the way down; an INTEGER or SEQUENCE first."""
     if len(data) < 24 or data[0] != 0x30 or (head := _length(data, 1)) is None or head[0] + head[1] != len(data):
         return False
-    at, tags = head[1], []
-    while at < len(data):
-        tags.append(data[at])
-        if (part := _length(data, at + 1)) is None or part[0] + part[1] > len(data):
-            return False
-        at = part[0] + part[1]
-    return len(tags) >= 2 and tags[0] in (0x02, 0x30)
+    tags = _elements(data, head[1], len(data))
+    return tags is not None and len(tags) >= 2 and tags[0] in (0x02, 0x30)
 
 
-def is_ssh(data: bytes) -> bool:
-    """Either an openssh private blob, or length-prefixed fields that fill the data after a name of a key's kind."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
+def _fields(data: bytes) -> list[bytes] | None:
+    """Length-prefixed fields that fill the data; None if they don't."""
     at, fields = 0, []
     while at + 4 <= len(data):
         n = int.from_bytes(data[at : at + 4], "big")
         at += 4 + n
         if at > len(data):
-            return False
+            return None
         fields.append(data[at - n : at])
-    return at == len(data) and len(fields) >= 2 and fields[0].startswith((b"ssh-", b"ecdsa-", b"sk-"))
+    return fields if at == len(data) else None
+
+
+def is_ssh(data: bytes) -> bool:
+    """A public key: fields that fill the data, the first a name of a key's kind; or an openssh private one, its fields nested likewise."""
+    magic = b"openssh-key-v1\0"
+    if not data.startswith(magic):
+        fields = _fields(data)
+        return fields is not None and len(fields) >= 2 and fields[0].startswith((b"ssh-", b"ecdsa-", b"sk-"))
+    # Cipher, key derivation and its options, the number of keys, each public key, and the private part.
+    at, names = len(magic), []
+    for _ in range(3):
+        n = int.from_bytes(data[at : at + 4], "big")
+        names.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    n_keys = int.from_bytes(data[at : at + 4], "big")
+    rest = _fields(data[at + 4 :]) if at + 4 <= len(data) else None
+    return rest is not None and 1 <= n_keys == len(rest) - 1 and bool(names[0]) and all(is_ssh(key) and not key.startswith(magic) for key in rest[:-1])
 
 
 def is_signed_token(text: str) -> bool:

@@ -61,6 +61,11 @@ def test_checksums():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB82 WEST 1234 5698 7654 33")
     assert [s.kind for s in pii.spans("account GB82 WEST 1234 5698 7654 32 and")] == ["iban"]
+    for after in ("AND", "BIC COBADEFF", "12", ".", ""):
+        found = pii.spans(f"to DE89 3704 0044 0532 0130 00 {after}")
+        assert [(s.kind, s.start, s.end) for s in found if s.kind == "iban"] == [("iban", 3, 30)], after
+    assert [s.kind for s in pii.spans("GB82 WEST 1234 5698 7654 32 AND")] == ["iban"] and pii.spans("GB82WEST12345698765432X") == []
+    assert [s.kind for s in pii.spans("GB82WEST12345698765432")] == ["iban"]
     assert [s.kind for s in pii.spans("my ssn is 123-45-6789")] == ["ssn"]
     assert pii.spans("lot 123-45-6789 of bolts") == []
 
@@ -79,7 +84,15 @@ def test_structures_confirm():
     der = b"\x30\x26\x02\x01\x00\x04\x21" + bytes(range(33))
     assert secrets.is_der(der) and not secrets.is_der(der + b"x")
     assert [s[0] for s in secrets.spans(f"k {base64.b64encode(der).decode()} k")] == ["der"]
+    # Nested lengths have to add up too.
+    nested = b"\x30\x1c\x02\x01\x00\x30\x17\x04\x15" + bytes(21)
+    assert secrets.is_der(nested) and not secrets.is_der(nested[:6] + b"\x17\x04\x14" + bytes(21))
     ssh = b"\0\0\0\x0bssh-ed25519\0\0\0\x20" + bytes(32)
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    private = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(ssh) + field(bytes(64))
+    assert secrets.is_ssh(private) and not secrets.is_ssh(private[:-1]) and not secrets.is_ssh(b"openssh-key-v1\0junk")
+    assert [s[0] for s in secrets.spans(f"KEYDATA={base64.b64encode(ssh).decode()}")] == ["ssh"]
+    assert [s[0] for s in secrets.spans(f"It was {jwt}. Next")] == ["jwt"] and not [s for s in secrets.spans(f"It was {jwt}.more") if s[0] == "jwt"]
     assert [s[0] for s in secrets.spans(f"ssh-ed25519 {base64.b64encode(ssh).decode()} me@host")] == ["ssh"]
     pem = f"-----BEGIN PRIVATE KEY-----\n{base64.b64encode(der).decode()}\n-----END PRIVATE KEY-----"
     assert "pem" in [s[0] for s in secrets.spans(pem)]
@@ -97,6 +110,7 @@ def test_over_a_table(spark):
     rows = [(1, "x a@b.cd y", "z"), (2, None, None), (3, "", "q"), (1, "x a@b.cd y", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
     out = {(r.doc_id, r.n_email, r.spans, r.base_sha256) for r in pii.pii_digest(df).collect()}
+    assert {(r.doc_id, r.scores, r.confident) for r in pii.pii_digest(df).collect()} == {(1, "0.900", "email:2:8"), (2, "", ""), (3, "", "")}
     none = hashlib.sha256(b"").hexdigest()
     assert out == {(1, 1, "email:2:8", hashlib.sha256(b"email:2:8").hexdigest()), (2, 0, "", none), (3, 0, "", none)}
     assert secrets.secret_digest(df).count() == 4 and secrets.secret_digest(df.limit(0)).count() == 0
