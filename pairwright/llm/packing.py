@@ -26,13 +26,18 @@ from pairwright.llm.scratch import trimmed, written
 CHUNK = 4096
 #: Bins filled less than this share are packed again.
 LOOSE = 0.98
+#: Two-for-one exchanges look for their pair in so many of the emptiest bins; these are the ones that can run empty.
+PARTNERS = 32
+#: Partitions at most; beyond it each holds several chunks.
+PARTITIONS = 8192
 #: Beyond this range the two libraries' regular expressions might differ; such texts take the slower one.
 _PLAIN = re.compile("[^\x00-ɏ]")
 
 
 @functools.lru_cache(maxsize=1)
 def encoder(path: str):
-    """A function from text to ids, as ``tokenizers`` gives them.
+    """A function from text to ids, as ``tokenizers`` gives them with ``encode_special_tokens``: the strings
+    of special tokens in a text are ordinary text, as the vocabulary's own description has it.
 
     tiktoken reads the same vocabulary four times as fast; its ids are the same, which the
     tests hold against ``tokenizers``.  Texts beyond Latin letters take ``tokenizers`` itself.
@@ -123,10 +128,10 @@ def _best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def _improve(bins: list[list[int]], lengths: np.ndarray, size: int, rounds: int = 6) -> list[list[int]]:
-    """Exchange pieces between bins that are not full, each time raising the sum of squared fills.
+def _improve(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
+    """Exchange pieces between bins that are not full, each time raising the sum of squared fills, until no step does.
 
-    A bin gives up none, one or two of its pieces for one of another bin, or one for two.
+    A bin gives up none, one or two of its pieces for one of another bin, or none or one for two.
     """
     n = lengths.tolist()
     fill = [sum(n[i] for i in b) for b in bins]
@@ -198,14 +203,13 @@ def _improve(bins: list[list[int]], lengths: np.ndarray, size: int, rounds: int
                 close(x)
         return True
 
-    for _ in range(rounds):
-        emptiest = sorted(open_, key=lambda b: (fill[b], b))[:32]
+    changed = True
+    while changed:
+        emptiest = sorted(open_, key=lambda b: (fill[b], b))[:PARTNERS]
         changed = False
         for a in sorted(open_, key=lambda b: (-fill[b], b)):
             while a in open_ and step(a):
                 changed = True
-        if not changed:
-            break
     return [b for b in bins if b]
 
 
@@ -230,12 +234,13 @@ def _packed(df: DataFrame, size: int, first: int, n_chunks: int) -> DataFrame:
         return out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "chunk")
-    return df.repartition(n_chunks, "chunk").groupBy("chunk").applyInArrow(pack, f"{schema}, sequence_id long, offset long, loose long")
+    return df.repartition(min(n_chunks, PARTITIONS), "chunk").groupBy("chunk").applyInArrow(pack, f"{schema}, sequence_id long, offset long, loose long")
 
 
 def _dealt(df: DataFrame, salt: int) -> tuple[DataFrame, int]:
+    """Rows of a written table dealt to chunks by their place in it, so that repeated or null ids spread like others."""
     n = max(1, -(-df.count() // CHUNK))
-    return df.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(n))), n
+    return df.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(salt)), F.lit(n))), n
 
 
 def pack(docs: DataFrame, *, tokenizer: str, size: int = 2048, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -71,3 +71,39 @@ def test_local_search_empties_bins():
         bins = packing._best_fit(lengths, 100)
         better = packing._improve([list(b) for b in bins], lengths, 100)
         assert sorted(sum(better, [])) == list(range(80)) and len(better) <= len(bins) and all(sum(lengths[b]) <= 100 for b in better)
+
+
+def test_null_and_repeated_ids_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 50)
+    docs = spark.createDataFrame([(None, "the same words")] * 400 + [(7, "others")] * 200, "doc_id long, text string").repartition(3)
+    dealt, n = packing._dealt(packing.written(packing.pieces(docs, PATH, 64), "pieces"), 0)
+    sizes = [r["count"] for r in dealt.groupBy("chunk").count().collect()]
+    assert n == 12 and len(sizes) == 12 and max(sizes) < 120
+    assert packing.pack(docs, tokenizer=PATH, size=64).count() == 600
+
+
+def test_packed_result_against_brute_force(spark):
+    """A chunk's sequences: as few as exhaustive search finds, over small sets of lengths."""
+    def fewest(lengths, size):
+        best = [len(lengths)]
+
+        def place(at, rooms):
+            if len(rooms) >= best[0]:
+                return
+            if at == len(lengths):
+                best[0] = len(rooms)
+                return
+            for r in sorted(set(rooms)):
+                if r >= lengths[at]:
+                    left = list(rooms)
+                    left.remove(r)
+                    place(at + 1, [*left, r - lengths[at]])
+            place(at + 1, [*rooms, size - lengths[at]])
+
+        place(0, [])
+        return best[0]
+
+    for seed in range(40):
+        lengths = np.sort(np.random.default_rng(seed).integers(5, 60, 10))[::-1]
+        bins = packing._improve(packing._best_fit(lengths, 100), lengths, 100)
+        assert len(bins) <= fewest(lengths.tolist(), 100), seed
