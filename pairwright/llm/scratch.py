@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a new temporary folder only where it is unset."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, as in tests, a new temporary folder in local mode and an error otherwise."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,7 +52,11 @@ BATCH_ROWS = 1000
 
 
 def small_batches(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """A query or stage, its first argument the session, that asks for batches of at most BATCH_ROWS rows."""
+    """A query or stage, its first argument the session, that asks for batches of at most BATCH_ROWS rows.
+
+    The option stays lowered in the session: frames are planned when they run, after this returns.
+    It bounds memory alone; no result depends on it.
+    """
 
     @functools.wraps(query)
     def with_small_batches(spark: SparkSession, *args) -> DataFrame:
