@@ -41,7 +41,7 @@ def test_stages(spark):
 
     model = langid.train(docs)
     lang, score = model.predict([r[1] for r in start])
-    want = [r for r, x, s in zip(start, lang, score, strict=True) if x != "und" and s >= pipeline.LEAST_SCORE]
+    want = [r for r, x, s in zip(start, lang, score, strict=True) if x != "und" and s >= pipeline.least_score(4)]
     one = written(pipeline.language(spark, docs, SF), "one")
     assert one.columns == docs.columns and sorted(rows(one)) == sorted(want)
     assert {10_000, 10_001}.isdisjoint(r[0] for r in want) and len(want) >= len(start) - 4
@@ -80,6 +80,28 @@ def test_stages(spark):
     assert max(full.values()) <= 2048 and len(full) <= 1.05 * sum(full.values()) / 2048 + 1
 
 
+def test_clean_documents_stay_with_any_number_of_languages(spark):
+    """One, two and twelve languages: what is told apart stays, letters of no language that was learned go."""
+    import random
+
+    for n in (1, 2, 12):
+        r = random.Random(n)
+        # Languages share half of their letters.
+        alphabets = ["aeinorst" + "".join(r.sample("bcdfghjklmpquvwxyzäöüéèñßøåłż", 8)) for _ in range(n)]
+        word = lambda k: "".join(r.choice(alphabets[k]) for _ in range(r.randrange(3, 8)))  # noqa: B023,E731
+        vocabularies = [[word(k) for _ in range(200)] for k in range(n)]
+        rows = [(i, " ".join(r.choice(vocabularies[i % n]) for _ in range(60)), f"l{i % n:02}", "s", 0) for i in range(240)]
+        docs = spark.createDataFrame([*rows, (900, "12 !?", "l00", "s", 0), (901, None, None, "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+        assert sorted(x.doc_id for x in pipeline.language(spark, docs, SF).collect()) == list(range(240)), n
+
+
+def test_empty_and_unlabelled_tables(spark, tmp_path):
+    docs = table(spark, SF, "documents")
+    for name, frame in (("empty", docs.limit(0)), ("unlabelled", docs.limit(20).selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "n_chars"))):
+        frame.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        assert pipeline.run(spark, f"{tmp_path}/{name}").count() == 0
+
+
 def test_run_is_the_stages(spark):
     out = pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
