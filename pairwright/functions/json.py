@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,6 +93,52 @@ def read_json(text: Column, pointers: list[str]) -> Column:
     return F.udf(read, READ, useArrow=True)(text)
 
 
+def normal_text(text: str) -> str:
+    """A text in NFKC, white space trimmed and runs of it one space; letter case as it was."""
+    return " ".join((text if text.isascii() else unicodedata.normalize("NFKC", text)).split())
+
+
+#: A found value: its canonical JSON text, its type's name, a string's or number's own text, and a string's normal text.
+VALUE = "struct<json:string,type:string,text:string,norm:string>"
+
+
+def _typed(value: object) -> tuple | None:
+    if value is MISSING:
+        return None
+    if isinstance(value, Number):
+        return str(value), kind(value), str(value), None
+    if isinstance(value, str):
+        return canonical(value), "string", value, normal_text(value)
+    return canonical(value), kind(value), None, None
+
+
+def read_values(text: Column, pointers: list[str]) -> Column:
+    """As ``read_json``, each found value in the forms that comparisons need, so that nothing is parsed again."""
+
+    def read(raw: str | None) -> tuple | None:
+        if raw is None:
+            return None
+        try:
+            value = parse(raw.strip())
+        except (ValueError, RecursionError) as e:
+            return str(e) or "malformed", None, None
+        return None, canonical(value), [_typed(resolve(value, p)) for p in pointers]
+
+    return F.udf(read, f"struct<error:string,canonical:string,found:array<{VALUE}>>", useArrow=True)(text)
+
+
+def records(text: Column, pointers: list[str]) -> Column:
+    """Of a JSON array of objects, each item's values at the pointers; null for anything else."""
+
+    def read(raw: str | None) -> list | None:
+        value = None if raw is None else parse(raw)
+        if not isinstance(value, list) or not all(isinstance(x, dict) for x in value):
+            return None
+        return [[_typed(resolve(x, p)) for p in pointers] for x in value]
+
+    return F.udf(read, f"array<array<{VALUE}>>", useArrow=True)(text)
+
+
 def leaves(text: Column) -> Column:
     """Every place of a document: pointer, aggregation pointer (``*`` for items), type, and canonical text of scalars."""
 

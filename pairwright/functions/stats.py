@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,27 +21,33 @@ def paired_counts(baseline: Column, candidate: Column) -> list[Column]:
     ]
 
 
-def mcnemar(losses: Column, wins: Column) -> Column:
-    """The exact two-sided McNemar p of discordant counts: twice the binomial tail at one half, at most 1.
+def binomial_tail(n: int, k: int) -> float:
+    """The probability of at most ``k`` of ``n`` fair coins, for 2 k <= n.
 
-    The tail is summed in logarithms; without discordance p is 1.
+    Terms are summed from the largest down, in blocks, until they no longer tell: some square
+    root of n of them, whatever the counts.
     """
-    counts = F.struct((losses + wins).cast("int").alias("n"), F.least(losses, wins).cast("int").alias("k"))
+    first = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2))
+    total, term, i = first, first, k
+    while i > 0 and term > total * 1e-18:
+        down = np.arange(i, max(i - 4096, 0), -1, dtype=float)
+        terms = term * np.cumprod(down / (n - down + 1))
+        total, term, i = total + float(terms.sum()), float(terms[-1]), i - len(down)
+    return total
 
-    def p_of(x: Column) -> Column:
-        n, k = x["n"], x["k"]
 
-        def step(acc: Column, i: Column) -> Column:
-            term = acc["term"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))
-            return F.struct(term.alias("term"), (term + F.log1p(F.exp(acc["tail"] - term))).alias("tail"))
+def mcnemar(losses: Column, wins: Column) -> Column:
+    """The exact two-sided McNemar p of discordant counts: twice the binomial tail at one half, at most 1.
+
+    Without discordance p is 1.  A small helper over result rows: one number per group.
+    """
 
-        # The sum so far and the next term, both in logarithms; up to the smaller count terms only grow.
-        start = F.struct(F.lit(0.0).alias("term"), F.lit(0.0).alias("tail"))
-        tail = F.when(k > 0, F.aggregate(F.sequence(F.lit(1), k), start, step, lambda acc: acc["tail"])).otherwise(0.0)
-        return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), F.exp(F.log(F.lit(2.0)) * (1 - n) + tail)))
+    def p_of(b: int | None, c: int | None) -> float | None:
+        if b is None or c is None:
+            return None
+        return 1.0 if b + c == 0 else min(1.0, 2 * binomial_tail(b + c, min(b, c)))
 
-    # Bound once: Spark would else work the counts out again at every step.
-    return F.element_at(F.transform(F.array(counts), p_of), 1)
+    return F.udf(p_of, "double", useArrow=True)(losses.cast("long"), wins.cast("long"))
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, float]) -> DataFrame:

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pairwright.functions.json import normal_text
+
 #: Decimals that Spark compares exactly: at most so many digits before and after the point.
 DIGITS, SCALE = 18, 10
-DATE_FORMATS = {"iso": (r"^(\d{4})-(\d{1,2})-(\d{1,2})$", (1, 2, 3)), "dmy_slash": (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", (3, 2, 1)), "mdy_slash": (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", (3, 1, 2))}
+#: Formats of dates: year first, or day or month first with one of three separators.
+DATE_FORMATS = {"iso": (r"^(\d{4})-(\d{1,2})-(\d{1,2})$", (1, 2, 3))} | {
+    f"{order}_{name}": (rf"^(\d{{1,2}}){sign}(\d{{1,2}}){sign}(\d{{4}})$", (3, 2, 1) if order == "dmy" else (3, 1, 2))
+    for order in ("dmy", "mdy") for name, sign in (("slash", "/"), ("dot", r"\."), ("dash", "-"))
+}
 
 
-def normalized(text: Column, *, case_insensitive: bool = True, nfkc: bool = False) -> Column:
-    """White space collapsed and trimmed, lower case unless told otherwise; NFKC, which Spark lacks, on demand."""
-    if nfkc:
-        text = F.udf(lambda s: None if s is None else unicodedata.normalize("NFKC", s), "string", useArrow=True)(text)
-    out = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+def normalized(text: Column, *, case_insensitive: bool = True) -> Column:
+    """NFKC, which Spark lacks; white space collapsed and trimmed; lower case unless told otherwise."""
+    out = F.udf(lambda s: None if s is None else normal_text(s), "string", useArrow=True)(text)
     return F.lower(out) if case_insensitive else out
 
 
@@ -39,9 +41,13 @@ def canonical_integer(text: Column) -> Column:
 
 
 def decimal_text(text: Column) -> Column:
-    """An exact decimal, or null for other texts and for more digits than Spark holds exactly."""
-    fits = text.rlike(rf"^-?[0-9]{{1,{DIGITS}}}(\.[0-9]{{1,{SCALE}}})?$")
-    return F.when(fits, text.try_cast(f"decimal({DIGITS + SCALE},{SCALE})"))
+    """An exact decimal, exponents allowed, or null for other texts and for more digits than Spark holds exactly.
+
+    Casting rounds, so a value counts if more places give the same, and a zero only without other digits.
+    """
+    fits = text.rlike(r"^-?[0-9]{1,28}(\.[0-9]{1,18})?([eE][+-]?[0-9]{1,2})?$")
+    value, finer = text.try_cast(f"decimal({DIGITS + SCALE},{SCALE})"), text.try_cast("decimal(37,19)")
+    return F.when(fits & (value == finer) & ((value != 0) | ~text.rlike(r"^-?[0-9.]*[1-9]")), value)
 
 
 def like_kind(text: Column) -> Column:
@@ -62,12 +68,3 @@ def sanitized(log: Column) -> Column:
     """A log, lines with credentials replaced."""
     lines = F.transform(F.split(log, "\n"), lambda x: F.when(x.rlike(CREDENTIAL), F.lit("[redacted]")).otherwise(x))
     return F.array_join(lines, "\n")
-
-
-def percent(x: Column) -> Column:
-    return F.format_string("%.1f%%", x * 100)
-
-
-def effect_position(points: Column) -> Column:
-    """Percentage points from -100 to 100 as a place from 0 to 100."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), (points + 100) / 2))

@@ -27,9 +27,56 @@ def parsed_only(parsed: Column, status: Column) -> Column:
     return F.when(F.coalesce(parsed, F.lit(False)), status).otherwise(ERROR)
 
 
-def exact(expected: Column, actual: Column) -> Column:
-    """Equal texts, numbers as written; a missing reference is an error even if the output misses too."""
-    return F.when(expected.isNull(), ERROR).when(actual.isNull(), FAILED).otherwise(_verdict(expected == actual))
+def value(text: Column) -> Column:
+    """The forms of a canonical JSON text that comparisons need, as ``read_values`` gives them."""
+    string = json_string(text)
+    kind = json_type(text)
+    return F.struct(text.alias("json"), kind.alias("type"), F.coalesce(string, F.when(kind.isin("integer", "number"), text)).alias("text"), T.normalized(string, case_insensitive=False).alias("norm"))
+
+
+def _compared(expected: Column, actual: Column, present: Column, same: Callable[[Column, Column], Column], *, output_first: bool = False) -> Column:
+    """A reference without a form is an error, an output without one fails; ``output_first``: an absent output fails before that."""
+    found = F.when(expected.isNull(), ERROR).when(actual.isNull(), FAILED).otherwise(_verdict(same(expected, actual)))
+    return F.when(~present, FAILED).otherwise(found) if output_first else found
+
+
+def same_json(e: Column, a: Column) -> Column:
+    """Equal canonical texts, numbers as written; a missing reference is an error even if the output misses too."""
+    return _compared(e["json"], a["json"], a.isNotNull(), lambda x, y: x == y)
+
+
+def same_string(e: Column, a: Column, *, case_insensitive: bool = True) -> Column:
+    form = (lambda x: F.lower(x)) if case_insensitive else (lambda x: x)
+    return _compared(e["norm"], a["norm"], a.isNotNull(), lambda x, y: form(x) == form(y))
+
+
+def same_date(e: Column, a: Column, *, formats: tuple[str, ...] = ("iso",)) -> Column:
+    day = lambda v: T.canonical_date(F.when(v["type"] == "string", v["text"]), tuple(formats))
+    return _compared(day(e), day(a), a.isNotNull(), lambda x, y: x == y)
+
+
+def same_integer(e: Column, a: Column) -> Column:
+    """Integers of any length, in numbers or strings; the output's absence is looked at first."""
+    return _compared(T.canonical_integer(e["text"]), T.canonical_integer(a["text"]), a["json"].isNotNull(), lambda x, y: x == y, output_first=True)
+
+
+def same_decimal(e: Column, a: Column, *, absolute: str | None = None, relative: str | None = None) -> Column:
+    """Decimals within an absolute bound, or a share of the reference; equal ones always pass."""
+
+    def near(x: Column, y: Column) -> Column:
+        gap = F.abs(x - y)
+        ok = gap == 0
+        if absolute is not None:
+            ok = ok | (gap <= F.lit(absolute).cast("decimal(18,10)"))
+        if relative is not None:
+            ok = ok | ((gap <= F.abs(x) * F.lit(relative).cast("decimal(9,8)")) & (x != 0))
+        return ok
+
+    return _compared(T.decimal_text(e["text"]), T.decimal_text(a["text"]), a["json"].isNotNull(), near, output_first=True)
+
+
+#: Comparisons of one value with one, by the name that plans and keyed arrays use.
+COMPARISONS = {"exact": same_json, "normalized_string": same_string, "canonical_date": same_date, "exact_integer": same_integer, "decimal_exact": same_decimal, "decimal": same_decimal}
 
 
 def worst(*statuses: Column) -> Column:
@@ -38,36 +85,25 @@ def worst(*statuses: Column) -> Column:
     return F.when(F.array_contains(some, ERROR), ERROR).when(F.array_contains(some, FAILED), FAILED).when(F.array_contains(some, PASSED), PASSED).otherwise(NOT_APPLICABLE)
 
 
-def normalized_string(expected: Column, actual: Column, *, case_insensitive: bool = True, nfkc: bool = False) -> Column:
-    form = lambda x: T.normalized(json_string(x), case_insensitive=case_insensitive, nfkc=nfkc)
-    return F.when(json_string(expected).isNull(), ERROR).when(json_string(actual).isNull(), FAILED).otherwise(_verdict(form(expected) == form(actual)))
+def exact(expected: Column, actual: Column) -> Column:
+    """``same_json`` of canonical texts."""
+    return F.when(expected.isNull(), ERROR).when(actual.isNull(), FAILED).otherwise(_verdict(expected == actual))
 
 
-def canonical_date(expected: Column, actual: Column, formats: tuple[str, ...] = ("iso",)) -> Column:
-    e, a = T.canonical_date(json_string(expected), formats), T.canonical_date(json_string(actual), formats)
-    return F.when(e.isNull(), ERROR).when(a.isNull(), FAILED).otherwise(_verdict(e == a))
+def normalized_string(expected: Column, actual: Column, *, case_insensitive: bool = True) -> Column:
+    return same_string(value(expected), value(actual), case_insensitive=case_insensitive)
 
 
-def _number(x: Column) -> Column:
-    return F.coalesce(json_string(x), F.when(json_type(x).isin("integer", "number"), x))
+def canonical_date(expected: Column, actual: Column, formats: tuple[str, ...] = ("iso",)) -> Column:
+    return same_date(value(expected), value(actual), formats=formats)
 
 
 def exact_integer(expected: Column, actual: Column) -> Column:
-    """Integers of any length, in numbers or strings; the output's absence is looked at first."""
-    e, a = T.canonical_integer(_number(expected)), T.canonical_integer(_number(actual))
-    return F.when(actual.isNull(), FAILED).when(e.isNull(), ERROR).when(a.isNull(), FAILED).otherwise(_verdict(e == a))
+    return same_integer(value(expected), value(actual))
 
 
 def numeric_tolerance(expected: Column, actual: Column, *, absolute: str | None = None, relative: str | None = None) -> Column:
-    """Decimals within an absolute bound, or a share of the reference; equal ones always pass."""
-    e, a = T.decimal_text(_number(expected)), T.decimal_text(_number(actual))
-    gap = F.abs(e - a)
-    near = gap == 0
-    if absolute is not None:
-        near = near | (gap <= F.lit(absolute).cast("decimal(18,10)"))
-    if relative is not None:
-        near = near | ((gap <= F.abs(e) * F.lit(relative).cast("decimal(9,8)")) & (e != 0))
-    return F.when(actual.isNull(), FAILED).when(e.isNull(), ERROR).when(a.isNull(), FAILED).otherwise(_verdict(near))
+    return same_decimal(value(expected), value(actual), absolute=absolute, relative=relative)
 
 
 def required_fields(*found: Column) -> Column:
@@ -121,6 +157,57 @@ def financial_invariants(items: Column, subtotal: Column, tax: Column, total: Co
     ))
 
 
+def keyed_records(expected: Column, actual: Column, keys: tuple[str, ...], comparisons: tuple[tuple[str, dict], ...]) -> Column:
+    """``keyed_array`` over items as ``records`` reads them: first the keys, then the fields.
+
+    ``keys`` names how each part of the key is taken (exact or normalized_string), and
+    ``comparisons`` how each field is compared, with its options.  An item whose key is not
+    whole, or a key that repeats, is an error in the reference and a failure in the output; a
+    field that its comparison can't read in the reference is an error.
+    """
+
+    def keyed(items: Column) -> Column:
+        def key(item: Column) -> Column:
+            parts = [F.get(item, F.lit(i))["json"] if how == "exact" else F.lower(F.get(item, F.lit(i))["norm"]) for i, how in enumerate(keys)]
+            whole = F.lit(True)
+            for p in parts:
+                whole = whole & p.isNotNull() & (p != "null")
+            return F.when(whole, F.concat_ws("\0", *parts))
+
+        return F.transform(items, lambda i: F.struct(key(i).alias("key"), i.alias("item")))
+
+    def compared(e: Column, a: Column) -> Column:
+        names = lambda x: F.transform(x, lambda i: i["key"])
+        bad = lambda x: F.exists(names(x), lambda k: k.isNull()) | (F.size(F.array_distinct(names(x))) < F.size(x))
+        missing, extra = F.array_sort(F.array_except(names(e), names(a))), F.array_sort(F.array_except(names(a), names(e)))
+
+        def state(item: Column) -> Column:
+            other = F.get(F.filter(a, lambda o: o["key"] == item["key"]), F.lit(0))
+            at = lambda x, n: F.get(x["item"], F.lit(len(keys) + n))
+            found = worst(*(COMPARISONS[how](at(item, n), at(other, n), **options) for n, (how, options) in enumerate(comparisons))) if comparisons else F.lit(PASSED)
+            return F.when(other.isNotNull(), found)
+
+        states = F.transform(e, state)
+        mismatched = F.size(F.filter(states, lambda x: x == FAILED))
+        status = (
+            F.when(e.isNull() | bad(e), ERROR).when(F.exists(states, lambda x: F.coalesce(x == ERROR, F.lit(False))), ERROR).when(a.isNull() | bad(a), FAILED)
+            .otherwise(_verdict((F.size(missing) == 0) & (F.size(extra) == 0) & (mismatched == 0)))
+        )
+        usable = F.coalesce(~bad(e) & ~bad(a), F.lit(False))
+        return F.struct(status.alias("status"), F.when(usable, missing).alias("missing"), F.when(usable, extra).alias("extra"), F.when(usable, mismatched).alias("mismatched"))
+
+    both = F.struct(keyed(expected).alias("e"), keyed(actual).alias("a"))
+    return F.element_at(F.transform(F.array(both), lambda x: compared(x["e"], x["a"])), 1)
+
+
+def financial_records(items: Column, subtotal: Column, tax: Column, total: Column, *, tolerance: str = "0.00") -> Column:
+    """``financial_invariants`` over an output's JSON values; ``items`` hold quantity, unit price and amount of each line."""
+    number = lambda v: T.decimal_text(v["text"])
+    line = lambda i: F.struct(*(number(F.get(i, F.lit(n))).cast(kind).alias(name) for n, (name, kind) in enumerate((("quantity", "decimal(12,4)"), ("unit_price", "decimal(18,4)"), ("amount", "decimal(31,4)")))))
+    money = lambda v: number(v).cast("decimal(38,4)")
+    return financial_invariants(F.transform(items, line), money(subtotal), money(tax), money(total), tolerance)
+
+
 def external(rows: DataFrame, evaluator_id: str, score: Callable[[pd.DataFrame], pd.Series], *, id_col: str = "case_id") -> DataFrame:
     """A user's evaluator over pandas batches, one status per row; anything else it gives, or an exception, is an error of that batch's rows."""
 

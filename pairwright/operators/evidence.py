@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def digest(*columns: Column) -> Column:
@@ -37,11 +36,6 @@ def independent(rows: DataFrame, stimulus: Column, observation: Column, order: s
     return named.join(keep.withColumnRenamed("_unit", "_u"), (F.col("_unit") == F.col("_u")) & (F.col(order) == F.col("_first"))).drop("_unit", "_seen", "_u", "_first")
 
 
-def first_of_unit(rows: DataFrame, unit: str, order: str) -> DataFrame:
-    """Each unit's first row; groups are of bounded size (a case's repeats)."""
-    return rows.withColumn("_place", F.row_number().over(Window.partitionBy(unit).orderBy(order))).where("_place = 1").drop("_place")
-
-
 def represented(rows: DataFrame, unit: Column, observation: Column, order: str) -> DataFrame:
     """As ``units``, with each unit's first row by ``order`` as the struct ``row``; rows of one unit need different orders."""
     named = rows.select(unit.alias("unit"), observation.alias("observation"), F.col(order).alias("_order"), F.struct(*rows.columns).alias("row"))

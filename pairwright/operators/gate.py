@@ -122,6 +122,7 @@ def rules(inputs: DataFrame, limits: dict[str, float]) -> DataFrame:
 def decision(found: DataFrame, *, release: bool = False) -> DataFrame:
     """One row: the decision, rules by status, and whether it authorises a deployment."""
     n = lambda s: F.count_if(F.col("status") == s)
-    first = F.coalesce(*(F.when(n(s) > 0, F.lit(s)) for s in PRECEDENCE), F.lit("not_configured"))
+    # A gate without any limit decides nothing, whatever its rules found.
+    first = F.when(F.count("limit") == 0, "not_configured").otherwise(F.coalesce(*(F.when(n(s) > 0, F.lit(s)) for s in PRECEDENCE), F.lit("not_configured")))
     named = lambda s: F.array_join(F.array_sort(F.collect_list(F.when(F.col("status") == s, F.col("rule")))), ",")
     return found.agg(first.alias("decision"), *(n(s).alias(f"n_{s}") for s in (*PRECEDENCE, "not_configured")), named("failed").alias("failed_rules"), named("insufficient_evidence").alias("insufficient_rules"), ((first == "passed") & F.lit(release)).alias("deployment_authorized"))

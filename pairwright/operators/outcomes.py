@@ -38,8 +38,3 @@ def case_flags(status: Column, schema_valid: Column, truth: Column, full: Column
         "structured_success": structured, "semantic_success": passes, "deployment_success": structured & passes & full,
         "valid_but_wrong": wrong, "fully_evaluated_valid_but_wrong": wrong & full,
     }
-
-
-def display(truth: Column, full: Column) -> Column:
-    """The verdict to show: one that rests on part of its evaluators is unscored."""
-    return F.when(truth.isNull() | (truth.isin(TRUE, FALSE) & ~full & (truth != FALSE)), "unscored").otherwise(truth)

@@ -38,12 +38,23 @@ def transition(baseline: Column, candidate: Column) -> Column:
 
 
 def paired(evaluations: DataFrame, key: str = "case_id") -> DataFrame:
-    """Baseline and candidate evaluations of a case side by side, as structs; one shuffle, no join."""
+    """Baseline and candidate evaluations of a case side by side, as structs; one shuffle, no join.
+
+    Each column is its own aggregate, so only those that are used later are computed and
+    shuffled.  A case has one row per variant; of repeated rows no whole one would be kept.
+    """
     columns = [c for c in evaluations.columns if c not in (key, "variant")]
-    row = F.struct(*columns)
-    return evaluations.groupBy(key).agg(F.max(F.when(F.col("variant") == "baseline", row)).alias("baseline"), F.max(F.when(F.col("variant") == "candidate", row)).alias("candidate"))
+    sides = ("baseline", "candidate")
+    found = evaluations.groupBy(key).agg(*(F.max(F.when(F.col("variant") == s, F.col(c))).alias(f"{s}.{c}") for s in sides for c in columns))
+    return found.select(key, *(F.struct(*(F.col(f"`{s}.{c}`").alias(c) for c in columns)).alias(s) for s in sides))
 
 
 def execution_token(nonce: str, ordinal: Column) -> Column:
     """A name for a case that tells nothing of its id."""
-    return F.concat(F.lit("stx-"), F.substring(F.sha2(F.concat_ws("\0", F.lit(nonce), ordinal.cast("string")).cast("binary"), 256), 1, 32))
+    return F.concat(F.lit("case-"), F.substring(F.sha2(F.concat_ws("\0", F.lit(nonce), ordinal.cast("string")).cast("binary"), 256), 1, 24))
+
+
+def remapped(rows: DataFrame, cases: DataFrame, nonce: str, ordinal: Column, id_col: str = "id") -> DataFrame:
+    """Rows named by token (``case_id``) under their cases' own ids again; rows of no known token drop out."""
+    names = cases.select(F.col(id_col).alias("_id"), execution_token(nonce, ordinal).alias("_token"))
+    return rows.join(names, rows["case_id"] == names["_token"]).withColumn("case_id", F.col("_id")).drop("_id", "_token")

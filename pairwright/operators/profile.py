@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from pairwright.functions.json import leaves
 from pairwright.functions.text import like_kind
 
-#: Names of parts of a record that identify it.
-KEY_NAMES = ("id", "sku", "product_code", "code")
-
-
 def observed(rows: DataFrame, source: str, column: str) -> DataFrame:
     """Every field of every row: source, pointer (``*`` for items), type and text; the root is left out."""
     found = rows.select(F.explode(leaves(F.col(column))).alias("f"))

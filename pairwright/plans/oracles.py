@@ -174,7 +174,7 @@ ORACLES = {
     "id_coverage": _evaluated(""", l AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
         SELECT count(*) FILTER (WHERE f.k % 97 <> 0 AND l.n IS NOT NULL) AS matched, count(*) FILTER (WHERE f.k % 97 = 0) AS missing_baseline, count(*) FILTER (WHERE l.n IS NULL) AS missing_candidate, 0::BIGINT AS repeated_baseline,
         count(*) FILTER (WHERE l.n > 1) AS repeated_candidate FROM f LEFT JOIN l ON l.k = f.k WHERE variant = 'baseline'"""),
-    "execution_tokens": "SELECT o_orderkey AS k, 'stx-' || substr(sha256('run-1' || chr(0) || o_orderkey), 1, 32) AS token FROM orders",
+    "execution_tokens": "SELECT o_orderkey AS k, 'case-' || substr(sha256('run-1' || chr(0) || o_orderkey), 1, 24) AS token FROM orders",
     "parse_status_counts": _evaluated("SELECT variant, status, parse_valid, count(*) AS n FROM f GROUP BY ALL"),
     "schema_validity": _evaluated("SELECT variant, count(*) FILTER (WHERE schema_valid) AS valid, count(*) FILTER (WHERE parse_valid AND NOT schema_valid) AS parsed_but_invalid FROM f GROUP BY 1"),
     "pointer_exact": _evaluated("SELECT variant, priority_state AS state, count(*) AS n FROM f GROUP BY ALL"),
@@ -185,7 +185,7 @@ ORACLES = {
     "tool_arguments": "SELECT CASE WHEN event_id % 4 = 0 THEN 'error' WHEN event_id % 6 = 0 THEN 'failed' ELSE 'passed' END AS state, count(*) AS n FROM events GROUP BY 1",
     "normalized_string": f"SELECT {_likeness('p_partkey % 9 <> 0')} AS state, {_likeness('p_partkey % 9 <> 0 AND upper(p_name) = p_name')} AS state_with_case, count(*) AS n FROM part GROUP BY ALL",
     "canonical_date": f"SELECT {_likeness('o_orderkey % 10 <> 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 7 <> 0)')} AS state, count(*) AS n FROM orders GROUP BY 1",
-    "numeric_absolute": f"SELECT l_linenumber, {_likeness('l_linenumber <= 3')} AS state, count(*) AS n FROM lineitem GROUP BY ALL",
+    "numeric_absolute": f"SELECT l_linenumber, {_likeness('l_linenumber <= 3 AND l_partkey % 7 <> 0')} AS state, count(*) AS n FROM lineitem GROUP BY ALL",
     "numeric_relative": f"SELECT l_linenumber, {_likeness('l_linenumber <= 3')} AS state, count(*) AS n FROM lineitem GROUP BY ALL",
     "exact_integer": f"SELECT {_likeness('p_partkey % 5 = 0 OR (p_partkey % 7 <> 0 AND p_partkey % 11 <> 0)')} AS state, count(*) AS n FROM part GROUP BY 1",
     "required_fields": f"SELECT event_type, {_likeness('event_id % 8 <> 0 AND event_id % 9 <> 0')} AS state, count(*) AS n FROM events GROUP BY ALL",
@@ -195,7 +195,19 @@ bad AS (SELECT o, bool_or(n > 1) AS bad_e FROM (SELECT o, l, count(*) AS n FROM
 j AS (SELECT e.o, count(*) FILTER (WHERE a.l IS NULL) AS missing, count(*) FILTER (WHERE a.l IS NOT NULL AND (abs(e.q - a.q) > 0.5 OR e.p <> a.p)) AS mismatched FROM e LEFT JOIN a ON a.o = e.o AND a.l = e.l GROUP BY 1),
 s AS (SELECT CASE WHEN bad_e THEN 'error' WHEN coalesce(bad_a, false) THEN 'failed' WHEN missing + mismatched = 0 THEN 'passed' ELSE 'failed' END AS status, NOT bad_e AND NOT coalesce(bad_a, false) AS ok, missing, mismatched FROM bad JOIN j USING (o) LEFT JOIN bada USING (o))
 SELECT status, count(*) AS orders, coalesce(sum(missing) FILTER (WHERE ok), 0)::BIGINT AS missing, coalesce(sum(mismatched) FILTER (WHERE ok), 0)::BIGINT AS mismatched FROM s GROUP BY 1""",
-    "keyed_array_duplicate_keys": "WITH n AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL), o AS (SELECT l_orderkey, count(*) FILTER (WHERE n > 1) AS r FROM n GROUP BY 1) SELECT r > 0 AS bad_keys, count(*) AS orders, sum(r)::BIGINT AS repeated_keys FROM o GROUP BY 1",
+    "keyed_array_duplicate_keys": """WITH n AS (SELECT l_orderkey, count(*) - count(DISTINCT l_linenumber) AS r FROM lineitem GROUP BY 1)
+SELECT CASE WHEN r > 0 THEN 'error' ELSE 'passed' END AS status, count(*) AS orders, sum(r)::BIGINT AS repeats FROM n GROUP BY 1""",
+    "plan_line_documents": """
+WITH li AS (SELECT l_orderkey AS k, l_linenumber AS line, l_partkey AS p FROM lineitem), o AS (
+  SELECT k, count(*) > count(DISTINCT line) AS bad, bool_or(p % 23 = 0) AS lost, bool_or(p % 17 = 0) AS changed, bool_and(p % 23 = 0) AS bare,
+         coalesce(bool_or(p % 37 = 0) FILTER (WHERE p % 23 <> 0), false) AS words, coalesce(bool_or(p % 41 = 0) FILTER (WHERE p % 23 <> 0), false) AS off FROM li GROUP BY k
+), s AS (
+  SELECT k, CASE WHEN bad THEN 'error' WHEN lost OR changed THEN 'failed' ELSE 'passed' END AS items_state,
+         CASE WHEN words THEN 'error' WHEN off OR k % 10 = 0 THEN 'failed' ELSE 'passed' END AS sums_state,
+         CASE WHEN bare THEN 'failed' ELSE 'passed' END AS needed_state, CASE WHEN k % 9 = 0 THEN 'failed' ELSE 'passed' END AS head_state FROM o
+)
+SELECT *, CASE WHEN 'failed' IN (items_state, sums_state) THEN 'false' WHEN 'error' IN (items_state, sums_state) THEN 'error' ELSE 'true' END AS truth,
+       'error' NOT IN (items_state, sums_state) AS fully_evaluated FROM s""",
     "financial_invariants": """
 WITH o AS (SELECT l_orderkey AS k, bool_or(l_partkey % 37 = 0) AS open, bool_or(l_partkey % 41 = 0 AND l_partkey % 37 <> 0) AS off, count(*) FILTER (WHERE l_partkey % 37 <> 0) AS n FROM lineitem GROUP BY 1)
 SELECT CASE WHEN open THEN 'error' WHEN off OR k % 10 = 0 THEN 'failed' ELSE 'passed' END AS status, count(*) AS orders FROM o GROUP BY 1""",
@@ -203,7 +215,9 @@ SELECT CASE WHEN open THEN 'error' WHEN off OR k % 10 = 0 THEN 'failed' ELSE 'pa
     "outcome_all_of": _evaluated("SELECT variant, truth, fully_evaluated, count(*) AS n FROM f GROUP BY ALL"),
     "outcome_any_of": _evaluated("SELECT variant, any_truth AS truth, count(*) AS n FROM f GROUP BY ALL"),
     "case_evaluation_flags": _evaluated("SELECT k, variant, schema_valid AND status = 'ok' AS structured_success, semantic AS semantic_success, deployed AS deployment_success, wrong AS valid_but_wrong, wrong AND fully_evaluated AS fully_evaluated_valid_but_wrong FROM f"),
-    "external_evaluator": _evaluated("SELECT CASE WHEN k % 5 = 0 OR k % 31 = 0 THEN 'error' WHEN parse_valid THEN 'passed' ELSE 'not_applicable' END AS status, count(*) AS n FROM f WHERE variant = 'candidate' GROUP BY 1"),
+    "external_evaluator": _evaluated(""", x AS (
+  SELECT variant, priority_state AS p, CASE WHEN k % 5 = 0 OR k % 31 = 0 OR status = 'missing' THEN 'error' WHEN status = 'ok' THEN 'passed' ELSE 'not_applicable' END AS status FROM f
+) SELECT variant, status, CASE WHEN p = 'failed' THEN 'false' WHEN p = 'error' OR status = 'error' THEN 'error' WHEN status = 'not_applicable' THEN 'not_applicable' ELSE 'true' END AS truth, count(*) AS n FROM x GROUP BY ALL"""),
     "transitions": _evaluated(f"SELECT {_MOVED} AS transition, count(*) AS n FROM pr GROUP BY 1"),
     "semantic_transitions": _evaluated(f"SELECT CASE WHEN bp AND cp THEN {_MOVED} END AS transition, count(*) AS n FROM pr GROUP BY 1"),
     "paired_metrics": _evaluated(_metrics("pr", "b", "c")),
@@ -251,8 +265,8 @@ SELECT CASE WHEN open THEN 'error' WHEN off OR k % 10 = 0 THEN 'failed' ELSE 'pa
     "log_budget": """WITH s AS (SELECT user_id AS run_id, octet_length(props::BLOB) AS n, greatest(0, 500 - coalesce(sum(octet_length(props::BLOB)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS remaining FROM events)
         SELECT run_id, sum(least(n, remaining))::BIGINT AS kept_bytes, count(*) FILTER (WHERE remaining = 0) AS left_out FROM s GROUP BY 1""",
     "replay_diff": _evaluated("SELECT k, CASE WHEN k % 101 = 0 THEN 'lost' ELSE 'changed' END AS mismatch FROM f WHERE variant = 'baseline' AND (k % 101 = 0 OR (k % 71 = 0 AND truth <> 'error'))"),
-    "pin_status": _evaluated("""SELECT k, CASE WHEN k % 15 = 0 THEN 'missing' WHEN c AND b THEN 'passing' WHEN c THEN 'fixed' WHEN b OR k % 2 = 0 THEN 'reintroduced' ELSE 'still_broken' END AS suite_status FROM pr WHERE k % 3 = 0"""),
-    "suite_summary": _evaluated(""", q AS (SELECT CASE WHEN k % 15 = 0 THEN 'missing' WHEN c AND b THEN 'passing' WHEN c THEN 'fixed' WHEN b OR k % 2 = 0 THEN 'reintroduced' ELSE 'still_broken' END AS s FROM pr WHERE k % 3 = 0)
+    "pin_status": _evaluated("""SELECT k, CASE WHEN k % 15 = 0 THEN 'missing' WHEN c AND b THEN 'passing' WHEN c THEN 'fixed' WHEN b OR k % 2 = 0 THEN 'reintroduced' ELSE 'still_broken' END AS suite_status FROM pr"""),
+    "suite_summary": _evaluated(""", q AS (SELECT CASE WHEN k % 15 = 0 THEN 'missing' WHEN c AND b THEN 'passing' WHEN c THEN 'fixed' WHEN b OR k % 2 = 0 THEN 'reintroduced' ELSE 'still_broken' END AS s FROM pr)
         SELECT count(*) AS total, count(*) FILTER (WHERE s = 'passing') AS passing, count(*) FILTER (WHERE s = 'fixed') AS fixed, count(*) FILTER (WHERE s = 'still_broken') AS still_broken, count(*) FILTER (WHERE s = 'reintroduced') AS reintroduced, count(*) FILTER (WHERE s = 'missing') AS missing, bool_or(s IN ('reintroduced', 'missing')) AS blocking FROM q"""),
     "pin_history": """WITH r AS (SELECT l_orderkey AS pin_id, l_linenumber AS run_id, max(l_partkey) % 2 = 0 AS passes, l_orderkey % 2 = 0 AS origin FROM lineitem GROUP BY ALL), h AS (
         SELECT *, lag(passes) OVER w AS last FROM r WINDOW w AS (PARTITION BY pin_id ORDER BY run_id))

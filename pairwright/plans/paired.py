@@ -2,64 +2,169 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.functions.json import json_type, read_json
+from pairwright.functions.json import pointers_overlap, read_values, records
+from pairwright.functions.text import DATE_FORMATS
 from pairwright.operators import evaluators as E
 from pairwright.operators import outcomes as O
 from pairwright.operators.pairing import paired, with_outputs
 
-#: Kinds of evaluators that a plan can name, on one pointer each.
-KINDS = {"exact": E.exact, "normalized_string": E.normalized_string, "canonical_date": E.canonical_date, "exact_integer": E.exact_integer, "decimal": E.numeric_tolerance}
+
+@dataclass(frozen=True)
+class Rule:
+    """An evaluator of a plan: its kind, the pointers into output and reference (the same unless told), and its options.
+
+    ``keyed_array`` takes ``keys`` ({pointer: exact or normalized_string}) and ``fields``
+    ({pointer: (comparison, options)}) of the items; ``financial_invariants`` points to items,
+    subtotal, tax and total of the output, and its ``line`` to quantity, price and amount of an
+    item; ``external`` has no pointers, its results come as a table.
+    """
+
+    id: str
+    kind: str
+    pointers: tuple[str, ...] = ()
+    expected: tuple[str, ...] | None = None
+    options: Mapping = field(default_factory=dict)
+
+    @property
+    def reference(self) -> tuple[str, ...]:
+        return () if self.kind in ("required_fields", "financial_invariants", "external") else self.pointers if self.expected is None else self.expected
+
+
+def _each(compare: Callable[..., Column]) -> Callable[..., Column]:
+    """One comparison at every pointer; the worst counts."""
+
+    def state(e: list[Column], a: list[Column], options: Mapping) -> Column:
+        found = [compare(x, y, **options) for x, y in zip(e, a, strict=True)]
+        return found[0] if len(found) == 1 else E.worst(*found)
+
+    return state
+
+
+def _keyed(e: list[Column], a: list[Column], options: Mapping) -> Column:
+    inside = [*options["keys"], *options["fields"]]
+    found = E.keyed_records(records(e[0]["json"], inside), records(a[0]["json"], inside), tuple(options["keys"].values()), tuple((how, dict(more)) for how, more in options["fields"].values()))
+    return found["status"]
+
+
+def _financial(e: list[Column], a: list[Column], options: Mapping) -> Column:
+    line = list(options.get("line", ("/quantity", "/unit_price", "/amount")))
+    return E.financial_records(records(a[0]["json"], line), *a[1:], tolerance=options.get("tolerance", "0.00"))
+
+
+#: Kinds of evaluators that a plan can name, each from the values at its pointers, and the pointers each has.
+KINDS: dict[str, tuple[Callable[..., Column], Callable[[int], bool]]] = {
+    **{k: (_each(f), lambda n: n == 1) for k, f in E.COMPARISONS.items()},
+    "enum_accuracy": (_each(E.same_json), lambda n: n == 1), "tool_selection": (_each(E.same_json), lambda n: n == 1),
+    "tool_arguments": (_each(E.same_json), lambda n: n > 0), "pointers_exact": (_each(E.same_json), lambda n: n > 0),
+    "required_fields": (lambda e, a, options: E.required_fields(*(x["json"] for x in a)), lambda n: n > 0),
+    "keyed_array": (_keyed, lambda n: n == 1), "financial_invariants": (_financial, lambda n: n == 4), "external": (None, lambda n: n == 0),
+}
 
 
 @dataclass(frozen=True)
 class Evaluation:
-    """What is compared: evaluators by pointer, the required types of fields, and how verdicts combine."""
+    """What is compared: evaluators, the required types of fields, and how verdicts combine.
+
+    An evaluator is a Rule, or short (id, pointer, kind).  ``primary`` names the evaluators
+    that make the outcome; all do unless told.
+    """
 
-    evaluators: tuple[tuple[str, str, str], ...]  # (id, pointer, kind)
+    evaluators: tuple[Rule | tuple[str, str, str], ...]
     types: tuple[tuple[str, str], ...] = ()  # (pointer, JSON type)
     outcome: str = "all_of"
+    primary: tuple[str, ...] | None = None
+
+    @property
+    def rules(self) -> tuple[Rule, ...]:
+        return tuple(r if isinstance(r, Rule) else Rule(r[0], r[2], (r[1],)) for r in self.evaluators)
+
+    @property
+    def components(self) -> tuple[str, ...]:
+        return tuple(r.id for r in self.rules) if self.primary is None else self.primary
 
     def __post_init__(self) -> None:
-        ids = [i for i, _, _ in self.evaluators]
+        rules = self.rules
+        ids = [r.id for r in rules]
         if len(set(ids)) < len(ids) or not ids:
             raise ValueError("evaluators need different ids, and at least one")
-        if bad := [p for _, p, _ in self.evaluators if p and not p.startswith("/")] + [k for _, _, k in self.evaluators if k not in KINDS]:
-            raise ValueError(f"no such pointer or kind: {bad}")
+        if bad := [r.id for r in rules if r.kind not in KINDS or not KINDS[r.kind][1](len(r.pointers)) or len(r.reference) not in (0, len(r.pointers))]:
+            raise ValueError(f"no such kind, or not its pointers: {bad}")
+        if bad := [p for r in rules for p in (*r.pointers, *r.reference) if p and not p.startswith("/")]:
+            raise ValueError(f"no such pointer: {bad}")
+        for r in rules:
+            _checked(r)
         if self.outcome not in ("all_of", "any_of"):
             raise ValueError("an outcome is all_of or any_of")
+        if not self.components or (bad := sorted(set(self.components) - set(ids))):
+            raise ValueError(f"an outcome needs evaluators of the plan: {bad if self.components else 'none given'}")
+
+
+#: Options that a kind takes.
+OPTIONS = {"normalized_string": {"case_insensitive"}, "canonical_date": {"formats"}, "decimal": {"absolute", "relative"}, "keyed_array": {"keys", "fields"}, "financial_invariants": {"line", "tolerance"}}
+
+
+def _checked(r: Rule) -> None:
+    if strange := set(r.options) - OPTIONS.get(r.kind, set()):
+        raise ValueError(f"{r.id}: no such options: {sorted(strange)}")
+    if set(r.options.get("formats", ())) - set(DATE_FORMATS):
+        raise ValueError(f"{r.id}: formats are of {sorted(DATE_FORMATS)}")
+    orders = {f.partition("_")[0] + f.partition("_")[2] for f in r.options.get("formats", ()) if f != "iso"}
+    if any({f"dmy{s}", f"mdy{s}"} <= orders for s in ("slash", "dot", "dash")):
+        raise ValueError(f"{r.id}: day first and month first can't be told apart")
+    if r.kind == "keyed_array":
+        keys, fields = r.options.get("keys", {}), r.options.get("fields", {})
+        if not keys or set(keys.values()) - {"exact", "normalized_string"} or {how for how, _ in fields.values()} - set(E.COMPARISONS):
+            raise ValueError(f"{r.id}: items need keys, and comparisons of {sorted(E.COMPARISONS)}")
+        inside = [*keys, *fields]
+        if any(pointers_overlap(p, q) for i, p in enumerate(inside) for q in inside[i + 1 :]):
+            raise ValueError(f"{r.id}: keys and fields overlap")
 
 
 def parsed_rule(text: str) -> tuple[str, str]:
-    """``POINTER=KIND`` as a pointer and a kind of evaluator."""
+    """``POINTER=KIND`` as a pointer and a kind of comparison."""
     pointer, _, kind = text.partition("=")
-    if not pointer.startswith("/") or kind not in KINDS:
-        raise ValueError(f"{text!r} is not POINTER=KIND with a kind of {sorted(KINDS)}")
+    if not pointer.startswith("/") or kind not in E.COMPARISONS:
+        raise ValueError(f"{text!r} is not POINTER=KIND with a kind of {sorted(E.COMPARISONS)}")
     return pointer, kind
 
 
+def _references(plan: Evaluation) -> list[str]:
+    return list(dict.fromkeys(p for r in plan.rules for p in r.reference))
+
+
 def _pointers(plan: Evaluation) -> list[str]:
-    return list(dict.fromkeys([p for _, p, _ in plan.evaluators] + [p for p, _ in plan.types]))
+    return list(dict.fromkeys([p for r in plan.rules for p in r.pointers] + [p for p, _ in plan.types]))
 
 
-def evaluate_all(cases: DataFrame, outputs: dict[str, DataFrame], plan: Evaluation) -> DataFrame:
+def evaluate_all(cases: DataFrame, outputs: dict[str, DataFrame], plan: Evaluation, external: DataFrame | None = None) -> DataFrame:
     """One row per case and variant: state of the output, evaluators' states, outcome and flags.
 
-    References are parsed once for all variants, outputs once each, strictly and for all pointers;
-    variants meet their cases in one join on id and variant, and the rest is Spark expressions.
+    References are parsed once for all variants, outputs once each, strictly and for all pointers,
+    in all forms that comparisons need; variants meet their cases in one join on id and variant,
+    and the rest is Spark expressions.  ``external`` holds results of the plan's external
+    evaluators (case_id, variant, evaluator, status); one that gave none is an error.
     """
-    pointers = _pointers(plan)
-    known = cases.withColumn("_e", read_json(F.col("expected"), pointers)["found"])
+    known = cases.withColumn("_e", read_values(F.col("expected"), _references(plan))["found"])
     rows = known.withColumn("variant", F.explode(F.array(*map(F.lit, outputs)))).withColumn("_key", F.concat_ws("\0", "variant", "id"))
     recorded = None
     for variant, df in outputs.items():
         named = df.drop("variant").withColumn("case_id", F.concat_ws("\0", F.lit(variant), "case_id"))
         recorded = named if recorded is None else recorded.unionByName(named, allowMissingColumns=True)
-    return _scored(with_outputs(rows, recorded, "_key").drop("_key"), plan)
+    rows = with_outputs(rows, recorded, "_key").drop("_key")
+    outside = [r.id for r in plan.rules if r.kind == "external"]
+    if outside:
+        if external is None:
+            raise ValueError(f"results are needed for {outside}")
+        given = external.groupBy(F.col("case_id").alias("_id"), F.col("variant").alias("_variant")).agg(
+            *(F.min(F.when(F.col("evaluator") == i, F.when(F.col("status").isin(E.PASSED, E.FAILED, E.NOT_APPLICABLE), F.col("status")).otherwise(E.ERROR))).alias(f"_given_{i}") for i in outside))
+        rows = rows.join(given, (rows["id"] == given["_id"]) & (rows["variant"] == given["_variant"]), "left").drop("_id", "_variant")
+    return _scored(rows, plan)
 
 
 def evaluate(cases: DataFrame, outputs: DataFrame, variant: str, plan: Evaluation) -> DataFrame:
@@ -68,31 +173,35 @@ def evaluate(cases: DataFrame, outputs: DataFrame, variant: str, plan: Evaluatio
 
 
 def _scored(rows: DataFrame, plan: Evaluation) -> DataFrame:
-    pointers = _pointers(plan)
-    rows = rows.withColumn("_a", read_json(F.when(F.col("status") == "ok", F.col("raw_output")), pointers))
-    place = lambda p: F.lit(pointers.index(p))
-    expected, actual = (lambda p: F.get("_e", place(p))), (lambda p: F.get("_a.found", place(p)))
+    references, pointers = _references(plan), _pointers(plan)
+    rows = rows.withColumn("_a", read_values(F.when(F.col("status") == "ok", F.col("raw_output")), pointers))
+    expected, actual = (lambda p: F.get("_e", F.lit(references.index(p)))), (lambda p: F.get("_a.found", F.lit(pointers.index(p))))
     rows = rows.withColumn("parse_valid", F.coalesce((F.col("status") == "ok") & F.col("_a.error").isNull() & F.col("_a.canonical").isNotNull(), F.lit(False)))
-    states = {f"{i}_state": E.parsed_only(F.col("parse_valid"), KINDS[k](expected(p), actual(p))) for i, p, k in plan.evaluators}
-    rows = rows.withColumns(states)
+
+    def state(r: Rule) -> Column:
+        if r.kind == "external":
+            return F.coalesce(f"_given_{r.id}", F.lit(E.ERROR))
+        return E.parsed_only(F.col("parse_valid"), KINDS[r.kind][0]([expected(p) for p in r.reference], [actual(p) for p in r.pointers], r.options))
+
+    rows = rows.withColumns({f"{r.id}_state": state(r) for r in plan.rules})
     typed = F.col("parse_valid")
     for p, kind in plan.types:
-        typed = typed & F.coalesce(json_type(actual(p)) == kind, F.lit(False))
+        typed = typed & F.coalesce(actual(p)["type"] == kind, F.lit(False))
     rows = judged(rows.withColumn("schema_valid", typed), plan)
-    return rows.withColumnRenamed("id", "case_id").withColumn("output", F.col("_a.canonical")).drop("_e", "_a")
+    return rows.withColumnRenamed("id", "case_id").withColumn("output", F.col("_a.canonical")).drop("_e", "_a", *(f"_given_{r.id}" for r in plan.rules))
 
 
 def judged(rows: DataFrame, plan: Evaluation) -> DataFrame:
     """Outcome and flags of rows from their evaluators' states."""
     combine = O.all_of if plan.outcome == "all_of" else O.any_of
-    rows = rows.withColumn("components", F.array(*(f"{i}_state" for i, _, _ in plan.evaluators)))
+    rows = rows.withColumn("components", F.array(*(f"{i}_state" for i in plan.components)))
     rows = rows.withColumns({"truth": combine(F.col("components")), "any_truth": O.any_of(F.col("components")), "fully_evaluated": O.fully_evaluated(F.col("components"))})
     return rows.withColumns(O.case_flags(F.col("status"), F.col("schema_valid"), F.col("truth"), F.col("fully_evaluated")))
 
 
-def pairs(cases: DataFrame, baseline: DataFrame, candidate: DataFrame, plan: Evaluation) -> DataFrame:
+def pairs(cases: DataFrame, baseline: DataFrame, candidate: DataFrame, plan: Evaluation, external: DataFrame | None = None) -> DataFrame:
     """Every case with the evaluations of both variants as structs."""
-    return paired(evaluate_all(cases, {"baseline": baseline, "candidate": candidate}, plan))
+    return paired(evaluate_all(cases, {"baseline": baseline, "candidate": candidate}, plan, external))
 
 
 # The provided tables hold no paired JSON, so orders become it: references, and two variants with known faults.
@@ -135,4 +244,4 @@ def order_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paired(order_evaluations(spark, sf_dir).drop("expected", "raw_output"))
+    return paired(order_evaluations(spark, sf_dir))

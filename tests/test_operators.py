@@ -98,6 +98,8 @@ def test_gate(spark):
     assert decide(good | {"p95_increase_percent": None}, {"max_p95_latency_increase_percent": 5.0})[0] == "insufficient_evidence"
     with pytest.raises(ValueError):
         decide(good, {"no_such_rule": 1.0})
+    df = spark.createDataFrame([tuple((good | {"label_conflicts": 3.0})[i] for i in gate.INPUTS)], ", ".join(f"{i} double" for i in gate.INPUTS))
+    assert gate.decision(gate.rules(df, {}), release=True).first().decision == "not_configured"
 
 
 def test_pins_and_pages(spark):
@@ -120,6 +122,68 @@ def test_external_evaluator_survives_its_code(spark):
     assert {r.case_id: r.status for r in E.with_external(df, some).collect()} == {"0": "passed", "1": "failed", **{str(i): "error" for i in range(2, 6)}}
 
 
+def planned(spark, rule, expected, output):
+    """The state that a plan of one rule gives a pair of JSON texts."""
+    from pairwright.plans.paired import evaluate
+
+    cases = spark.createDataFrame([("a", expected)], "id string, expected string")
+    out = spark.createDataFrame([("a", "ok", None, output)], "case_id string, status string, error_kind string, raw_output string")
+    return evaluate(cases, out, "v", Evaluation((rule,))).first()[f"{rule.id}_state"]
+
+
+def test_all_kinds_in_plans(spark):
+    from pairwright.plans.paired import KINDS, Rule
+
+    table = [
+        (Rule("x", "exact", ("/a",)), '{"a":1.0}', '{"a":1}', "failed"), (Rule("x", "enum_accuracy", ("/a",)), '{"a":"b"}', '{"a":"b"}', "passed"),
+        (Rule("x", "normalized_string", ("/a",)), '{"a":"CAF\\u00c9  X"}', '{"a":"cafe\\u0301 x"}', "passed"), (Rule("x", "normalized_string", ("/a",), options={"case_insensitive": False}), '{"a":"A"}', '{"a":"a"}', "failed"),
+        (Rule("x", "canonical_date", ("/a",), options={"formats": ("iso", "dmy_dot")}), '{"a":"2024-02-09"}', '{"a":"9.2.2024"}', "passed"), (Rule("x", "canonical_date", ("/a",)), '{"a":"2023-02-30"}', '{"a":"2024-01-01"}', "error"),
+        (Rule("x", "exact_integer", ("/a",)), '{"a":7}', '{"a":"007"}', "passed"), (Rule("x", "decimal", ("/a",), options={"absolute": "0.05"}), '{"a":"1e3"}', '{"a":1000.04}', "passed"),
+        (Rule("x", "decimal_exact", ("/a",)), '{"a":1.50}', '{"a":"1.5"}', "passed"), (Rule("x", "decimal", ("/a",), options={"relative": "0.01"}), '{"a":100}', '{"a":102}', "failed"),
+        (Rule("x", "pointers_exact", ("/a", "/b")), '{"a":1,"b":2}', '{"a":1}', "failed"), (Rule("x", "tool_arguments", ("/a", "/b")), '{"a":1}', '{"a":1,"b":2}', "error"),
+        (Rule("x", "tool_selection", ("/name",), ("/tool",)), '{"tool":"f"}', '{"name":"f"}', "passed"), (Rule("x", "required_fields", ("/a",)), "{}", '{"a":null}', "failed"),
+    ]
+    keyed = Rule("x", "keyed_array", ("/i",), options={"keys": {"/id": "normalized_string", "/n": "exact"}, "fields": {"/q": ("decimal", {"absolute": "0.5"}), "/d": ("canonical_date", {}), "/s": ("normalized_string", {})}})
+    item = lambda i, n, q, d="2024-01-01", s="A": f'{{"id":"{i}","n":{n},"q":{q},"d":"{d}","s":"{s}"}}'
+    items = lambda *x: f'{{"i":[{",".join(x)}]}}'
+    table += [
+        (keyed, items(item("A", 1, 2), item("a", 2, 3)), items(item("a", 2, 3.4, "2024-1-1"), item(" a", 1, 2, s="a ")), "passed"), (keyed, items(item("A", 1, 2)), items(item("a", 1, 3)), "failed"),
+        (keyed, items(item("A", 1, 2)), items(item("a", 1, 2), item("b", 1, 2)), "failed"), (keyed, items(item("A", 1, 2), item("a", 1, 2)), items(item("a", 1, 2)), "error"),
+        (keyed, items(item("A", 1, 2)), items(item("a", 1, 2), item("a ", 1, 2)), "failed"), (keyed, items(item("A", 1, 2, "x")), items(item("a", 1, 2)), "error"),
+        (keyed, items(item("A", 1, 2)), '{"i":{"id":"a"}}', "failed"), (keyed, '{"i":7}', items(), "error"), (keyed, items(), items(), "passed"), (keyed, items('{"n":1}'), items(), "error"),
+    ]
+    sums = Rule("x", "financial_invariants", ("/l", "/s", "/t", "/g"), options={"tolerance": "0.01", "line": ("/q", "/p", "/a")})
+    money = lambda a, s, g: f'{{"l":[{{"q":2,"p":"1.5","a":{a}}}],"s":{s},"t":"0.5","g":{g}}}'
+    table += [(sums, "{}", money(3, '"3.00"', "3.5e0"), "passed"), (sums, "{}", money(3.02, 3.02, 3.52), "failed"), (sums, "{}", money('"x"', 3, 3.5), "error"), (sums, "{}", money(3, 3, 4), "failed"), (sums, "{}", '{"s":1}', "error")]
+    for rule, expected, output, want in table:
+        assert planned(spark, rule, expected, output) == want, (rule, expected, output)
+    assert {r.kind for r, *_ in table} | {"external"} == set(KINDS)
+
+
+def test_plans_are_checked():
+    from pairwright.plans.paired import Rule
+
+    fine = ("a", "/a", "exact")
+    for bad in (
+        (), (fine, fine), (("a", "a", "exact"),), (("a", "/a", "odd"),), (Rule("a", "pointers_exact"),), (Rule("a", "exact", ("/a",), ("/b", "/c")),), (Rule("a", "exact", ("/a",), options={"x": 1}),),
+        (Rule("a", "canonical_date", ("/a",), options={"formats": ("dmy_slash", "mdy_slash")}),), (Rule("a", "canonical_date", ("/a",), options={"formats": ("odd",)}),), (Rule("a", "keyed_array", ("/a",)),),
+        (Rule("a", "keyed_array", ("/a",), options={"keys": {"/k": "exact"}, "fields": {"/k/x": ("exact", {})}}),),
+    ):
+        with pytest.raises(ValueError):
+            Evaluation(bad)
+    with pytest.raises(ValueError):
+        Evaluation((fine,), primary=("b",))
+    assert Evaluation((fine, ("b", "/b", "exact")), primary=("b",)).components == ("b",)
+
+
+def test_tokens_lead_back(spark):
+    from pairwright.operators import pairing
+
+    cases = spark.createDataFrame([("x", 1), ("y", 2)], "id string, n long")
+    hidden = cases.select(pairing.execution_token("r", F.col("n")).alias("case_id"), "n").union(spark.createDataFrame([("case-odd", 3)], "case_id string, n long"))
+    assert {(r.case_id, r.n) for r in pairing.remapped(hidden.withColumnRenamed("n", "v"), cases, "r", F.col("n")).select("case_id", F.col("v").alias("n")).collect()} == {("x", 1), ("y", 2)}
+
+
 def test_schema_inspection():
     schema = {"type": "object", "properties": {"a": {"$ref": "#/properties/b"}, "b": {"type": ["string", "null"], "properties": {"c": {"$ref": "#/properties/a"}}}}}
     assert ("/b", "string|null", False) in profile.inspect_schema(schema) and ("/b", "nullable_union") in profile.schema_warnings(schema)
