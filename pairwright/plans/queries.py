@@ -109,9 +109,10 @@ def tool_arguments(spark: SparkSession, d: str) -> DataFrame:
 def normalized_string(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     # Every fourth name in full-width letters and with an accent apart, which only NFKC makes equal to the plain form.
-    wide = F.translate(F.upper("p_name"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ")
+    p = p.withColumn("plain", F.upper("p_name"))
+    wide = F.translate("plain", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ")
     p = p.withColumn("p_name", F.when(F.col("p_partkey") % 4 == 0, F.concat("p_name", F.lit(" caf\u00e9"))).otherwise(F.col("p_name")))
-    noisy = F.when(F.col("p_partkey") % 4 == 0, F.concat(wide, F.lit(" CAFE\u0301"))).otherwise(F.upper("p_name"))
+    noisy = F.when(F.col("p_partkey") % 4 == 0, F.concat(wide, F.lit(" CAFE\u0301"))).otherwise(F.col("plain"))
     noisy = F.concat(F.lit("  "), noisy, F.when(F.col("p_partkey") % 9 == 0, " x").otherwise("\t "))
     return p.groupBy(E.normalized_string(_json(F.col("p_name")), _json(noisy)).alias("state"), E.normalized_string(_json(F.col("p_name")), _json(noisy), case_insensitive=False).alias("state_with_case")).agg(F.count("*").alias("n"))
 
