@@ -36,13 +36,15 @@ def value(text: Column) -> Column:
 
 def _compared(expected: Column, actual: Column, present: Column, same: Callable[[Column, Column], Column], *, output_first: bool = False) -> Column:
     """A reference without a form is an error, an output without one fails; ``output_first``: an absent output fails before that."""
-    found = F.when(expected.isNull(), ERROR).when(actual.isNull(), FAILED).otherwise(_verdict(same(expected, actual)))
+    # Bound once: the forms would else be worked out again wherever they are named.
+    both = F.array(F.struct(expected.alias("e"), actual.alias("a")))
+    found = F.element_at(F.transform(both, lambda x: F.when(x["e"].isNull(), ERROR).when(x["a"].isNull(), FAILED).otherwise(_verdict(same(x["e"], x["a"])))), 1)
     return F.when(~present, FAILED).otherwise(found) if output_first else found
 
 
 def same_json(e: Column, a: Column) -> Column:
     """Equal canonical texts, numbers as written; a missing reference is an error even if the output misses too."""
-    return _compared(e["json"], a["json"], a.isNotNull(), lambda x, y: x == y)
+    return exact(e["json"], a["json"])
 
 
 def same_string(e: Column, a: Column, *, case_insensitive: bool = True) -> Column:
@@ -86,7 +88,7 @@ def worst(*statuses: Column) -> Column:
 
 
 def exact(expected: Column, actual: Column) -> Column:
-    """``same_json`` of canonical texts."""
+    """Equal canonical texts; a missing reference is an error, a missing output fails."""
     return F.when(expected.isNull(), ERROR).when(actual.isNull(), FAILED).otherwise(_verdict(expected == actual))
 
 

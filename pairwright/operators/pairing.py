@@ -11,9 +11,13 @@ TRANSITIONS = ("both_pass", "baseline_only_pass", "candidate_only_pass", "both_f
 def with_outputs(cases: DataFrame, outputs: DataFrame, id_col: str = "id") -> DataFrame:
     """Every case once, with its output, or with status ``missing``; of columns of both, the case's stay."""
     outputs = outputs.drop(*(set(outputs.columns) & set(cases.columns)))
-    joined = cases.join(outputs, cases[id_col] == outputs["case_id"], "left").drop("case_id")
+    return or_missing(cases.join(outputs, cases[id_col] == outputs["case_id"], "left").drop("case_id"))
+
+
+def or_missing(rows: DataFrame) -> DataFrame:
+    """Rows without an output say so."""
     lost = F.col("status").isNull()
-    return joined.withColumn("error_kind", F.when(lost, F.lit("missing_output")).otherwise(F.col("error_kind"))).withColumn("status", F.coalesce("status", F.lit("missing")))
+    return rows.withColumn("error_kind", F.when(lost, F.lit("missing_output")).otherwise(F.col("error_kind"))).withColumn("status", F.coalesce("status", F.lit("missing")))
 
 
 def unknown_outputs(cases: DataFrame, outputs: DataFrame, id_col: str = "id") -> DataFrame:

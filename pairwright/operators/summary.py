@@ -100,7 +100,9 @@ def field_hotspots(states: DataFrame) -> DataFrame:
 
 def paired_metrics(pairs: DataFrame, verdict: str, by: list[str] | None = None) -> DataFrame:
     """The four cells, margins, difference and exact McNemar p, whole or by groups."""
-    counts = pairs.groupBy(*(by or [])).agg(*paired_counts(F.col(f"baseline.{verdict}"), F.col(f"candidate.{verdict}")))
+    # Taken out of the structs first, so that nothing else of a pair is read.
+    verdicts = pairs.select(*(by or []), F.col(f"baseline.{verdict}").alias("_b"), F.col(f"candidate.{verdict}").alias("_c"))
+    counts = verdicts.groupBy(*(by or [])).agg(*paired_counts(F.col("_b"), F.col("_c")))
     return counts.withColumn("mcnemar_p", F.round(mcnemar(F.col("baseline_only"), F.col("candidate_only")), 9))
 
 

@@ -12,7 +12,7 @@ from pairwright.functions.json import pointers_overlap, read_values, records
 from pairwright.functions.text import DATE_FORMATS
 from pairwright.operators import evaluators as E
 from pairwright.operators import outcomes as O
-from pairwright.operators.pairing import paired, with_outputs
+from pairwright.operators.pairing import or_missing, paired
 
 
 @dataclass(frozen=True)
@@ -146,17 +146,14 @@ def evaluate_all(cases: DataFrame, outputs: dict[str, DataFrame], plan: Evaluati
     """One row per case and variant: state of the output, evaluators' states, outcome and flags.
 
     References are parsed once for all variants, outputs once each, strictly and for all pointers,
-    in all forms that comparisons need; variants meet their cases in one join on id and variant,
-    and the rest is Spark expressions.  ``external`` holds results of the plan's external
+    in all forms that comparisons need; the rest is Spark expressions.  Cases are dealt by id,
+    which serves parsing, the joins with every variant's outputs, and pairing.  ``external`` holds results of the plan's external
     evaluators (case_id, variant, evaluator, status); one that gave none is an error.
     """
-    known = cases.withColumn("_e", read_values(F.col("expected"), _references(plan))["found"])
-    rows = known.withColumn("variant", F.explode(F.array(*map(F.lit, outputs)))).withColumn("_key", F.concat_ws("\0", "variant", "id"))
-    recorded = None
-    for variant, df in outputs.items():
-        named = df.drop("variant").withColumn("case_id", F.concat_ws("\0", F.lit(variant), "case_id"))
-        recorded = named if recorded is None else recorded.unionByName(named, allowMissingColumns=True)
-    rows = with_outputs(rows, recorded, "_key").drop("_key")
+    # A fixed number of partitions, as small cases would else be parsed in one task.
+    dealt = cases.repartition(int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    known = dealt.withColumn("_e", read_values(F.col("expected"), _references(plan))["found"])
+    rows = _joined(known, outputs)
     outside = [r.id for r in plan.rules if r.kind == "external"]
     if outside:
         if external is None:
@@ -167,6 +164,19 @@ def evaluate_all(cases: DataFrame, outputs: dict[str, DataFrame], plan: Evaluati
     return _scored(rows, plan)
 
 
+def _joined(known: DataFrame, outputs: dict[str, DataFrame]) -> DataFrame:
+    """Every case once per variant, with its output, or with status ``missing``; of columns of both, the case's stay."""
+    kinds = {f.name: f.dataType for df in outputs.values() for f in df.schema if f.name not in (*known.columns, "variant", "case_id")}
+    rows, sides = known, []
+    for n, (variant, df) in enumerate(outputs.items()):
+        whole = F.struct(*((F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t)).alias(c) for c, t in kinds.items()))
+        side = df.select(F.col("case_id").alias(f"_id{n}"), whole.alias(f"_out{n}"))
+        rows = rows.join(side, rows["id"] == side[f"_id{n}"], "left").drop(f"_id{n}")
+        sides.append(F.struct(F.lit(variant).alias("variant"), F.col(f"_out{n}").alias("out")))
+    rows = rows.select(*known.columns, F.explode(F.array(*sides)).alias("_side")).select(*known.columns, "_side.variant", "_side.out.*")
+    return or_missing(rows)
+
+
 def evaluate(cases: DataFrame, outputs: DataFrame, variant: str, plan: Evaluation) -> DataFrame:
     """One row per case: the evaluation of one variant."""
     return evaluate_all(cases, {variant: outputs}, plan)
