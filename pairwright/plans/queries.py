@@ -130,7 +130,7 @@ def numeric_absolute(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").withColumn("p", F.round("l_extendedprice", 2).cast("decimal(18,2)"))
     off = (F.col("p") + (F.col("l_linenumber") - 1).cast("decimal(9,2)") * F.lit("0.01").cast("decimal(9,2)")).cast("string")
     # Every third amount in cents with an exponent, every seventh with more places than are exact.
-    off = F.when(F.col("l_partkey") % 7 == 0, F.concat(off, F.lit("00000000000001"))).when(F.col("l_partkey") % 3 == 0, F.concat(F.regexp_replace(off, r"\.", ""), F.lit("e-2"))).otherwise(off)
+    off = F.when(F.col("l_partkey") % 7 == 0, F.concat(off, F.lit("00000000000001"))).when(F.col("l_partkey") % 3 == 0, F.concat(F.regexp_replace(off, r"\.", ""), F.lit("e-4"))).otherwise(off)
     return li.groupBy("l_linenumber", E.numeric_tolerance(F.col("p").cast("string"), _json(off), absolute="0.02").alias("state")).agg(F.count("*").alias("n"))
 
 
