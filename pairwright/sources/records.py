@@ -47,7 +47,10 @@ def csv_cells(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cases(lines: DataFrame, fields: dict[str, str] = CASE_FIELDS, max_line_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
-    """Cases (id, input, expected, visible metadata, metadata as JSON text, source_line) and the violations."""
+    """Cases (id, input, expected, visible metadata, metadata as JSON text, source_line) and the violations.
+
+    Lines with a violation are no cases; of lines with one id the first is.
+    """
     names = list(fields)
     read = lines.withColumn("r", read_json(F.col("line"), [fields[n] for n in names]))
     place = F.struct(F.col("file") if "file" in lines.columns else F.lit(""), F.col("source_line")).alias("place")
@@ -55,16 +58,21 @@ def cases(lines: DataFrame, fields: dict[str, str] = CASE_FIELDS, max_line_bytes
     cols = cols.withColumn("id", F.trim(json_string(F.col("id"))))
     repeated = cols.where("id <> ''").groupBy("id").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
     rule = lambda name, when: F.when(when, F.lit(name))
-    broken = cols.select("source_line", F.explode(F.filter(F.array(
+    cols = cols.withColumn("faults", F.array_compact(F.array(
         rule("blank_line", F.col("blank")), rule("line_too_long", F.col("bytes") > max_line_bytes), rule("malformed_json", ~F.col("blank") & F.col("malformed").isNotNull()),
         rule("bad_id", F.col("malformed").isNull() & (F.coalesce("id", F.lit("")) == "")), rule("missing_input", F.col("malformed").isNull() & F.col("input").isNull()),
-    ), lambda x: x.isNotNull())).alias("violation"))
+    )))
+    broken = cols.select("source_line", F.explode("faults").alias("violation"))
     again = cols.join(repeated, "id").where(F.col("place") > F.col("first")).select("source_line", F.lit("duplicate_id").alias("violation"))
-    return cols.select(*names, "source_line"), broken.union(again)
+    valid = cols.where(F.size("faults") == 0).join(repeated.select(F.col("id").alias("_again"), "first"), F.col("id") == F.col("_again"), "left")
+    return valid.where(F.col("first").isNull() | (F.col("place") == F.col("first"))).select(*names, "source_line"), broken.union(again)
 
 
 def outputs(lines: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Recorded outputs of one variant, and the violations: unknown fields or ids, repeats, status rules, costs."""
+    """Recorded outputs of one variant, and the violations: unknown fields or ids, repeats, status rules, costs.
+
+    Lines with a violation are no outputs, so their cases count as missing; of lines with one id the first is.
+    """
     read = lines.withColumn("r", read_json(F.col("line"), [f"/{n}" for n in OUTPUT_FIELDS])).withColumn("o", F.col("r.found"))
     at = {n: F.get("o", F.lit(i)) for i, n in enumerate(OUTPUT_FIELDS)}
     text = lambda n: json_string(at[n])
@@ -77,17 +85,21 @@ def outputs(lines: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     has_output = F.col("raw_output").isNotNull() | F.col("parsed_output").isNotNull()
     raw = read_json(F.col("raw_output"), [])["canonical"]
     rule = lambda name, when: F.when(when, F.lit(name))
-    broken = cols.select("source_line", "case_id", F.explode(F.filter(F.array(
+    cols = cols.withColumn("faults", F.array_compact(F.array(
         rule("malformed_json", F.col("malformed").isNotNull()), rule("unknown_field", F.size(F.array_except("keys", F.array(*map(F.lit, OUTPUT_FIELDS)))) > 0),
         rule("blank_id", F.col("malformed").isNull() & (F.trim(F.coalesce("case_id", F.lit(""))) == "")), rule("bad_status", ~F.col("status").isin("ok", "error", "missing")),
         rule("ok_without_output", (F.col("status") == "ok") & F.col("malformed").isNull() & ~has_output), rule("ok_with_error", (F.col("status") == "ok") & F.col("has_error")),
         rule("failed_with_output", (F.col("status") != "ok") & has_output), rule("failed_without_error", (F.col("status") == "error") & ~F.col("has_error")),
         rule("outputs_differ", F.col("raw_output").isNotNull() & F.col("parsed_output").isNotNull() & ~raw.eqNullSafe(F.col("parsed_output"))),
         rule("bad_cost", F.col("has_cost") & (F.coalesce(decimal_text(F.col("cost_text")) < 0, F.lit(True)) | F.col("cost_text").startswith("-") | (F.trim(F.coalesce("currency", F.lit(""))) == ""))),
-    ), lambda x: x.isNotNull())).alias("violation"))
+    )))
+    broken = cols.select("source_line", "case_id", F.explode("faults").alias("violation"))
     strangers = cols.where("case_id is not null").join(known.select(F.col("id").alias("case_id")), "case_id", "left_anti").select("source_line", "case_id", F.lit("unknown_id").alias("violation"))
-    again = cols.where("case_id is not null").groupBy("case_id").agg(F.max("source_line").alias("source_line"), F.count("*").alias("n")).where("n > 1").select("source_line", "case_id", F.lit("duplicate_id").alias("violation"))
-    kept = cols.withColumn("raw_output", F.coalesce("raw_output", "parsed_output")).drop("keys", "malformed", "has_error", "has_cost", "parsed_output")
+    repeated = cols.where("case_id is not null").groupBy("case_id").agg(F.min("source_line").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("case_id").alias("_again"), "first")
+    again = cols.join(repeated, F.col("case_id") == F.col("_again")).where(F.col("source_line") > F.col("first")).select("source_line", "case_id", F.lit("duplicate_id").alias("violation"))
+    valid = cols.where(F.size("faults") == 0).join(known.select(F.col("id").alias("case_id")), "case_id", "left_semi").join(repeated, F.col("case_id") == F.col("_again"), "left")
+    valid = valid.where(F.col("first").isNull() | (F.col("source_line") == F.col("first")))
+    kept = valid.withColumn("raw_output", F.coalesce("raw_output", "parsed_output")).drop("keys", "malformed", "has_error", "has_cost", "parsed_output", "faults", "_again", "first")
     return kept, broken.union(strangers).union(again)
 
 

@@ -67,6 +67,18 @@ def test_runs_keep_every_case(spark):
     assert (rows["c"].baseline.status, rows["c"].candidate.deployment_success) == ("missing", True)
 
 
+def test_faulty_lines_are_no_rows(spark):
+    """Blank, malformed, repeated and unknown lines are violations and stay out of what is paired."""
+    lines = ['{"id":"a","input":1}', "", "{bad", '{"id":"a","input":2}', '{"id":" ","input":3}', '{"id":"b"}', '{"id":"c","input":4}']
+    cases, bad = records.cases(spark.createDataFrame(list(enumerate(lines, 1)), "source_line long, line string"))
+    assert sorted((r.id, r.source_line) for r in cases.collect()) == [("a", 1), ("c", 7)]
+    assert sorted((r.source_line, r.violation) for r in bad.collect()) == [(2, "blank_line"), (3, "malformed_json"), (4, "duplicate_id"), (5, "bad_id"), (6, "missing_input")]
+    lines = ['{"case_id":"a","raw_output":"1"}', '{"case_id":"a","raw_output":"2"}', '{"case_id":"a","raw_output":"3"}', '{"case_id":"z","raw_output":"1"}', '{"case_id":"c"}', "{bad"]
+    out, bad = records.outputs(spark.createDataFrame(list(enumerate(lines, 1)), "source_line long, line string"), cases)
+    assert [(r.case_id, r.raw_output) for r in out.collect()] == [("a", "1")]
+    assert sorted((r.source_line, r.violation) for r in bad.collect()) == [(2, "duplicate_id"), (3, "duplicate_id"), (4, "unknown_id"), (5, "ok_without_output"), (6, "malformed_json")]
+
+
 def test_evidence(spark):
     rows = [(1, "s1", "x"), (2, "s2", "x"), (3, "s2", "x"), (4, "s3", "x"), (5, "s3", "y"), (6, None, "z")]
     for order in (rows, rows[::-1]):
