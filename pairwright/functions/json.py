@@ -162,6 +162,11 @@ def leaves(text: Column) -> Column:
     return F.udf(flat, "array<struct<pointer:string,wide:string,type:string,value:string>>", useArrow=True)(text)
 
 
+def scalars(text: Column) -> Column:
+    """Every scalar of a document but nulls, as canonical texts, whatever its depth."""
+    return F.transform(F.filter(leaves(text), lambda x: x["value"] != "null"), lambda x: x["value"])
+
+
 def json_string(text: Column) -> Column:
     """The string that a JSON string text stands for; null for other types."""
     return F.when(text.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v"))
@@ -224,6 +229,69 @@ def diff(left: Column, right: Column) -> Column:
     return F.udf(both, "array<struct<path:string,kind:string,baseline:string,candidate:string>>", useArrow=True)(left, right)
 
 
+#: Members that name an array's items, the first that all have.
+ITEM_KEYS = ("id", "sku", "product_code", "code")
+
+
+def _item_key(items: list) -> str | None:
+    named = lambda k: all(isinstance(x, dict) and isinstance(x.get(k), str) for x in items)
+    return next((k for k in ITEM_KEYS if items and named(k)), None)
+
+
+def _rows(value: object, path: str, out: dict) -> None:
+    """Ends of a document by path: type and text; an empty object or array is an end."""
+    inner = list(value.items()) if isinstance(value, dict) else list(enumerate(value)) if isinstance(value, list) else []
+    if not inner:
+        out[path] = kind(value), canonical(value)
+    for step, x in inner:
+        _rows(x, f"{path}/{str(step).replace('~', '~0').replace('/', '~1')}", out)
+
+
+def _aligned(expected: object, actual: object, path: str, out: dict) -> None:
+    """As ``_rows`` for the actual document, items of named arrays at the places of the expected ones."""
+    if isinstance(expected, dict) and isinstance(actual, dict) and actual:
+        for step, x in actual.items():
+            _aligned(expected.get(step, MISSING), x, f"{path}/{step.replace('~', '~0').replace('/', '~1')}", out)
+    elif isinstance(expected, list) and isinstance(actual, list) and actual and (key := _item_key(expected + actual)):
+        places = {str(x[key]): i for i, x in reversed(list(enumerate(expected)))}
+        more = len(expected)
+        for x in actual:
+            at = places.get(str(x[key]))
+            if at is None:
+                at, more = more, more + 1
+            _rows(x, f"{path}/{at}", out)
+    else:
+        _rows(actual, path, out)
+
+
+def structural_diff(expected: Column, actual: Column) -> Column:
+    """Every end of two documents: path, state (unchanged, changed, type_changed, added, removed) and both texts.
+
+    Items of arrays that all have a member of ``ITEM_KEYS`` are compared by it, others by place.
+    Null if either document is null or malformed.
+    """
+
+    def compare(left: str | None, right: str | None) -> list | None:
+        try:
+            e, a = (None if x is None else parse(x.strip()) for x in (left, right))
+            if left is None or right is None:
+                return None
+            was: dict = {}
+            now: dict = {}
+            _rows(e, "", was)
+            _aligned(e, a, "", now)
+        except (ValueError, RecursionError):
+            return None
+        out = []
+        for path in sorted({*was, *now}):
+            b, c = was.get(path), now.get(path)
+            state = "added" if b is None else "removed" if c is None else "unchanged" if b == c else "changed" if b[0] == c[0] else "type_changed"
+            out.append((path, state, b and b[1], c and c[1]))
+        return out
+
+    return F.udf(compare, "array<struct<path:string,state:string,expected:string,actual:string>>", useArrow=True)(expected, actual)
+
+
 def redact(text: Column, pointers: list[str], mark: str = "[redacted]") -> Column:
     """Canonical JSON text with the values at the pointers replaced; pointers that lead nowhere change nothing."""
 

@@ -68,3 +68,15 @@ def sanitized(log: Column) -> Column:
     """A log, lines with credentials replaced."""
     lines = F.transform(F.split(log, "\n"), lambda x: F.when(x.rlike(CREDENTIAL), F.lit("[redacted]")).otherwise(x))
     return F.array_join(lines, "\n")
+
+
+def truncated(text: Column, max_bytes: int, mark: str = "\n[truncated]") -> Column:
+    """A text cut to so many bytes of UTF-8 at most, never inside a character, and marked; shorter ones as they are."""
+    raw = text.cast("binary")
+    byte = lambda at: F.conv(F.hex(F.substring(raw, at, 1)), 16, 10).cast("int")
+    # Where the byte after the cut continues a character (binary 10...), the cut moves back to its start: three bytes at most.
+    inside = lambda at: byte(at).between(128, 191)
+    end = F.lit(max_bytes)
+    for back in range(3):
+        end = F.when((end == max_bytes - back) & inside(F.lit(max_bytes - back + 1)), F.lit(max_bytes - back - 1)).otherwise(end)
+    return F.when(F.octet_length(text) <= max_bytes, text).otherwise(F.concat(F.substring(raw, F.lit(1), end).cast("string"), F.lit(mark)))

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairwright.functions.json import read_json
+
+#: Parts of a case, as JSON texts, and those that make its stimulus unless told: metadata is no part of it.
+PARTS = ("input", "expected", "model_visible_metadata", "metadata")
+INCLUDE = ("/input", "/expected", "/model_visible_metadata")
+
 
 def digest(*columns: Column) -> Column:
     """One hash of several values; null and text apart."""
@@ -12,6 +18,32 @@ def digest(*columns: Column) -> Column:
     return F.sha2(F.concat_ws("\0", *parts).cast("binary"), 256)
 
 
+def unit_label(pointer: str | None = None, include: tuple[str, ...] = INCLUDE) -> str:
+    """What a report says of how units are told apart."""
+    return f"pointer:{pointer}" if pointer is not None else f"fingerprint:{','.join(include)}"
+
+
+def with_units(cases: DataFrame, pointer: str | None = None, include: tuple[str, ...] = INCLUDE) -> tuple[DataFrame, DataFrame]:
+    """Cases with the key of their unit of evidence, and those that have none.
+
+    A unit is the value at a pointer into the case, or else the values at all of ``include``.  A part
+    that a case lacks is null, which is a value; a pointer that leads nowhere in a case is an error,
+    so such cases come back apart (id, pointer).
+    """
+    if pointer is not None and tuple(include) != INCLUDE:
+        raise ValueError("a unit is named by a pointer or by an include list, not by both")
+    wanted = [pointer] if pointer is not None else list(dict.fromkeys(include))
+    if not wanted or any(not p.startswith("/") for p in wanted):
+        raise ValueError(f"no such pointers: {wanted}")
+    text = lambda c: F.coalesce(F.col(c), F.lit("null")) if c in cases.columns else F.lit("null")
+    whole = F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{c}":'), text(c)) for c in PARTS)), F.lit("}"))
+    read = cases.withColumn("_found", read_json(whole, wanted)["found"])
+    lost = F.get(F.filter(F.arrays_zip(F.array(*map(F.lit, wanted)).alias("pointer"), F.col("_found").alias("value")), lambda x: x["value"].isNull()), F.lit(0))["pointer"]
+    read = read.withColumn("_lost", F.when(F.col("_found").isNull(), F.lit(wanted[0])).otherwise(lost))
+    known = read.where("_lost is null").withColumn("unit", digest(*(F.get("_found", F.lit(i)) for i in range(len(wanted)))))
+    return known.drop("_found", "_lost"), read.where("_lost is not null").select("id", F.col("_lost").alias("pointer"))
+
+
 def _kind() -> Column:
     return F.when(F.col("rows") == 1, "singleton").when(F.col("distinct_observations") == 1, "exact_duplicate").otherwise("repeated_trial")
 

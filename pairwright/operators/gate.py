@@ -126,3 +126,20 @@ def decision(found: DataFrame, *, release: bool = False) -> DataFrame:
     first = F.when(F.count("limit") == 0, "not_configured").otherwise(F.coalesce(*(F.when(n(s) > 0, F.lit(s)) for s in PRECEDENCE), F.lit("not_configured")))
     named = lambda s: F.array_join(F.array_sort(F.collect_list(F.when(F.col("status") == s, F.col("rule")))), ",")
     return found.agg(first.alias("decision"), *(n(s).alias(f"n_{s}") for s in (*PRECEDENCE, "not_configured")), named("failed").alias("failed_rules"), named("insufficient_evidence").alias("insufficient_rules"), ((first == "passed") & F.lit(release)).alias("deployment_authorized"))
+
+
+def headline(decided: DataFrame, integrity: Column, blocking: Column, *, release: bool = False) -> DataFrame:
+    """A decision's one-line title: broken evidence first, then saved cases, then what the gate found.
+
+    ``decided`` comes from ``decision``; ``integrity`` is verified, modified, replay_failed or other,
+    ``blocking`` whether the suite of saved cases blocks.
+    """
+    state = F.col("decision")
+    # The titles.
+    title = (
+        F.when(integrity == "modified", "EVIDENCE MODIFIED").when(integrity == "replay_failed", "REPLAY FAILED").when(integrity != "verified", "EVIDENCE NOT VERIFIED")
+        .when(blocking, "PINNED REGRESSION SUITE FAILED").when(F.col("deployment_authorized") & F.lit(release), "RELEASE AUTHORIZED").when(state == "error", "RUN ERROR")
+        .when((F.col("n_failed") > 0) | (state == "failed"), "DO NOT DEPLOY").when(state == "insufficient_evidence", "NOT ENOUGH EVIDENCE")
+        .when((state == "passed") & F.lit(not release), "REGRESSION CHECK PASSED").otherwise("ANALYSIS COMPLETE")
+    )
+    return decided.withColumn("title", title)

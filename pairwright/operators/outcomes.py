@@ -38,3 +38,15 @@ def case_flags(status: Column, schema_valid: Column, truth: Column, full: Column
         "structured_success": structured, "semantic_success": passes, "deployment_success": structured & passes & full,
         "valid_but_wrong": wrong, "fully_evaluated_valid_but_wrong": wrong & full,
     }
+
+
+def display(truth: Column, full: Column) -> Column:
+    """An outcome in a reader's words; an outcome that isn't there is unscored."""
+    return (
+        F.when(truth.isNull() | (truth == "unscored"), "Unscored").when((truth == TRUE) & full, "Correct").when((truth == FALSE) & full, "Wrong")
+        .when(truth == ERROR, "Evaluation error").when(truth == NOT_APPLICABLE, "N/A").otherwise("Incomplete")
+    )
+
+
+def transition_display(transition: Column) -> Column:
+    return F.when(transition == "baseline_only_pass", "Regression").when(transition == "candidate_only_pass", "Improvement").when(transition == "both_pass", "Both pass").otherwise("Both fail")

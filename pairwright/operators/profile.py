@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.json import leaves
 from pairwright.functions.text import like_kind
 
+
 def observed(rows: DataFrame, source: str, column: str) -> DataFrame:
     """Every field of every row: source, pointer (``*`` for items), type and text; the root is left out."""
     found = rows.select(F.explode(leaves(F.col(column))).alias("f"))
@@ -44,7 +47,7 @@ def mapping_candidates(fields: DataFrame) -> DataFrame:
 
 
 def inspect_schema(schema: dict) -> list[tuple[str, str, bool]]:
-    """Fields of a JSON Schema: pointer, type and whether required; a driver-side walk of a configuration."""
+    """Fields of a JSON Schema: pointer, type and whether required."""
     found: list[tuple[str, str, bool]] = []
 
     def walk(node: dict, path: str, active: tuple[str, ...]) -> None:
@@ -89,3 +92,17 @@ def schema_warnings(schema: dict) -> list[tuple[str, str]]:
 
     walk(schema, "", 0)
     return out
+
+
+def _inspected(text: str | None) -> tuple | None:
+    try:
+        schema = json.loads(text or "null")
+        return (inspect_schema(schema), schema_warnings(schema)) if isinstance(schema, dict) else None
+    except (ValueError, RecursionError):
+        return None
+
+
+def inspected(text: Column) -> Column:
+    """Of each JSON Schema its fields and what warns of it; null for texts that are none."""
+    out = "struct<fields:array<struct<pointer:string,type:string,required:boolean>>,warnings:array<struct<pointer:string,warning:string>>>"
+    return F.udf(_inspected, out, useArrow=True)(text)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairwright.functions.json import diff
+from pairwright.functions.json import diff, read_json
+from pairwright.functions.text import truncated
 from pairwright.operators.pairing import transition
 
 
@@ -113,3 +114,48 @@ def priced(input_tokens: Column, output_tokens: Column, price_in: str, price_out
     """The exact cost of a million-token price list; unknown if either count is."""
     price = lambda x: F.lit(x).cast("decimal(12,6)")
     return ((input_tokens.cast("decimal(18,0)") * price(price_in) + output_tokens.cast("decimal(18,0)") * price(price_out)) / 1_000_000).cast("decimal(38,12)")
+
+
+def search_text(document: Column, pointers: list[str], *more: Column, longest: int = 4096) -> Column:
+    """What a search looks through: further texts, and what a few pointers find in a document, each cut to ``longest`` characters."""
+    if len(pointers) > 32:
+        raise ValueError("at most 32 pointers are searched")
+    found = F.transform(F.array_compact(read_json(document, pointers)["found"]), lambda x: F.substring(x, 1, longest))
+    return F.lower(F.array_join(F.concat(F.array_compact(F.array(*more)), F.coalesce(found, F.array().cast("array<string>"))), " "))
+
+
+def case_page(filtered: DataFrame, order: str, *, name: str = "all", query: str = "", pins: DataFrame | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of the cases that a filter and a search leave, each with the number of them all.
+
+    ``filtered`` has ``filters`` and, for a search, ``search_text``; a name that no filter has means all,
+    ``pinned`` the cases of ``pins`` (case_id).  The total is one aggregate, joined back, so no
+    window gathers the hits.
+    """
+    hits = filtered
+    if name == "pinned":
+        if pins is None:
+            raise ValueError("pins are needed for that filter")
+        hits = hits.join(pins.select("case_id"), "case_id", "left_semi")
+    elif name in FILTERS:
+        hits = hits.where(F.array_contains("filters", name))
+    if query:
+        hits = search(hits, F.col("search_text"), query)
+    total = hits.agg(F.count("*").alias("total")).withColumn("_one", F.lit(1))
+    return page(hits, order, limit, offset).withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")
+
+
+#: Names of filters that a page can be asked for.
+FILTERS = ("regressions", "improvements", "both_wrong", "valid_but_wrong", "parse_failures", "schema_failures", "evaluator_errors", "adapter_errors")
+
+
+def matches(pattern: Column, pointer: Column) -> Column:
+    """The pointer has the pattern's steps, of which ``*`` is any."""
+    steps, wanted = F.split(pointer, "/"), F.split(pattern, "/")
+    return (F.size(steps) == F.size(wanted)) & F.forall(F.arrays_zip(wanted.alias("w"), steps.alias("s")), lambda x: (x["w"] == "*") | (x["w"] == x["s"]))
+
+
+def case_view(pairs: DataFrame, secret: Column, *, max_bytes: int = 65536) -> DataFrame:
+    """What a report shows of a case: both outputs without the secret, cut, and their state beside the reference."""
+    shown = lambda s: truncated(redacted(F.col(f"{s}.raw_output"), secret), max_bytes).alias(f"{s}_output")
+    state = lambda s: F.col(f"{s}.truth").alias(f"{s}_truth")
+    return pairs.select("case_id", *(f(s) for s in ("baseline", "candidate") for f in (shown, state)))

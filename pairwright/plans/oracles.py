@@ -223,7 +223,7 @@ SELECT CASE WHEN open THEN 'error' WHEN off OR k % 10 = 0 THEN 'failed' ELSE 'pa
     "paired_metrics": _evaluated(_metrics("pr", "b", "c")),
     "deployment_metrics": _evaluated(_metrics("pr", "bd", "cd")),
     "paired_by_segment": _evaluated(", seg AS (SELECT pr.*, c_mktsegment AS segment FROM pr JOIN customer ON c_custkey = custkey)" + _metrics("seg", "b", "c", "segment")),
-    "mcnemar_exact": f"WITH n AS (SELECT b.i AS losses, c.i AS wins FROM range(13) b(i), range(13) c(i) UNION ALL VALUES (100, 130), (0, 60), (500, 500), (40, 41)) SELECT losses, wins, round({_P.format(b='losses', c='wins')} + 1e-12, 9) AS p FROM n",
+    "mcnemar_exact": _evaluated(f", n AS (SELECT custkey, count(*) FILTER (WHERE b AND NOT c) AS losses, count(*) FILTER (WHERE c AND NOT b) AS wins FROM pr GROUP BY ROLLUP (custkey)) SELECT custkey, losses, wins, round({_P.format(b='losses', c='wins')} + 1e-12, 9) AS p FROM n"),
     "variant_summary": _evaluated(_SUMMARY + "SELECT * FROM vs"),
     "operational_summary": _evaluated("""SELECT variant, count(latency_ms) AS latency_rows, round(avg(latency_ms), 6) AS mean_ms, sum(retries)::BIGINT AS retries, count(input_tokens) AS usage_rows, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens,
         (list_sort(list(latency_ms) FILTER (WHERE latency_ms IS NOT NULL)))[ceil((count(latency_ms) - 1) * 0.5)::BIGINT + 1] AS median_ms, (list_sort(list(latency_ms) FILTER (WHERE latency_ms IS NOT NULL)))[ceil((count(latency_ms) - 1) * 0.95)::BIGINT + 1] AS p95_ms FROM f GROUP BY 1"""),
@@ -234,7 +234,7 @@ SELECT CASE WHEN open THEN 'error' WHEN off OR k % 10 = 0 THEN 'failed' ELSE 'pa
     "field_hotspots": _FACTS + "SELECT * FROM hot",
     "hotspot_rollup": _FACTS + "SELECT pointer, sum(regressions)::BIGINT AS regressions, sum(improvements)::BIGINT AS improvements FROM hot GROUP BY 1",
     "semantic_effect_exclusions": _evaluated("SELECT 'baseline_' || bt || '_candidate_' || ct AS reason, count(*) AS pairs FROM pr WHERE NOT (bp AND cp) GROUP BY 1"),
-    "study_metrics": "WITH s AS (SELECT * FROM (VALUES ('a', 15, 3, 9, 22), ('b', 76, 16, 6, 52), ('c', 23, 3, 1, 3)) AS t(id, bp, bo, co, bf)) SELECT id, (bp + bo + co + bf)::BIGINT AS total, bp::BIGINT AS both_pass, bo::BIGINT AS baseline_only, co::BIGINT AS candidate_only, bf::BIGINT AS both_fail, (bp + bo)::BIGINT AS baseline_pass, (bp + co)::BIGINT AS candidate_pass, round(100.0::DOUBLE * (co - bo) / (bp + bo + co + bf), 9) AS difference_pp, round(" + _P.format(b="bo", c="co") + ", 9) AS mcnemar_p FROM s",
+    "study_metrics": _evaluated(", sg AS (SELECT c_mktsegment AS id, count(*) FILTER (WHERE b AND c) AS bp, count(*) FILTER (WHERE b AND NOT c) AS bo, count(*) FILTER (WHERE c AND NOT b) AS co, count(*) FILTER (WHERE NOT b AND NOT c) AS bf FROM pr JOIN customer ON c_custkey = custkey GROUP BY 1) SELECT id, bp + bo + co + bf AS total, bp AS both_pass, bo AS baseline_only, co AS candidate_only, bf AS both_fail, bp + bo AS baseline_pass, bp + co AS candidate_pass, round(100.0::DOUBLE * (co - bo) / (bp + bo + co + bf), 9) AS difference_pp, round(" + _P.format(b="bo", c="co") + ", 9) AS mcnemar_p FROM sg"),
     "evidence_groups": _UNITS + "SELECT kind, count(*) AS units, sum(rows)::BIGINT AS rows FROM g GROUP BY 1",
     "evidence_summary": _UNITS + """SELECT sum(rows)::BIGINT AS total_rows, count(*) AS units, count(*) FILTER (WHERE kind = 'singleton') AS singletons, count(*) FILTER (WHERE kind = 'exact_duplicate') AS duplicate_groups, count(*) FILTER (WHERE kind = 'repeated_trial') AS repeated_trial_groups,
         coalesce(sum(rows - 1) FILTER (WHERE kind = 'exact_duplicate'), 0)::BIGINT AS exact_duplicate_rows, max(rows)::BIGINT AS largest_group, count(*) FILTER (WHERE kind <> 'repeated_trial') AS effective_units, round(coalesce(sum(rows - 1) FILTER (WHERE kind = 'exact_duplicate'), 0) / sum(rows)::DOUBLE, 9) AS duplicate_row_rate FROM g""",
@@ -283,7 +283,7 @@ SELECT CASE WHEN open THEN 'error' WHEN off OR k % 10 = 0 THEN 'failed' ELSE 'pa
     "mapping_candidates": "SELECT unnest(['/event_id', '/call', '/call/event_type', '/call/props']) AS pointer",
     "value_likeness": "SELECT \"like\", count(*) AS n FROM (SELECT unnest(['integer', 'date', 'text', 'decimal', 'uri']) AS \"like\" FROM orders) GROUP BY 1",
     "json_types": "SELECT type, count(*) AS n FROM (SELECT unnest(['integer', 'string', 'object', 'array', 'boolean', NULL]) AS type FROM events) GROUP BY 1",
-    "schema_inspection": "SELECT * FROM (VALUES ('/total', 'number|null', true), ('/items', 'array', false), ('/items/*/description', 'string', true), ('/items/*/amount', 'string', false)) AS t(pointer, type, required)",
+    "schema_inspection": "SELECT n_nationkey, t.* FROM nation, LATERAL (VALUES ('/total', 'number|null', true), ('/' || n_name, 'string', false), ('/items', 'array', false), ('/items/*/description', 'string', true), ('/items/*/amount', 'string', false)) AS t(pointer, type, required)",
     "jsonl_ingest": """WITH k AS (SELECT o_orderkey AS k FROM orders), v AS (SELECT 'blank_line' AS violation FROM k WHERE k % 500 = 0 UNION ALL SELECT 'malformed_json' FROM k WHERE k % 500 <> 0 AND k % 501 = 0 UNION ALL SELECT 'bad_id' FROM k WHERE k % 500 <> 0 AND k % 501 <> 0 AND k % 502 = 0
         UNION ALL SELECT 'duplicate_id' FROM k WHERE k % 500 <> 0 AND k % 501 <> 0 AND k % 502 <> 0 AND k % 503 = 0 AND k > 0) SELECT violation, count(*) AS n FROM v GROUP BY 1""",
     "output_violations": """WITH k AS (SELECT event_id AS k, CASE WHEN event_id % 50 = 0 THEN 'unknown_field' WHEN event_id % 51 = 0 THEN 'ok_without_output' WHEN event_id % 52 = 0 THEN 'failed_without_error' WHEN event_id % 53 = 0 THEN 'outputs_differ' WHEN event_id % 54 = 0 THEN 'bad_cost' END AS v FROM events),
@@ -291,3 +291,78 @@ SELECT CASE WHEN open THEN 'error' WHEN off OR k % 10 = 0 THEN 'failed' ELSE 'pa
     "csv_ingest": "SELECT 'string' AS id_type, 'object' AS props_type, 'string' AS event_type, count(*) AS n FROM events",
     "simple_import": "SELECT CASE WHEN event_id % 4 < 2 THEN 'ok' ELSE 'error' END AS status, CASE WHEN event_id % 4 >= 2 THEN 'provider' END AS error_kind, count(*) AS n, count(*) FILTER (WHERE event_id % 4 < 2) AS outputs FROM events GROUP BY ALL",
 }
+
+#: Orders with what they give away, as the queries plant it.
+_LEAKY = """
+WITH o AS (
+  SELECT o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders
+), lk AS (
+  SELECT k, k % 30 = 0 OR k % 50 = 0 OR cents = k AS seen, k % 40 = 0 AS named FROM o
+)
+"""
+
+#: Receipts by their planted faults, and the faults that follow.
+_RECEIPTS = """
+WITH r AS (
+  SELECT o_orderkey AS k, unnest(['baseline', 'candidate']) AS variant FROM orders
+), x AS (
+  SELECT k, variant, 'mine' AS evaluator, unnest(list_filter([CASE WHEN k % 31 = 0 THEN 'missing' END, CASE WHEN k % 53 = 0 AND k % 31 <> 0 THEN 'repeated' END, CASE WHEN k % 37 = 0 AND k % 31 <> 0 THEN 'request_hash' END,
+    CASE WHEN k % 41 = 0 AND k % 31 <> 0 THEN 'response_hash' END, CASE WHEN k % 47 = 0 AND k % 31 <> 0 THEN 'result' END], lambda m: m IS NOT NULL)) AS mismatch FROM r
+  UNION ALL SELECT k, variant, 'old', 'unused' FROM r WHERE k % 43 = 0
+)
+"""
+
+#: Lines of another shape, by their planted faults.
+_FOREIGN = """
+WITH e AS (
+  SELECT event_id AS k, CASE WHEN event_id % 9 = 0 THEN 'error' WHEN event_id % 11 = 0 THEN 'missing' WHEN event_id % 101 = 0 THEN 'odd' ELSE 'ok' END AS status FROM events
+), good AS (
+  SELECT *, CASE WHEN status = 'missing' THEN 'missing_output' WHEN status = 'error' AND k % 4 = 1 THEN 'provider' WHEN status = 'error' THEN 'recorded_error' END AS error_kind,
+    CASE WHEN status = 'error' THEN CASE k % 4 WHEN 1 THEN 'busy' WHEN 2 THEN 'gone' WHEN 3 THEN 'Recorded error: [1]' ELSE 'no error was recorded' END END AS error_message
+  FROM e WHERE k % 109 <> 0 AND k % 103 <> 0 AND status <> 'odd' AND NOT (status = 'ok' AND k % 107 = 0)
+)
+"""
+
+_TITLES = """SELECT s.integrity, s.blocking, CASE WHEN s.integrity = 'modified' THEN 'EVIDENCE MODIFIED' WHEN s.integrity = 'replay_failed' THEN 'REPLAY FAILED' WHEN s.integrity <> 'verified' THEN 'EVIDENCE NOT VERIFIED'
+  WHEN s.blocking THEN 'PINNED REGRESSION SUITE FAILED' WHEN g.deployment_authorized THEN 'RELEASE AUTHORIZED' WHEN g.decision = 'error' THEN 'RUN ERROR' WHEN g.n_failed > 0 THEN 'DO NOT DEPLOY'
+  WHEN g.decision = 'insufficient_evidence' THEN 'NOT ENOUGH EVIDENCE' ELSE 'ANALYSIS COMPLETE' END AS title
+  FROM ({gate}) g, (SELECT unnest(['verified', 'modified', 'replay_failed', 'not_verified']) AS integrity) i, LATERAL (SELECT i.integrity, unnest([true, false]) AS blocking) s"""
+
+ORACLES |= {
+    "schema_warnings": "SELECT n_nationkey, '/total' AS pointer, 'nullable_union' AS warning FROM nation UNION ALL SELECT n_nationkey, '/' || n_name, 'large_enum' FROM nation WHERE n_nationkey % 3 = 0",
+    "schema_errors": _evaluated("""SELECT variant, x.pointer, x.keyword, count(*) AS n FROM (SELECT variant, unnest(list_filter([CASE WHEN bad_priority THEN {'pointer': '/priority', 'keyword': 'enum'} END, CASE WHEN no_status THEN {'pointer': '/status', 'keyword': 'required'} END,
+        CASE WHEN cents + bad_cents::INT > 20000000 THEN {'pointer': '/cents', 'keyword': 'maximum'} END], lambda v: v IS NOT NULL)) AS x FROM f WHERE parse_valid) GROUP BY ALL"""),
+    "schema_valid_outputs": _evaluated("SELECT variant, parse_valid, parse_valid AND NOT bad_priority AND NOT no_status AND cents + bad_cents::INT <= 20000000 AS schema_valid, count(*) AS n FROM f GROUP BY ALL"),
+    "configured_run": ORACLES["paired_metrics"],
+    "evidence_units_by_pointer": """WITH u AS (SELECT count(*) AS rows FROM documents WHERE doc_id % 7 <> 0 AND source IS NOT NULL GROUP BY source) SELECT rows, count(*) AS units FROM u GROUP BY 1
+        UNION ALL SELECT NULL, count(*) FROM documents WHERE doc_id % 7 = 0 OR source IS NULL""",
+    "evidence_units_included": """WITH u AS (SELECT count(*) AS rows FROM documents GROUP BY text, lang), v AS (SELECT count(*) AS rows FROM documents GROUP BY lang, CASE WHEN doc_id % 7 <> 0 THEN source END)
+        SELECT 'fingerprint:/input,/expected,/model_visible_metadata' AS label, rows, count(*) AS units FROM u GROUP BY 2 UNION ALL SELECT 'fingerprint:/expected,/metadata', rows, count(*) FROM v GROUP BY 2""",
+    "gold_leaks": _LEAKY + "SELECT k, seen AS gold_visible, named AS id_suspicious FROM lk WHERE seen OR named",
+    "doctor_checks": _LEAKY + """, c AS (SELECT lk.k, lk.k % 29 = 0 AS bad, lk.k % 60 = 7 AS same, o_orderpriority AS p, o_orderstatus AS s, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM lk JOIN orders ON o_orderkey = lk.k),
+        v AS (SELECT *, NOT same AND ((k % 30 = 0 AND NOT bad) OR (k % 50 = 0 AND (NOT bad OR s = 'O')) OR (cents = k AND NOT bad)) AS seen, k % 40 = 0 AND (NOT bad OR s = 'O') AS named FROM c)
+        SELECT x.* FROM (SELECT count(*) FILTER (WHERE bad) * 2 AS refs, count(DISTINCT CASE WHEN same THEN CASE WHEN bad THEN 'bad' ELSE concat_ws('|', p, s, cents) END END) AS labels, count(*) FILTER (WHERE same) AS same, count(*) FILTER (WHERE seen) AS seen, count(*) FILTER (WHERE named) AS named FROM v) n,
+        LATERAL (VALUES ('reference_preflight', refs = 0, true, refs), ('label_conflicts', labels <= 1, true, (labels > 1)::BIGINT), ('evidence_unit_resolves', true, true, 0), ('golden_value_isolation', seen = 0, true, seen), ('suspicious_ids', named = 0, false, named),
+        ('potential_evidence_collisions', true, false, greatest(same - 1, 0))) AS x("check", passed, required, cases)""",
+    "mapped_import": _FOREIGN + "SELECT status, error_kind, error_message, count(*) AS n, count(*) FILTER (WHERE status = 'ok') AS outputs, sum(k % 100)::BIGINT AS latency_ms, sum(k % 10)::BIGINT AS input_tokens FROM good GROUP BY ALL",
+    "mapped_import_violations": _FOREIGN + """SELECT violation, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN k % 109 = 0 THEN 'malformed_json' END, CASE WHEN k % 109 <> 0 AND k % 103 = 0 THEN 'bad_id' END, CASE WHEN k % 109 <> 0 AND status = 'odd' THEN 'bad_status' END,
+        CASE WHEN k % 109 <> 0 AND status = 'ok' AND k % 107 = 0 THEN 'ok_without_output' END], lambda v: v IS NOT NULL)) AS violation FROM e) GROUP BY 1""",
+    "csv_typed_cells": "SELECT 'string' AS id, 'integer' AS n, 'boolean' AS yes, 'object' AS props, 'string' AS said, count(*) AS rows FROM events",
+    "token_remap": "SELECT o_orderkey::VARCHAR AS case_id, o_orderkey AS said FROM orders WHERE o_orderkey % 23 <> 0",
+    "structural_differences": """WITH l AS (SELECT l_orderkey AS k, l_linenumber, max(l_partkey) AS part FROM lineitem GROUP BY 1, 2), e AS (
+        SELECT unnest(CASE WHEN part % 23 = 0 THEN ['removed', 'removed'] WHEN part % 29 = 0 THEN ['unchanged', 'type_changed'] WHEN part % 17 = 0 THEN ['unchanged', 'changed'] ELSE ['unchanged', 'unchanged'] END) AS state FROM l
+        UNION ALL SELECT 'added' FROM l GROUP BY k HAVING bool_and(part % 23 = 0)) SELECT state, count(*) AS n FROM e GROUP BY 1""",
+    "outcome_displays": _evaluated(f"""SELECT CASE WHEN bt = 'true' AND bp THEN 'Correct' WHEN bt = 'false' AND bp THEN 'Wrong' WHEN bt = 'error' THEN 'Evaluation error' END AS baseline, CASE WHEN ct = 'true' AND cp THEN 'Correct' WHEN ct = 'false' AND cp THEN 'Wrong' WHEN ct = 'error' THEN 'Evaluation error' END AS candidate,
+        CASE {_MOVED} WHEN 'both_pass' THEN 'Both pass' WHEN 'baseline_only_pass' THEN 'Regression' WHEN 'candidate_only_pass' THEN 'Improvement' ELSE 'Both fail' END AS transition, count(*) AS n FROM pr GROUP BY ALL"""),
+    "first_failures": _evaluated("SELECT variant, CASE WHEN NOT parse_valid THEN NULL WHEN bad_priority THEN '/priority' WHEN no_status THEN '/status' WHEN bad_cents THEN '/cents' END AS pointer, count(*) AS n FROM f GROUP BY ALL"),
+    "case_page_search": _evaluated(", h AS (SELECT pr.k FROM pr JOIN o ON o.k = pr.k WHERE b AND NOT c AND lower(priority) LIKE '%urgent%') SELECT k, 'baseline_only_pass' AS transition, (SELECT count(*) FROM h) AS total FROM h ORDER BY k LIMIT 5 OFFSET 3"),
+    "case_page_pinned": _evaluated(f"SELECT k, {_MOVED} AS transition, (SELECT count(*) FROM pr WHERE k % 10 = 3) AS total FROM pr WHERE k % 10 = 3 ORDER BY k LIMIT 40"),
+    "pointer_patterns": """WITH l AS (SELECT l_orderkey % 10 AS a, l_linenumber AS b FROM lineitem) SELECT x.* FROM (SELECT count(*) FILTER (WHERE b = 1) AS p, count(*) FILTER (WHERE a = 3) AS q, count(*) AS r, count(*) FILTER (WHERE a = 7 AND b = 2) AS s FROM l) n,
+        LATERAL (VALUES ('/orders/*/1', p), ('/orders/3/*', q), ('/*/*/*', r), ('/orders/*', 0), ('/orders/7/2', s)) AS x(pattern, n)""",
+    "truncated_texts": """WITH w AS (SELECT doc_id, replace(replace(text, 'e', 'é'), 't', '日') AS t FROM documents)
+        SELECT doc_id, md5(CASE WHEN strlen(t) <= 101 THEN t ELSE left(t, list_max(list_filter(range(0, 102), lambda n: strlen(left(t, n)) <= 101))::BIGINT) || chr(10) || '[truncated]' END) AS digest FROM w""",
+    "decision_title": _TITLES.format(gate=ORACLES["gate_decision"]),
+    "receipt_mismatches": _RECEIPTS + "SELECT variant, evaluator, mismatch, count(*) AS n FROM x GROUP BY ALL",
+    "repeated_receipts": "SELECT o_orderkey AS k, unnest(['baseline', 'candidate']) AS variant, 2::BIGINT AS n FROM orders WHERE o_orderkey % 53 = 0 AND o_orderkey % 31 <> 0",
+    "replay_report": _RECEIPTS + "SELECT (SELECT count(*) FROM orders) AS replayed, (SELECT count(*) FROM orders WHERE o_orderkey % 101 = 0) AS row_mismatches, (SELECT count(*) FROM x) AS receipt_mismatches, 1::BIGINT AS artifact_mismatches, false AS verified",
+}

@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.functions.json import pointers_overlap, read_values, records
+from pairwright.functions.json import parse, pointers_overlap, read_values, records
+from pairwright.functions.schema import refused, schema_errors
 from pairwright.functions.text import DATE_FORMATS
 from pairwright.operators import evaluators as E
 from pairwright.operators import outcomes as O
@@ -69,16 +70,18 @@ KINDS: dict[str, tuple[Callable[..., Column], Callable[[int], bool]]] = {
 
 @dataclass(frozen=True)
 class Evaluation:
-    """What is compared: evaluators, the required types of fields, and how verdicts combine.
+    """What is compared: evaluators, what outputs have to look like, and how verdicts combine.
 
-    An evaluator is a Rule, or short (id, pointer, kind).  ``primary`` names the evaluators
-    that make the outcome; all do unless told.
+    An evaluator is a Rule, or short (id, pointer, kind).  Outputs are valid if fields have the
+    required ``types`` and the whole keeps to ``schema``, the text of a JSON Schema.  ``primary``
+    names the evaluators that make the outcome; all do unless told.
     """
 
     evaluators: tuple[Rule | tuple[str, str, str], ...]
     types: tuple[tuple[str, str], ...] = ()  # (pointer, JSON type)
     outcome: str = "all_of"
     primary: tuple[str, ...] | None = None
+    schema: str | None = None
 
     @property
     def rules(self) -> tuple[Rule, ...]:
@@ -99,6 +102,8 @@ class Evaluation:
             raise ValueError(f"no such pointer: {bad}")
         for r in rules:
             _checked(r)
+        if self.schema is not None and (bad := refused(parse(self.schema))):
+            raise ValueError(f"a schema that can't be checked: {bad}")
         if self.outcome not in ("all_of", "any_of"):
             raise ValueError("an outcome is all_of or any_of")
         if not self.components or (bad := sorted(set(self.components) - set(ids))):
@@ -177,6 +182,32 @@ def _joined(known: DataFrame, outputs: dict[str, DataFrame]) -> DataFrame:
     return or_missing(rows)
 
 
+#: Kinds that don't hold an output against a reference's values.
+_ALONE = ("external", "required_fields", "financial_invariants")
+
+
+def reference_issues(cases: DataFrame, plan: Evaluation) -> DataFrame:
+    """Cases whose reference an evaluator of the plan can't take: id, evaluator, state.
+
+    Every comparison is made of the reference with itself; where it doesn't pass, the fault is the
+    reference's, so the state is an error.  A case without a reference is one.  Evaluators that
+    compare with none are left out.
+    """
+    pointers = _references(plan)
+    at = lambda p: F.get("_e", F.lit(pointers.index(p)))
+    itself = lambda r: KINDS[r.kind][0]([at(p) for p in r.reference], [at(p) for p in r.reference], r.options)
+    found = [F.struct(F.lit(r.id).alias("evaluator"), F.when(itself(r) == E.PASSED, E.PASSED).otherwise(E.ERROR).alias("state")) for r in plan.rules if r.kind not in _ALONE]
+    if not found:
+        return cases.where(F.lit(False)).select("id", F.lit("").alias("evaluator"), F.lit("").alias("state"))
+    rows = cases.select("id", read_values(F.col("expected"), pointers)["found"].alias("_e"))
+    return rows.select("id", F.explode(F.array(*found)).alias("i")).select("id", "i.*").where("state <> 'passed'")
+
+
+def first_failure(states: dict[str, Column], plan: Evaluation) -> Column:
+    """The pointer of the first component of the outcome that failed, in the plan's order; null if none did."""
+    return F.coalesce(*(F.when(states[r.id] == E.FAILED, F.lit(r.pointers[0] if r.pointers else r.id)) for r in plan.rules if r.id in plan.components))
+
+
 def evaluate(cases: DataFrame, outputs: DataFrame, variant: str, plan: Evaluation) -> DataFrame:
     """One row per case: the evaluation of one variant."""
     return evaluate_all(cases, {variant: outputs}, plan)
@@ -197,6 +228,9 @@ def _scored(rows: DataFrame, plan: Evaluation) -> DataFrame:
     typed = F.col("parse_valid")
     for p, kind in plan.types:
         typed = typed & F.coalesce(actual(p)["type"] == kind, F.lit(False))
+    if plan.schema is not None:
+        rows = rows.withColumn("schema_errors", schema_errors(F.when(F.col("parse_valid"), F.col("raw_output")), plan.schema))
+        typed = typed & F.coalesce(F.size("schema_errors") == 0, F.lit(False))
     rows = judged(rows.withColumn("schema_valid", typed), plan)
     return rows.withColumnRenamed("id", "case_id").withColumn("output", F.col("_a.canonical")).drop("_e", "_a", *(f"_given_{r.id}" for r in plan.rules))
 

@@ -11,10 +11,11 @@ from pairwright.functions import text as T
 from pairwright.functions.json import json_type, read_json
 from pairwright.operators import evaluators as E
 from pairwright.operators import evidence, gate, pairing, profile, review, summary
-from pairwright.plans.paired import ORDERS, Evaluation, Rule, evaluate, evaluate_all, judged, order_cases, order_evaluations, order_outputs, order_pairs, table
+from pairwright.plans.paired import ORDERS, Evaluation, Rule, evaluate, evaluate_all, judged, order_cases, order_evaluations, order_outputs, order_pairs, reference_issues, table
+from pairwright.plans import inspection
 from pairwright.sources import records
 
-QUERIES: dict = {}
+QUERIES: dict = dict(inspection.QUERIES)
 
 
 def query(f):
@@ -222,11 +223,10 @@ def financial_invariants(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def reference_preflight(spark: SparkSession, d: str) -> DataFrame:
-    """Every built-in evaluator is held against the reference itself; what isn't passed is an issue."""
-    r = order_cases(spark, d).withColumn("expected", F.when(F.col("k") % 29 == 0, '{"priority":7,"status":"O"}').otherwise(F.col("expected"))).withColumn("r", read_json(F.col("expected"), ["/priority", "/status", "/cents"]))
-    at = lambda i: F.get("r.found", F.lit(i))
-    issues = r.select("k", F.explode(F.array(F.struct(F.lit("priority").alias("evaluator"), E.normalized_string(at(0), at(0)).alias("state")), F.struct(F.lit("status").alias("evaluator"), E.exact(at(1), at(1)).alias("state")), F.struct(F.lit("cents").alias("evaluator"), E.exact_integer(at(2), F.coalesce(at(2), F.lit("0"))).alias("state")))).alias("i"))
-    return issues.select("k", "i.*").where("state <> 'passed'")
+    """Every evaluator of a plan is held against the reference itself; what isn't passed is an issue."""
+    cases = order_cases(spark, d).withColumn("expected", F.when(F.col("k") % 29 == 0, '{"priority":7,"status":"O"}').otherwise(F.col("expected")))
+    plan = Evaluation((("priority", "/priority", "normalized_string"), ("status", "/status", "exact"), ("cents", "/cents", "exact_integer")))
+    return reference_issues(cases, plan).select(F.col("id").cast("long").alias("k"), "evaluator", "state")
 
 
 @query
@@ -296,10 +296,10 @@ def paired_by_segment(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def mcnemar_exact(spark: SparkSession, d: str) -> DataFrame:
-    """The p value over every pair of discordant counts up to 12 and a few larger ones."""
-    small = spark.range(13).select(F.col("id").alias("losses")).join(spark.range(13).select(F.col("id").alias("wins")), F.lit(True))
-    large = spark.createDataFrame([(100, 130), (0, 60), (500, 500), (40, 41)], "losses long, wins long")
-    return small.union(large).select("losses", "wins", F.round(stats.mcnemar(F.col("losses"), F.col("wins")) + 1e-12, 9).alias("p"))
+    """The p value of every customer's orders, and of all of them together."""
+    p = order_pairs(spark, d).select(F.col("baseline.custkey").alias("custkey"), F.col("baseline.semantic_success").alias("b"), F.col("candidate.semantic_success").alias("c"))
+    counts = p.rollup("custkey").agg(F.count_if(F.expr("b and not c")).alias("losses"), F.count_if(F.expr("c and not b")).alias("wins"))
+    return counts.select("custkey", "losses", "wins", F.round(stats.mcnemar(F.col("losses"), F.col("wins")) + 1e-12, 9).alias("p"))
 
 
 @query
@@ -362,8 +362,11 @@ def semantic_effect_exclusions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def study_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Studies given as counts, expanded to cases and summed again, never pooled."""
-    counts = spark.createDataFrame([("a", 15, 3, 9, 22), ("b", 76, 16, 6, 52), ("c", 23, 3, 1, 3)], "id string, both_pass int, baseline_only_pass int, candidate_only_pass int, both_fail int")
+    """Studies, a market segment each, given as counts, expanded to cases and summed again, never pooled."""
+    seg = table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_mktsegment").alias("id"))
+    p = order_pairs(spark, d).withColumn("custkey", F.col("baseline.custkey")).join(seg, "custkey")
+    cell = pairing.transition(F.col("baseline.semantic_success"), F.col("candidate.semantic_success"))
+    counts = p.groupBy("id").agg(*(F.count_if(cell == name).cast("int").alias(name) for name in pairing.TRANSITIONS))
     rows = records.expanded(counts)
     return rows.groupBy("id").agg(*stats.paired_counts(F.col("baseline"), F.col("candidate"))).withColumn("mcnemar_p", F.round(stats.mcnemar(F.col("baseline_only"), F.col("candidate_only")), 9))
 
@@ -589,8 +592,9 @@ def summary_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fields(spark: SparkSession, d: str) -> DataFrame:
-    p = order_pairs(spark, d).select(F.col("baseline.output").alias("b"), F.col("candidate.output").alias("c"))
-    return profile.observed(order_cases(spark, d), "expected", "expected").union(profile.observed(p, "baseline", "b")).union(profile.observed(p, "candidate", "c"))
+    """Fields of references and of both variants' outputs, each text parsed once and none paired."""
+    out = lambda v: order_outputs(spark, d, v).where("status = 'ok'")
+    return profile.observed(order_cases(spark, d), "expected", "expected").union(profile.observed(out("baseline"), "baseline", "raw_output")).union(profile.observed(out("candidate"), "candidate", "raw_output"))
 
 
 @query
@@ -621,11 +625,23 @@ def json_types(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.explode("r.found").alias("f")).groupBy(json_type(F.col("f")).alias("type")).agg(F.count("*").alias("n"))
 
 
+def _schemas(spark: SparkSession, d: str) -> DataFrame:
+    """A schema for each nation: a field of its name, a reference, and for every third a wide enumeration."""
+    part = '{"type":"object","required":["description"],"properties":{"description":{"type":"string"},"amount":{"type":"string","pattern":"^[0-9]+$"}}}'
+    wide = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit(',"enum":'), F.to_json(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: i.cast("string"))))).otherwise("")
+    head = F.concat(F.lit('{"type":"object","required":["total"],"properties":{"total":{"type":["number","null"]},'), F.to_json(F.array("n_name")).substr(F.lit(2), F.length("n_name") + 2), F.lit(':{"type":"string"'), wide, F.lit("},"))
+    text = F.concat(head, F.lit('"items":{"type":"array","items":{"$ref":"#/$defs/part"}}},"$defs":{"part":' + part + "}}"))
+    return table(spark, d, "nation").select("n_nationkey", profile.inspected(text).alias("s"))
+
+
 @query
 def schema_inspection(spark: SparkSession, d: str) -> DataFrame:
-    part = {"type": "object", "required": ["description"], "properties": {"description": {"type": "string"}, "amount": {"type": "string", "pattern": "^[0-9]+$"}}}
-    schema = {"type": "object", "required": ["total"], "properties": {"total": {"type": ["number", "null"]}, "items": {"type": "array", "items": {"$ref": "#/$defs/part"}}}, "$defs": {"part": part}}
-    return spark.createDataFrame(profile.inspect_schema(schema), "pointer string, type string, required boolean")
+    return _schemas(spark, d).select("n_nationkey", F.explode("s.fields").alias("f")).select("n_nationkey", "f.*")
+
+
+@query
+def schema_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return _schemas(spark, d).select("n_nationkey", F.explode("s.warnings").alias("w")).select("n_nationkey", "w.*")
 
 
 # Sources

@@ -46,6 +46,78 @@ def csv_cells(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(v.alias(k) for k, v in cells.items()))
 
 
+def typed_cells(spark: SparkSession, path: str) -> DataFrame:
+    """As ``csv_cells``, but only true, false, null, numbers, objects and arrays are JSON; JSON strings stay texts with their quotes."""
+    rows = spark.read.csv(path, header=True, multiLine=True, mode="FAILFAST", quote='"', escape='"', inferSchema=False)
+    out = []
+    for name in rows.columns:
+        cell, found = F.trim(name), read_json(F.trim(name), [])["canonical"]
+        text = F.to_json(F.array(F.col(name)))
+        out.append(F.when(F.col(name).isNotNull(), F.when(~cell.startswith('"') & found.isNotNull(), found).otherwise(text.substr(F.lit(2), F.length(text) - 2))).alias(name))
+    return rows.select(*out)
+
+
+def format_of(name: str, head: str) -> str:
+    """The format of a file by its name, or else by how it begins: json, jsonl or csv."""
+    last = name.lower().rpartition(".")[2]
+    if last in ("json", "jsonl", "ndjson", "csv"):
+        return "jsonl" if last == "ndjson" else last
+    first = head.lstrip()[:1]
+    if first == "[":
+        return "json"
+    return "jsonl" if first == "{" else "csv"
+
+
+#: Where a part of a case or of an output may be found, the likeliest first.
+CANDIDATES = {
+    "id": ("/id", "/case_id", "/invoice_id", "/document_id", "/record_id"), "input": ("/input", "/payload", "/document", "/request", "/text"),
+    "expected": ("/expected", "/ground_truth", "/reference", "/target", "/label"), "model_visible_metadata": ("/model_visible_metadata", "/visible_metadata"),
+    "metadata": ("/metadata", "/evaluation_metadata", "/tags"), "output": ("/output", "/result", "/response", "/prediction", "/parsed_output"),
+}
+
+
+def inferred_fields(lines: DataFrame, parts: tuple[str, ...]) -> dict[str, str]:
+    """The pointer of each part by the first line, which alone comes to the driver; a part not found has its usual pointer."""
+    wanted = list(dict.fromkeys(p for part in parts for p in CANDIDATES[part]))
+    first = lines.orderBy("source_line").limit(1).select(read_json(F.col("line"), wanted)["found"].alias("f")).first()
+    there = set() if first is None or first.f is None else {p for p, x in zip(wanted, first.f, strict=True) if x is not None}
+    return {part: next((p for p in CANDIDATES[part] if p in there), CANDIDATES[part][0]) for part in parts}
+
+
+def mapped_outputs(lines: DataFrame, id_pointer: str, output_pointer: str, mapping: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Recorded outputs from lines of any shape, parts found by pointers, and the violations.
+
+    ``mapping`` tells where status, latency_ms, usage, cost, metadata and error are.  A string output
+    is the raw text, another value its JSON text.  A failed output without an error gets one.
+    """
+    at = {"status": "/status"} | {k: p for k, p in (mapping or {}).items() if p}
+    if strange := set(at) - {"status", "latency_ms", "usage", "cost", "metadata", "error"}:
+        raise ValueError(f"no such parts: {sorted(strange)}")
+    wanted = list(dict.fromkeys([id_pointer, output_pointer, *at.values()]))
+    found = lambda p: F.get("r.found", F.lit(wanted.index(p)))
+    part = lambda k: found(at[k]) if k in at else F.lit(None).cast("string")
+    read = lines.withColumn("r", read_json(F.col("line"), wanted))
+    cols = read.select("source_line", F.col("r.error").alias("malformed"), json_string(found(id_pointer)).alias("case_id"), found(output_pointer).alias("_output"), *(part(k).alias(f"_{k}") for k in ("status", "latency_ms", "usage", "cost", "metadata", "error")))
+    status = F.when(F.col("_status").isNull(), "ok").otherwise(json_string(F.col("_status")))
+    cols = cols.withColumn("status", status)
+    whole = F.col("malformed").isNull()
+    rule = lambda name, when: F.when(when, F.lit(name))
+    cols = cols.withColumn("faults", F.array_compact(F.array(
+        rule("malformed_json", ~whole), rule("bad_id", whole & (F.trim(F.coalesce("case_id", F.lit(""))) == "")), rule("bad_status", whole & ~F.coalesce(F.col("status").isin("ok", "error", "missing"), F.lit(False))),
+        rule("ok_without_output", whole & (F.col("status") == "ok") & F.col("_output").isNull()),
+    )))
+    error = F.col("_error")
+    own = F.get_json_object(error, "$.kind").isNotNull() & F.get_json_object(error, "$.message").isNotNull()
+    kind = F.when(F.col("status") == "missing", "missing_output").when(F.col("status") == "error", F.when(own, F.get_json_object(error, "$.kind")).otherwise("recorded_error"))
+    told = F.when(own, F.get_json_object(error, "$.message")).when(error.startswith('"'), json_string(error)).when(error.isNotNull(), F.concat(F.lit("Recorded error: "), error)).otherwise("no error was recorded")
+    good = cols.where(F.size("faults") == 0).select(
+        "source_line", "case_id", "status", F.when(F.col("status") == "ok", F.coalesce(json_string(F.col("_output")), F.col("_output"))).alias("raw_output"), kind.alias("error_kind"),
+        F.when(F.col("status") == "error", told).alias("error_message"), F.col("_latency_ms").try_cast("long").alias("latency_ms"), F.get_json_object("_usage", "$.input_tokens").try_cast("decimal(20,0)").alias("input_tokens"),
+        F.get_json_object("_usage", "$.output_tokens").try_cast("decimal(20,0)").alias("output_tokens"), F.get_json_object("_cost", "$.amount").try_cast("decimal(28,10)").alias("cost"), F.get_json_object("_cost", "$.currency").alias("currency"), F.col("_metadata").alias("metadata"),
+    )
+    return good, cols.select("source_line", "case_id", F.explode("faults").alias("violation"))
+
+
 def cases(lines: DataFrame, fields: dict[str, str] = CASE_FIELDS, max_line_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """Cases (id, input, expected, visible metadata, metadata as JSON text, source_line) and the violations.
 
