@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from pairwright.llm import oracles
+from pairwright.llm.classifier import quality_query
 from pairwright.llm.embedding import near_vectors
 from pairwright.llm.langid import language_query
 from pairwright.llm.minhash import near_copies
@@ -65,10 +66,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_query(table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     query.__name__: small_batches(query)
     for query in (
         op1_quality_rules, op2_toxicity, op3_pii, op4_near_copies, op5_vectors, op6_repeats, op7_packing, op8_secrets, op9_mixing, op10_language,
+        op11_quality,
     )
 } | {"pipeline": corpus_pipeline.run}
 
