@@ -15,6 +15,7 @@ from pairwright.llm.packing import pack
 from pairwright.llm.pii import pii_digest
 from pairwright.llm.quality import quality_rules
 from pairwright.llm.scratch import small_batches, table
+from pairwright.llm.search import search_query
 from pairwright.llm.secrets import secret_digest
 from pairwright.llm.suffix import repeat_digest
 from pairwright.llm.toxicity import toxicity_query
@@ -70,11 +71,15 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     query.__name__: small_batches(query)
     for query in (
         op1_quality_rules, op2_toxicity, op3_pii, op4_near_copies, op5_vectors, op6_repeats, op7_packing, op8_secrets, op9_mixing, op10_language,
-        op11_quality,
+        op11_quality, op12_search,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -83,4 +88,5 @@ ORACLES = {
     "op4_near_copies": oracles.NEAR_COPIES,
     "op5_vectors": oracles.VECTORS,
     "op9_mixing": oracles.MIXING,
+    "op12_search": oracles.SEARCH,
 }
