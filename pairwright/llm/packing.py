@@ -35,38 +35,53 @@ _PLAIN = re.compile("[^\x00-ɏ]")
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(path: str):
-    """A function from text to ids, as ``tokenizers`` gives them with ``encode_special_tokens``: the strings
-    of special tokens in a text are ordinary text, as the vocabulary's own description has it.
+def _described(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
 
-    tiktoken reads the same vocabulary four times as fast; its ids are the same, which the
-    tests hold against ``tokenizers``.  Texts beyond Latin letters take ``tokenizers`` itself.
-    """
-    import tiktoken
 
-    with open(path, encoding="utf-8") as file:
-        vocabulary = json.load(file)["model"]["vocab"]
-    # The vocabulary in the file writes each byte as a printable character.
+def vocabulary(path: str) -> dict[bytes, int]:
+    """The bytes of each token that isn't special, with its id; the file writes each byte as a printable character."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in plain)}
-    ranks = {bytes(map(byte_of.__getitem__, token)): n for token, n in vocabulary.items() if token != "<|endoftext|>"}
+    special = set(specials(path))
+    return {bytes(map(byte_of.__getitem__, token)): n for token, n in _described(path)["model"]["vocab"].items() if token not in special}
+
+
+def specials(path: str) -> list[str]:
+    return [token["content"] for token in _described(path)["added_tokens"] if token["special"]]
+
+
+@functools.lru_cache(maxsize=4)
+def encoder(path: str, special: bool = False):
+    """A function from text to ids, as ``tokenizers`` gives them with ``add_special_tokens=False``.
+
+    With ``special`` the string of a special token in a text is that token, as in a plain call;
+    without, it is ordinary text (``encode_special_tokens``).  tiktoken reads the same vocabulary
+    four times as fast; its ids are the same, which the tests hold against ``tokenizers``.  Texts
+    beyond Latin letters, or with a special token, take ``tokenizers`` itself.
+    """
+    import tiktoken
+
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    fast = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=vocabulary(path), special_tokens={})
+    slow = [_PLAIN.pattern, *(map(re.escape, specials(path)) if special else ())]
+    unlike = re.compile("|".join(slow))
 
     def ids(text: str) -> np.ndarray:
-        if _PLAIN.search(text):
-            return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32)
+        if unlike.search(text):
+            return np.array(_tokenizer(path, special).encode(text, add_special_tokens=False).ids, np.uint32)
         return fast.encode_to_numpy(text, disallowed_special=())
 
     return ids
 
 
-@functools.lru_cache(maxsize=1)
-def _tokenizer(path: str):
+@functools.lru_cache(maxsize=2)
+def _tokenizer(path: str, special: bool):
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
+    found.encode_special_tokens = not special
     return found
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from pairwright.llm import oracles
+from pairwright.llm.alignment import align
 from pairwright.llm.classifier import quality_query
 from pairwright.llm.embedding import near_vectors
 from pairwright.llm.langid import language_query
@@ -21,10 +22,10 @@ from pairwright.llm.suffix import repeat_digest
 from pairwright.llm.toxicity import toxicity_query
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,11 +76,15 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), first=tokenizer_path(), second=tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     query.__name__: small_batches(query)
     for query in (
         op1_quality_rules, op2_toxicity, op3_pii, op4_near_copies, op5_vectors, op6_repeats, op7_packing, op8_secrets, op9_mixing, op10_language,
-        op11_quality, op12_search,
+        op11_quality, op12_search, op13_alignment,
     )
 } | {"pipeline": corpus_pipeline.run}
 
