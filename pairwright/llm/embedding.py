@@ -1,10 +1,11 @@
 """Near-duplicate embeddings: sign hashes of random hyperplanes, exact cosines, components.
 
 Identical vectors form a class at once.  Classes are hashed in several tables by the sides
-of random hyperplanes on which they lie.  What travels by table is a class's number, its
-keys and one more word of signs; where classes of one label share a table's hash they meet
-block by block, and the words rule out what can't be near.  Only classes that may have a
-partner in a block fetch their vectors, and cosines decide in double precision.  A pair
+of random hyperplanes on which they lie.  What travels by table is a class's number and one
+word of further signs; where classes of one label share a table's hash they meet block by
+block, and the words rule out what can't be near.  Classes that may have a partner in a block
+fetch their keys, which tell the table where a pair meets first, and where they are left their
+vectors, and cosines decide in double precision.  A pair
 that meets in several tables counts in the first.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.llm.components import components
+from pairwright.llm.ids import ordered, restored
 from pairwright.llm.scratch import written
 
 #: Of pairs at the threshold, the share that may meet in no table, and the share that the words of signs may rule out.
@@ -77,7 +79,12 @@ def _usable(column: pa.ChunkedArray | pa.Array) -> Iterator[np.ndarray | None]:
             yield None
             continue
         v = np.array(parts, float)
-        yield v if np.isfinite(v).all() and v.any() else None
+        yield _scaled(v) if np.isfinite(v).all() and v.any() else None
+
+
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two, so that their largest components lie near 1 and squares stay in range; cosines stay the same."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(-1, keepdims=True))[1])
 
 
 _HASHED = ("keys", "word")
@@ -103,9 +110,9 @@ def _first_here(left: np.ndarray, right: np.ndarray, tab: int) -> np.ndarray:
 
 
 def _partners(table: pa.Table, apart: int) -> pa.Table:
-    """Of one pair of blocks, the classes that may have a partner which no earlier table has shown."""
+    """Of one pair of blocks, the classes that may have a partner; with ``keys``, one which no earlier table has shown."""
     side, word = table.column("side").to_numpy(), table.column("word").to_numpy().view(np.uint64)
-    keys = np.stack([np.frombuffer(k, np.int32) for k in table.column("keys").to_pylist()])
+    keys = np.stack([np.frombuffer(k, np.int32) for k in table.column("keys").to_pylist()]) if "keys" in table.column_names else None
     tab = int(table.column("bucket")[0].as_py()) & 63
     a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     alone = not len(b) and table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
@@ -120,7 +127,7 @@ def _partners(table: pa.Table, apart: int) -> pa.Table:
         # So many pairs at a time, however alike a block's classes are.
         for k in range(0, len(i), 1 << 16):
             p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-            new = _first_here(keys[p], keys[q], tab)
+            new = slice(None) if keys is None else _first_here(keys[p], keys[q], tab)
             some[p[new]] = some[q[new]] = True
     return table.select(["bucket", "lo", "hi", "side", "number"]).filter(pa.array(some))
 
@@ -147,7 +154,7 @@ def _compare(table: pa.Table, threshold: float) -> pa.Table:
     for i, (label, v) in enumerate(zip(table.column("label").to_pylist(), vectors, strict=True)):
         kinds.setdefault((label, len(v)), []).append(i)
     for rows in map(np.array, kinds.values()):
-        x = np.array([vectors[i] for i in rows], float)
+        x = _scaled(np.array([vectors[i] for i in rows], float))
         norm = np.sqrt((x * x).sum(1))
         a, b = np.flatnonzero(side[rows] == 0), np.flatnonzero(side[rows] == 1)
         if alone:
@@ -191,7 +198,8 @@ def near_vectors(
     vector of its own, whatever its id: rows that share an id and a vector link with each
     other, and rows that share an id alone have each their own links.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
+    vectors, names = ordered(vectors.select(id_col, vector_col, label_col), id_col)
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     ok = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists("vector", lambda x: x != 0), F.lit(False))
     # Two hashes of 64 bits name a class; zeros of either sign hash alike.
@@ -207,16 +215,20 @@ def near_vectors(
     classes = written(narrow.mapInArrow(lambda it: _hashed(it, n_planes, n_tables, seed), f"{schema}, keys binary, word long"), "classes")
 
     bucket = F.transform(F.sequence(F.lit(0), F.lit(n_tables - 1)), lambda t: F.xxhash64("label", F.size("vector"), t, F.substring(F.col("keys"), 4 * t + 1, F.lit(4))).bitwiseAND(~63).bitwiseOR(t.cast("long")))
-    slots = classes.select("number", "keys", "word", F.explode(bucket).alias("bucket"))
+    slots = classes.select("number", "word", F.explode(bucket).alias("bucket"))
     # Full buckets are worked off by pairs of blocks: block b meets each block after it as side 0, each before it as side 1, and itself.
     full = slots.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block).select(F.col("bucket").alias("full"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     some = slots.join(full, F.col("bucket") == F.col("full"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     some = some.withColumn("mine", F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = some.select("bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "number", "word", "keys")
+    cells = some.select("bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "number", "word")
     apart = most_apart(threshold)
     at = ["bucket", "lo", "hi"]
     # Dealt by cell, not by bucket, so that a full bucket's pairs of blocks are many tasks' work.
     met = cells.repartition(*at).groupBy(*at).applyInArrow(lambda t: _partners(t, apart), "bucket long, lo int, hi int, side int, number long")
+    met = written(met, "met")
+    # The keys of all tables go only to those that have met: most classes have no partner, and those that have shall fetch their vectors once.
+    kept = met.join(classes.select("number", "word", "keys"), "number")
+    met = kept.repartition(*at).groupBy(*at).applyInArrow(lambda t: _partners(t, apart), "bucket long, lo int, hi int, side int, number long")
     met = written(met, "partners")
     found = met.join(classes.select("number", "label", "vector", "members", "keys"), "number")
     found = found.repartition(*at).groupBy(*at).applyInArrow(lambda t: _compare(t, threshold), "number long, other long, linked long")
@@ -228,4 +240,4 @@ def near_vectors(
     of = of.join(least, "component").select("p1", "p2", (F.col("members") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "component_id")
     out = rows.select("vec_id", "p1", "p2").join(of, ["p1", "p2"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return restored(out, names, "vec_id", "component_id").withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.llm.components import components
+from pairwright.llm.ids import ordered, restored
 from pairwright.llm.scratch import trimmed, written
 
 SHINGLE = 5
@@ -214,7 +215,9 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     text or id, a document links with nothing.  Every row is a document of its own, whatever
     its id: rows that share an id have each their own links.
     """
-    return _placed(docs, id_col, text_col, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    docs, names = ordered(docs.select(id_col, text_col), id_col)
+    placed = restored(_placed(docs, id_col, text_col, percent), names, "doc_id", "component_id")
+    return placed.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _parts(n: str, shingles: str) -> Column:
@@ -228,7 +231,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     Classes are documents with one set, told apart by 128 bits of hash and the set's size, and
     numbered; a class's first row by id and hash of the text stands for it.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     prints = written(narrow.mapInArrow(lambda it: trimmed(_signed(it)), "doc_id long, text_hash long, n_shingles long, print1 long, print2 long, signs array<int>"), "prints")
     full = prints.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("print1", "print2", "n_shingles").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("signs").alias("signs"))
@@ -287,6 +290,7 @@ def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Of rows with that id the one whose text has the smallest hash stays; rows that share both
     id and text are one document and stay or go together.
     """
-    gone = _placed(docs, id_col, text_col, percent).where("not first").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash"))
+    known, names = ordered(docs.select(id_col, text_col), id_col)
+    gone = restored(_placed(known, id_col, text_col, percent).where("not first").select("doc_id", "text_hash"), names, "doc_id")
     gone = written(gone, "gone")
-    return docs.join(gone, (docs[id_col].cast("long") == gone["_gone"]) & (F.xxhash64(docs[text_col]) == gone["_gone_hash"]), "left_anti")
+    return docs.join(gone, (docs[id_col] == gone["doc_id"]) & (F.xxhash64(docs[text_col]) == gone["text_hash"]), "left_anti")

@@ -85,7 +85,7 @@ def _tokenizer(path: str, special: bool):
     return found
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, size: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", special: bool = True) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
 
     A document is its ids and then 0; a null text has only the 0.  Longer documents are cut
@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, with_ids: bool = False, i
     """
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, special)
         for batch in (whole.slice(at, 1000) for whole in them for at in range(0, whole.num_rows, 1000)):
             rows, starts, lengths, sums, parts = [], [], [], [], []
             for row, text in enumerate(batch.column(1)):
@@ -143,52 +143,77 @@ def _best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
+def _sums_of_two(them: dict[int, list[int]]) -> int:
+    """A bit for each sum of two pieces' lengths."""
+    every = sum(1 << x for x in them)
+    found = 0
+    for x, items in them.items():
+        found |= (every if len(items) > 1 else every & ~(1 << x)) << x
+    return found
+
+
+def _highest(bits: int, least: int, most: int) -> int | None:
+    found = (bits & ((1 << (most + 1)) - 1)) >> least if most >= least else 0
+    return least + found.bit_length() - 1 if found else None
+
+
 def _improve(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
     """Exchange pieces between bins that are not full, each time raising the sum of squared fills, until no step does.
 
     A bin gives up none, one or two of its pieces for one of another bin, or none or one for two.
+    Pieces of one length are interchangeable, so lengths are tried, not pieces: a bin has few
+    different ones (they sum to ``size`` at most), however many pieces it holds.
     """
     n = lengths.tolist()
+    held: list[dict[int, list[int]]] = [{} for _ in bins]
+    for b, items in enumerate(bins):
+        for i in items:
+            held[b].setdefault(n[i], []).append(i)
     fill = [sum(n[i] for i in b) for b in bins]
     open_ = {b for b, f in enumerate(fill) if f < size}
-    home = {i: b for b in open_ for i in bins[b]}
-    of: dict[int, set[int]] = {}
-    mask = 0
-    for i in home:
-        of.setdefault(n[i], set()).add(i)
-        mask |= 1 << n[i]
-
-    def withdraw(i: int) -> None:
+    where: dict[int, dict[int, None]] = {}  # the open bins that hold a length
+    for b in sorted(open_):
+        for x in held[b]:
+            where.setdefault(x, {})[b] = None
+    mask = sum(1 << x for x in where)
+    sums: dict[int, int] = {}
+
+    def withdraw(x: int, b: int) -> None:
+        nonlocal mask
+        del where[x][b]
+        if not where[x]:
+            del where[x]
+            mask &= ~(1 << x)
+
+    def move(x: int, b: int, to: int) -> None:
         nonlocal mask
-        of[n[i]].discard(i)
-        if not of[n[i]]:
-            mask &= ~(1 << n[i])
-
-    def close(b: int) -> None:
-        open_.discard(b)
-        for i in bins[b]:
-            withdraw(i)
-
-    def move(i: int, to: int) -> None:
-        bins[home[i]].remove(i)
-        fill[home[i]] -= n[i]
-        bins[to].append(i)
-        fill[to] += n[i]
-        home[i] = to
+        item = held[b][x].pop()
+        if not held[b][x]:
+            del held[b][x]
+            withdraw(x, b)
+        held[to].setdefault(x, []).append(item)
+        where.setdefault(x, {})[to] = None
+        mask |= 1 << x
+        fill[b] -= x
+        fill[to] += x
+        sums.pop(b, None)
+        sums.pop(to, None)
 
     def step(a: int) -> bool:
-        room, best = size - fill[a], (0, (), ())
-        own = bins[a]
-        gives = [(), *((i,) for i in own), *((i, j) for x, i in enumerate(own) for j in own[x + 1 :])]
-        for give in gives:
-            out = sum(n[i] for i in give)
-            least, most = out + best[0] + 1, out + room
-            while most >= least and (found := (mask & ((1 << (min(most, size) + 1)) - 1)) >> least):
-                x = least + found.bit_length() - 1
+        room, best = size - fill[a], (0, (), (), a)
+        own = sorted(held[a])
+        gives = {0: (), **{x: (x,) for x in own}}
+        single = list(gives.values())
+        for k, x in enumerate(own):
+            for y in own[k if len(held[a][x]) > 1 else k + 1 :]:
+                gives.setdefault(x + y, (x, y))
+        for out, give in gives.items():
+            most = min(out + room, size)
+            while (x := _highest(mask, out + best[0] + 1, most)) is not None:
                 # The other bin must be less full than this one will be.
-                other = next((i for i in of[x] if home[i] != a and fill[a] + x - out > fill[home[i]] and fill[home[i]] - x + out <= size), None)
+                other = next((b for b in where[x] if b != a and fill[b] < fill[a] + x - out), None)
                 if other is not None:
-                    best = (x - out, give, (other,))
+                    best = (x - out, give, (x,), other)
                     break
                 most = x - 1
             if best[0] == room:
@@ -197,25 +222,27 @@ def _improve(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list
             for b in emptiest:
                 if b == a or b not in open_ or fill[b] > fill[a]:
                     continue
-                theirs = bins[b]
-                for x, i in enumerate(theirs):
-                    for j in theirs[x + 1 :]:
-                        for give in gives[: 1 + len(own)]:
-                            gain = n[i] + n[j] - sum(n[g] for g in give)
-                            if best[0] < gain <= room:
-                                best = (gain, give, (i, j))
+                if b not in sums:
+                    sums[b] = _sums_of_two(held[b])
+                for give in single:
+                    out = sum(give)
+                    if (both := _highest(sums[b], out + best[0] + 1, out + room)) is not None:
+                        x = next(x for x in sorted(held[b]) if (y := both - x) in held[b] and (x != y or len(held[b][x]) > 1))
+                        best = (both - out, give, (x, both - x), b)
                 if best[0] == room:
                     break
-        if not best[0]:
+        gain, give, take, b = best
+        if not gain:
             return False
-        b = home[best[2][0]]
-        for i in best[1]:
-            move(i, b)
-        for i in best[2]:
-            move(i, a)
-        for x in (a, b):
-            if fill[x] in (0, size):
-                close(x)
+        for x in give:
+            move(x, a, b)
+        for x in take:
+            move(x, b, a)
+        for c in (a, b):
+            if fill[c] in (0, size):
+                open_.discard(c)
+                for x in held[c]:
+                    withdraw(x, c)
         return True
 
     changed = True
@@ -225,7 +252,7 @@ def _improve(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list
         for a in sorted(open_, key=lambda b: (-fill[b], b)):
             while a in open_ and step(a):
                 changed = True
-    return [b for b in bins if b]
+    return [[i for items in b.values() for i in items] for b in held if b]
 
 
 def _packed(df: DataFrame, size: int, first: int, n_chunks: int) -> DataFrame:
@@ -258,14 +285,16 @@ def _dealt(df: DataFrame, salt: int) -> tuple[DataFrame, int]:
     return df.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(salt)), F.lit(n))), n
 
 
-def pack(docs: DataFrame, *, tokenizer: str, size: int = 2048, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str, size: int = 2048, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", special: bool = True) -> DataFrame:
     """Place every piece of every document in a sequence of at most ``size`` tokens.
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset; with
     ``with_ids`` its ids too.  Null and empty texts are one token.  Repeated rows are packed
-    as often as they come; no rows give no sequences.  Other columns are not read.
+    as often as they come; no rows give no sequences.  Other columns are not read.  The string
+    of a special token in a text is that token, as ``tokenizers`` has it in a plain call; with
+    ``special`` false it is ordinary text, so that no document can end a sequence.
     """
-    cut, n = _dealt(written(pieces(docs, tokenizer, size, with_ids, id_col, text_col), "pieces"), 0)
+    cut, n = _dealt(written(pieces(docs, tokenizer, size, with_ids, id_col, text_col, special), "pieces"), 0)
     once = written(_packed(cut, size, 0, n), "packed")
     again, m = _dealt(once.where("loose = 1").drop("sequence_id", "offset", "loose"), 1)
     return once.where("loose = 0").unionByName(_packed(again, size, n, m)).drop("loose")

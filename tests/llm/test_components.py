@@ -106,3 +106,18 @@ def test_words_rule_out_hardly_any_pair():
     keys, word = embedding.signs(np.r_[x, z], *embedding.shape(4000, 0.98), 5)
     assert (np.bitwise_count(word[:4000] ^ word[4000:]) <= embedding.most_apart(0.98)).all()
     assert (keys[:4000] == keys[4000:]).any(1).all()
+
+
+def test_components_whose_squares_leave_the_range(spark):
+    big, small = [1e300, 1e300, 0.0, 0.0], [1e-300, 1e-300, 0.0, 0.0]
+    rows = [(1, big, 0), (2, [x * 0.5 for x in big], 0), (3, small, 0), (4, [0.0, 0.0, 5e-324, 0.0], 0), (5, [0.0, 0.0, 1.0, 0.0], 0), (6, [1.0, 0.99, 0.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert vector_rows(embedding.near_vectors(df)) == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 1, 4, True), (5, 1, 4, False), (6, 3, 1, False)]
+
+
+def test_ids_of_texts(spark):
+    a = [1.0, 0.0, 0.0, 0.0]
+    rows = [("b-2", a, 0), ("a-1", a, 0), (None, a, 0), ("c", [0.0, 1.0, 0.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<float>, label int")
+    got = sorted(map(tuple, embedding.near_vectors(df).select("vec_id", "n_links", "component_id", "kept").collect()), key=str)
+    assert got == sorted([("b-2", 1, "a-1", False), ("a-1", 1, "a-1", True), (None, 0, None, True), ("c", 0, "c", True)], key=str)

@@ -106,3 +106,13 @@ def test_documents_of_the_table(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     want = brute([(r.doc_id, r.text) for r in docs.collect()], 85)
     assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in minhash.near_copies(docs, percent=85).collect()} == want
+
+
+def test_ids_of_texts(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [("b-2", text), ("a-1", text), (None, text), ("c", None), ("d", "other words stand here in this text")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id string, text string, _gone int")
+    got = sorted(map(tuple, minhash.near_copies(df).select("doc_id", "component_id", "kept").collect()), key=str)
+    assert got == sorted([("b-2", "a-1", False), ("a-1", "a-1", True), (None, None, True), ("c", "c", True), ("d", "d", True)], key=str)
+    left = minhash.without_copies(df)
+    assert left.columns == df.columns and sorted(str(r.doc_id) for r in left.collect()) == ["None", "a-1", "c", "d"]

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -12,9 +13,9 @@ from pairwright.llm import packing
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def reference():
+def reference(special=False):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not special
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -33,13 +34,27 @@ def test_ids_of_latin_characters():
     assert encode("x<|endoftext|>y").tolist() == ref("x<|endoftext|>y")
 
 
+def test_special_tokens_as_in_a_plain_call(spark):
+    plain = Tokenizer.from_file(PATH)
+    texts = ["x<|endoftext|>y", "<|endoftext|>", " a <|endoftext|> <|endoftext|>\n", "<|endoftext", "日本<|endoftext|>", "a|endoftext|"]
+    for text in texts:
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert packing.encoder(PATH, True)(text).tolist() == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for special in (True, False):
+        ref = reference(special)
+        rows = packing.pack(docs, tokenizer=PATH, with_ids=True, special=special).collect()
+        assert {r.doc_id: r.ids for r in rows} == {i: [*ref(t), 0] for i, t in enumerate(texts)}
+    assert {r.doc_id: r.length for r in packing.pack(docs, tokenizer=PATH).collect()}[0] == 4
+
+
 def test_round_trip(spark):
     r = random.Random(2)
     word = lambda: r.choice(["the", "thing", "ound", "é", "10.5", "\n"])
     texts = [" ".join(word() for _ in range(r.choice([1, 30, 300, 900]))) for _ in range(300)] + [None, "", "a" * 9000, texts0 := "same", texts0]
     docs = spark.createDataFrame([(i if i < 303 else 303, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, sequence_id string, length int")
     rows = packing.pack(docs, tokenizer=PATH, size=256, with_ids=True).collect()
-    ref, by_doc, by_seq = reference(), {}, {}
+    ref, by_doc, by_seq = reference(True), {}, {}
     for x in rows:
         assert x.length == len(x.ids) <= 256 and x.ids_crc32 == zlib.crc32(np.array(x.ids, "<u4").tobytes())
         by_doc.setdefault(x.doc_id, []).append(x)
@@ -107,3 +122,15 @@ def test_packed_result_against_brute_force(spark):
         lengths = np.sort(np.random.default_rng(seed).integers(5, 60, 10))[::-1]
         bins = packing._improve(packing._best_fit(lengths, 100), lengths, 100)
         assert len(bins) <= fewest(lengths.tolist(), 100), seed
+
+
+def test_short_pieces_end_soon():
+    """Lengths are tried, not pieces: chunks of short or equal pieces take no longer than others."""
+    draw = np.random.default_rng(0)
+    cases = [draw.integers(1, 2049, 4096), draw.integers(10, 31, 4096), np.full(4096, 100), np.full(4096, 30), draw.integers(1, 60, 4096), np.concatenate([draw.integers(1, 40, 2000), draw.integers(1, 2049, 2096)])]
+    for lengths in cases:
+        began = time.perf_counter()
+        before = packing._best_fit(lengths, 2048)
+        after = packing._improve(before, lengths, 2048)
+        assert time.perf_counter() - began < 2
+        assert sorted(sum(after, [])) == list(range(4096)) and len(after) <= len(before) and all(lengths[b].sum() <= 2048 for b in after)
