@@ -128,14 +128,18 @@ class Model:
         return n, held
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        return self.judged(texts)[:2]
+
+    def judged(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score, and how much of a text is covered: the best language's share of its n-grams, over the share that it has of its own texts."""
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         n, held = self.counts(texts)
         share = held / np.maximum(n, 1)[:, None] / self.cover
         best = share.argmax(1)
         score = share.max(1) / np.maximum(share.sum(1), 1e-12)
         letters = n > 0
-        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], np.where(letters, np.clip(score, 0, 1), 0.0)
+        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], np.where(letters, np.clip(score, 0, 1), 0.0), share.max(1)
 
 
 def _slots(grams: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -208,22 +212,23 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def with_language(docs: DataFrame, model: Model, *, text_col: str = "text", as_col: str = "lang_found") -> DataFrame:
-    """The documents, all columns kept, with a struct of the language found and its score."""
+    """The documents, all columns kept, with a struct of the language found, its score, and how much of the text it covers."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            lang, score = [], []
+            lang, score, covered = [], [], []
             for at in range(0, len(batch), ROWS):
-                some = shared.value.predict(batch.slice(at, ROWS).to_pylist())
+                some = shared.value.judged(batch.slice(at, ROWS).to_pylist())
                 lang += some[0]
                 score += some[1].tolist()
-            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
+                covered += some[2].tolist()
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(covered, pa.float64())], names=["lang_pred", "score", "covered"])
 
     from pyspark.sql.functions import arrow_udf
     from pyspark.sql.pandas.functions import ArrowUDFType
 
-    return docs.withColumn(as_col, arrow_udf(lambda it: trimmed(found(it)), "lang_pred string, score double", ArrowUDFType.SCALAR_ITER)(F.col(text_col)))
+    return docs.withColumn(as_col, arrow_udf(lambda it: trimmed(found(it)), "lang_pred string, score double, covered double", ArrowUDFType.SCALAR_ITER)(F.col(text_col)))
 
 
 def language_query(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:

@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import zlib
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
@@ -40,8 +41,8 @@ def test_stages(spark):
     start = rows(docs)
 
     model = langid.train(docs)
-    lang, score = model.predict([r[1] for r in start])
-    want = [r for r, x, s in zip(start, lang, score, strict=True) if x != "und" and s >= pipeline.least_score(4)]
+    lang, _, covered = model.judged([r[1] for r in start])
+    want = [r for r, x, c in zip(start, lang, covered, strict=True) if x != "und" and c >= pipeline.COVERED]
     one = written(pipeline.language(spark, docs, SF), "one")
     assert one.columns == docs.columns and sorted(rows(one)) == sorted(want)
     assert {10_000, 10_001}.isdisjoint(r[0] for r in want) and len(want) >= len(start) - 4
@@ -65,7 +66,6 @@ def test_stages(spark):
     assert four.columns == docs.columns and set(rows(four)) <= set(want)
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     texts = {r[0]: r[1] for r in want}
     pieces = pipeline.packing(spark, four, SF).collect()
     left = Counter()
@@ -91,7 +91,10 @@ def test_clean_documents_stay_with_any_number_of_languages(spark):
         word = lambda k: "".join(r.choice(alphabets[k]) for _ in range(r.randrange(3, 8)))  # noqa: B023,E731
         vocabularies = [[word(k) for _ in range(200)] for k in range(n)]
         rows = [(i, " ".join(r.choice(vocabularies[i % n]) for _ in range(60)), f"l{i % n:02}", "s", 0) for i in range(240)]
+        foreign = ["".join(r.choice("абвгдежзиклмнопрст ") for _ in range(400)), "".join(r.choice("αβγδεζηθικλμνξοπρ ") for _ in range(30)), "кот", "的一是不了人我在有"]
+        rows += [(800 + i, t, None, "s", 0) for i, t in enumerate(foreign)]
         docs = spark.createDataFrame([*rows, (900, "12 !?", "l00", "s", 0), (901, None, None, "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+        docs = docs.withColumn("_found", F.lit("a column of the user's"))
         assert sorted(x.doc_id for x in pipeline.language(spark, docs, SF).collect()) == list(range(240)), n
 
 
