@@ -2,7 +2,8 @@
 
 Tokens are reported only if their base64 or hexadecimal decodes to something with a
 form: a DER sequence whose nested lengths add up, an SSH key blob whose fields fill it,
-or a signed token whose header is a JSON object that names an algorithm.
+or a signed or encrypted token whose header is a JSON object that names its algorithms.
+Base64 may be wrapped into lines of one width, hexadecimal may be in either case.
 """
 
 from __future__ import annotations
@@ -28,9 +29,14 @@ _WORDS = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]++")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}+")
 #: Patterns that the method adds.
-_JWT = re.compile(r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+(?!\.?[A-Za-z0-9_-])")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s]*+)-----END \1PRIVATE KEY-----")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{4,}+(?:\.[A-Za-z0-9_-]*+){2,}+")
+_PEM = re.compile(
+    r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:\s|\\[nr])*+Proc-Type: 4,ENCRYPTED(?:\s|\\[nr])++DEK-Info: [A-Z0-9-]++,[0-9A-Fa-f]++(?:\s|\\[nr])++)?+"
+    r"((?:[A-Za-z0-9+/=\s]|\\[nr])*+)-----END \1PRIVATE KEY-----"
+)
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}(?![A-Za-z0-9+/_=-])")
+_LINE = re.compile(r"\r?\n[\x20\t]*+([A-Za-z0-9+/_-]++)(={0,2}+)")
+_EITHER_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}+(?![0-9A-Fa-f])")
 
 
 def decoded(text: str) -> bytes | None:
@@ -111,13 +117,70 @@ def is_ssh(data: bytes) -> bool:
     return rest is not None and 1 <= n_keys == len(rest) - 1 and bool(names[0]) and all(is_ssh(key) and not key.startswith(magic) for key in rest[:-1])
 
 
-def is_signed_token(text: str) -> bool:
-    head, body, _ = text.split(".")
+def _object(part: str) -> dict | None:
+    """The JSON object that a part of a token decodes to, in whatever way it is written."""
     try:
-        header = json.loads(decoded(head) or b"")
-        return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(json.loads(decoded(body) or b""), dict)
+        found = json.loads(decoded(part) or b"")
     except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def is_token(parts: list[str]) -> bool:
+    """Three parts, header and body JSON objects, the header naming an algorithm; or five, the header naming two, the other parts base64."""
+    if len(parts) not in (3, 5) or (header := _object(parts[0])) is None or not isinstance(header.get("alg"), str):
         return False
+    if len(parts) == 3:
+        return _object(parts[1]) is not None
+    return isinstance(header.get("enc"), str) and bool(parts[3]) and all(decoded(p) is not None for p in parts[1:])
+
+
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    for m in _TOKEN.finditer(text):
+        parts = m[0].split(".")
+        while len(parts) > 3 and not parts[-1]:  # the end of a sentence
+            parts.pop()
+        if is_token(parts):
+            yield m.start(), m.start() + len(".".join(parts))
+
+
+def _confirmed(text: str) -> str | None:
+    data = decoded(text)
+    return ("ssh" if is_ssh(data) else "der" if is_der(data) else None) if data else None
+
+
+def _keys(text: str) -> Iterator[tuple[str, int, int]]:
+    """Base64 of key encodings: in one piece, or in lines of one width and a last one that isn't longer."""
+    upto = 0
+    for m in _BASE64.finditer(text):
+        if m.start() < upto:
+            continue
+        if kind := _confirmed(m[0]):
+            yield kind, *m.span()
+            continue
+        head = decoded(m[0][:40]) if text[m.end() : m.end() + 1] in ("\r", "\n") and "=" not in m[0] else None
+        if not head or not head.startswith((b"\x30", b"\0\0\0", b"openssh-key-v1\0")):
+            continue
+        parts, ends = [m[0]], [m.end()]
+        while (line := _LINE.match(text, ends[-1])) and len(line[1]) <= len(m[0]):
+            parts.append(line[0].strip())
+            ends.append(line.end())
+            if len(line[1]) < len(m[0]) or line[2]:
+                break
+        # The last line may be what comes after a block of full lines.
+        for n in (len(parts), len(parts) - 1):
+            if n > 1 and (kind := _confirmed("".join(parts[:n]))):
+                yield kind, m.start(), ends[n - 1]
+                break
+        upto = ends[-1]
+
+
+def _private(m: re.Match) -> bool:
+    """A private key's block: DER or SSH; with the headers of an encrypted one, whole blocks of its cipher."""
+    data = decoded("".join(re.sub(r"\\[nr]", "", m[3]).split()))
+    if m[2]:
+        return bool(data) and len(data) % 8 == 0
+    return bool(data) and (is_der(data) or is_ssh(data))
 
 
 def spans(text: str | None) -> list[tuple[str, int, int]]:
@@ -128,22 +191,12 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [("access", *m.span()) for m in _ACCESS.finditer(text) if len(m[0]) >= 18]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
-    if "eyJ" in text:
-        found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
+    found += [("jwt", *span) for span in _tokens(text)]
     if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            data = decoded("".join(m[2].split()))
-            if data and (is_der(data) or is_ssh(data)):
-                found.append(("pem", *m.span()))
-    for m in _BASE64.finditer(text):
-        data = decoded(m[0])
-        if data and is_ssh(data):
-            found.append(("ssh", *m.span()))
-        elif data and is_der(data):
-            found.append(("der", *m.span()))
-    for kind, start, end in [x for x in found if x[0] == "hex"]:
-        if (end - start) % 2 == 0 and is_der(bytes.fromhex(text[start:end])):
-            found.append(("der", start, end))
+        found += [("pem", *m.span()) for m in _PEM.finditer(text) if _private(m)]
+    found += _keys(text)
+    spelled = {m.span() for m in _EITHER_HEX.finditer(text)} | {(a, b) for kind, a, b in found if kind == "hex" and (b - a) % 2 == 0}
+    found += [("der", a, b) for a, b in spelled if is_der(bytes.fromhex(text[a:b]))]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
