@@ -191,7 +191,7 @@ def pointers_overlap(left: str, right: str) -> bool:
 
 
 def diff(left: Column, right: Column) -> Column:
-    """Differences of two JSON texts: path, kind, and both values; the root's path is ``/``."""
+    """Differences of two JSON texts: path, kind, and both values; the root's path is ``/``.  None without two texts, null where one is malformed."""
 
     def compare(path: str, a: object, b: object, out: list) -> None:
         if canonical(a) == canonical(b):
@@ -220,16 +220,19 @@ def diff(left: Column, right: Column) -> Column:
             base = lambda v: "number" if isinstance(v, Number) else kind(v)
             out.append((path or "/", "value_changed" if base(a) == base(b) else "type_changed", canonical(a), canonical(b)))
 
-    def both(a: str | None, b: str | None) -> list:
+    def both(a: str | None, b: str | None) -> list | None:
         out: list = []
-        if a is not None and b is not None:
-            compare("", parse(a), parse(b), out)
+        try:
+            if a is not None and b is not None:
+                compare("", parse(a), parse(b), out)
+        except (ValueError, RecursionError):
+            return None
         return out
 
     return F.udf(both, "array<struct<path:string,kind:string,baseline:string,candidate:string>>", useArrow=True)(left, right)
 
 
-#: Members that name an array's items, the first that all have.
+#: Members that name an array's items, the first that all have.
 ITEM_KEYS = ("id", "sku", "product_code", "code")
 
 
@@ -293,12 +296,13 @@ def structural_diff(expected: Column, actual: Column) -> Column:
 
 
 def redact(text: Column, pointers: list[str], mark: str = "[redacted]") -> Column:
-    """Canonical JSON text with the values at the pointers replaced; pointers that lead nowhere change nothing."""
+    """Canonical JSON text with the values at the pointers replaced; pointers that lead nowhere change nothing.  Null for malformed texts: nothing of them is shown."""
 
     def hide(raw: str | None) -> str | None:
-        if raw is None:
+        try:
+            value = parse(raw or "")
+        except (ValueError, RecursionError):
             return None
-        value = parse(raw)
         for pointer in pointers:
             if not pointer:
                 return json.dumps(mark)
@@ -313,12 +317,13 @@ def redact(text: Column, pointers: list[str], mark: str = "[redacted]") -> Colum
 
 
 def json_items(text: Column) -> Column:
-    """The items of a JSON array as canonical texts; another value is its own only item."""
+    """The items of a JSON array as canonical texts; another value is its own only item; null for malformed texts."""
 
     def split(raw: str | None) -> list[str] | None:
-        if raw is None:
+        try:
+            value = parse((raw or "").strip())
+        except (ValueError, RecursionError):
             return None
-        value = parse(raw.strip())
         return [canonical(x) for x in value] if isinstance(value, list) else [canonical(value)]
 
     return F.udf(split, "array<string>", useArrow=True)(text)

@@ -13,9 +13,9 @@ INCLUDE = ("/input", "/expected", "/model_visible_metadata")
 
 
 def digest(*columns: Column) -> Column:
-    """One hash of several values; null and text apart."""
-    parts = [F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n")) for c in columns]
-    return F.sha2(F.concat_ws("\0", *parts).cast("binary"), 256)
+    """One hash of several values; null and text apart, and each value's length before it, so that no two lists of values read alike."""
+    parts = [F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("n")) for c in columns]
+    return F.sha2(F.concat(*parts).cast("binary"), 256)
 
 
 def unit_label(pointer: str | None = None, include: tuple[str, ...] = INCLUDE) -> str:
@@ -69,7 +69,10 @@ def independent(rows: DataFrame, stimulus: Column, observation: Column, order: s
 
 
 def represented(rows: DataFrame, unit: Column, observation: Column, order: str) -> DataFrame:
-    """As ``units``, with each unit's first row by ``order`` as the struct ``row``; rows of one unit need different orders."""
+    """As ``units``, with each unit's first row by ``order`` as the struct ``row``; rows of one unit need different orders.
+
+    Whole rows travel through both aggregates: callers pass the few columns that they judge by.
+    """
     named = rows.select(unit.alias("unit"), observation.alias("observation"), F.col(order).alias("_order"), F.struct(*rows.columns).alias("row"))
     first = [F.min_by("row", "_order").alias("row"), F.min("_order").alias("_order")]
     seen = named.groupBy("unit", "observation").agg(F.count("*").alias("n"), *first)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -14,37 +16,59 @@ from pairwright.plans.paired import Evaluation, Rule, evaluate_all, reference_is
 
 #: Limits that are shares, and so lie between 0 and 1.
 _SHARES = ("_rate", "_validity", "_coverage")
-#: Rules that a gate which may release has to limit.
-RELEASE = ("min_cases", "min_unique_cases", "max_duplicate_case_rate", "min_primary_fully_evaluated_rate", "max_primary_component_error_rate")
+#: What a gate is for: to tell, to stop regressions, to authorise a deployment.
+MODES = ("advisory", "regression", "release")
 
 
 @dataclass(frozen=True)
 class Config:
-    """A checked configuration; ``plan`` says what is compared."""
+    """A checked configuration; ``plan`` says what is compared.
+
+    A regression or release gate limits all of ``gate.SAFEGUARDS`` and at least one of
+    ``gate.RELATIVE``; a release gate keeps to ``gate.PROFILE``, and its outputs' schema is the
+    caller's own, not one ``inferred`` from references.
+    """
 
     plan: Evaluation
     limits: dict[str, float] = field(default_factory=dict)
-    release: bool = False
+    mode: str = "advisory"
     unit: str | None = None  # a pointer into the case; else the values at all of include
     include: tuple[str, ...] = evidence.INCLUDE
     samples: int = 10_000
     confidence: float = 0.95
     seed: int = 0
+    inferred: bool = False
 
     def __post_init__(self) -> None:
         names = {name for name, _, _ in gate.RULES}
         if bad := sorted(set(self.limits) - names):
             raise ValueError(f"no such rules: {bad}")
-        if bad := sorted(k for k, v in self.limits.items() if v < 0 or (k.endswith(_SHARES) and v > 1)):
+        if bad := sorted(k for k, v in self.limits.items() if not _is_number(v) or v < 0 or (k.endswith(_SHARES) and v > 1)):
             raise ValueError(f"limits out of range: {bad}")
-        if self.release and (bad := [k for k in RELEASE if k not in self.limits]):
-            raise ValueError(f"a gate that may release needs limits: {bad}")
-        if not 100 <= self.samples <= 1_000_000 or not 0.5 <= self.confidence < 1:
-            raise ValueError("100 to 1,000,000 samples, and a confidence from 0.5 up to 1")
+        if self.mode not in MODES:
+            raise ValueError(f"a gate's mode is one of {MODES}")
+        if self.mode != "advisory":
+            if bad := [k for k in gate.SAFEGUARDS if k not in self.limits]:
+                raise ValueError(f"a {self.mode} gate needs limits: {bad}")
+            if not set(gate.RELATIVE) & set(self.limits):
+                raise ValueError(f"a {self.mode} gate needs one of: {gate.RELATIVE}")
+        if self.mode == "release":
+            if bad := gate.lax(self.limits):
+                raise ValueError(f"a release gate keeps to the safe release profile; it does not at: {bad}")
+            if self.inferred or (self.plan.schema is None and not self.plan.types):
+                raise ValueError("a release gate needs the caller's own schema of outputs")
+        if any(isinstance(x, bool) or not isinstance(x, int) for x in (self.samples, self.seed)) or not _is_number(self.confidence):
+            raise ValueError("samples and seed are whole numbers, confidence is a number")
+        if not 100 <= self.samples <= 1_000_000 or not 0.5 <= self.confidence < 1 or self.seed < 0:
+            raise ValueError("100 to 1,000,000 samples, a confidence from 0.5 up to 1, and no negative seed")
         if self.unit is not None and self.include != evidence.INCLUDE:
             raise ValueError("a unit is named by a pointer or by an include list, not by both")
 
 
+def _is_number(value: object) -> bool:
+    return isinstance(value, int | float) and not isinstance(value, bool) and math.isfinite(value)
+
+
 def _plain(value: object) -> object:
     """A parsed value with usual numbers; options keep decimals as texts."""
     if isinstance(value, Number):
@@ -54,33 +78,74 @@ def _plain(value: object) -> object:
     return [_plain(v) for v in value] if isinstance(value, list) else value
 
 
-def _known(part: object, name: str, keys: set[str]) -> dict:
-    if not isinstance(part, dict) or (strange := set(part) - keys):
+def _known(part: object, name: str, keys: dict[str, type]) -> dict:
+    """An object whose members all have their kind; a number is no text."""
+    if not isinstance(part, dict) or (strange := set(part) - set(keys)):
         raise ValueError(f"{name}: unknown {sorted(strange) if isinstance(part, dict) else 'value'}")
+    for k, v in part.items():
+        if not isinstance(v, keys[k]) or (keys[k] is str and isinstance(v, Number)):
+            raise ValueError(f"{name}: {k} is no {NAMES[keys[k]]}")
     return part
 
 
+NAMES = {str: "text", Number: "number", dict: "object", list: "array", bool: "truth value", dict | bool: "schema"}
+
+
+def _texts(part: dict, key: str, name: str) -> tuple[str, ...]:
+    values = part.get(key, [])
+    if any(not isinstance(v, str) or isinstance(v, Number) for v in values):
+        raise ValueError(f"{name}: {key} holds texts")
+    return tuple(values)
+
+
+def _options(rule: dict) -> dict:
+    """An evaluator's options in the shapes that its kind takes; what they may say is the plan's to check."""
+    options = {}
+    for key, value in rule.get("options", {}).items():
+        if key in ("keys", "fields"):
+            value = _known(value, f"options of {rule['id']}", dict.fromkeys(value, str if key == "keys" else list) if isinstance(value, dict) else {})
+        if key == "fields":
+            if any(not 1 <= len(how) <= 2 or not isinstance(how[0], str) or not isinstance(how[-1] if len(how) > 1 else {}, dict) for how in value.values()):
+                raise ValueError(f"options of {rule['id']}: a field is compared by [kind] or [kind, options]")
+            value = {p: (how[0], how[1] if len(how) > 1 else {}) for p, how in value.items()}
+        elif key in ("formats", "line"):
+            value = _texts(_known({key: value}, f"options of {rule['id']}", {key: list}), key, f"options of {rule['id']}")
+        elif key == "case_insensitive":
+            _known({key: value}, f"options of {rule['id']}", {key: bool})
+        elif key in ("absolute", "relative", "tolerance") and (not isinstance(value, str) or not re.fullmatch(r"[0-9]+(\.[0-9]+)?", value)):
+            raise ValueError(f"options of {rule['id']}: {key} is a decimal that is not negative")
+        options[key] = value
+    return options
+
+
 def loaded(text: str) -> Config:
-    """A configuration from strict JSON; unknown names, kinds and limits are refused.
+    """A configuration from strict JSON; unknown names, kinds and limits, and values of other types, are refused.
 
     ``{"version": 1, "evaluators": [{"id", "kind", "pointers", "expected"?, "options"?}], "primary"?, "outcome"?,
-    "types"?, "schema"?, "evidence_unit"?: {"pointer" or "include"}, "gate"?: {"release"?, "limits"}, "bootstrap"?: {"samples"?, "confidence"?, "seed"?}}``
+    "types"?, "schema"?, "schema_provenance"? (caller or inferred), "evidence_unit"?: {"pointer" or "include"}, "gate"?: {"mode"?, "limits"},
+    "bootstrap"?: {"samples"?, "confidence"?, "seed"?}}``
     """
-    raw = _known(parse(text), "configuration", {"version", "evaluators", "primary", "outcome", "types", "schema", "evidence_unit", "gate", "bootstrap"})
+    raw = _known(parse(text), "configuration", {
+        "version": Number, "evaluators": list, "primary": list, "outcome": str, "types": dict, "schema": dict | bool, "schema_provenance": str, "evidence_unit": dict, "gate": dict, "bootstrap": dict,
+    })
     if raw.get("version") != "1":
         raise ValueError("a configuration has version 1")
     rules = []
     for r in raw.get("evaluators", []):
-        _known(r, "evaluator", {"id", "kind", "pointers", "expected", "options"})
-        options = {k: tuple(v) if isinstance(v, list) else v for k, v in r.get("options", {}).items()}
-        if "fields" in options:
-            options["fields"] = {p: (how[0], how[1] if len(how) > 1 else {}) for p, how in options["fields"].items()}
-        rules.append(Rule(r["id"], r["kind"], tuple(r.get("pointers", ())), tuple(r["expected"]) if "expected" in r else None, options))
-    unit, g, b = (_known(raw.get(n, {}), n, keys) for n, keys in (("evidence_unit", {"pointer", "include"}), ("gate", {"release", "limits"}), ("bootstrap", {"samples", "confidence", "seed"})))
-    plan = Evaluation(
-        tuple(rules), tuple((p, t) for p, t in raw.get("types", {}).items()), raw.get("outcome", "all_of"), tuple(raw["primary"]) if "primary" in raw else None, canonical(raw["schema"]) if "schema" in raw else None,
-    )
-    return Config(plan, _plain(g.get("limits", {})), bool(g.get("release", False)), unit.get("pointer"), tuple(unit.get("include", evidence.INCLUDE)), **_plain(b))
+        _known(r, "evaluator", {"id": str, "kind": str, "pointers": list, "expected": list, "options": dict})
+        if lost := [k for k in ("id", "kind") if k not in r]:
+            raise ValueError(f"an evaluator without {lost}")
+        rules.append(Rule(r["id"], r["kind"], _texts(r, "pointers", r["id"]), _texts(r, "expected", r["id"]) if "expected" in r else None, _options(r)))
+    parts = {"evidence_unit": {"pointer": str, "include": list}, "gate": {"mode": str, "limits": dict}, "bootstrap": {"samples": Number, "confidence": Number, "seed": Number}}
+    unit, g, b = (_known(raw.get(n, {}), n, keys) for n, keys in parts.items())
+    types = _known(raw.get("types", {}), "types", dict.fromkeys(raw.get("types", {}), str))
+    limits = _known(g.get("limits", {}), "limits", dict.fromkeys(g.get("limits", {}), Number))
+    provenance = raw.get("schema_provenance", "caller")
+    if provenance not in ("caller", "inferred"):
+        raise ValueError("a schema comes from the caller or is inferred")
+    plan = Evaluation(tuple(rules), tuple(types.items()), raw.get("outcome", "all_of"), _texts(raw, "primary", "configuration") if "primary" in raw else None, canonical(raw["schema"]) if "schema" in raw else None)
+    include = _texts(unit, "include", "evidence_unit") if "include" in unit else evidence.INCLUDE
+    return Config(plan, _plain(limits), g.get("mode", "advisory"), unit.get("pointer"), include, **_plain(b), inferred=provenance == "inferred")
 
 
 #: What was observed of a case, by variant.
@@ -96,12 +161,35 @@ def _observation(pairs: DataFrame) -> Column:
 _MEASURES = {"error_kind": "string", "latency_ms": "long", "input_tokens": "long", "output_tokens": "long", "retries": "int", "cost": "decimal(28,10)", "currency": "string"}
 
 
+def id_faults(cases: DataFrame, outputs: dict[str, DataFrame]) -> DataFrame:
+    """Ids that a run can't take: id, table and fault (null, repeated or, in outputs, unknown).
+
+    One aggregate over the ids of all tables; nothing else of them is read or moved.
+    """
+    tables = {"cases": cases.select(F.col("id").alias("id"))} | {name: df.select(F.col("case_id").alias("id")) for name, df in outputs.items()}
+    ids = None
+    for name, df in tables.items():
+        named = df.select("id", F.lit(name).alias("table"))
+        ids = named if ids is None else ids.union(named)
+    n = {name: F.count_if(F.col("table") == name) for name in tables}
+    by = ids.groupBy("id").agg(*(v.alias(f"n_{name}") for name, v in n.items()))
+    fault = lambda name, what, when: F.when((F.col(f"n_{name}") > 0) & when, F.struct(F.lit(name).alias("table"), F.lit(what).alias("fault")))
+    found = [fault(name, "null", F.col("id").isNull()) for name in tables]
+    found += [fault(name, "repeated", F.col("id").isNotNull() & (F.col(f"n_{name}") > 1)) for name in tables]
+    found += [fault(name, "unknown", F.col("id").isNotNull() & (F.col("n_cases") == 0)) for name in outputs]
+    return by.select("id", F.explode(F.array_compact(F.array(*found))).alias("f")).select("id", "f.*")
+
+
 def run(cases: DataFrame, baseline: DataFrame, candidate: DataFrame, config: Config, external: DataFrame | None = None) -> dict[str, DataFrame]:
     """The relations of a run: evaluations, summaries, paired metrics of both effects, the gate's rules and its decision.
 
-    Cases whose reference an evaluator would not pass, or that have no unit of evidence, stop the run
-    before outputs are read; the error tells the first 20 of them.
+    Null, repeated and unknown ids stop the run, and so do cases whose reference an evaluator would
+    not pass, or that have no unit of evidence; all that before outputs are parsed.  The error tells
+    how many there are and the first 20.
     """
+    strange = id_faults(cases, {"baseline": baseline, "candidate": candidate})
+    if (n := strange.count()) > 0:
+        raise ValueError(f"{n} ids that can't be taken: {[tuple(r) for r in strange.orderBy('id', 'table', 'fault').limit(20).collect()]}")
     found, lost = evidence.with_units(cases, config.unit, config.include)
     bad = [(r.id, r.what) for r in reference_issues(cases, config.plan).select("id", F.concat_ws(": ", "evaluator", "state").alias("what")).union(lost.select("id", "pointer")).orderBy("id", "what").limit(20).collect()]
     if bad:
@@ -113,5 +201,5 @@ def run(cases: DataFrame, baseline: DataFrame, candidate: DataFrame, config: Con
     rules = gate.rules(inputs, config.limits)
     return {
         "evaluations": e, "summary": summary.variant_summary(e), "operational": summary.operational_summary(e), "primary": summary.paired_metrics(p, "semantic_success"),
-        "deployment": summary.paired_metrics(p, "deployment_success"), "gate": rules, "decision": gate.decision(rules, release=config.release),
+        "deployment": summary.paired_metrics(p, "deployment_success"), "gate": rules, "decision": gate.decision(rules, release=config.mode == "release"),
     }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,26 +17,40 @@ OUTPUT_FIELDS = ("case_id", "status", "raw_output", "parsed_output", "error", "l
 STATUS = {"ok": "ok", "success": "ok", "error": "error", "failed": "error", "missing": "missing"}
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with their place in their part of a file; a task reads parts one after the other, each in its order."""
+    part, n = None, 0
+    for batch in batches:
+        files, starts = batch.column("file").to_pylist(), batch.column("start").to_pylist()
+        places = []
+        for here in zip(files, starts, strict=True):
+            part, n = here, n + 1 if here == part else 0
+            places.append(n)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], names=[*batch.schema.names, "place"])
+
+
 def json_lines(spark: SparkSession, path: str, *, lenient: bool = False) -> DataFrame:
     """Lines with their file and number in it; blank lines stay (and are violations) unless ``lenient``.
 
-    Numbers come from counts per split, so a file of any size is read in parallel.
+    A file of any size is read in parts.  A line's number is its place in its part and the lines of
+    the parts before it, which are counted by the byte where a part starts.
     """
-    at = F.monotonically_increasing_id()
-    # The id is the split's number and the row's place in it; splits of a file come in its order.
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), at.alias("_at"), F.col("value").alias("line"))
-    lines = lines.select("file", F.shiftright("_at", 33).alias("_split"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_row"), "line")
-    splits = lines.groupBy(F.col("file").alias("_file"), F.col("_split").alias("_of")).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = lines.join(splits.withColumn("_before", before), (F.col("file") == F.col("_file")) & (F.col("_split") == F.col("_of")))
-    lines = placed.select("file", (F.col("_row") - F.col("_first") + F.col("_before") + 1).cast("long").alias("source_line"), "line")
+    part = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    counts = spark.read.text(path).select(*part).groupBy("file", "start").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("file").alias("_file"), F.col("start").alias("_start"), before.alias("_before"))
+    lines = spark.read.text(path).select(*part, F.col("value").alias("line")).mapInArrow(_placed, "file string, start long, line string, place long")
+    placed = lines.join(counts, (F.col("file") == F.col("_file")) & (F.col("start") == F.col("_start")))
+    lines = placed.select("file", (F.col("place") + F.col("_before") + 1).alias("source_line"), "line")
     return lines.where(F.trim("line") != "") if lenient else lines
 
 
 def json_array(spark: SparkSession, path: str) -> DataFrame:
     """The items of each file's JSON array, or its one object, as lines; a file is one value and so one task's."""
     text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(json_items(F.col("value"))).alias("place", "line")).select((F.col("place") + 1).cast("long").alias("source_line"), "line")
+    items = json_items(F.col("value"))
+    whole = F.when(items.isNull(), F.raise_error(F.lit("a file is no strict JSON"))).otherwise(items)
+    return text.select(F.posexplode(whole).alias("place", "line")).select((F.col("place") + 1).cast("long").alias("source_line"), "line")
 
 
 def csv_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -143,13 +160,15 @@ def cases(lines: DataFrame, fields: dict[str, str] = CASE_FIELDS, max_line_bytes
 def outputs(lines: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Recorded outputs of one variant, and the violations: unknown fields or ids, repeats, status rules, costs.
 
-    Lines with a violation are no outputs, so their cases count as missing; of lines with one id the first is.
+    Lines with a violation are no outputs, so their cases count as missing; of lines with one id the first is,
+    by file and line.
     """
     read = lines.withColumn("r", read_json(F.col("line"), [f"/{n}" for n in OUTPUT_FIELDS])).withColumn("o", F.col("r.found"))
     at = {n: F.get("o", F.lit(i)) for i, n in enumerate(OUTPUT_FIELDS)}
     text = lambda n: json_string(at[n])
+    place = F.struct(F.col("file") if "file" in lines.columns else F.lit(""), F.col("source_line")).alias("place")
     cols = read.select(
-        "source_line", F.col("r.error").alias("malformed"), F.json_object_keys("r.canonical").alias("keys"), text("case_id").alias("case_id"), F.coalesce(text("status"), F.lit("ok")).alias("status"),
+        "source_line", place, F.col("r.error").alias("malformed"), F.json_object_keys("r.canonical").alias("keys"), text("case_id").alias("case_id"), F.coalesce(text("status"), F.lit("ok")).alias("status"),
         text("raw_output").alias("raw_output"), at["parsed_output"].alias("parsed_output"), F.get_json_object(at["error"], "$.kind").alias("error_kind"), at["error"].isNotNull().alias("has_error"),
         at["latency_ms"].try_cast("long").alias("latency_ms"), F.get_json_object(at["usage"], "$.input_tokens").try_cast("decimal(20,0)").alias("input_tokens"), F.get_json_object(at["usage"], "$.output_tokens").try_cast("decimal(20,0)").alias("output_tokens"),
         F.get_json_object(at["cost"], "$.amount").alias("cost_text"), F.get_json_object(at["cost"], "$.currency").alias("currency"), F.json_array_length(at["retries"]).alias("retries"), at["cost"].isNotNull().alias("has_cost"),
@@ -167,11 +186,11 @@ def outputs(lines: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     )))
     broken = cols.select("source_line", "case_id", F.explode("faults").alias("violation"))
     strangers = cols.where("case_id is not null").join(known.select(F.col("id").alias("case_id")), "case_id", "left_anti").select("source_line", "case_id", F.lit("unknown_id").alias("violation"))
-    repeated = cols.where("case_id is not null").groupBy("case_id").agg(F.min("source_line").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("case_id").alias("_again"), "first")
-    again = cols.join(repeated, F.col("case_id") == F.col("_again")).where(F.col("source_line") > F.col("first")).select("source_line", "case_id", F.lit("duplicate_id").alias("violation"))
+    repeated = cols.where("case_id is not null").groupBy("case_id").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("case_id").alias("_again"), "first")
+    again = cols.join(repeated, F.col("case_id") == F.col("_again")).where(F.col("place") > F.col("first")).select("source_line", "case_id", F.lit("duplicate_id").alias("violation"))
     valid = cols.where(F.size("faults") == 0).join(known.select(F.col("id").alias("case_id")), "case_id", "left_semi").join(repeated, F.col("case_id") == F.col("_again"), "left")
-    valid = valid.where(F.col("first").isNull() | (F.col("source_line") == F.col("first")))
-    kept = valid.withColumn("raw_output", F.coalesce("raw_output", "parsed_output")).drop("keys", "malformed", "has_error", "has_cost", "parsed_output", "faults", "_again", "first")
+    valid = valid.where(F.col("first").isNull() | (F.col("place") == F.col("first")))
+    kept = valid.withColumn("raw_output", F.coalesce("raw_output", "parsed_output")).drop("place", "keys", "malformed", "has_error", "has_cost", "parsed_output", "faults", "_again", "first")
     return kept, broken.union(strangers).union(again)
 
 

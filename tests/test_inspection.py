@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairwright.functions import schema as S
 from pairwright.functions.json import parse, scalars, structural_diff
 from pairwright.functions.text import truncated
-from pairwright.operators import evidence, outcomes, receipts, review
+from pairwright.operators import evidence, gate, outcomes, receipts, review
 from pairwright.plans import config, preflight
 from pairwright.plans.paired import Evaluation, reference_issues
 from pairwright.sources import records
@@ -138,6 +138,89 @@ def test_configured_runs(spark):
     assert {r.rule: r.status for r in made["gate"].collect()}["max_error_rate"] == "passed" and made["decision"].count() == 1
     with pytest.raises(ValueError, match="can't be judged"):
         config.run(cases.withColumn("expected", F.lit("{}")), good, half, config.loaded(json.dumps(text)))
-    for more in ({"version": 2}, {"what": 1}, {"gate": {"limits": {"nothing": 1}}}, {"gate": {"limits": {"max_error_rate": 2}}}, {"gate": {"release": True, "limits": {}}}, {"bootstrap": {"samples": 1}}, {"evidence_unit": {"pointer": "/x", "include": ["/y"]}}, {"schema": {"if": {}}}):
+    rule = lambda **more: {"evaluators": [{"id": "x", "kind": "exact", "pointers": ["/x"]} | more]}
+    for more in (
+        {"version": 2}, {"what": 1}, {"gate": {"limits": {"nothing": 1}}}, {"gate": {"limits": {"max_error_rate": 2}}}, {"gate": {"mode": "release", "limits": {}}}, {"bootstrap": {"samples": 1}},
+        {"evidence_unit": {"pointer": "/x", "include": ["/y"]}}, {"schema": {"if": {}}},
+        # Values of other types.
+        {"version": "1"}, {"bootstrap": {"samples": "100"}}, {"bootstrap": {"samples": 100.5}}, {"bootstrap": {"seed": -1}}, {"bootstrap": []}, {"gate": {"limits": {"min_cases": "5"}}}, {"gate": {"limits": []}}, {"gate": {"mode": True}},
+        {"evaluators": {}}, {"evaluators": [1]}, {"evaluators": [{"kind": "exact", "pointers": ["/x"]}]}, {"evaluators": [{"id": "x", "pointers": ["/x"]}]}, rule(id=1), rule(kind=["exact"]), rule(pointers="/x"), rule(pointers=[1]),
+        rule(expected=[None]), rule(options=[]), rule(kind="canonical_date", options={"formats": "iso"}), rule(kind="decimal", options={"absolute": []}), rule(kind="decimal", options={"absolute": "-1"}),
+        rule(kind="normalized_string", options={"case_insensitive": "yes"}), rule(kind="keyed_array", options={"keys": ["/a"], "fields": {}}), rule(kind="keyed_array", options={"keys": {"/a": "exact"}, "fields": {"/b": "exact"}}),
+        rule(kind="keyed_array", options={"keys": {"/a": "exact"}, "fields": {"/b": [1]}}), {"primary": "x"}, {"primary": [1]}, {"types": {"/x": 1}}, {"types": []}, {"schema": "x"}, {"schema_provenance": "guessed"}, {"outcome": 1},
+        {"evidence_unit": {"pointer": 1}}, {"evidence_unit": {"include": "/x"}}, {"evidence_unit": {"include": [1]}},
+    ):
         with pytest.raises(ValueError):
             config.loaded(json.dumps(text | more))
+    for wrong in ("", "[]", "{", '{"version": 1}', '{"version": 1, "evaluators": []}'):
+        with pytest.raises(ValueError):
+            config.loaded(wrong)
+
+
+def test_modes_of_a_gate():
+    """Regression gates need safeguards and a relative rule; release gates keep to the safe profile and have their own schema."""
+    plan = Evaluation((("x", "/x", "exact"),), schema='{"required":["x"]}')
+    made = lambda mode, limits, **more: config.Config(more.pop("plan", plan), limits, mode, **more)
+    guards = {k: gate.PROFILE[k] for k in gate.SAFEGUARDS}
+    assert len(guards) == 7
+    with pytest.raises(ValueError, match="needs one of"):
+        made("regression", guards)
+    for name in gate.RELATIVE:
+        assert made("regression", guards | {name: 1.0}).mode == "regression"
+    for name in guards:
+        with pytest.raises(ValueError, match=name):
+            made("regression", {k: v for k, v in guards.items() if k != name} | {"max_primary_regression_pp": 1.0})
+    assert made("regression", dict.fromkeys(guards, 0) | {"max_primary_regression_pp": 100.0}).limits["min_cases"] == 0
+    assert made("advisory", {}).mode == "advisory" and made("release", gate.PROFILE).mode == "release"
+    assert made("release", gate.PROFILE | {"min_cases": 5000, "max_deployment_regression_pp": 0}).mode == "release"
+    with pytest.raises(ValueError, match="safe release profile"):  # no floor under the candidate
+        made("release", guards | {"max_deployment_regression_pp": 1.0})
+    vacuous = {k: (1 if k.endswith("cases") else 0) if k.startswith("min") else 100 if k.endswith("pp") else 1 for k in gate.PROFILE}
+    with pytest.raises(ValueError, match="safe release profile"):
+        made("release", vacuous)
+    for name, bound in gate.PROFILE.items():
+        for limits in ({k: v for k, v in gate.PROFILE.items() if k != name}, gate.PROFILE | {name: bound * 0.9 if name.startswith("min") else bound + 0.01}):
+            with pytest.raises(ValueError, match=name):
+                made("release", limits)
+    with pytest.raises(ValueError, match="own schema"):
+        made("release", gate.PROFILE, inferred=True)
+    with pytest.raises(ValueError, match="own schema"):
+        made("release", gate.PROFILE, plan=Evaluation((("x", "/x", "exact"),)))
+    for limits in ({"min_cases": float("nan")}, {"min_cases": float("inf")}, {"min_cases": True}, {"min_cases": -1}, {"max_error_rate": 1.01}):
+        with pytest.raises(ValueError, match="out of range"):
+            made("advisory", limits)
+
+
+def test_ids_that_a_run_refuses(spark):
+    text = {"version": 1, "evaluators": [{"id": "x", "kind": "exact", "pointers": ["/x"]}]}
+    cases = spark.createDataFrame([("a", "1", '{"x":1}'), ("b", "2", '{"x":2}')], "id string, input string, expected string")
+    outs = lambda *ids: spark.createDataFrame([(i, "ok", None, '{"x":1}') for i in ids], "case_id string, status string, error_kind string, raw_output string")
+    found = lambda c, b, o: sorted(map(tuple, config.id_faults(c, {"baseline": b, "candidate": o}).collect()), key=str)
+    assert found(cases, outs("a"), outs("b", "a")) == [] and found(cases, outs(), outs()) == []
+    assert found(cases, outs("a", "a"), outs("z", None)) == [("a", "baseline", "repeated"), ("z", "candidate", "unknown"), (None, "candidate", "null")]
+    assert found(cases.union(cases.limit(1)), outs("z", "z"), outs()) == [("a", "cases", "repeated"), ("z", "baseline", "repeated"), ("z", "baseline", "unknown")]
+    for wrong in ((cases, outs("a", "a"), outs("b")), (cases, outs("a"), outs("z")), (cases.union(cases), outs("a"), outs("b"))):
+        with pytest.raises(ValueError, match="ids that can't be taken"):
+            config.run(*wrong, config.loaded(json.dumps(text)))
+
+
+def test_outputs_of_several_files(spark, tmp_path):
+    """One id on the same line of two files: the first by file stays, the other is told."""
+    for name, value in (("a", 1), ("b", 2)):
+        (tmp_path / f"{name}.jsonl").write_text(f'{{"case_id":"x","raw_output":"{value}"}}\n{{"case_id":"{name}","raw_output":"3"}}\n')
+    known = spark.createDataFrame([("x",), ("a",), ("b",)], "id string")
+    kept, broken = records.outputs(records.json_lines(spark, str(tmp_path)), known)
+    assert sorted((r.case_id, r.raw_output) for r in kept.collect()) == [("a", "3"), ("b", "3"), ("x", "1")]
+    assert [(r.source_line, r.case_id, r.violation) for r in broken.collect()] == [(1, "x", "duplicate_id")]
+
+
+def test_digests_of_lists_that_read_alike(spark):
+    df = spark.createDataFrame([("a\0vb", "c"), ("a", "b\0vc"), ("a1:b", ""), ("a", "b"), (None, "n"), ("n", None), ("", None), (None, "")], "x string, y string")
+    assert df.select(evidence.digest(F.col("x"), F.col("y")).alias("d")).distinct().count() == 8
+
+
+def test_malformed_texts_don_t_stop_a_job(spark):
+    from pairwright.functions.json import diff, json_items, redact
+
+    assert one(spark, diff, "{", "1") is None and one(spark, diff, None, "1") == [] and one(spark, lambda c: redact(c, ["/a"]), '{"a":1') is None
+    assert one(spark, json_items, "[1,") is None and one(spark, json_items, None) is None and one(spark, json_items, "[1, 2]") == ["1", "2"]

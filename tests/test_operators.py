@@ -102,7 +102,13 @@ def test_gate(spark):
         r = gate.decision(found, release=release).first()
         return r.decision, r.deployment_authorized
 
-    assert decide(good) == ("passed", True) and decide(good, release=False) == ("passed", False)
+    assert decide(good) == ("passed", False)  # lax limits authorise nothing, whatever passes
+    safe = {"candidate_deployment_rate": 1.0, "candidate_parse_rate": 1.0, "candidate_schema_rate": 1.0}
+    assert decide(good | safe, gate.PROFILE) == ("passed", True) and decide(good | safe, gate.PROFILE, release=False) == ("passed", False)
+    for name, bound in gate.PROFILE.items():
+        laxer = gate.PROFILE | {name: bound * 0.99 if name.startswith("min") else bound + 0.001}
+        assert gate.lax(laxer) == [name] and gate.lax({k: v for k, v in gate.PROFILE.items() if k != name}) == [name]
+        assert decide(good | safe, laxer) == ("passed", False), name
     assert decide(good | {"effective_units": 5.0}) == ("insufficient_evidence", False)
     assert decide(good, {"min_candidate_primary_success_rate": 0.95}) == ("failed", False)
     assert decide(good | {"effective_units": 5.0}, {"min_candidate_primary_success_rate": 0.95})[0] == "insufficient_evidence"
