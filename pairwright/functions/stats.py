@@ -50,17 +50,51 @@ def mcnemar(losses: Column, wins: Column) -> Column:
     return F.udf(p_of, "double", useArrow=True)(losses.cast("long"), wins.cast("long"))
 
 
+#: Parts that a group's values are dealt to by size before any are ordered: of a doubling, and of what lies between the ends of one part.
+FINE, PARTS = 64, 1024
+
+
+def part_of(value: Column, low: Column, high: Column, parts: int = PARTS) -> Column:
+    """Which of ``parts`` equal stretches from ``low`` to ``high`` a number lies in; larger numbers lie in no earlier one."""
+    x, lo, hi = (c.cast("double") for c in (value, low, high))
+    return F.coalesce(F.floor(F.try_divide(x - lo, hi - lo) * (parts - 1)), F.lit(0)).cast("int")
+
+
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, float]) -> DataFrame:
     """Per group, the sorted values at places ceil((n - 1) q), which round up where ``percentile_disc`` does not.
 
-    Rows are first counted by value, so what is ordered in a group is its distinct values
-    (whole milliseconds, say), and no group's rows meet in one task.
+    Rows are first counted by value.  Values lie in parts by their logarithm, and only these parts'
+    counts are summed in order; the part that holds a place is cut into equal stretches, and only
+    the values of the stretch that holds it are ordered.  So no group is ordered in one task, nor
+    are its distinct values, however many they are.
     """
+    x = F.col(value).cast("double")
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    group = Window.partitionBy(*keys)
-    upto = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = counts.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(group))
-    return placed.groupBy(*keys).agg(*(F.min(F.when(F.col("_upto") > F.ceil((F.col("_all") - 1) * F.lit(q)), F.col(value))).alias(name) for name, q in ranks.items()))
+    counts = counts.withColumn("_part", (F.signum(x) * F.floor(FINE * F.log2(1 + F.abs(x)))).cast("int"))
+
+    def holding(sums: DataFrame, groups: list[str], order: str, place: Column) -> DataFrame:
+        """Of each group the row in which a place lies, and which place of that row it is."""
+        upto = F.sum("_n").over(Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        found = sums.withColumn("_upto", upto).withColumn("_at", place)
+        return found.where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_n") <= F.col("_at"))).withColumn("_at", F.col("_at") - F.col("_upto") + F.col("_n")).drop("_upto")
+
+    def inside(found: DataFrame, *more: str) -> DataFrame:
+        """The counted values of the parts that were found, with what is known of the parts."""
+        other = found.select(*(F.col(k).alias(f"_of_{k}") for k in (*keys, "_part")), "_name", "_at", *more)
+        same = F.lit(True)
+        for k in (*keys, "_part"):
+            same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+        return counts.join(other, same).drop(*(f"_of_{k}" for k in (*keys, "_part"))).withColumn("_stretch", part_of(F.col(value), F.col("_low"), F.col("_high")))
+
+    sums = counts.groupBy(*keys, "_part").agg(F.sum("_n").alias("_n"), F.min(x).alias("_low"), F.max(x).alias("_high"))
+    named = F.explode(F.array(*(F.struct(F.lit(name).alias("_name"), F.lit(q).alias("_q")) for name, q in ranks.items()))).alias("_r")
+    sums = sums.withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys))).select("*", named).select(*sums.columns, "_all", "_r._name", "_r._q")
+    parts = holding(sums, [*keys, "_name"], "_part", F.ceil((F.col("_all") - 1) * F.col("_q")))
+    groups = [*keys, "_name"]
+    stretches = inside(parts, "_low", "_high").groupBy(*groups, "_part", "_low", "_high", "_at", "_stretch").agg(F.sum("_n").alias("_n"))
+    stretch = holding(stretches.withColumnRenamed("_at", "_place"), groups, "_stretch", F.col("_place")).withColumnRenamed("_stretch", "_wanted")
+    found = holding(inside(stretch, "_low", "_high", "_wanted").where("_stretch = _wanted").withColumnRenamed("_at", "_place"), groups, value, F.col("_place"))
+    return found.groupBy(*keys).agg(*(F.min(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in ranks))
 
 
 def bootstrap(both: int, losses: int, wins: int, neither: int, samples: int, confidence: float, seed: int) -> tuple[float, float] | None:

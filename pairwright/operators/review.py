@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pairwright.functions.json import diff, read_json
+from pairwright.functions.stats import part_of
 from pairwright.functions.text import truncated
 from pairwright.operators.pairing import transition
 
@@ -92,9 +93,22 @@ def pin_history(history: DataFrame) -> DataFrame:
 
 
 def within_budget(logs: DataFrame, order: str, size: Column, budget: int, run: str = "run_id") -> DataFrame:
-    """Log entries with what is left of their run's byte budget, in order."""
-    before = F.coalesce(F.sum(size).over(Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return logs.withColumn("remaining", F.greatest(F.lit(0), F.lit(budget) - before)).withColumn("kept_bytes", F.least(size, F.col("remaining")))
+    """Log entries with what is left of their run's byte budget, in order; ``order`` is a number or a time.
+
+    A run's entries are dealt to stretches of its order, whose sizes are summed in order; entries
+    are ordered within their stretch alone, so no run's entries meet in one task.
+    """
+    at = F.col(order).cast("double")
+    ends = logs.groupBy(run).agg(F.min(at).alias("_low"), F.max(at).alias("_high")).withColumnRenamed(run, "_run")
+    dealt = logs.withColumn("_size", size).join(ends, F.col(run).eqNullSafe(F.col("_run"))).drop("_run")
+    dealt = dealt.withColumn("_stretch", part_of(F.col(order), F.col("_low"), F.col("_high"))).drop("_low", "_high")
+    sums = dealt.groupBy(run, "_stretch").agg(F.sum("_size").alias("_sum"))
+    earlier = lambda keys, by, what: F.coalesce(F.sum(what).over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(F.col(run).alias("_run"), F.col("_stretch").alias("_of"), earlier([run], "_stretch", "_sum").alias("_earlier"))
+    whole = dealt.join(sums, F.col(run).eqNullSafe(F.col("_run")) & (F.col("_stretch") == F.col("_of")))
+    before = F.col("_earlier") + earlier([run, "_stretch"], order, "_size")
+    kept = whole.withColumn("remaining", F.greatest(F.lit(0), F.lit(budget) - before)).withColumn("kept_bytes", F.least("_size", "remaining"))
+    return kept.drop("_size", "_stretch", "_run", "_of", "_earlier")
 
 
 def replayed(stored: DataFrame, again: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 from itertools import product
 
 import pytest
@@ -91,6 +92,37 @@ def test_nearest_rank_rounds_up(spark):
     assert (r.p95, r.median) == (20, 11)
 
 
+def test_nearest_rank_of_any_numbers(spark):
+    """Long tails, ties, negative and tiny numbers, decimals, null groups: as sorting each group would have it."""
+    r = random.Random(4)
+    draws = {
+        "tail": lambda: round(r.paretovariate(0.3), 6), "ties": lambda: float(r.choice([1, 1, 1, 2, 7])), "signs": lambda: r.gauss(0, 1e6), "tiny": lambda: r.random() * 1e-9, "one": lambda: 5.0, None: lambda: float(r.randrange(50)),
+        "wide": lambda: r.choice([-1, 1]) * 10.0 ** r.randrange(-300, 300), "zeros": lambda: r.choice([0.0, 0.0, -3.5]),
+    }
+    rows = [(g, draw()) for g, draw in draws.items() for _ in range(r.choice([1, 2, 350]) if g != "tail" else 3000)] + [("gone", None), ("tail", None)]
+    ranks = {"low": 0.0, "median": 0.5, "p95": 0.95, "top": 1.0, "third": 1 / 3}
+    got = {x.g: x for x in stats.nearest_rank(spark.createDataFrame(rows, "g string, v double").repartition(5), ["g"], "v", ranks).collect()}
+    assert set(got) == set(draws)
+    for g in draws:
+        values = sorted(v for k, v in rows if k == g and v is not None)
+        for name, q in ranks.items():
+            assert got[g][name] == values[math.ceil((len(values) - 1) * q)], (g, name)
+    cents = spark.createDataFrame([(i % 97,) for i in range(500)], "c int").select((F.col("c") / 8).cast("decimal(20,6)").alias("v"))
+    assert str(stats.nearest_rank(cents, [], "v", {"median": 0.5}).first().median) == "5.875000"
+    assert stats.nearest_rank(cents.limit(0), [], "v", {"median": 0.5}).first().median is None
+
+
+def test_no_stretch_holds_a_group(spark):
+    """A hot group of distinct values: what is ordered at the end is a small share of it."""
+    for values in (F.col("id").cast("double"), F.exp(F.col("id") / 5000), F.rand(3) * 1e-6):
+        x = spark.range(50_000).select(values.alias("v"))
+        part = (F.floor(stats.FINE * F.log2(1 + F.abs("v")))).cast("int")
+        parts = x.groupBy(part.alias("p")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+        joined = x.withColumn("p", part).join(parts, "p")
+        most = joined.groupBy("p", stats.part_of(F.col("v"), F.col("lo"), F.col("hi"))).count().agg(F.max("count")).first()[0]
+        assert most < 200
+
+
 def test_bootstrap():
     low, high = stats.bootstrap(15, 3, 9, 22, 4000, 0.95, 1)
     assert low == stats.bootstrap(15, 3, 9, 22, 4000, 0.95, 1)[0] and -4 < low < 2 and 20 < high < 30

@@ -1,5 +1,6 @@
 """Truth tables and small runs for evaluators, outcomes, evidence, the gate and reviews."""
 
+import random
 from decimal import Decimal
 
 import pytest
@@ -235,3 +236,19 @@ def test_gate_inputs_are_computed(spark):
     empty = found(df.limit(0), samples=500).first()
     assert (empty.effective_units, empty.primary_regression_pp, empty.deployment_regression_bound_pp) == (0, None, None)
     assert found(df).first().primary_regression_bound_pp is None
+
+
+def test_budgets_in_order(spark):
+    """What is left of a run's budget, as adding up in order would have it; runs of one, gaps, ties of sizes, null runs."""
+    r = random.Random(2)
+    rows = [(run, at, r.randrange(0, 30)) for run, n, step in (("a", 400, 1), ("b", 1, 1), (None, 50, 10**9), ("c", 300, 3)) for at in r.sample(range(0, n * step + 1, step), n)] + [("c", 10**15, 5)]
+    df = spark.createDataFrame(rows, "run_id string, at long, bytes long").repartition(4)
+    got = {(x.run_id, x.at): (x.remaining, x.kept_bytes) for x in review.within_budget(df, "at", F.col("bytes"), 2000).collect()}
+    assert len(got) == len(rows)
+    spent = {}
+    for run, at, size in sorted(rows, key=lambda x: (str(x[0]), x[1])):
+        left = max(0, 2000 - spent.get(run, 0))
+        assert got[run, at] == (left, min(size, left)), (run, at)
+        spent[run] = spent.get(run, 0) + size
+    times = df.select("run_id", F.timestamp_seconds("at").alias("at"), "bytes")
+    assert review.within_budget(times, "at", F.col("bytes"), 2000).agg(F.sum("kept_bytes")).first()[0] == sum(k for _, k in got.values())
