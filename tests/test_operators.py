@@ -250,5 +250,5 @@ def test_budgets_in_order(spark):
         left = max(0, 2000 - spent.get(run, 0))
         assert got[run, at] == (left, min(size, left)), (run, at)
         spent[run] = spent.get(run, 0) + size
-    times = df.select("run_id", F.timestamp_seconds("at").alias("at"), "bytes")
+    times = df.select("run_id", F.timestamp_micros("at").alias("at"), "bytes")
     assert review.within_budget(times, "at", F.col("bytes"), 2000).agg(F.sum("kept_bytes")).first()[0] == sum(k for _, k in got.values())
