@@ -11,6 +11,7 @@ from pairwright.operators import evidence, gate, outcomes, pairing, receipts, re
 from pairwright.plans import config, preflight
 from pairwright.plans.paired import ORDERS, Evaluation, evaluate_all, first_failure, order_cases, order_evaluations, order_outputs, order_pairs, table
 from pairwright.sources import records
+from pairwright.sources.scratch import shared_path
 
 QUERIES: dict = {}
 
@@ -149,9 +150,7 @@ def _foreign_lines(spark: SparkSession, d: str) -> DataFrame:
 def csv_typed_cells(spark: SparkSession, d: str) -> DataFrame:
     """Cells of a file by their types: numbers, truth values, objects; quoted JSON strings and padded numbers stay texts."""
     from pairwright.functions.json import json_type
-    from pairwright.plans.queries import _scratch
-
-    e, path = table(spark, d, "events"), _scratch(spark, "typed")
+    e, path = table(spark, d, "events"), shared_path(spark, "typed")
     cells = {"id": F.lpad(F.col("event_id").cast("string"), 8, "0"), "n": F.col("event_id").cast("string"), "yes": (F.col("event_id") % 2 == 0).cast("string"), "props": F.col("props"), "said": F.concat(F.lit('"'), "event_type", F.lit('"'))}
     e.select(*(c.alias(n) for n, c in cells.items())).write.option("header", True).option("escape", '"').csv(path)
     return records.typed_cells(spark, path).groupBy(*(json_type(F.col(n)).alias(n) for n in cells)).agg(F.count("*").alias("rows"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.json import json_string, scalars
+from pairwright.functions.subtrees import held, subtrees
 from pairwright.operators import evidence, review
 from pairwright.plans.paired import Evaluation, reference_issues
 
@@ -23,6 +24,13 @@ def leaks(cases: DataFrame) -> DataFrame:
     return rows.drop("_gold", "_seen")
 
 
+def held_values(cases: DataFrame) -> DataFrame:
+    """Cases with ``held``: pointers of the reference's values, objects and arrays too, that stand anywhere in what the evaluated system sees."""
+    seen = F.concat(*(subtrees(F.col(c)) for c in ("input", "model_visible_metadata") if c in cases.columns))
+    rows = cases.withColumns({"_gold": subtrees(F.col("expected")), "_seen": seen})
+    return rows.withColumn("held", held(F.col("_gold"), F.col("_seen"))).drop("_gold", "_seen")
+
+
 def doctor(cases: DataFrame, plan: Evaluation, *, strict: bool = False, pointer: str | None = None, include: tuple[str, ...] = evidence.INCLUDE) -> DataFrame:
     """One row per check: whether it passed, whether it has to, and how many cases stand against it.
 

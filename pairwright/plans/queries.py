@@ -12,10 +12,11 @@ from pairwright.functions.json import json_type, read_json
 from pairwright.operators import evaluators as E
 from pairwright.operators import evidence, gate, pairing, profile, review, summary
 from pairwright.plans.paired import ORDERS, Evaluation, Rule, evaluate, evaluate_all, judged, order_cases, order_evaluations, order_outputs, order_pairs, reference_issues, table
-from pairwright.plans import inspection
+from pairwright.plans import inspection, reuse
 from pairwright.sources import records
+from pairwright.sources.scratch import shared_path
 
-QUERIES: dict = dict(inspection.QUERIES)
+QUERIES: dict = inspection.QUERIES | reuse.QUERIES
 
 
 def query(f):
@@ -647,21 +648,13 @@ def schema_warnings(spark: SparkSession, d: str) -> DataFrame:
 # Sources
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query
 def jsonl_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Cases written as JSON lines and read back through the strict scan, with planted faults."""
     o = order_cases(spark, d)
     line = F.to_json(F.struct("id", F.struct("k").alias("input"), F.from_json("expected", "priority string, status string, cents long").alias("expected")))
     line = F.when(F.col("k") % 500 == 0, "").when(F.col("k") % 501 == 0, "{bad").when(F.col("k") % 502 == 0, '{"id":" ","input":1}').when(F.col("k") % 503 == 0, '{"id":"1","input":1}').otherwise(line)
-    path = _scratch(spark, "cases")
+    path = shared_path(spark, "cases")
     o.select(line.alias("value")).write.text(path)
     _, violations = records.cases(records.json_lines(spark, path))
     return violations.groupBy("violation").agg(F.count("*").alias("n"))
@@ -684,7 +677,7 @@ def output_violations(spark: SparkSession, d: str) -> DataFrame:
 @query
 def csv_ingest(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    path = _scratch(spark, "csv")
+    path = shared_path(spark, "csv")
     e.select(F.lpad(F.col("event_id").cast("string"), 8, "0").alias("id"), "props", "event_type").write.option("header", True).option("escape", '"').csv(path)
     rows = records.csv_cells(spark, path)
     return rows.groupBy(json_type(F.col("id")).alias("id_type"), json_type(F.col("props")).alias("props_type"), json_type(F.col("event_type")).alias("event_type")).agg(F.count("*").alias("n"))
