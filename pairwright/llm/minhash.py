@@ -23,6 +23,8 @@ from pairwright.llm.ids import ordered, restored
 from pairwright.llm.scratch import trimmed, written
 
 SHINGLE = 5
+#: Rows that a copy's removal is sent to all executors with, at most: an id and a hash each, some 50 MB.
+SENT_ROWS = 2_000_000
 #: Bands and hashes in each: of pairs at 0.85, less than one in a million meets in no band.
 BANDS, ROWS = 20, 4
 #: Pairs whose signatures agree this much less than the threshold, more than five standard errors, are ruled out.
@@ -293,4 +295,6 @@ def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     known, names = ordered(docs.select(id_col, text_col), id_col)
     gone = restored(_placed(known, id_col, text_col, percent).where("not first").select("doc_id", "text_hash"), names, "doc_id")
     gone = written(gone, "gone")
+    if gone.count() <= SENT_ROWS:  # else Spark joins by shuffling both sides
+        gone = F.broadcast(gone)
     return docs.join(gone, (docs[id_col] == gone["doc_id"]) & (F.xxhash64(docs[text_col]) == gone["text_hash"]), "left_anti")
