@@ -295,6 +295,6 @@ def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     known, names = ordered(docs.select(id_col, text_col), id_col)
     gone = restored(_placed(known, id_col, text_col, percent).where("not first").select("doc_id", "text_hash"), names, "doc_id")
     gone = written(gone, "gone")
-    if gone.count() <= SENT_ROWS:  # else Spark joins by shuffling both sides
+    if names is None and gone.count() <= SENT_ROWS:  # else, or where ids are texts of any length, Spark joins by shuffling both sides
         gone = F.broadcast(gone)
     return docs.join(gone, (docs[id_col] == gone["doc_id"]) & (F.xxhash64(docs[text_col]) == gone["text_hash"]), "left_anti")
