@@ -49,7 +49,7 @@ def paired(evaluations: DataFrame, key: str = "case_id") -> DataFrame:
     """
     columns = [c for c in evaluations.columns if c not in (key, "variant")]
     sides = ("baseline", "candidate")
-    found = evaluations.groupBy(key).agg(*(F.max(F.when(F.col("variant") == s, F.col(c))).alias(f"{s}.{c}") for s in sides for c in columns))
+    found = evaluations.groupBy(key).agg(*(F.max(F.when(F.col("variant") == s, F.col(f"`{c}`"))).alias(f"{s}.{c}") for s in sides for c in columns))
     return found.select(key, *(F.struct(*(F.col(f"`{s}.{c}`").alias(c) for c in columns)).alias(s) for s in sides))
 
 

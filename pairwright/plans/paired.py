@@ -139,6 +139,11 @@ def parsed_rule(text: str) -> tuple[str, str]:
     return pointer, kind
 
 
+def _named(name: str) -> Column:
+    """A column of any name; evaluators' ids may hold dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _references(plan: Evaluation) -> list[str]:
     return list(dict.fromkeys(p for r in plan.rules for p in r.reference))
 
@@ -221,7 +226,7 @@ def _scored(rows: DataFrame, plan: Evaluation) -> DataFrame:
 
     def state(r: Rule) -> Column:
         if r.kind == "external":
-            return F.coalesce(f"_given_{r.id}", F.lit(E.ERROR))
+            return F.coalesce(_named(f"_given_{r.id}"), F.lit(E.ERROR))
         return E.parsed_only(F.col("parse_valid"), KINDS[r.kind][0]([expected(p) for p in r.reference], [actual(p) for p in r.pointers], r.options))
 
     rows = rows.withColumns({f"{r.id}_state": state(r) for r in plan.rules})
@@ -238,7 +243,7 @@ def _scored(rows: DataFrame, plan: Evaluation) -> DataFrame:
 def judged(rows: DataFrame, plan: Evaluation) -> DataFrame:
     """Outcome and flags of rows from their evaluators' states."""
     combine = O.all_of if plan.outcome == "all_of" else O.any_of
-    rows = rows.withColumn("components", F.array(*(f"{i}_state" for i in plan.components)))
+    rows = rows.withColumn("components", F.array(*(_named(f"{i}_state") for i in plan.components)))
     rows = rows.withColumns({"truth": combine(F.col("components")), "any_truth": O.any_of(F.col("components")), "fully_evaluated": O.fully_evaluated(F.col("components"))})
     return rows.withColumns(O.case_flags(F.col("status"), F.col("schema_valid"), F.col("truth"), F.col("fully_evaluated")))
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwright.functions.schema import schema_errors
 from pairwright.functions.subtrees import contains
-from pairwright.operators import caseindex, review
-from pairwright.plans import incremental, preflight
+from pairwright.operators import caseindex, discovery, review
+from pairwright.plans import incremental, preflight, proposal
+from pairwright.plans.config import loaded
 from pairwright.plans.evaluations import EVALUATIONS
-from pairwright.plans.paired import ORDERS, order_cases, order_outputs, order_pairs, table
+from pairwright.plans.paired import ORDERS, evaluate_all, order_cases, order_outputs, order_pairs, table
 from pairwright.sources.scratch import shared_path, written
 
 QUERIES: dict = {}
@@ -98,3 +100,67 @@ def held_values(spark: SparkSession, d: str) -> DataFrame:
     rows = preflight.held_values(_nested_cases(spark, d))
     rows = rows.withColumn("whole", contains(F.col("input"), F.get_json_object("expected", "$.party")))
     return rows.select("k", F.explode("held").alias("pointer"), "whole")
+
+
+# Discovery over all rows
+
+
+def _order_documents(spark: SparkSession, d: str) -> DataFrame:
+    """An order's lines as a document: fields that only some have, types that differ, and arrays with members that repeat."""
+    li = table(spark, d, "lineitem")
+    by = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag"))).alias("lines"))
+    item = lambda x, i: F.struct(
+        (i + 1).alias("line"), F.concat(F.lit("p"), x["l_partkey"], F.lit("-"), i).alias("sku"), x["l_returnflag"].alias("flag"), F.when(i > 0, x["l_suppkey"]).alias("supplier"),
+        F.struct(x["l_quantity"].cast("int").alias("n")).alias("much"),
+    )
+    k = F.col("l_orderkey")
+    text = F.to_json(F.struct(k.alias("id"), F.when(k % 3 == 0, k).alias("third"), F.struct(F.when(k % 2 == 0, "even").alias("a*b")).alias("note"), F.transform("lines", item).alias("lines")))
+    mixed = F.when(k % 10 == 7, F.regexp_replace(text, '"id":([0-9]+)', '"id":"$1"')).when(k % 10 == 8, F.regexp_replace(text, '"id":([0-9]+)', '"id":$1.5')).otherwise(text)
+    return by.select(k.alias("k"), mixed.alias("doc"))
+
+
+_LINES = "WITH o AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1), t AS (SELECT count(*) AS docs, sum(n)::BIGINT AS lines, sum(n - 1)::BIGINT AS later, count(*) FILTER (WHERE k % 3 = 0) AS thirds, count(*) FILTER (WHERE k % 2 = 0) AS evens FROM o) "
+
+
+@query(_LINES + """SELECT x.* FROM t, LATERAL (VALUES ('', 'object', docs, NULL), ('/id', 'number,string', docs, true), ('/third', 'integer', thirds, false), ('/note', 'object', docs, true), ('/note/a~2b', 'string', evens, false),
+  ('/lines', 'array', docs, true), ('/lines/*', 'object', lines, NULL), ('/lines/*/line', 'integer', lines, true), ('/lines/*/sku', 'string', lines, true), ('/lines/*/flag', 'string', lines, true),
+  ('/lines/*/supplier', 'integer', later, false), ('/lines/*/much', 'object', lines, true), ('/lines/*/much/n', 'integer', lines, true)) AS x(place, types, n, required)""")
+def discovered_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every place of the orders' documents: its types, how often it is there, and whether all of its objects have it."""
+    found = discovery.places(_order_documents(spark, d), "doc")
+    return found.select("place", F.array_join(discovery.type_names(F.col("types")), ",").alias("types"), "n", "required")
+
+
+@query("SELECT count(DISTINCT l_orderkey) AS documents, 0::BIGINT AS refused, count(DISTINCT l_orderkey) AS refused_after_a_change FROM lineitem")
+def discovered_schema(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that their own schema refuses, and those that it refuses once a field has another type."""
+    docs = _order_documents(spark, d)
+    schema = discovery.discovered_schema(docs, "doc")
+    broken = lambda text: F.size(schema_errors(text, schema)) > 0
+    rows = docs.select(broken(F.col("doc")).alias("x"), broken(F.regexp_replace("doc", r'"lines":\[', '"lines":7,"more":[')).alias("y"))
+    return rows.agg(F.count("*").alias("documents"), F.count_if("x").alias("refused"), F.count_if("y").alias("refused_after_a_change"))
+
+
+@query("""WITH o AS (SELECT l_orderkey AS k, count(*) AS n, count(DISTINCT l_returnflag) AS f FROM lineitem GROUP BY 1), s AS (
+  SELECT k, count(*) = count(DISTINCT l_suppkey) AS u FROM (SELECT l_orderkey AS k, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag) AS i FROM lineitem) WHERE i > 1 GROUP BY 1
+), t AS (SELECT count(*) AS docs, count(*) FILTER (WHERE n > 1) AS several, count(*) FILTER (WHERE n = f) AS flags, count(*) FILTER (WHERE n > 2) AS more FROM o), v AS (SELECT count(*) AS has, count(*) FILTER (WHERE u) AS u FROM s)
+SELECT x.*, x.member = 'sku' AS chosen FROM t, v, LATERAL (VALUES ('line', docs, docs, docs, several), ('sku', docs, docs, docs, several), ('flag', docs, docs, flags, several), ('supplier', has, 0, u, more), ('much', docs, 0, docs, 0)) AS x(member, arrays, whole, "unique", several)""")
+def array_members(spark: SparkSession, d: str) -> DataFrame:
+    """Members of the lines' items, in how many arrays they are whole and tell items apart, and which is chosen as key."""
+    docs = _order_documents(spark, d)
+    members = discovery.array_members(docs, "doc")
+    keys = discovery.array_keys(members, discovery.places(docs, "doc"))
+    out = members.join(keys, "place", "left").select("member", "arrays", "whole", "unique", "several", F.coalesce(F.col("member") == F.col("key"), F.lit(False)).alias("chosen"))
+    return out
+
+
+@query("""WITH o AS (SELECT count(DISTINCT l_orderkey) AS n FROM lineitem)
+SELECT x.*, n AS passed FROM o, LATERAL (VALUES ('id', 'exact'), ('lines', 'keyed_array')) AS x(evaluator, kind)""")
+def proposed_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluators proposed for the orders' documents, and how many references each passes against themselves."""
+    cases = _order_documents(spark, d).select(F.col("k").cast("string").alias("id"), F.col("doc").alias("expected"))
+    plan = loaded(proposal.proposed(cases)).plan
+    out = cases.select(F.col("id").alias("case_id"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error_kind"), F.col("expected").alias("raw_output"))
+    e = evaluate_all(cases, {"baseline": out}, plan)
+    states = F.explode(F.array(*(F.struct(F.lit(r.id).alias("evaluator"), F.lit(r.kind).alias("kind"), F.col(f"`{r.id}_state`").alias("state")) for r in plan.rules)))
+    return e.select(states.alias("s")).groupBy("s.evaluator", "s.kind").agg(F.count_if(F.col("s.state") == "passed").alias("passed"))
