@@ -112,8 +112,19 @@ def _typed(value: object) -> tuple | None:
     return canonical(value), kind(value), None, None
 
 
-def read_values(text: Column, pointers: list[str]) -> Column:
-    """As ``read_json``, each found value in the forms that comparisons need, so that nothing is parsed again."""
+def _items(value: object, pointers: list[str]) -> list | None:
+    """Of an array of objects, each item's values at the pointers; None for anything else."""
+    if not isinstance(value, list) or not all(isinstance(x, dict) for x in value):
+        return None
+    return [[_typed(resolve(x, p)) for p in pointers] for x in value]
+
+
+def read_values(text: Column, pointers: list[str], items: list[tuple[str, list[str]]] | tuple = ()) -> Column:
+    """As ``read_json``, each found value in the forms that comparisons need, so that nothing is parsed again.
+
+    ``items`` names arrays by pointer, with pointers into their items: ``items`` of the result has the
+    items' values as ``records`` gives them, for each array named.
+    """
 
     def read(raw: str | None) -> tuple | None:
         if raw is None:
@@ -121,20 +132,17 @@ def read_values(text: Column, pointers: list[str]) -> Column:
         try:
             value = parse(raw.strip())
         except (ValueError, RecursionError) as e:
-            return str(e) or "malformed", None, None
-        return None, canonical(value), [_typed(resolve(value, p)) for p in pointers]
+            return str(e) or "malformed", None, None, None
+        return None, canonical(value), [_typed(resolve(value, p)) for p in pointers], [_items(resolve(value, p), inside) for p, inside in items]
 
-    return F.udf(read, f"struct<error:string,canonical:string,found:array<{VALUE}>>", useArrow=True)(text)
+    return F.udf(read, f"struct<error:string,canonical:string,found:array<{VALUE}>,items:array<array<array<{VALUE}>>>>", useArrow=True)(text)
 
 
 def records(text: Column, pointers: list[str]) -> Column:
     """Of a JSON array of objects, each item's values at the pointers; null for anything else."""
 
     def read(raw: str | None) -> list | None:
-        value = None if raw is None else parse(raw)
-        if not isinstance(value, list) or not all(isinstance(x, dict) for x in value):
-            return None
-        return [[_typed(resolve(x, p)) for p in pointers] for x in value]
+        return None if raw is None else _items(parse(raw), pointers)
 
     return F.udf(read, f"array<array<{VALUE}>>", useArrow=True)(text)
 

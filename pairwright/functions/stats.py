@@ -109,3 +109,9 @@ def bootstrap(both: int, losses: int, wins: int, neither: int, samples: int, con
     effects = 100.0 * (drawn[:, 1] - drawn[:, 0]) / n
     low, high = np.quantile(effects, [(1 - confidence) / 2, (1 + confidence) / 2])
     return float(low), float(high)
+
+
+def interval(counts: tuple[Column, Column, Column, Column], samples: int, confidence: float, seed: int) -> Column:
+    """``bootstrap`` of four counts (both, losses, wins, neither) as a struct of both ends; null over nothing.  One small row per group comes to a Python worker."""
+    drawn = F.udf(lambda *cells: None if None in cells else bootstrap(*cells, samples, confidence, seed), "struct<lower_pp:double,upper_pp:double>", useArrow=True)
+    return drawn(*(c.cast("long") for c in counts))

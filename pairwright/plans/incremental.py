@@ -9,9 +9,8 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.functions.json import read_values
 from pairwright.operators.evidence import digest
-from pairwright.plans.paired import Evaluation, _joined, _references, _scored
+from pairwright.plans.paired import Evaluation, _joined, _scored, read_references
 
 #: Bound to a stored evaluation's key, and raised whenever a plan would come to something else on the same texts.
 EDITION = 1
@@ -47,7 +46,7 @@ def evaluate_again(cases: DataFrame, outputs: dict[str, DataFrame], plan: Evalua
         kept = rows.withColumnRenamed("id", "case_id").join(known, "content")
     # A key's rows are scored once; cases that share it are joined to the result.
     once = fresh.select("content", "expected", "status", "raw_output").dropDuplicates(["content"]).withColumn("id", F.col("content"))
-    scored = _scored(once.withColumn("_e", read_values(F.col("expected"), _references(plan))["found"]), plan)
+    scored = _scored(read_references(once, plan), plan)
     results = [c for c in scored.columns if c not in ("case_id", "content", "expected", "status", "raw_output", "error_kind")]
     made = scored.select("content", *results)
     new = fresh.withColumnRenamed("id", "case_id").join(made, "content").withColumn("reused", F.lit(False))

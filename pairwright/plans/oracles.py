@@ -337,3 +337,7 @@ ORACLES |= {
 }
 
 ORACLES |= reuse.ORACLES
+
+ORACLES["bootstrap_interval"] = EVALUATIONS + """
+, m AS (SELECT custkey % 5 AS segment, count(*) AS n, count(*) FILTER (WHERE bd AND NOT cd) AS l, count(*) FILTER (WHERE NOT bd AND cd) AS w FROM pr GROUP BY 1)
+SELECT segment, round(100.0::DOUBLE * (w - l) / n, 9) AS difference_pp, round(100 * sqrt((w + l) / n::DOUBLE - pow((w - l) / n::DOUBLE, 2)) / sqrt(n), 9) AS standard_error_pp, true AS lower_pp, true AS upper_pp FROM m"""

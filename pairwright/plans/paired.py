@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.functions.json import parse, pointers_overlap, read_values, records
+from pairwright.functions.json import parse, pointers_overlap, read_values
 from pairwright.functions.schema import refused, schema_errors
 from pairwright.functions.text import DATE_FORMATS
 from pairwright.operators import evaluators as E
@@ -37,33 +37,51 @@ class Rule:
         return () if self.kind in ("required_fields", "financial_invariants", "external") else self.pointers if self.expected is None else self.expected
 
 
+#: How a comparison gets its values: at each of the rule's pointers, and the items of the array at one, of reference and output.
+Read = Callable[[str], Column]
+
+
+@dataclass(frozen=True)
+class Side:
+    """What a document gave: values by pointer, and items of arrays by pointer and what is read of them."""
+
+    value: Read
+    items: Callable[[str, tuple[str, ...]], Column]
+
+
 def _each(compare: Callable[..., Column]) -> Callable[..., Column]:
     """One comparison at every pointer; the worst counts."""
 
-    def state(e: list[Column], a: list[Column], options: Mapping) -> Column:
-        found = [compare(x, y, **options) for x, y in zip(e, a, strict=True)]
+    def state(rule: Rule, e: Side, a: Side) -> Column:
+        found = [compare(e.value(p), a.value(q), **rule.options) for p, q in zip(rule.reference, rule.pointers, strict=True)]
         return found[0] if len(found) == 1 else E.worst(*found)
 
     return state
 
 
-def _keyed(e: list[Column], a: list[Column], options: Mapping) -> Column:
-    inside = [*options["keys"], *options["fields"]]
-    found = E.keyed_records(records(e[0]["json"], inside), records(a[0]["json"], inside), tuple(options["keys"].values()), tuple((how, dict(more)) for how, more in options["fields"].values()))
+def _inside(rule: Rule) -> tuple[str, ...]:
+    """Pointers into the items of the rule's array."""
+    if rule.kind == "keyed_array":
+        return (*rule.options["keys"], *rule.options["fields"])
+    return tuple(rule.options.get("line", ("/quantity", "/unit_price", "/amount"))) if rule.kind == "financial_invariants" else ()
+
+
+def _keyed(rule: Rule, e: Side, a: Side) -> Column:
+    inside, o = _inside(rule), rule.options
+    found = E.keyed_records(e.items(rule.reference[0], inside), a.items(rule.pointers[0], inside), tuple(o["keys"].values()), tuple((how, dict(more)) for how, more in o["fields"].values()))
     return found["status"]
 
 
-def _financial(e: list[Column], a: list[Column], options: Mapping) -> Column:
-    line = list(options.get("line", ("/quantity", "/unit_price", "/amount")))
-    return E.financial_records(records(a[0]["json"], line), *a[1:], tolerance=options.get("tolerance", "0.00"))
+def _financial(rule: Rule, e: Side, a: Side) -> Column:
+    return E.financial_records(a.items(rule.pointers[0], _inside(rule)), *(a.value(p) for p in rule.pointers[1:]), tolerance=rule.options.get("tolerance", "0.00"))
 
 
-#: Kinds of evaluators that a plan can name, each from the values at its pointers, and the pointers each has.
+#: Kinds of evaluators that a plan can name, each from what both documents gave, and the pointers each has.
 KINDS: dict[str, tuple[Callable[..., Column], Callable[[int], bool]]] = {
     **{k: (_each(f), lambda n: n == 1) for k, f in E.COMPARISONS.items()},
     "enum_accuracy": (_each(E.same_json), lambda n: n == 1), "tool_selection": (_each(E.same_json), lambda n: n == 1),
     "tool_arguments": (_each(E.same_json), lambda n: n > 0), "pointers_exact": (_each(E.same_json), lambda n: n > 0),
-    "required_fields": (lambda e, a, options: E.required_fields(*(x["json"] for x in a)), lambda n: n > 0),
+    "required_fields": (lambda rule, e, a: E.required_fields(*(a.value(p)["json"] for p in rule.pointers)), lambda n: n > 0),
     "keyed_array": (_keyed, lambda n: n == 1), "financial_invariants": (_financial, lambda n: n == 4), "external": (None, lambda n: n == 0),
 }
 
@@ -152,6 +170,22 @@ def _pointers(plan: Evaluation) -> list[str]:
     return list(dict.fromkeys([p for r in plan.rules for p in r.pointers] + [p for p, _ in plan.types]))
 
 
+def _arrays(plan: Evaluation, of_reference: bool) -> list[tuple[str, tuple[str, ...]]]:
+    """Arrays whose items are read, of references or of outputs, and the pointers into them."""
+    at = [((r.reference if of_reference else r.pointers)[:1], _inside(r)) for r in plan.rules if _inside(r)]
+    return list(dict.fromkeys((p[0], inside) for p, inside in at if p))
+
+
+def read_references(cases: DataFrame, plan: Evaluation) -> DataFrame:
+    """Cases with what the plan reads of their references, as ``_e``."""
+    return cases.withColumn("_e", read_values(F.col("expected"), _references(plan), _arrays(plan, True)))
+
+
+def _side(column: str, pointers: list[str], arrays: list[tuple[str, tuple[str, ...]]]) -> Side:
+    value = lambda p: F.get(f"{column}.found", F.lit(pointers.index(p)))
+    return Side(value, lambda p, inside: F.get(f"{column}.items", F.lit(arrays.index((p, inside)))))
+
+
 def evaluate_all(cases: DataFrame, outputs: dict[str, DataFrame], plan: Evaluation, external: DataFrame | None = None) -> DataFrame:
     """One row per case and variant: state of the output, evaluators' states, outcome and flags.
 
@@ -162,8 +196,7 @@ def evaluate_all(cases: DataFrame, outputs: dict[str, DataFrame], plan: Evaluati
     """
     # A fixed number of partitions, as small cases would else be parsed in one task.
     dealt = cases.repartition(int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    known = dealt.withColumn("_e", read_values(F.col("expected"), _references(plan))["found"])
-    rows = _joined(known, outputs)
+    rows = _joined(read_references(dealt, plan), outputs)
     outside = [r.id for r in plan.rules if r.kind == "external"]
     if outside:
         if external is None:
@@ -198,13 +231,15 @@ def reference_issues(cases: DataFrame, plan: Evaluation) -> DataFrame:
     reference's, so the state is an error.  A case without a reference is one.  Evaluators that
     compare with none are left out.
     """
-    pointers = _references(plan)
-    at = lambda p: F.get("_e", F.lit(pointers.index(p)))
-    itself = lambda r: KINDS[r.kind][0]([at(p) for p in r.reference], [at(p) for p in r.reference], r.options)
+    side = _side("_e", _references(plan), _arrays(plan, True))
+
+    def itself(rule: Rule) -> Column:
+        return KINDS[rule.kind][0](replace(rule, pointers=rule.reference), side, side)
+
     found = [F.struct(F.lit(r.id).alias("evaluator"), F.when(itself(r) == E.PASSED, E.PASSED).otherwise(E.ERROR).alias("state")) for r in plan.rules if r.kind not in _ALONE]
     if not found:
         return cases.where(F.lit(False)).select("id", F.lit("").alias("evaluator"), F.lit("").alias("state"))
-    rows = cases.select("id", read_values(F.col("expected"), pointers)["found"].alias("_e"))
+    rows = read_references(cases.select("id", "expected"), plan)
     return rows.select("id", F.explode(F.array(*found)).alias("i")).select("id", "i.*").where("state <> 'passed'")
 
 
@@ -219,20 +254,20 @@ def evaluate(cases: DataFrame, outputs: DataFrame, variant: str, plan: Evaluatio
 
 
 def _scored(rows: DataFrame, plan: Evaluation) -> DataFrame:
-    references, pointers = _references(plan), _pointers(plan)
-    rows = rows.withColumn("_a", read_values(F.when(F.col("status") == "ok", F.col("raw_output")), pointers))
-    expected, actual = (lambda p: F.get("_e", F.lit(references.index(p)))), (lambda p: F.get("_a.found", F.lit(pointers.index(p))))
+    pointers, arrays = _pointers(plan), _arrays(plan, False)
+    rows = rows.withColumn("_a", read_values(F.when(F.col("status") == "ok", F.col("raw_output")), pointers, arrays))
+    expected, actual = _side("_e", _references(plan), _arrays(plan, True)), _side("_a", pointers, arrays)
     rows = rows.withColumn("parse_valid", F.coalesce((F.col("status") == "ok") & F.col("_a.error").isNull() & F.col("_a.canonical").isNotNull(), F.lit(False)))
 
     def state(r: Rule) -> Column:
         if r.kind == "external":
             return F.coalesce(_named(f"_given_{r.id}"), F.lit(E.ERROR))
-        return E.parsed_only(F.col("parse_valid"), KINDS[r.kind][0]([expected(p) for p in r.reference], [actual(p) for p in r.pointers], r.options))
+        return E.parsed_only(F.col("parse_valid"), KINDS[r.kind][0](r, expected, actual))
 
     rows = rows.withColumns({f"{r.id}_state": state(r) for r in plan.rules})
     typed = F.col("parse_valid")
     for p, kind in plan.types:
-        typed = typed & F.coalesce(actual(p)["type"] == kind, F.lit(False))
+        typed = typed & F.coalesce(actual.value(p)["type"] == kind, F.lit(False))
     if plan.schema is not None:
         rows = rows.withColumn("schema_errors", schema_errors(F.when(F.col("parse_valid"), F.col("raw_output")), plan.schema))
         typed = typed & F.coalesce(F.size("schema_errors") == 0, F.lit(False))

@@ -305,13 +305,14 @@ def mcnemar_exact(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
-    """Percentile intervals of both effects, drawn from the four counts of each, which alone come to the driver."""
-    rows = []
-    for verdict in ("semantic_success", "deployment_success"):
-        c = summary.paired_metrics(order_pairs(spark, d), verdict).first()
-        low, high = stats.bootstrap(c["both_pass"], c["baseline_only"], c["candidate_only"], c["both_fail"], 2000, 0.95, 7) or (None, None)
-        rows.append((verdict, c["difference_pp"], low, high))
-    return spark.createDataFrame(rows, "effect string, difference_pp double, lower_pp double, upper_pp double")
+    """Percentile intervals of the deployment effect by customer segment, and whether their ends lie within half a standard error of those that many samples tend to."""
+    p = order_pairs(spark, d).withColumn("segment", F.col("baseline.custkey") % 5)
+    m = p.groupBy("segment").agg(*stats.paired_counts(F.col("baseline.deployment_success"), F.col("candidate.deployment_success")))
+    m = m.withColumn("i", stats.interval(tuple(map(F.col, ("both_pass", "baseline_only", "candidate_only", "both_fail"))), 4000, 0.95, 7))
+    wins, losses, n = F.col("candidate_only"), F.col("baseline_only"), F.col("total")
+    error = 100 * F.sqrt((wins + losses) / n - F.pow((wins - losses) / n, 2)) / F.sqrt(n)
+    near = lambda end, side: (F.abs(F.col(f"i.{end}") - (F.col("difference_pp") + side * 1.959963985 * error)) <= error / 2).alias(end)
+    return m.select("segment", "difference_pp", F.round(error, 9).alias("standard_error_pp"), near("lower_pp", -1), near("upper_pp", 1))
 
 
 @query
