@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwright.functions.prompt import prompt
 from pairwright.functions.schema import schema_errors
 from pairwright.functions.subtrees import contains
-from pairwright.operators import caseindex, discovery, review
-from pairwright.plans import incremental, preflight, proposal
+from pairwright.operators import caseindex, discovery, provenance, review
+from pairwright.plans import config, incremental, preflight, proposal, retention
 from pairwright.plans.config import loaded
 from pairwright.plans.evaluations import EVALUATIONS
 from pairwright.plans.paired import ORDERS, evaluate_all, order_cases, order_outputs, order_pairs, table
+from pairwright.sources import pins, staged, store
 from pairwright.sources.scratch import shared_path, written
 
 QUERIES: dict = {}
@@ -164,3 +166,108 @@ def proposed_plan(spark: SparkSession, d: str) -> DataFrame:
     e = evaluate_all(cases, {"baseline": out}, plan)
     states = F.explode(F.array(*(F.struct(F.lit(r.id).alias("evaluator"), F.lit(r.kind).alias("kind"), F.col(f"`{r.id}_state`").alias("state")) for r in plan.rules)))
     return e.select(states.alias("s")).groupBy("s.evaluator", "s.kind").agg(F.count_if(F.col("s.state") == "passed").alias("passed"))
+
+
+# Prompts and settings
+
+TEMPLATE = "Order {{ input.k }} of {{input.party.name}}:\n{{ input.tags[1] }} ({{ model_visible_metadata.state }})"
+
+
+@query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 <> 0 THEN 'Order ' || o_orderkey || ' of c' || o_custkey || ':' || chr(10) || o_orderpriority || ' (' || CASE WHEN o_orderkey % 7 = 0 THEN 'null' ELSE '{"s":"' || o_orderstatus || '"}' END || ')' END AS prompt,
+  CASE WHEN o_orderkey % 9 = 0 THEN 'input/party/name' END AS undefined FROM orders""")
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts of all orders; where a name leads nowhere there is none."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    party = F.struct(F.when(k % 9 != 0, F.concat(F.lit("c"), F.col("o_custkey"))).alias("name"))
+    seen = F.when(k % 7 == 0, '{"state":null}').otherwise(F.to_json(F.struct(F.struct(F.col("o_orderstatus").alias("s")).alias("state"))))
+    cases = o.select(k.alias("k"), F.to_json(F.struct(k.alias("k"), party.alias("party"), F.array(F.lit("x"), "o_orderpriority").alias("tags"))).alias("input"), seen.alias("model_visible_metadata"))
+    made = cases.withColumn("p", prompt(TEMPLATE))
+    return made.select("k", F.col("p.text").alias("prompt"), F.col("p.undefined").alias("undefined"))
+
+
+def _customer_settings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A configuration per customer, and overrides that some have: of a value, of one that is the same, and of a new one."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    gate = F.struct(F.lit(100).alias("min_cases"), F.lit(0.5).alias("max_rate"))
+    base = c.select(k.alias("k"), F.to_json(F.struct(F.col("c_name").alias("project"), gate.alias("gate"), F.array(F.lit("a"), F.lit("b")).alias("tags"))).alias("text"))
+    more = F.when(k % 5 == 0, '{"gate":{"min_cases":200}}').when(k % 5 == 1, '{"gate":{"min_cases":100}}').when(k % 5 == 2, '{"seed":7,"tags":["a","c"]}')
+    return base, c.select(k.alias("k"), more.alias("text")).where("text is not null")
+
+
+@query("""SELECT source, pointer, sum(n)::BIGINT AS n FROM (
+  SELECT CASE WHEN c_custkey % 5 = 0 AND p = '/gate/min_cases' OR c_custkey % 5 = 2 AND p = '/tags/1' THEN 'override' ELSE 'configuration' END AS source, p AS pointer, 1 AS n FROM customer, (SELECT unnest(['/project', '/gate/min_cases', '/gate/max_rate', '/tags/0', '/tags/1']) AS p)
+  UNION ALL SELECT 'added', '/seed', 1 FROM customer WHERE c_custkey % 5 = 2) GROUP BY ALL""")
+def setting_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Where each setting comes from once overrides are laid over the configurations."""
+    base, more = _customer_settings(spark, d)
+    found = provenance.overridden(provenance.settings(base, "k", "text"), provenance.settings(more, "k", "text"), "k")
+    return found.groupBy("source", "pointer").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN '/gate/max_rate' ELSE '/gate/more' END AS pointer, CASE WHEN c_custkey % 4 = 0 THEN '0.6' ELSE '[]' END AS manifest, CASE WHEN c_custkey % 4 = 0 THEN '0.5' END AS configuration FROM customer WHERE c_custkey % 4 < 2""")
+def manifest_disagreements(spark: SparkSession, d: str) -> DataFrame:
+    """Settings of the gate in which manifests tell something else than their configurations; other differences don't count."""
+    base, _ = _customer_settings(spark, d)
+    k = F.col("k")
+    told = F.when(k % 4 == 0, F.replace("text", F.lit('"max_rate":0.5'), F.lit('"max_rate":0.6'))).when(k % 4 == 1, F.replace("text", F.lit('"max_rate":0.5'), F.lit('"max_rate":0.5,"more":[]'))).otherwise(F.replace("text", F.lit('"b"'), F.lit('"z"')))
+    return provenance.disagreements(provenance.settings(base.withColumn("text", told), "k", "text"), provenance.settings(base, "k", "text"), "k", ("/gate",))
+
+
+# Stored runs, saved cases, staged files, retained outputs
+
+
+@query(EVALUATIONS + """
+SELECT x.* FROM (SELECT count(*) AS n FROM o) t, LATERAL (VALUES ('cases', n), ('variants', 2), ('variant_outputs', 2 * n), ('evaluator_results', 6 * n), ('outcome_results', 2 * n), ('paired_results', 2), ('events', 4), ('evaluations', 2 * n), ('summary', 2), ('gate', 26)) AS x(relation, n_rows)""")
+def stored_relations(spark: SparkSession, d: str) -> DataFrame:
+    """A run from a configuration is stored; the rows of its relations as they are read again."""
+    made, cases, plan = _order_run(spark, d)
+    base = shared_path(spark, "runs")
+    store.write_run(base, "01", "test", store.relations(made, cases, plan))
+    out = None
+    for name in store.relations(made, cases, plan):
+        row = store.read_relation(spark, base, "01", name).agg(F.lit(name).alias("relation"), F.count("*").alias("n_rows")).select("relation", "n_rows")
+        out = row if out is None else out.union(row)
+    return out
+
+
+def _order_run(spark: SparkSession, d: str):
+    from pairwright.plans.inspection import CONFIG
+
+    cases = order_cases(spark, d).withColumn("input", F.to_json(F.struct("k")))
+    chosen = loaded(CONFIG)
+    return config.run(cases, order_outputs(spark, d, "baseline"), order_outputs(spark, d, "candidate"), chosen), cases, chosen.plan
+
+
+@query(EVALUATIONS + """
+, suite AS (SELECT CASE WHEN k % 10 = 9 THEN 'missing' WHEN c AND b THEN 'passing' WHEN c THEN 'fixed' WHEN b OR k % 3 = 0 THEN 'reintroduced' ELSE 'still_broken' END AS suite_status FROM pr)
+SELECT suite_status, count(*) AS n FROM suite GROUP BY 1""")
+def pin_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """All orders are saved cases as the baseline left them; a first run passes every third, the candidate's run lacks every tenth."""
+    base, p = shared_path(spark, "runs"), order_pairs(spark, d)
+    origin = p.select("case_id", F.lit("00").alias("run_id"), F.lit(None).cast("string").alias("note"), F.col("baseline.semantic_success").alias("origin_passed"))
+    pins.save(spark, base, origin)
+    pins.refresh(spark, base, "01", p.select("case_id", (F.col("baseline.k") % 3 == 0).alias("passes")))
+    pins.refresh(spark, base, "02", p.where(F.col("baseline.k") % 10 != 9).select("case_id", F.col("candidate.semantic_success").alias("passes")))
+    return pins.saved(spark, base)[0].groupBy("suite_status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(DISTINCT s) AS files, sum(n)::BIGINT AS lines, true AS intact FROM (SELECT coalesce(source, '?') AS s, count(*) AS n FROM documents GROUP BY 1)")
+def staged_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' ids written by source, staged by their digests, and loaded once they have been found to be the same."""
+    path = shared_path(spark, "staged")
+    docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("?")).alias("source"), F.col("doc_id").cast("string").alias("id"))
+    docs.repartition("source").write.partitionBy("source").text(path)
+    known = written(staged.parts(spark, path, size=1000).where("file like '%.txt'"), "parts")
+    same = staged.faults(spark, path, known, size=1000).where("file like '%.txt'").agg((F.count("*") == 0).alias("intact"))
+    files = staged.files(known).select(F.regexp_extract("file", "source=([^/]*)", 1).alias("s")).agg(F.countDistinct("s").alias("files"))
+    lines = spark.read.text(path).agg(F.count("*").alias("lines"))
+    return files.join(lines).join(same)
+
+
+@query(EVALUATIONS + "SELECT variant, truth, schema_valid, count(*) AS n, 0::BIGINT AS with_raw_text FROM f GROUP BY ALL")
+def retained_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluations from outputs of which only what is compared was kept, beside a secret that each text held."""
+    cases, out = order_cases(spark, d), {v: order_outputs(spark, d, v) for v in ("baseline", "candidate")}
+    secret = {v: df.withColumn("raw_output", F.regexp_replace("raw_output", r"^[{]", '{"secret":"s3cret",')) for v, df in out.items()}
+    e = retention.evaluated(cases, {v: retention.retained(df, ORDERS) for v, df in secret.items()}, ORDERS)
+    return e.groupBy("variant", "truth", "schema_valid").agg(F.count("*").alias("n"), F.count_if(F.contains("raw_output", F.lit("s3cret"))).alias("with_raw_text"))
