@@ -14,13 +14,16 @@ PART = 1 << 20
 
 
 def parts(spark: SparkSession, path: str, *, size: int = PART) -> DataFrame:
-    """Digest of every part of every file under a path: file (its path below ``path``), part, bytes and digest; an empty file has one part."""
+    """Digest of every part of every file under a path: file (its path below ``path``), part, bytes and digest.
+
+    A file of no bytes holds nothing, and isn't listed.
+    """
 
     def digested(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in them:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = memoryview(content.as_buffer())
-                cut = [data[at : at + size] for at in range(0, max(len(data), 1), size)]
+                cut = [data[at : at + size] for at in range(0, len(data), size)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(cut)), pa.array(range(len(cut)), pa.int32()), pa.array([len(c) for c in cut], pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for c in cut])], names=["file", "part", "bytes", "digest"]
                 )
