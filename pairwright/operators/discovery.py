@@ -152,3 +152,10 @@ def array_keys(members: DataFrame, found: DataFrame) -> DataFrame:
     rows = members.where(tells).join(arrays, F.col("place") == F.col("_place")).join(items, F.concat("place", F.lit("/*/"), "member") == F.col("_member")).where("_with = _items")
     order = F.struct(F.when(usual > 0, usual).otherwise(len(ITEM_KEYS) + 1).alias("usual"), F.col("member").alias("member"))
     return rows.groupBy("place").agg(F.min(order).alias("k")).select("place", F.col("k.member").alias("key"))
+
+
+def markdown(found: DataFrame) -> str:
+    """The places (of ``places``) as a table in Markdown, for a reader; at most MOST_PLACES rows come to the driver."""
+    shown = found.select("place", F.array_join(type_names(F.col("types")), ", ").alias("types"), "n", "of").orderBy("place").limit(MOST_PLACES)
+    rows = [f"| `{r['place'].replace('|', '&#124;') or '/'}` | {r['types']} | {r['n']} | {'' if r['of'] is None else r['of']} |" for r in shown.collect()]
+    return "\n".join(["| place | types | there | of |", "| --- | --- | --- | --- |", *rows])

@@ -101,6 +101,13 @@ def label_conflicts(rows: DataFrame, stimulus: Column, reference: Column) -> Dat
     return pairs.groupBy("unit").agg(F.count("*").alias("references"), F.sum("n").alias("rows")).where("references > 1")
 
 
+def conflicting_lines(rows: DataFrame, stimulus: Column, reference: Column, line: Column) -> DataFrame:
+    """Of stimuli with several references, the first line of the stimulus and the first of each other reference: what an error tells."""
+    seen = rows.select(stimulus.alias("unit"), reference.alias("reference"), line.alias("line")).groupBy("unit", "reference").agg(F.min("line").alias("line"))
+    first = seen.groupBy(F.col("unit").alias("_unit")).agg(F.min("line").alias("first_line"))
+    return seen.join(first, F.col("unit").eqNullSafe(F.col("_unit"))).where(F.col("line") > F.col("first_line")).select("unit", "first_line", "line")
+
+
 def collisions(rows: DataFrame, stimulus: Column) -> DataFrame:
     """One row: rows, distinct stimuli, and rows beyond the first of each."""
     by = rows.select(stimulus.alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))

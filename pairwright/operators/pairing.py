@@ -25,6 +25,11 @@ def unknown_outputs(cases: DataFrame, outputs: DataFrame, id_col: str = "id") ->
     return outputs.join(cases, outputs["case_id"] == cases[id_col], "left_anti")
 
 
+def label_blind(cases: DataFrame, id_col: str = "id") -> DataFrame:
+    """What an evaluated system may see of cases: their input and visible metadata, and no other column."""
+    return cases.select(id_col, *(c for c in ("input", "model_visible_metadata") if c in cases.columns))
+
+
 def coverage(ids: DataFrame, baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     """One row: ids that both have, that either lacks, and ids given twice."""
     seen = lambda df, name: df.groupBy(F.col("case_id").alias("id")).agg(F.count("*").alias(name))

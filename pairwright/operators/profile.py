@@ -64,9 +64,13 @@ def inspect_schema(schema: dict) -> list[tuple[str, str, bool]]:
             walk(part, at, active)
         if isinstance(node.get("items"), dict):
             walk(node["items"], f"{path}/*", active)
-        for group in ("allOf", "anyOf", "oneOf"):
-            for part in node.get(group, []):
-                walk(part, path, active)
+        for i, part in enumerate(node.get("prefixItems", [])):
+            found.append((f"{path}/{i}", part.get("type", "any") if isinstance(part.get("type", "any"), str) else "|".join(part["type"]), False))
+            walk(part, f"{path}/{i}", active)
+        # Fields that hold under a condition are fields, too, required or not only then.
+        conditional = [node[k] for k in ("if", "then", "else") if isinstance(node.get(k), dict)] + [x for x in node.get("dependentSchemas", {}).values() if isinstance(x, dict)]
+        for part in conditional + [x for group in ("allOf", "anyOf", "oneOf") for x in node.get(group, [])]:
+            walk(part, path, active)
 
     walk(schema, "", ())
     return found

@@ -201,5 +201,5 @@ def run(cases: DataFrame, baseline: DataFrame, candidate: DataFrame, config: Con
     rules = gate.rules(inputs, config.limits)
     return {
         "evaluations": e, "summary": summary.variant_summary(e), "operational": summary.operational_summary(e), "primary": summary.paired_metrics(p, "semantic_success"),
-        "deployment": summary.paired_metrics(p, "deployment_success"), "gate": rules, "decision": gate.decision(rules, release=config.mode == "release"),
+        "deployment": summary.paired_metrics(p, "deployment_success"), "inputs": inputs, "gate": rules, "decision": gate.decision(rules, release=config.mode == "release"),
     }

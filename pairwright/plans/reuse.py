@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from pairwright.functions.prompt import prompt
 from pairwright.functions.schema import schema_errors
 from pairwright.functions.subtrees import contains
-from pairwright.operators import caseindex, discovery, provenance, review
+from pairwright.operators import caseindex, discovery, gate, provenance, review
 from pairwright.plans import config, incremental, preflight, proposal, retention
 from pairwright.plans.config import loaded
 from pairwright.plans.evaluations import EVALUATIONS
+from pairwright.plans.inspection import CONFIG
 from pairwright.plans.paired import ORDERS, evaluate_all, order_cases, order_outputs, order_pairs, table
 from pairwright.sources import pins, staged, store
 from pairwright.sources.scratch import shared_path, written
@@ -231,8 +232,6 @@ def stored_relations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _order_run(spark: SparkSession, d: str):
-    from pairwright.plans.inspection import CONFIG
-
     cases = order_cases(spark, d).withColumn("input", F.to_json(F.struct("k")))
     chosen = loaded(CONFIG)
     return config.run(cases, order_outputs(spark, d, "baseline"), order_outputs(spark, d, "candidate"), chosen), cases, chosen.plan
@@ -271,3 +270,20 @@ def retained_replay(spark: SparkSession, d: str) -> DataFrame:
     secret = {v: df.withColumn("raw_output", F.regexp_replace("raw_output", r"^[{]", '{"secret":"s3cret",')) for v, df in out.items()}
     e = retention.evaluated(cases, {v: retention.retained(df, ORDERS) for v, df in secret.items()}, ORDERS)
     return e.groupBy("variant", "truth", "schema_valid").agg(F.count("*").alias("n"), F.count_if(F.contains("raw_output", F.lit("s3cret"))).alias("with_raw_text"))
+
+
+@query("""SELECT x.* FROM (SELECT count(*) > 0 AS filled FROM orders) t, LATERAL (VALUES ('not replayed', 'not_verified', 'EVIDENCE NOT VERIFIED'), ('replayed', 'verified', 'DO NOT DEPLOY'), ('replayed otherwise', 'replay_failed', 'REPLAY FAILED'), ('rewritten', 'modified', 'EVIDENCE MODIFIED')) AS x(run, integrity, title) WHERE filled""")
+def integrity_states(spark: SparkSession, d: str) -> DataFrame:
+    """A stored run's integrity and title: not replayed, replayed, replayed to other verdicts, and after its files were changed."""
+    made, cases, plan = _order_run(spark, d)
+    base, e = shared_path(spark, "runs"), made["evaluations"]
+    found = {name: df for name, df in store.relations(made, cases, plan).items() if name in ("evaluations", "gate")}
+    made["gate"] = gate.rules(made["inputs"], {"max_error_rate": 0.0001})
+    found["gate"] = made["gate"]
+    written_run = store.write_run(base, "01", "test", found)
+    other = e.withColumn("truth", F.when(F.col("case_id") == "5", "error").otherwise(F.col("truth")))
+    shown = lambda name, again: store.stored_decision(spark, base, "01", again=again).select(F.lit(name).alias("run"), "integrity", "title")
+    out = shown("not replayed", None).union(shown("replayed", e)).union(shown("replayed otherwise", other))
+    out = written(out, "states")
+    other.drop("expected", "raw_output").limit(10).write.mode("overwrite").parquet(written_run.tables["evaluations"][0])
+    return out.union(shown("rewritten", e))

@@ -157,7 +157,7 @@ def cases(lines: DataFrame, fields: dict[str, str] = CASE_FIELDS, max_line_bytes
     return valid.where(F.col("first").isNull() | (F.col("place") == F.col("first"))).select(*names, "source_line"), broken.union(again)
 
 
-def outputs(lines: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+def outputs(lines: DataFrame, known: DataFrame, max_line_bytes: int = 1 << 20, max_output_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """Recorded outputs of one variant, and the violations: unknown fields or ids, repeats, status rules, costs.
 
     Lines with a violation are no outputs, so their cases count as missing; of lines with one id the first is,
@@ -168,7 +168,7 @@ def outputs(lines: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = lambda n: json_string(at[n])
     place = F.struct(F.col("file") if "file" in lines.columns else F.lit(""), F.col("source_line")).alias("place")
     cols = read.select(
-        "source_line", place, F.col("r.error").alias("malformed"), F.json_object_keys("r.canonical").alias("keys"), text("case_id").alias("case_id"), F.coalesce(text("status"), F.lit("ok")).alias("status"),
+        "source_line", place, F.octet_length("line").alias("bytes"), F.col("r.error").alias("malformed"), F.json_object_keys("r.canonical").alias("keys"), text("case_id").alias("case_id"), F.coalesce(text("status"), F.lit("ok")).alias("status"),
         text("raw_output").alias("raw_output"), at["parsed_output"].alias("parsed_output"), F.get_json_object(at["error"], "$.kind").alias("error_kind"), at["error"].isNotNull().alias("has_error"),
         at["latency_ms"].try_cast("long").alias("latency_ms"), F.get_json_object(at["usage"], "$.input_tokens").try_cast("decimal(20,0)").alias("input_tokens"), F.get_json_object(at["usage"], "$.output_tokens").try_cast("decimal(20,0)").alias("output_tokens"),
         F.get_json_object(at["cost"], "$.amount").alias("cost_text"), F.get_json_object(at["cost"], "$.currency").alias("currency"), F.json_array_length(at["retries"]).alias("retries"), at["cost"].isNotNull().alias("has_cost"),
@@ -177,6 +177,7 @@ def outputs(lines: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     raw = read_json(F.col("raw_output"), [])["canonical"]
     rule = lambda name, when: F.when(when, F.lit(name))
     cols = cols.withColumn("faults", F.array_compact(F.array(
+        rule("line_too_long", F.col("bytes") > max_line_bytes), rule("output_too_long", F.greatest(F.octet_length("raw_output"), F.octet_length("parsed_output")) > max_output_bytes),
         rule("malformed_json", F.col("malformed").isNotNull()), rule("unknown_field", F.size(F.array_except("keys", F.array(*map(F.lit, OUTPUT_FIELDS)))) > 0),
         rule("blank_id", F.col("malformed").isNull() & (F.trim(F.coalesce("case_id", F.lit(""))) == "")), rule("bad_status", ~F.col("status").isin("ok", "error", "missing")),
         rule("ok_without_output", (F.col("status") == "ok") & F.col("malformed").isNull() & ~has_output), rule("ok_with_error", (F.col("status") == "ok") & F.col("has_error")),
@@ -190,7 +191,7 @@ def outputs(lines: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     again = cols.join(repeated, F.col("case_id") == F.col("_again")).where(F.col("place") > F.col("first")).select("source_line", "case_id", F.lit("duplicate_id").alias("violation"))
     valid = cols.where(F.size("faults") == 0).join(known.select(F.col("id").alias("case_id")), "case_id", "left_semi").join(repeated, F.col("case_id") == F.col("_again"), "left")
     valid = valid.where(F.col("first").isNull() | (F.col("place") == F.col("first")))
-    kept = valid.withColumn("raw_output", F.coalesce("raw_output", "parsed_output")).drop("place", "keys", "malformed", "has_error", "has_cost", "parsed_output", "faults", "_again", "first")
+    kept = valid.withColumn("raw_output", F.coalesce("raw_output", "parsed_output")).drop("place", "bytes", "keys", "malformed", "has_error", "has_cost", "parsed_output", "faults", "_again", "first")
     return kept, broken.union(strangers).union(again)
 
 

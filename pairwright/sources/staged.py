@@ -16,7 +16,7 @@ PART = 1 << 20
 def parts(spark: SparkSession, path: str, *, size: int = PART) -> DataFrame:
     """Digest of every part of every file under a path: file (its path below ``path``), part, bytes and digest.
 
-    A file of no bytes holds nothing, and isn't listed.
+    A file of no bytes holds nothing, and isn't listed.  A task reads a file whole, of 2 GB at most.
     """
 
     def digested(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -93,3 +93,29 @@ def test_retained_outputs_replay_alike(spark):
     assert json.loads(retention.manifest("sanitized", PLAN))["kept"][0] == "/flag"
     with pytest.raises(ValueError):
         retention.policy("some")
+
+
+def test_what_a_system_sees_and_an_error_tells(spark):
+    from pairwright.operators import discovery, evidence, pairing, profile
+
+    cases = spark.createDataFrame([("a", "1", "x", "{}", 1), ("b", "1", "y", "{}", 2), ("c", "1", "y", "{}", 3), ("d", "2", "x", "{}", 4)], "id string, input string, expected string, metadata string, source_line int").coalesce(1)
+    assert pairing.label_blind(cases).columns == ["id", "input"]
+    told = evidence.conflicting_lines(cases, F.col("input"), F.col("expected"), F.col("source_line")).collect()
+    assert [tuple(r) for r in told] == [("1", 1, 2)]
+    docs = spark.createDataFrame([('{"a|b":[1,"x"]}',), ("{}",)], "doc string")
+    assert discovery.markdown(discovery.places(docs, "doc")).split("\n")[2:] == ["| `/` | object | 2 |  |", "| `/a&#124;b` | array | 1 | 2 |", "| `/a&#124;b/*` | integer, string | 2 |  |"]
+    schema = {
+        "if": {"properties": {"k": {"const": 1}}}, "then": {"properties": {"t": {"type": "string"}}, "required": ["t"]}, "else": {"properties": {"e": {"type": ["null", "integer"]}}},
+        "dependentSchemas": {"k": {"properties": {"d": {"type": "array", "prefixItems": [{"type": "string"}, {"type": "object", "properties": {"in": {}}}]}}}},
+    }
+    assert profile.inspect_schema(schema) == [("/k", "any", False), ("/t", "string", True), ("/e", "null|integer", False), ("/d", "array", False), ("/d/0", "string", False), ("/d/1", "object", False), ("/d/1/in", "any", False)]
+
+
+def test_caps_on_lines_and_outputs(spark):
+    from pairwright.sources import records
+
+    lines = spark.createDataFrame([(1, '{"case_id":"a","raw_output":"' + "x" * 50 + '"}'), (2, '{"case_id":"b","parsed_output":[' + "1," * 30 + "1]}"), (3, '{"case_id":"c","raw_output":"é"}'), (4, '{"case_id":"d","raw_output":"1"' + " " * 300 + "}")], "source_line long, line string")
+    known = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "id string")
+    kept, broken = records.outputs(lines, known, max_line_bytes=200, max_output_bytes=40)
+    assert [r.case_id for r in kept.collect()] == ["c"]
+    assert sorted((r.source_line, r.violation) for r in broken.collect()) == [(1, "output_too_long"), (2, "output_too_long"), (4, "line_too_long")]
