@@ -23,8 +23,13 @@ def _bucket(gram: Column) -> Column:
 
 
 def _grams(text: Column) -> Column:
-    whole = F.concat(text, F.lit(_END))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(whole, i, 3)))
+    """The distinct runs of three characters; Spark's own substrings count from a text's start each time, which takes the square of its length."""
+
+    def runs(raw: str | None) -> list[str]:
+        whole = (raw or "") + _END
+        return list({whole[i : i + 3] for i in range(len(whole) - 2)})
+
+    return F.udf(runs, "array<string>", useArrow=True)(text)
 
 
 def build(cases: DataFrame, path: str, *, id_col: str = "case_id", number: str = "ordinal", text_col: str = "search_text") -> None:
