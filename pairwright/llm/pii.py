@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairwright.llm.scratch import trimmed
+
 #: Kinds in the order in which spans are listed; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
@@ -166,7 +168,15 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", as_col: str = "pii") ->
 
 def mask_pii(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The documents, their personal data replaced by the kind's name.  Null texts stay null."""
-    return docs.withColumn(text_col, F.udf(lambda text: masked(text, spans(text)), "string", useArrow=True)(F.col(text_col)))
+
+    def hidden(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array([masked(text, spans(text)) for text in batch.to_pylist()], pa.string())
+
+    from pyspark.sql.functions import arrow_udf
+    from pyspark.sql.pandas.functions import ArrowUDFType
+
+    return docs.withColumn(text_col, arrow_udf(lambda it: trimmed(hidden(it)), "string", ArrowUDFType.SCALAR_ITER)(F.col(text_col)))
 
 
 def pii_digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
