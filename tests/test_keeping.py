@@ -119,3 +119,19 @@ def test_caps_on_lines_and_outputs(spark):
     kept, broken = records.outputs(lines, known, max_line_bytes=200, max_output_bytes=40)
     assert [r.case_id for r in kept.collect()] == ["c"]
     assert sorted((r.source_line, r.violation) for r in broken.collect()) == [(1, "output_too_long"), (2, "output_too_long"), (4, "line_too_long")]
+
+
+def test_a_run_s_folder_may_be_cleared(spark):
+    import shutil
+
+    from pairwright.sources.scratch import shared_path, written
+
+    spark.conf.set("pairwright.run", "run-7")
+    try:
+        kept = written(spark.range(5).toDF("x"), "numbers")
+        folder = shared_path(spark, "x").rpartition("/")[0]
+        assert folder.endswith("/run-7") and kept.count() == 5 and "/run-7/numbers-" in kept.inputFiles()[0]
+        shutil.rmtree(folder)
+    finally:
+        spark.conf.unset("pairwright.run")
+    assert "/run-7/" not in shared_path(spark, "x")
