@@ -282,16 +282,18 @@ def train(
     Where a class is missing there is nothing to tell apart, and what comes back is the share of
     label 1 with one row of either class added.  Labels that are null, or stand at a null id, are
     no labels; of several for one id the smallest counts.  Rows are chosen by id, where ids repeat
-    in the documents by text too, and equal rows are summed before they leave Spark, so repeats
-    don't let what comes back grow.
+    in the documents by text too.  Rows that repeat id and text count once, whatever their number,
+    and equal rows of vectors are summed before they leave Spark.
     """
     named = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     named = written(sampled(named, "id", rows, 11), "labelled")
     learn = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(named), "id")  # about ``rows`` ids at most
-    learn = written(learn.repartition(16, "id", F.xxhash64("text")), "learn")
-    n = learn.count()
+    learn = learn.withColumn("hash", F.xxhash64("text"))
+    n = learn.select("id", "hash").distinct().count()
     if n > 2 * rows:
-        learn = learn.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < int((1 << 30) * rows / n))
+        learn = learn.where(F.pmod(F.xxhash64("id", "hash"), F.lit(1 << 30)) < int((1 << 30) * rows / n))
+    learn = learn.groupBy("id", "hash").agg(F.any_value("label").alias("label"), F.any_value("text").alias("text"))
+    learn = written(learn.repartition(16, "hash"), "learn")  # some thousand texts each
     contexts = _contexts(learn, vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(contexts)
 

@@ -25,8 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here,
-    and a lost executor costs no more than reading the files again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    and a lost executor costs no more than reading the files again.
+
+    Where the session's ``pairwright.run`` names a run, its folder holds all that is written until
+    the setting changes, and may be removed once the run's results have been stored.
+    """
+    run = df.sparkSession.conf.get("pairwright.run", None)
+    path = "/".join([shared_dir(df.sparkSession), *([run] if run else []), f"{name}-{uuid.uuid4().hex}"])
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -107,6 +107,10 @@ def test_repeats_do_not_grow_what_comes_back(spark):
     labels = spark.createDataFrame([(i, q) for i, _, q in data] * 2, "doc_id long, quality int")
     model = C.train(docs, labels, rows=400)
     assert isinstance(model, C.Model)
+    # Rows that repeat count once: the others are learned from as if these weren't there.
+    plain = C.train(docs.dropDuplicates(), labels, rows=400)
+    score = lambda m: [r.score for r in C.score(docs.where("doc_id < 50").dropDuplicates().orderBy("doc_id").coalesce(1), m).collect()]
+    assert np.allclose(score(model), score(plain), atol=1e-6)
 
 
 def test_held_out_accuracy_of_the_query(spark):
