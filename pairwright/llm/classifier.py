@@ -86,12 +86,13 @@ def index_vectors(them: list[str]) -> np.ndarray:
     place = (at - start).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     whole = np.add.reduceat(_mixed(form * place), np.cumsum(size + 1) - size - 1)
     form, word = np.concatenate([_mixed(form), _mixed(whole)]), np.concatenate([word, np.arange(len(them))])
-    out = np.zeros(len(them) * DIM)
+    to = np.empty((PLACES, len(form)), np.int64)
+    sign = np.empty((PLACES, len(form)))
+    base = word * DIM
     for k in range(PLACES):
-        to = ((form >> np.uint64(7 * k)) & np.uint64(DIM - 1)).astype(np.int64)
-        sign = 1.0 - 2.0 * ((form >> np.uint64(63 - k)) & np.uint64(1)).astype(np.float64)
-        out += np.bincount(word * DIM + to, sign, len(out))
-    return out.reshape(-1, DIM).astype(np.int32)
+        to[k] = base + ((form >> np.uint64(7 * k)) & np.uint64(DIM - 1)).view(np.int64)
+        sign[k] = 1.0 - 2.0 * ((form >> np.uint64(63 - k)) & np.uint64(1))
+    return np.bincount(to.ravel(), sign.ravel(), len(them) * DIM).reshape(-1, DIM).astype(np.int32)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -101,32 +102,57 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
-    return (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    rows = rows.astype(np.float64 if rows.dtype == np.float64 else np.float32)
+    rows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-12)[:, None]
+    return rows.astype(np.float32, copy=False)
 
 
 @dataclass
 class Reader:
-    """Turns texts into rows; remembers the vectors of words it has met."""
+    """Turns texts into rows; remembers the vectors of words it has met.
+
+    When it remembers too many, those that have come again since they were first met stay, if they are
+    few enough: most words of a large text come once.
+    """
 
     contexts: dict[str, np.ndarray]
     _row: dict[str, int] = field(default_factory=dict)
     _vectors: np.ndarray = field(default_factory=lambda: np.zeros((REMEMBERED + STEP, DIM), np.float32))
+    _again: np.ndarray = field(default_factory=lambda: np.zeros(REMEMBERED + STEP, bool))
+
+    def places(self, them: list[str]) -> np.ndarray:
+        """Where each word's vector is kept: the unit vector of its index vector, and of its context's where it has one."""
+        if len(self._row) > REMEMBERED:
+            self._forget()
+        at = np.fromiter(map(self._row.get, them, itertools.repeat(-1)), np.int64, len(them))
+        self._again[at[at >= 0]] = True
+        unmet = np.flatnonzero(at < 0)
+        if len(unmet):
+            first = len(self._row)
+            met = [them[i] for i in unmet.tolist()]
+            new = list(dict.fromkeys(met))
+            made = _unit(index_vectors(new))
+            known = [(i, context) for i, context in enumerate(map(self.contexts.get, new)) if context is not None]
+            if known:
+                which, context = zip(*known, strict=True)
+                made[list(which)] = _unit(made[list(which)] + np.stack(context))
+            self._row.update(zip(new, range(first, first + len(new)), strict=True))
+            self._vectors[first : first + len(new)] = made
+            self._again[first : first + len(new)] = False
+            at[unmet] = np.fromiter(map(self._row.__getitem__, met), np.int64, len(met))
+        return at
+
+    def _forget(self) -> None:
+        stay = np.flatnonzero(self._again[: len(self._row)])  # words are in order of their places
+        if len(stay) > REMEMBERED // 2:
+            stay = stay[:0]
+        self._row = dict(zip(map(list(self._row).__getitem__, stay.tolist()), range(len(stay)), strict=True))
+        self._vectors[: len(stay)] = self._vectors[stay]
+        self._again[: len(stay)] = False
 
     def vectors(self, them: list[str]) -> np.ndarray:
-        """A word's unit vector: of its index vector, and of its context's where it has one."""
-        new = [w for w in dict.fromkeys(them) if w not in self._row]
-        if new:
-            if len(self._row) > REMEMBERED:
-                self._row.clear()
-                new = list(dict.fromkeys(them))
-            made = _unit(index_vectors(new))
-            for i, w in enumerate(new):
-                if (context := self.contexts.get(w)) is not None:
-                    made[i] += context
-            at = len(self._row)
-            self._row.update(zip(new, range(at, at + len(new)), strict=True))
-            self._vectors[at : at + len(new)] = _unit(made)
-        return self._vectors[np.fromiter(map(self._row.__getitem__, them), np.int64, len(them))]
+        """A word's unit vector, one row each."""
+        return self._vectors[self.places(them)]
 
     def rows(self, texts: Iterable[str | None]) -> np.ndarray:
         """For each text the mean of its words' vectors, that mean's length, the mean likeness of neighbours, and the logarithm of the number of words."""
@@ -136,9 +162,8 @@ class Reader:
             ends = np.cumsum(sizes)
             upto = np.concatenate([[0.0], np.cumsum(np.einsum("ij,ij->i", v[1:], v[:-1]), dtype=np.float64), [0.0]])
             sums = np.zeros((len(sizes), DIM))
-            there = np.flatnonzero(sizes)
-            if len(there):
-                sums[there] = np.add.reduceat(v, (ends - sizes)[there], axis=0)
+            for i in np.flatnonzero(sizes).tolist():
+                sums[i] = np.add.reduce(v[ends[i] - sizes[i] : ends[i]], axis=0)
             alike = np.where(sizes > 1, upto[np.maximum(ends - 1, 0)] - upto[np.minimum(ends - sizes, len(v) - 1)], 0.0)
             if goes_on:
                 total[-1] += sums[0]

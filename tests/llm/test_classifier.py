@@ -46,6 +46,21 @@ def test_pooled_rows_by_definition(monkeypatch):
         assert np.allclose(row, [*mean, np.linalg.norm(mean), near, np.log1p(len(words))], atol=1e-5)
 
 
+def test_words_that_come_again_are_remembered(monkeypatch):
+    """Words that come once don't drive out those that come again, whose vectors are made once more at most."""
+    monkeypatch.setattr(C, "STEP", 60)
+    monkeypatch.setattr(C, "REMEMBERED", 100)
+    made, plain = [], C.index_vectors
+    monkeypatch.setattr(C, "index_vectors", lambda them: made.extend(them) or plain(them))
+    common = [f"word{i}" for i in range(20)]
+    texts = [" ".join([*common, *(f"once{k}x{i}" for i in range(30)), common[k % 20]]) for k in range(40)]
+    reader = C.Reader({"word3": C._unit(np.ones((1, C.DIM)))[0]})
+    got = np.concatenate([reader.rows([text]) for text in texts])
+    assert all(made.count(w) <= 2 for w in common) and len(reader._row) <= C.REMEMBERED + C.STEP
+    fresh = np.concatenate([C.Reader(reader.contexts).rows([text]) for text in texts])
+    assert np.allclose(got, fresh, atol=1e-6)
+
+
 def test_contexts_by_definition(spark):
     texts = ["a b c a b", "b a", "c", "", "lone"]
     learn = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
