@@ -8,7 +8,7 @@ from hashlib import blake2b
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairwright.functions.json import Number, parse
+from pairwright.functions.json import Number, each, parse
 
 TREES = "array<struct<pointer:string,type:string,hash:binary>>"
 
@@ -40,7 +40,7 @@ def subtrees(text: Column) -> Column:
             return []
         return out
 
-    return F.udf(trees, TREES, useArrow=True)(text)
+    return each(trees, TREES, text)
 
 
 def contains(document: Column, value: Column) -> Column:

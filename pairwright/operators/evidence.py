@@ -37,7 +37,7 @@ def with_units(cases: DataFrame, pointer: str | None = None, include: tuple[str,
         raise ValueError(f"no such pointers: {wanted}")
     text = lambda c: F.coalesce(F.col(c), F.lit("null")) if c in cases.columns else F.lit("null")
     whole = F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{c}":'), text(c)) for c in PARTS)), F.lit("}"))
-    read = cases.withColumn("_found", read_json(whole, wanted)["found"])
+    read = cases.withColumn("_found", read_json(whole, wanted, once=True)["found"])
     lost = F.get(F.filter(F.arrays_zip(F.array(*map(F.lit, wanted)).alias("pointer"), F.col("_found").alias("value")), lambda x: x["value"].isNull()), F.lit(0))["pointer"]
     read = read.withColumn("_lost", F.when(F.col("_found").isNull(), F.lit(wanted[0])).otherwise(lost))
     known = read.where("_lost is null").withColumn("unit", digest(*(F.get("_found", F.lit(i)) for i in range(len(wanted)))))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pairwright.functions.json import Number, canonical, parse
 from pairwright.operators import evidence, gate, summary
 from pairwright.operators.pairing import paired
-from pairwright.plans.paired import Evaluation, Rule, evaluate_all, reference_issues
+from pairwright.plans.paired import Evaluation, Rule, dealt, evaluate_all, reference_issues
+from pairwright.sources.scratch import written
 
 #: Limits that are shares, and so lie between 0 and 1.
 _SHARES = ("_rate", "_validity", "_coverage")
@@ -180,22 +181,29 @@ def id_faults(cases: DataFrame, outputs: dict[str, DataFrame]) -> DataFrame:
     return by.select("id", F.explode(F.array_compact(F.array(*found))).alias("f")).select("id", "f.*")
 
 
+def evaluations(cases: DataFrame, baseline: DataFrame, candidate: DataFrame, config: Config, external: DataFrame | None = None) -> DataFrame:
+    """Both variants' evaluations of cases that can be judged, with the units of evidence; not run until it is asked for."""
+    found, _ = evidence.with_units(dealt(cases), config.unit, config.include)
+    whole = lambda df: df.withColumns({c: F.lit(None).cast(t) for c, t in _MEASURES.items() if c not in df.columns})
+    return evaluate_all(found, {"baseline": whole(baseline), "candidate": whole(candidate)}, config.plan, external)
+
+
 def run(cases: DataFrame, baseline: DataFrame, candidate: DataFrame, config: Config, external: DataFrame | None = None) -> dict[str, DataFrame]:
     """The relations of a run: evaluations, summaries, paired metrics of both effects, the gate's rules and its decision.
 
     Null, repeated and unknown ids stop the run, and so do cases whose reference an evaluator would
     not pass, or that have no unit of evidence; all that before outputs are parsed.  The error tells
-    how many there are and the first 20.
+    how many there are and the first 20.  Evaluations are made once and written; all else reads them.
     """
     strange = id_faults(cases, {"baseline": baseline, "candidate": candidate})
     if (n := strange.count()) > 0:
         raise ValueError(f"{n} ids that can't be taken: {[tuple(r) for r in strange.orderBy('id', 'table', 'fault').limit(20).collect()]}")
-    found, lost = evidence.with_units(cases, config.unit, config.include)
+    _, lost = evidence.with_units(dealt(cases), config.unit, config.include)
     bad = [(r.id, r.what) for r in reference_issues(cases, config.plan).select("id", F.concat_ws(": ", "evaluator", "state").alias("what")).union(lost.select("id", "pointer")).orderBy("id", "what").limit(20).collect()]
     if bad:
         raise ValueError(f"cases that can't be judged: {bad}")
-    whole = lambda df: df.withColumns({c: F.lit(None).cast(t) for c, t in _MEASURES.items() if c not in df.columns})
-    e = evaluate_all(found, {"baseline": whole(baseline), "candidate": whole(candidate)}, config.plan, external)
+    e = evaluations(cases, baseline, candidate, config, external)
+    e = written(e.withColumns({c: F.col(f"`{c}`").cast("string") for c, kind in e.dtypes if kind == "void"}), "evaluations")
     p = paired(e)
     inputs = gate.inputs(p, stimulus=F.col("baseline.unit"), reference=F.col("baseline.expected"), observation=_observation(p), samples=config.samples, confidence=config.confidence, seed=config.seed)
     rules = gate.rules(inputs, config.limits)

@@ -186,6 +186,11 @@ def _side(column: str, pointers: list[str], arrays: list[tuple[str, tuple[str, .
     return Side(value, lambda p, inside: F.get(f"{column}.items", F.lit(arrays.index((p, inside)))))
 
 
+def dealt(cases: DataFrame) -> DataFrame:
+    """Cases dealt by id to a fixed number of partitions, as small tables would else be parsed in one task."""
+    return cases.repartition(int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+
+
 def evaluate_all(cases: DataFrame, outputs: dict[str, DataFrame], plan: Evaluation, external: DataFrame | None = None) -> DataFrame:
     """One row per case and variant: state of the output, evaluators' states, outcome and flags.
 
@@ -194,9 +199,7 @@ def evaluate_all(cases: DataFrame, outputs: dict[str, DataFrame], plan: Evaluati
     which serves parsing, the joins with every variant's outputs, and pairing.  ``external`` holds results of the plan's external
     evaluators (case_id, variant, evaluator, status); one that gave none is an error.
     """
-    # A fixed number of partitions, as small cases would else be parsed in one task.
-    dealt = cases.repartition(int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    rows = _joined(read_references(dealt, plan), outputs)
+    rows = _joined(read_references(dealt(cases), plan), outputs)
     outside = [r.id for r in plan.rules if r.kind == "external"]
     if outside:
         if external is None:
@@ -239,7 +242,7 @@ def reference_issues(cases: DataFrame, plan: Evaluation) -> DataFrame:
     found = [F.struct(F.lit(r.id).alias("evaluator"), F.when(itself(r) == E.PASSED, E.PASSED).otherwise(E.ERROR).alias("state")) for r in plan.rules if r.kind not in _ALONE]
     if not found:
         return cases.where(F.lit(False)).select("id", F.lit("").alias("evaluator"), F.lit("").alias("state"))
-    rows = read_references(cases.select("id", "expected"), plan)
+    rows = read_references(dealt(cases.select("id", "expected")), plan)
     return rows.select("id", F.explode(F.array(*found)).alias("i")).select("id", "i.*").where("state <> 'passed'")
 
 
