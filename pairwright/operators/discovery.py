@@ -1,25 +1,35 @@
 """What all documents of a column look like: types and presence of every field, a schema that takes them all, keys of arrays.
 
-A document gives a small row for each place; rows of one place are sums and unions of types, so
-they are aggregated where they lie and what is shuffled grows with the number of places, not of
-documents.  Only the table of places comes to the driver, and a schema is put together from it.
+A place's rows are sums and unions of types, so a task adds up its documents' places as it reads
+them and gives a row for each; what leaves Python and is shuffled grows with the number of places,
+not of documents.  Only the table of places comes to the driver, and a schema is put together from it.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from pairwright.functions.json import ITEM_KEYS, Number, canonical, kind, parse
+from pairwright.functions.json import ITEM_KEYS, Number, parse, quoted
+from pairwright.sources.scratch import written
 
 #: Types as bits, so that a place's types are a union of numbers.
 TYPES = ("null", "boolean", "integer", "number", "string", "array", "object")
 #: Places that a schema can have; documents whose keys are data have more.
 MOST_PLACES = 10_000
-_PLACES = "array<struct<place:string,types:int,n:long,items:long,objects:long>>"
-_KEYS = "array<struct<place:string,member:string,arrays:long,whole:long,unique:long,several:long>>"
+#: Places that a task holds before it gives what it has added up; then it begins anew.
+HELD = 100_000
+#: What a task adds up: of a place, and of a member of a place's items (then ``member`` is set).
+_SUMS = ("types", "n", "items", "objects", "strings", "dates", "decimals")
+_KEY_SUMS = ("arrays", "whole", "unique", "several")
+_SURVEY = "place string, member string, " + ", ".join(f"{c} {'int' if c == 'types' else 'long'}" for c in (*_SUMS, *_KEY_SUMS))
 
 
 def _step(name: str) -> str:
@@ -27,45 +37,133 @@ def _step(name: str) -> str:
     return name.replace("~", "~0").replace("/", "~1").replace("*", "~2")
 
 
-def _read(raw: str | None) -> object:
-    try:
-        return None if raw is None else [parse(raw.strip())]
-    except (ValueError, RecursionError):
-        return None
-
-
-def _places(raw: str | None) -> list[tuple]:
-    found: dict[str, list[int]] = {}
-
-    def walk(value: object, at: str) -> None:
-        row = found.setdefault(at, [0, 0, 0, 0])
-        row[0] |= 1 << TYPES.index(kind(value))
-        row[1] += 1
-        if isinstance(value, dict):
-            row[3] += 1
-            for name, inner in value.items():
-                walk(inner, f"{at}/{_step(name)}")
-        elif isinstance(value, list):
-            row[2] += len(value)
-            for inner in value:
-                walk(inner, f"{at}/*")
-
-    for value in _read(raw) or ():
-        walk(value, "")
-    return [(at, *row) for at, row in found.items()]
+#: Likeness of texts as ``text.like_kind`` has it: a line's end after the last character counts for nothing.
+_DATE = re.compile("[0-9]{4}-[0-9]{2}-[0-9]{2}(\r\n|[\n\r\u0085\u2028\u2029])?").fullmatch
+_DECIMAL = re.compile(r"-?[0-9]+\.[0-9]+" + "(\r\n|[\n\r\u0085\u2028\u2029])?").fullmatch
+_WHOLE = re.compile("-?[0-9]+").fullmatch
+
+
+class _Place:
+    """Sums of a place, in the order of ``_SUMS``, its members, its items, and members of its items by name with ``_KEY_SUMS``."""
+
+    __slots__ = ("inner", "item", "keys", "sums")
+
+    def __init__(self) -> None:
+        self.sums, self.inner, self.item, self.keys = [0] * len(_SUMS), {}, None, None
+
+    def rows(self, at: str) -> Iterator[tuple]:
+        yield at, None, *self.sums, None, None, None, None
+        for name, sums in (self.keys or {}).items():
+            yield at, _step(name), *[None] * len(_SUMS), *sums
+        for name, place in self.inner.items():
+            yield from place.rows(f"{at}/{_step(name)}")
+        if self.item is not None:
+            yield from self.item.rows(f"{at}/*")
+
+
+def _add_keys(keys: dict[str, list[int]], items: list[dict]) -> None:
+    names = dict.fromkeys(k for x in items for k in x)
+    for name in names:
+        values = [x[name] for x in items if name in x]
+        # A number is apart from the text that reads the same.
+        named = [x if type(x) is Number else quoted(x) for x in values if isinstance(x, str)]
+        row = keys.get(name)
+        if row is None:
+            row = keys[name] = [0, 0, 0, 0]
+        row[0] += 1
+        row[1] += len(named) == len(items)
+        row[2] += len(set(named)) == len(named)
+        row[3] += len(named) > 1
+
+
+def _add(value: object, place: _Place, made: list[int]) -> None:
+    """Add a value and all inside it; ``made`` counts places."""
+    sums, kind = place.sums, type(value)
+    sums[1] += 1
+    if kind is Number:
+        sums[0] |= 4 if _WHOLE(value) else 8
+    elif kind is str:
+        sums[0] |= 16
+        sums[4] += 1
+        if _DATE(value):
+            sums[5] += 1
+        elif _DECIMAL(value):
+            sums[6] += 1
+    elif kind is dict:
+        sums[0] |= 64
+        sums[3] += 1
+        inner = place.inner
+        for name, x in value.items():
+            at = inner.get(name)
+            if at is None:
+                at = inner[name] = _Place()
+                made[0] += 1
+            _add(x, at, made)
+    elif kind is list:
+        sums[0] |= 32
+        sums[2] += len(value)
+        if value:
+            if all(type(x) is dict for x in value):
+                if place.keys is None:
+                    place.keys = {}
+                _add_keys(place.keys, value)
+            if place.item is None:
+                place.item = _Place()
+                made[0] += 1
+            for x in value:
+                _add(x, place.item, made)
+    else:
+        sums[0] |= 1 if value is None else 2
+
+
+def survey(rows: DataFrame, column: str) -> DataFrame:
+    """All that ``places``, ``members`` and ``likeness`` need of a column's documents, from one reading: a few rows for each task.
+
+    Null and malformed texts are passed over.
+    """
+    kind = to_arrow_schema(StructType.fromDDL(_SURVEY))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, made = _Place(), [0]
+        given = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*(r for r in root.rows("") if root.sums[1]), strict=True), kind.types, strict=True)], schema=kind)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                try:
+                    value = None if raw is None else [parse(raw.strip())]
+                except (ValueError, RecursionError):
+                    continue
+                if value:
+                    _add(value[0], root, made)
+            if made[0] > HELD:
+                yield given()
+                root, made = _Place(), [0]
+        if root.sums[1]:
+            yield given()
+
+    return rows.select(F.col(column).alias("doc")).mapInArrow(read, _SURVEY)
+
+
+def _places(found: DataFrame) -> DataFrame:
+    by = found.where("member is null").groupBy("place").agg(F.bit_or("types").alias("types"), *(F.sum(c).alias(c) for c in ("n", "items", "objects")))
+    parents = by.where("objects > 0").select(F.col("place").alias("_parent"), F.col("objects").alias("of"))
+    at = F.when((F.col("place") != "") & ~F.endswith("place", F.lit("/*")), F.regexp_replace("place", "/[^/]*$", ""))
+    return by.withColumn("_at", at).join(parents, F.col("_at") == F.col("_parent"), "left").select("place", "types", "n", "items", "of", (F.col("n") == F.col("of")).alias("required"))
 
 
-def places(rows: DataFrame, column: str) -> DataFrame:
+def places(rows: DataFrame, column: str, found: DataFrame | None = None) -> DataFrame:
     """Per place of the documents in a column: types (as bits), values there, items of its arrays, objects that may have it, and whether all of them do.
 
     Null and malformed texts have no places; the root is there as ``''``.  Only members of objects are
-    required or not; of the root and of items that is null.
+    required or not; of the root and of items that is null.  ``found`` is a survey of them, if there is one.
     """
-    found = rows.select(F.explode(F.udf(_places, _PLACES, useArrow=True)(F.col(column))).alias("p")).select("p.*")
-    by = found.groupBy("place").agg(F.bit_or("types").alias("types"), *(F.sum(c).alias(c) for c in ("n", "items", "objects")))
-    parents = by.where("objects > 0").select(F.col("place").alias("_parent"), F.col("objects").alias("of"))
-    at = F.when((F.col("place") != "") & ~F.endswith("place", F.lit("/*")), F.regexp_replace("place", "/[^/]*$", ""))
-    return by.withColumn("_at", at).join(parents, F.col("_at") == F.col("_parent"), "left").select("place", "types", "n", "items", "of", (F.col("n") == F.col("of")).alias("required"))
+    return _places(written(survey(rows, column), "survey") if found is None else found)
+
+
+def likeness(found: DataFrame) -> DataFrame:
+    """Per place of a survey what all its texts look like: canonical_date or decimal_exact; places of other texts are left out."""
+    by = found.where("member is null").groupBy("place").agg(*(F.sum(c).alias(c) for c in ("strings", "dates", "decimals"))).where("strings > 0")
+    like = F.when(F.col("dates") == F.col("strings"), "canonical_date").when(F.col("decimals") == F.col("strings"), "decimal_exact")
+    return by.select("place", like.alias("suggested")).where("suggested is not null")
 
 
 def type_names(types: Column) -> Column:
@@ -107,34 +205,13 @@ def discovered_schema(rows: DataFrame, column: str) -> str:
     return json.dumps(schema_of(places(rows, column)), ensure_ascii=False)
 
 
-def _keys(raw: str | None) -> list[tuple]:
-    found: dict[tuple[str, str], list[int]] = {}
-
-    def walk(value: object, at: str) -> None:
-        if isinstance(value, dict):
-            for name, inner in value.items():
-                walk(inner, f"{at}/{_step(name)}")
-        elif isinstance(value, list):
-            if value and all(isinstance(x, dict) for x in value):
-                for name in sorted({k for x in value for k in x}):
-                    named = [canonical(x[name]) for x in value if name in x and isinstance(x[name], str | Number)]
-                    row = found.setdefault((at, _step(name)), [0, 0, 0, 0])
-                    row[0] += 1
-                    row[1] += len(named) == len(value)
-                    row[2] += len(set(named)) == len(named)
-                    row[3] += len(named) > 1
-            for inner in value:
-                walk(inner, f"{at}/*")
-
-    for value in _read(raw) or ():
-        walk(value, "")
-    return [(at, member, *row) for (at, member), row in found.items()]
-
-
-def array_members(rows: DataFrame, column: str) -> DataFrame:
-    """Per array of objects and member of its items: arrays that have it, those all of whose items do, as a text or number, those in which no value repeats, and those with several."""
-    found = rows.select(F.explode(F.udf(_keys, _KEYS, useArrow=True)(F.col(column))).alias("k")).select("k.*")
-    return found.groupBy("place", "member").agg(*(F.sum(c).alias(c) for c in ("arrays", "whole", "unique", "several")))
+def array_members(rows: DataFrame, column: str, found: DataFrame | None = None) -> DataFrame:
+    """Per array of objects and member of its items: arrays that have it, those all of whose items do, as a text or number, those in which no value repeats, and those with several.
+
+    ``found`` is a survey of the documents, if there is one.
+    """
+    found = survey(rows, column) if found is None else found
+    return found.where("member is not null").groupBy("place", "member").agg(*(F.sum(c).alias(c) for c in _KEY_SUMS))
 
 
 def array_keys(members: DataFrame, found: DataFrame) -> DataFrame:
