@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ DATE_FORMATS = {"iso": (r"^(\d{4})-(\d{1,2})-(\d{1,2})$", (1, 2, 3))} | {
 }
 
 
+def bound(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of a value that is worked out once, however often it is named; inside functions over arrays Spark shares nothing."""
+    return F.element_at(F.transform(F.array(value), made), 1)
+
+
 def normalized(text: Column, *, case_insensitive: bool = True) -> Column:
     """NFKC, which Spark lacks; white space collapsed and trimmed; lower case unless told otherwise."""
     out = F.udf(lambda s: None if s is None else normal_text(s), "string", useArrow=True)(text)
@@ -45,9 +52,10 @@ def decimal_text(text: Column) -> Column:
 
     Casting rounds, so a value counts if more places give the same, and a zero only without other digits.
     """
-    fits = text.rlike(r"^-?[0-9]{1,28}(\.[0-9]{1,18})?([eE][+-]?[0-9]{1,2})?$")
-    value, finer = text.try_cast(f"decimal({DIGITS + SCALE},{SCALE})"), text.try_cast("decimal(37,19)")
-    return F.when(fits & (value == finer) & ((value != 0) | ~text.rlike(r"^-?[0-9.]*[1-9]")), value)
+    fits = lambda x: x.rlike(r"^-?[0-9]{1,28}(\.[0-9]{1,18})?([eE][+-]?[0-9]{1,2})?$")
+    both = lambda x: F.struct(x.try_cast(f"decimal({DIGITS + SCALE},{SCALE})").alias("value"), x.try_cast("decimal(37,19)").alias("finer"))
+    kept = lambda x: bound(both(x), lambda v: F.when((v["value"] == v["finer"]) & ((v["value"] != 0) | ~x.rlike(r"^-?[0-9.]*[1-9]")), v["value"]))
+    return bound(text, lambda x: F.when(fits(x), kept(x)))
 
 
 def like_kind(text: Column) -> Column:

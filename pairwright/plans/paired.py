@@ -68,8 +68,7 @@ def _inside(rule: Rule) -> tuple[str, ...]:
 
 def _keyed(rule: Rule, e: Side, a: Side) -> Column:
     inside, o = _inside(rule), rule.options
-    found = E.keyed_records(e.items(rule.reference[0], inside), a.items(rule.pointers[0], inside), tuple(o["keys"].values()), tuple((how, dict(more)) for how, more in o["fields"].values()))
-    return found["status"]
+    return E.keyed_status(e.items(rule.reference[0], inside), a.items(rule.pointers[0], inside), tuple(o["keys"].values()), tuple((how, dict(more)) for how, more in o["fields"].values()))
 
 
 def _financial(rule: Rule, e: Side, a: Side) -> Column:
@@ -178,7 +177,7 @@ def _arrays(plan: Evaluation, of_reference: bool) -> list[tuple[str, tuple[str,
 
 def read_references(cases: DataFrame, plan: Evaluation) -> DataFrame:
     """Cases with what the plan reads of their references, as ``_e``."""
-    return cases.withColumn("_e", read_values(F.col("expected"), _references(plan), _arrays(plan, True)))
+    return cases.withColumn("_e", read_values(F.col("expected"), _references(plan), _arrays(plan, True), whole=False))
 
 
 def _side(column: str, pointers: list[str], arrays: list[tuple[str, tuple[str, ...]]]) -> Side:
@@ -196,10 +195,11 @@ def evaluate_all(cases: DataFrame, outputs: dict[str, DataFrame], plan: Evaluati
 
     References are parsed once for all variants, outputs once each, strictly and for all pointers,
     in all forms that comparisons need; the rest is Spark expressions.  Cases are dealt by id,
-    which serves parsing, the joins with every variant's outputs, and pairing.  ``external`` holds results of the plan's external
+    which serves the joins with every variant's outputs; after them texts are parsed where they lie,
+    as Spark forgets how rows are dealt once Python has seen them.  ``external`` holds results of the plan's external
     evaluators (case_id, variant, evaluator, status); one that gave none is an error.
     """
-    rows = _joined(read_references(dealt(cases), plan), outputs)
+    rows = _joined(dealt(cases), outputs, plan)
     outside = [r.id for r in plan.rules if r.kind == "external"]
     if outside:
         if external is None:
@@ -210,8 +210,8 @@ def evaluate_all(cases: DataFrame, outputs: dict[str, DataFrame], plan: Evaluati
     return _scored(rows, plan)
 
 
-def _joined(known: DataFrame, outputs: dict[str, DataFrame]) -> DataFrame:
-    """Every case once per variant, with its output, or with status ``missing``; of columns of both, the case's stay."""
+def _joined(known: DataFrame, outputs: dict[str, DataFrame], plan: Evaluation | None = None) -> DataFrame:
+    """Every case once per variant, with its output, or with status ``missing``; of columns of both, the case's stay.  With a plan, also what is read of references."""
     kinds = {f.name: f.dataType for df in outputs.values() for f in df.schema if f.name not in (*known.columns, "variant", "case_id")}
     rows, sides = known, []
     for n, (variant, df) in enumerate(outputs.items()):
@@ -219,7 +219,8 @@ def _joined(known: DataFrame, outputs: dict[str, DataFrame]) -> DataFrame:
         side = df.select(F.col("case_id").alias(f"_id{n}"), whole.alias(f"_out{n}"))
         rows = rows.join(side, rows["id"] == side[f"_id{n}"], "left").drop(f"_id{n}")
         sides.append(F.struct(F.lit(variant).alias("variant"), F.col(f"_out{n}").alias("out")))
-    rows = rows.select(*known.columns, F.explode(F.array(*sides)).alias("_side")).select(*known.columns, "_side.variant", "_side.out.*")
+    rows, kept = (rows, known.columns) if plan is None else (read_references(rows, plan), [*known.columns, "_e"])
+    rows = rows.select(*kept, F.explode(F.array(*sides)).alias("_side")).select(*kept, "_side.variant", "_side.out.*")
     return or_missing(rows)
 
 

@@ -7,8 +7,9 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.operators import discovery, profile
+from pairwright.operators import discovery
 from pairwright.plans.paired import Evaluation, Rule, reference_issues
+from pairwright.sources.scratch import written
 
 #: Comparisons for what values of a place are, where all of them are that.
 _BY_TYPE = {"integer": "exact_integer", "number": "decimal", "boolean": "exact"}
@@ -33,11 +34,12 @@ def proposed(cases: DataFrame, column: str = "expected") -> str:
     an array of objects is compared by the member that tells items apart, if one does.  A comparison
     that some reference would not pass against itself gives way to one of texts as they stand.
     """
-    found = discovery.places(cases, column)
+    read = written(discovery.survey(cases, column), "survey")  # a few rows for each task
+    found = discovery.places(cases, column, read)
     schema = discovery.schema_of(found)
-    likeness = {r["pointer"]: r["suggested"] for r in profile.inventory(profile.field_profile(profile.observed(cases, "expected", column))).select("pointer", "suggested").collect()}
+    likeness = {r["place"]: r["suggested"] for r in discovery.likeness(read).collect()}
     table = {r["place"]: r for r in found.select("place", discovery.type_names(F.col("types")).alias("types"), "required").collect()}
-    keys = {r["place"]: r["key"] for r in discovery.array_keys(discovery.array_members(cases, column), found).collect()}
+    keys = {r["place"]: r["key"] for r in discovery.array_keys(discovery.array_members(cases, column, read), found).collect()}
     always = lambda place: place == "" or (bool(table[place]["required"]) and always(place.rpartition("/")[0]))
     kind = lambda place: _kind(table[place]["types"], likeness.get(place))
     rules = []

@@ -137,7 +137,7 @@ def discovered_fields(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT count(DISTINCT l_orderkey) AS documents, 0::BIGINT AS refused, count(DISTINCT l_orderkey) AS refused_after_a_change FROM lineitem")
 def discovered_schema(spark: SparkSession, d: str) -> DataFrame:
     """Documents that their own schema refuses, and those that it refuses once a field has another type."""
-    docs = _order_documents(spark, d)
+    docs = written(_order_documents(spark, d), "documents")
     schema = discovery.discovered_schema(docs, "doc")
     broken = lambda text: F.size(schema_errors(text, schema)) > 0
     rows = docs.select(broken(F.col("doc")).alias("x"), broken(F.regexp_replace("doc", r'"lines":\[', '"lines":7,"more":[')).alias("y"))
@@ -151,8 +151,9 @@ SELECT x.*, x.member = 'sku' AS chosen FROM t, v, LATERAL (VALUES ('line', docs,
 def array_members(spark: SparkSession, d: str) -> DataFrame:
     """Members of the lines' items, in how many arrays they are whole and tell items apart, and which is chosen as key."""
     docs = _order_documents(spark, d)
-    members = discovery.array_members(docs, "doc")
-    keys = discovery.array_keys(members, discovery.places(docs, "doc"))
+    read = written(discovery.survey(docs, "doc"), "survey")
+    members = discovery.array_members(docs, "doc", read)
+    keys = discovery.array_keys(members, discovery.places(docs, "doc", read))
     out = members.join(keys, "place", "left").select("member", "arrays", "whole", "unique", "several", F.coalesce(F.col("member") == F.col("key"), F.lit(False)).alias("chosen"))
     return out
 
@@ -161,7 +162,7 @@ def array_members(spark: SparkSession, d: str) -> DataFrame:
 SELECT x.*, n AS passed FROM o, LATERAL (VALUES ('id', 'exact'), ('lines', 'keyed_array')) AS x(evaluator, kind)""")
 def proposed_plan(spark: SparkSession, d: str) -> DataFrame:
     """Evaluators proposed for the orders' documents, and how many references each passes against themselves."""
-    cases = _order_documents(spark, d).select(F.col("k").cast("string").alias("id"), F.col("doc").alias("expected"))
+    cases = written(_order_documents(spark, d).select(F.col("k").cast("string").alias("id"), F.col("doc").alias("expected")), "documents")
     plan = loaded(proposal.proposed(cases)).plan
     out = cases.select(F.col("id").alias("case_id"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error_kind"), F.col("expected").alias("raw_output"))
     e = evaluate_all(cases, {"baseline": out}, plan)

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pairwright.functions.json import canonical, each, parse, resolve
+import json
+import random
+
+from pyspark.sql import functions as F
+
+from pairwright.functions import schema as S
+from pairwright.functions.json import Number, canonical, each, parse, records, resolve
+from pairwright.operators import discovery
+from pairwright.operators import evaluators as E
 from pairwright.plans import config
 from pairwright.plans.reuse import _order_inputs
-from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +43,79 @@ def test_canonical_texts_and_pointers():
     assert canonical(parse(text)) == '{"0":[[]],"a":true,"b~/":[1,-2.50,{"é\\n":null}]}'
     assert resolve(parse(text), "/b~0~1/1") == "-2.50" and resolve(parse(text), "/0/0") == []
     assert all(resolve(parse(text), p) is ... for p in ("/b~0~1/01", "/b~0~1/-1", "/b~0~1/9", "/0/x", "/b~0~1/" + "9" * 30))
+
+
+def test_documents_are_surveyed_once_in_a_few_rows(spark):
+    """What a task gives grows with places, not with documents, and all that is proposed comes from one reading."""
+    docs = spark.range(0, 3000, numPartitions=2).select(F.concat(F.lit('{"a":"2024-01-0'), F.col("id") % 9 + 1, F.lit('","b":"'), F.col("id"), F.lit('.5","l":[{"k":'), F.col("id"), F.lit('},{"k":"'), F.col("id"), F.lit('"}]}')).alias("doc"))
+    found = discovery.survey(docs, "doc")
+    assert found.count() == 2 * 7
+    assert {r.place: r.suggested for r in discovery.likeness(found).collect()} == {"/a": "canonical_date", "/b": "decimal_exact"}
+    members = {(m.place, m.member): (m.arrays, m.whole, m.unique, m.several) for m in discovery.array_members(docs, "doc", found).collect()}
+    assert members == {("/l", "k"): (3000, 3000, 3000, 3000)}
+    assert "MapInArrow" not in _plan(discovery.places(docs, "doc"))
+
+
+def test_a_survey_that_begins_anew_gives_the_same(spark, monkeypatch):
+    docs = spark.range(0, 40, numPartitions=1).select(F.concat(F.lit('{"k'), F.col("id") % 7, F.lit('":[1,{"x":null}]}')).alias("doc"))
+    whole = sorted(discovery.places(docs, "doc").collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        monkeypatch.setattr(discovery, "HELD", 5)
+        found = discovery.survey(docs, "doc")
+        assert found.count() > len(whole) and sorted(discovery.places(docs, "doc", found).collect()) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_prepared_checks_give_the_errors_of_the_walk():
+    rules = {"type": "object", "required": ["a", "b/"], "properties": {"a": {"type": ["integer", "null"]}, "b/": {"type": "array", "items": {"type": "number", "minimum": Number("2")}}, "c": True, "d": False}, "additionalProperties": False}
+    for value in ({}, [], None, {"a": Number("1.0"), "b/": []}, {"a": Number("1.5"), "b/": [Number("1"), Number("2"), "x"], "c": 1, "d": None, "e~": {}}, {"a": None, "b/": {}}, {"a": True, "b/": [True]}):
+        for r in (rules, rules | {"additionalProperties": {"type": "string"}}, {"type": "object", "properties": {"x": rules}}, True, False, {}):
+            out: list = []
+            S._checker(r, r)(value, "", out)
+            assert sorted(set(out)) == sorted(set(S._errors(value, r, r, "", 0))), (value, r)
+
+
+def _slow_status(e, a, keys, comparisons):
+    """Of items as records give them, the status by its definition."""
+    def name(item):
+        parts = [x and (x["json"] if how == "exact" else x["norm"] and x["norm"].lower()) for x, how in zip(item, keys, strict=False)]
+        return None if None in parts or "null" in parts else tuple(parts)
+
+    bad = lambda items: None in (n := [name(x) for x in items]) or len(set(n)) < len(n)
+    if e is None or bad(e):
+        return "error"
+    there = {}
+    for x in reversed(a or []):
+        there[name(x)] = x
+    there.pop(None, None)
+    states = []
+    for x in e:
+        if (o := there.get(name(x))) is not None:
+            for n in range(len(comparisons)):
+                v, w = x[len(keys) + n], o[len(keys) + n]
+                states.append("error" if v is None else "failed" if w is None else "passed" if v["json"] == w["json"] else "failed")
+    if "error" in states:
+        return "error"
+    if a is None or bad(a):
+        return "failed"
+    return "passed" if "failed" not in states and {name(x) for x in e} == {name(x) for x in a} else "failed"
+
+
+def test_keyed_items_by_their_definition(spark):
+    """Random arrays: keys that lack, are null or repeat, items that lack or are more, fields that lack or differ."""
+    r = random.Random(5)
+    item = lambda: {k: v for k, v in (("k", r.choice([1, 2, 3, "3", None])), ("n", r.choice(["A", "a", "b"])), ("v", r.choice([1, 1, 1, 2])), ("w", 1)) if r.random() < 0.97}
+    whole = lambda: [{"k": i, "n": "a", "v": 1, "w": 1} for i in range(r.randrange(4))]
+    rows = []
+    for _ in range(400):
+        e = r.choice([whole(), [item() for _ in range(r.randrange(4))], 7])
+        a = r.choice([e, list(reversed(e)) if isinstance(e, list) else e, whole(), [item() for _ in range(r.randrange(4))], None])
+        rows.append((json.dumps(e), json.dumps(a)))
+    keys, comparisons = ("exact", "normalized_string"), (("exact", {}), ("exact", {}))
+    df = spark.createDataFrame(rows, "e string, a string").select(*(records(F.col(c), ["/k", "/n", "/v", "/w"]).alias(c) for c in "ea"))
+    found = df.select("e", "a", E.keyed_status(F.col("e"), F.col("a"), keys, comparisons).alias("s"), E.keyed_records(F.col("e"), F.col("a"), keys, comparisons).alias("r")).collect()
+    for x in found:
+        assert x.s == x.r.status == _slow_status(x.e, x.a, keys, comparisons), x
+    assert {x.s for x in found} == {"passed", "failed", "error"}
