@@ -9,11 +9,16 @@ texts of the cases that are left.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Cases in a block, folders of postings, and how many of a query's lists are intersected.
 BLOCK, BUCKETS, LISTS = 1 << 14, 64, 6
+#: Places that a task gathers before it gives its lists.
+HELD = 1_000_000
 #: Stands after a text's end, so that its last two characters begin runs too.
 _END = "\0\0"
 
@@ -22,14 +27,40 @@ def _bucket(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
 
-def _grams(text: Column) -> Column:
-    """The distinct runs of three characters; Spark's own substrings count from a text's start each time, which takes the square of its length."""
+def _runs(whole: str) -> set[str]:
+    return {whole[i : i + 3] for i in range(len(whole) - 2)}
+
 
-    def runs(raw: str | None) -> list[str]:
-        whole = (raw or "") + _END
-        return list({whole[i : i + 3] for i in range(len(whole) - 2)})
+def _postings(texts: DataFrame) -> DataFrame:
+    """Lists of places by run and block, as much of them as a task holds at once; texts lie in order of their blocks.
 
-    return F.udf(runs, "array<string>", useArrow=True)(text)
+    Runs are found in one pass over a text, as Spark's own substrings count from a text's start each
+    time, and gathered in the task, which never holds the runs of many texts beside each other.
+    """
+    kind = pa.schema([("gram", pa.string()), ("block", pa.int64()), ("places", pa.list_(pa.int32()))])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[int]] = {}
+        block, n = None, 0
+        given = lambda: pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([block] * len(held), pa.int64()), pa.array(held.values(), kind.field("places").type)], schema=kind)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at, place, text = (batch.column(c)[i].as_py() for c in range(3))
+                if held and (at != block or n > HELD):
+                    yield given()
+                    held, n = {}, 0
+                block, found = at, _runs(text + _END)
+                n += len(found)
+                for gram in found:
+                    places = held.get(gram)
+                    if places is None:
+                        held[gram] = [place]
+                    else:
+                        places.append(place)
+        if held:
+            yield given()
+
+    return texts.select("block", "place", "text").mapInArrow(gather, "gram string, block long, places array<int>")
 
 
 def build(cases: DataFrame, path: str, *, id_col: str = "case_id", number: str = "ordinal", text_col: str = "search_text") -> None:
@@ -44,8 +75,7 @@ def build(cases: DataFrame, path: str, *, id_col: str = "case_id", number: str =
     texts.repartitionByRange("block", "place").sortWithinPartitions("block", "place").write.parquet(f"{path}/texts")
     spark = cases.sparkSession
     kept = spark.read.parquet(f"{path}/texts")
-    each = kept.where("text <> ''").select("block", "place", F.explode(_grams(F.col("text"))).alias("gram"))
-    lists = each.groupBy("gram", "block").agg(F.sort_array(F.collect_list("place")).alias("places"))  # BLOCK places at most
+    lists = _postings(kept.where("text <> ''")).groupBy("gram", "block").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))  # BLOCK places at most
     lists = lists.withColumns({"n": F.size("places"), "bucket": _bucket(F.col("gram"))})
     lists.repartition("bucket").sortWithinPartitions("bucket", "gram", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
 

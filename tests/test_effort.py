@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions import schema as S
 from pairwright.functions.json import Number, canonical, each, parse, records, resolve
-from pairwright.operators import discovery
+from pairwright.operators import caseindex, discovery
 from pairwright.operators import evaluators as E
 from pairwright.plans import config
 from pairwright.plans.reuse import _order_inputs
@@ -119,3 +119,16 @@ def test_keyed_items_by_their_definition(spark):
     for x in found:
         assert x.s == x.r.status == _slow_status(x.e, x.a, keys, comparisons), x
     assert {x.s for x in found} == {"passed", "failed", "error"}
+
+
+def test_lists_of_an_index_are_gathered_in_the_task(spark, tmp_path, monkeypatch):
+    """A run gives a row for each block and task, not for each text; lists given in parts come together."""
+    texts = spark.range(0, 300, numPartitions=1).select((F.col("id") / 100).cast("long").alias("block"), (F.col("id") % 100).cast("int").alias("place"), F.concat(F.lit("abc"), F.col("id") % 2).alias("text"))
+    found = caseindex._postings(texts)
+    assert found.count() == 3 * 7  # abc, and bc, c and the end with each digit
+    cases = texts.select((F.col("block") * 100 + F.col("place")).alias("ordinal"), (F.col("block") * 100 + F.col("place")).cast("string").alias("case_id"), F.col("text").alias("search_text"))
+    monkeypatch.setattr(caseindex, "HELD", 10)
+    assert caseindex._postings(texts).count() > 21
+    caseindex.build(cases, str(tmp_path / "index"))
+    assert sorted(int(r.case_id) for r in caseindex.search(spark, str(tmp_path / "index"), "BC1").collect()) == list(range(1, 300, 2))
+    assert caseindex.search(spark, str(tmp_path / "index"), "c").count() == 300
