@@ -95,8 +95,8 @@ def inputs(pairs: DataFrame, *, stimulus: Column, reference: Column, observation
     Pairs become hashes and a few numbers before anything is shuffled.  Three aggregates read the
     units; each asks for all their columns, so that Spark computes the units once.
     """
-    narrow = pairs.select(order, evidence.digest(stimulus).alias("stimulus"), evidence.digest(stimulus, reference).alias("unit"), evidence.digest(observation).alias("observation"), *map(_judged, ("baseline", "candidate")))
-    found = evidence.represented(narrow.select("unit", "observation", order, "stimulus", "baseline", "candidate"), F.col("unit"), F.col("observation"), order)
+    narrow = pairs.select(order, evidence.hashed(stimulus).alias("stimulus"), evidence.hashed(stimulus, reference).alias("unit"), evidence.hashed(observation).alias("observation"), *map(_judged, ("baseline", "candidate")))
+    found = evidence.represented(narrow, F.col("unit"), F.col("observation"), order, ("stimulus", "baseline", "candidate"))
     counts = F.col("kind") != "repeated_trial"
     # A unit that doesn't count has no sides, so no condition on them holds.
     sides = found.withColumns({s: F.when(counts, F.col(f"row.{s}")) for s in ("baseline", "candidate")})

@@ -423,9 +423,11 @@ OBSERVED = ("status", "error_kind", "parse_valid", "schema_valid", "components",
 
 def _gate_inputs(evaluations: DataFrame, samples: int | None = None) -> DataFrame:
     """Inputs from evaluations of cases ``k``, whose key is their stimulus."""
-    p = pairing.paired(evaluations.withColumn("reference", evidence.digest(F.col("expected"))))
-    seen = evidence.digest(*(F.to_json(F.struct(*(F.col(f"{s}.{n}") for n in OBSERVED))) for s in ("baseline", "candidate")))
-    return gate.inputs(p, stimulus=F.col("baseline.k"), reference=F.col("baseline.reference"), observation=seen, samples=samples, seed=7)
+    # Hashed before pairing, so that texts aren't shuffled.
+    seen = evidence.hashed(F.to_json(F.struct(*OBSERVED)))
+    p = pairing.paired(evaluations.withColumns({"reference": evidence.hashed(F.col("expected")), "seen": seen}))
+    both = F.concat(*(F.coalesce(F.hex(f"{s}.seen"), F.lit("n")) for s in ("baseline", "candidate")))
+    return gate.inputs(p, stimulus=F.col("baseline.k"), reference=F.hex("baseline.reference"), observation=both, samples=samples, seed=7)
 
 
 @query
